@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .interpolated_lm import op8_interpolated_lm
+from .jpeg_media import op10_jpeg_media
 from .license_scan import op5_license_scan
 from .token_orc import op7_token_orc
 from .toxicity import op9_toxicity
@@ -13,7 +15,9 @@ from .toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op7_token_orc": op7_token_orc,
+    "op8_interpolated_lm": op8_interpolated_lm,
     "op9_toxicity": op9_toxicity,
+    "op10_jpeg_media": op10_jpeg_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
