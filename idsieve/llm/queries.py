@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op6_decontaminate
 from .interpolated_lm import op8_interpolated_lm
 from .jpeg_media import op10_jpeg_media
 from .license_scan import op5_license_scan
+from .ngram_join import op1_ngram_join
 from .token_orc import op7_token_orc
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op5_license_scan": op5_license_scan,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_orc": op7_token_orc,
     "op8_interpolated_lm": op8_interpolated_lm,
     "op9_toxicity": op9_toxicity,
