@@ -77,7 +77,7 @@ def prepare(rows: list[tuple[int, str | None]], k: int, within: int) -> Items:
         words, first = B.word_hashes(raw, np.array([0, len(raw)]))
         if not len(words):
             continue
-        grams, _ = B.gram_hashes(words, first, k)
+        grams, _ = B.gram_hashes(words, first, min(k, len(words)))
         if len(words) < k:
             short.setdefault(len(words), []).append((int(grams[0]), item))
             continue
