@@ -13,9 +13,11 @@ from .license_scan import op5_license_scan
 from .ngram_join import op1_ngram_join
 from .token_orc import op7_token_orc
 from .toxicity import op9_toxicity
+from .warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_warc": op2_warc,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_orc": op7_token_orc,
@@ -24,4 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jpeg_media": op10_jpeg_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+}
