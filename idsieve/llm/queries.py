@@ -11,6 +11,7 @@ from .interpolated_lm import op8_interpolated_lm
 from .jpeg_media import op10_jpeg_media
 from .license_scan import op5_license_scan
 from .ngram_join import op1_ngram_join
+from .surrogates import op3_surrogates
 from .token_orc import op7_token_orc
 from .toxicity import op9_toxicity
 from .warc import OP2_SQL, op2_warc
@@ -18,6 +19,7 @@ from .warc import OP2_SQL, op2_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
+    "op3_surrogates": op3_surrogates,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_orc": op7_token_orc,
