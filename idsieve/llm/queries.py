@@ -11,6 +11,7 @@ from .interpolated_lm import op8_interpolated_lm
 from .jpeg_media import op10_jpeg_media
 from .license_scan import op5_license_scan
 from .ngram_join import op1_ngram_join
+from .pieces import op4_pieces
 from .surrogates import op3_surrogates
 from .token_orc import op7_token_orc
 from .toxicity import op9_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op3_surrogates": op3_surrogates,
+    "op4_pieces": op4_pieces,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_orc": op7_token_orc,
