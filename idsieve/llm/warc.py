@@ -22,19 +22,26 @@ RECORD = "record_id string, type string, refers_to string, target_uri string, da
 _q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def plain_text(html: str) -> str:
-    """SQL for the text of an HTML column: hidden elements and comments go, block elements begin lines, characters
-    are decoded once, blanks are collapsed and empty lines left out."""
-    out = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ')"
-    for tag in HIDDEN:
-        out = f"regexp_replace({out}, '(?is)<{tag}(?:\\\\s[^>]*)?>.*?</{tag}\\\\s*>', ' ')"
+#: Comments and hidden elements, in one pass from left to right.
+_UNSEEN = "(?is)<!--.*?-->|" + "|".join(f"<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>" for tag in HIDDEN)
+
+
+def visible_text(html: str) -> str:
+    """SQL for the text of an HTML column without its hidden elements and tags; block elements begin lines, and named
+    characters but for &amp; are decoded."""
+    out = f"regexp_replace({html}, {_q(_UNSEEN)}, ' ')"
     out = f"regexp_replace({out}, '(?i)</?(?:{'|'.join(BLOCK)})(?:\\\\s[^>]*)?/?>', '\\n')"
     out = f"regexp_replace({out}, '</?[a-zA-Z!][^>]*>', '')"
     for name, char in NAMED:
         out = f"replace({out}, '{name}', {_q(char)})"
+    return out
+
+
+def plain_text(seen: str) -> str:
+    """SQL for the final text: numbered characters and &amp; decoded, blanks collapsed, empty lines left out."""
     code = "CASE WHEN x LIKE '&#x%' OR x LIKE '&#X%' THEN try_cast(conv(substring(x, 4, length(x) - 4), 16, 10) AS int) ELSE try_cast(substring(x, 3, length(x) - 3) AS int) END"
     char = f"CASE WHEN ({code}) BETWEEN 32 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') ELSE x END"
-    out = f"aggregate(array_distinct(regexp_extract_all({out}, '&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});', 0)), {out}, (acc, x) -> replace(acc, x, {char}))"
+    out = f"CASE WHEN contains({seen}, '&#') THEN aggregate(array_distinct(regexp_extract_all({seen}, '&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});', 0)), {seen}, (acc, x) -> replace(acc, x, {char})) ELSE {seen} END"
     out = f"replace({out}, '&amp;', '&')"
     out = f"regexp_replace({out}, '[ \\\\t\\\\r\\\\f\\\\x0B]+', ' ')"
     return f"trim(BOTH '\\n ' FROM regexp_replace({out}, ' ?\\n[\\n ]*', '\\n'))"
@@ -86,11 +93,12 @@ def derivatives(responses: DataFrame) -> DataFrame:
         "date",
         "head",
         "coalesce(given, concat('sha256:', sha2(body, 256))) AS payload_digest",
-        f"{plain_text('body')} AS text",
+        f"{visible_text('body')} AS seen",
         "trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1), '\\\\s+', ' ')) AS title",
         "regexp_extract(body, '(?i)<html[^>]*\\\\slang=\"([^\"]*)\"', 1) AS lang",
         "regexp_extract_all(body, '(?i)<a\\\\s[^>]*href=\"([^\"]*)\"', 1) AS links",
     )
+    rows = rows.withColumn("text", F.expr(plain_text("seen")))
     fields = "concat('title: ', title, '\\r\\nlanguage: ', lang, '\\r\\nsource-payload-digest: ', payload_digest, '\\r\\n', CASE WHEN head = '' THEN '' ELSE concat('source-header: ', replace(head, '\\r\\n', '\\r\\nsource-header: '), '\\r\\n') END, array_join(transform(links, x -> concat('outlink: ', x, '\\r\\n')), ''))"
     both = f"array(named_struct('type', 'metadata', 'content_type', 'application/warc-fields', 'block', {fields}), named_struct('type', 'conversion', 'content_type', 'text/plain; charset=utf-8', 'block', text))"
     made = rows.selectExpr(*kept, "source_id", "target_uri", "date", "payload_digest", "title", "size(links) AS n_links", f"explode({both}) AS r")
@@ -166,9 +174,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """The same in DuckDB's SQL."""
     e = lambda s: "'" + s.replace("'", "''") + "'"
-    text = "regexp_replace(body, '<!--.*?-->', ' ', 'gs')"
-    for tag in HIDDEN:
-        text = f"regexp_replace({text}, '<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'gis')"
+    text = f"regexp_replace(body, {e(_UNSEEN)}, ' ', 'g')"
     text = f"regexp_replace({text}, '</?(?:{'|'.join(BLOCK)})(?:\\s[^>]*)?/?>', chr(10), 'gi')"
     text = f"regexp_replace({text}, '</?[a-zA-Z!][^>]*>', '', 'g')"
     for name, char in NAMED:
