@@ -1,34 +1,11 @@
-"""All queries by name, and the SQL for each that SQL can express."""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+"""All queries by name, and the SQL for each that SQL can express.
 
+The driver's tables hold no identity documents, so each query builds its input from them: orders stand for
+screenings, customers for documents and their holders, events for audit and ledger events, words of texts for
+recognised words. Every query runs over its whole tables.
+"""
 
-def query(name: str, sql: str | None = None):
-    """Register a query, with its SQL if there is one."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return put
-
+from __future__ import annotations
 
-@query(
-    "history_decisions",
-    """SELECT o_orderkey AS screening_id, c_name AS document_name, CASE o_orderstatus WHEN 'P' THEN 'clear' WHEN 'F' THEN 'high_risk' ELSE 'review' END AS decision
-    FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
-)
-def history_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
-    decision = F.when(F.col("o_orderstatus") == "P", "clear").when(F.col("o_orderstatus") == "F", "high_risk").otherwise("review")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("screening_id"), F.col("c_name").alias("document_name"), decision.alias("decision"))
+from idsieve.plans import identity, imaging, integrity, layout, relational  # noqa: F401
+from idsieve.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
