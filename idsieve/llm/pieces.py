@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with shared prefixes.
 
-A text is cut at marked words: a run of word marks (blanks) and what follows up to the next one. No piece
-reaches over such a cut, so each distinct word is encoded once. The distinct words of a block are sorted,
+A text is cut at marked words, a run of word marks (blanks) and what follows up to the next one, and within
+them where two characters meet that stand side by side in no piece. Nothing is merged over such a cut, so
+each distinct word is encoded once. The distinct words of a block are sorted,
 which puts them in the order of a depth-first walk through their trie: a word keeps the forward states of
 the prefix it shares with the word before, and only its further characters are looked at.
 
@@ -17,6 +18,7 @@ normalisation), mark a beginning, and have byte pieces for unknown characters.
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from . import bytewords as B
 
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
-MAX_PAIRS = 1_000_000  # pairs of pieces whose merge is remembered
+MAX_PAIRS = 150_000  # pairs of pieces that are remembered
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -80,18 +82,34 @@ class Model:
             raise ValueError("a piece has a mark after other characters")
         self.score = [model.get_score(i) for i in range(size)]
         self.longest = max(map(len, self.ids))
-        self.merged: dict[tuple[str, str], bool] = {}
         self.unknown_score = min(self.score[i] for i in self.ids.values()) - 10.0
+        #: Whether two bytes may stand side by side in a piece; where they don't, nothing is ever merged. Bytes beyond ASCII may.
+        self.joint = np.zeros((256, 256), bool)
+        self.joint[128:] = self.joint[:, 128:] = True
+        for p in self.ids:
+            raw = np.frombuffer(p.replace(MARK, " ").encode(), np.uint8)
+            self.joint[raw[:-1], raw[1:]] = True
+        self.rank = {p: -self.score[i] if len(p) > 1 else -math.inf for p, i in self.ids.items()}
+        self.halves: dict[str, tuple[str, str]] = {}
         self.whole = {p for p in self.ids if len(p) == 1}
         if self.kind == MERGES:
-            self.whole |= {p for p in self.ids if len(p) > 1 and self.merge(p) == [p]}
+            for p in self.ids:
+                if len(p) > 1:
+                    parts, last = self.merge(p)
+                    if parts == [p]:
+                        self.whole.add(p)
+                        self.halves[p] = last
+        #: For each end of a piece: the piece itself if it is whole, else an empty text.
+        self.endings = {p[k:]: "" for p in self.whole for k in range(len(p))}
+        self.endings |= {p: p for p in self.whole}
+        self.known: dict[tuple[str, str], bool] = {}
         byte_of = np.full(size, -1)
         byte_of[self.bytes] = np.arange(256)
         self.decoded = [b"" if i in special and byte_of[i] < 0 else bytes([byte_of[i]]) if byte_of[i] >= 0 else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
-    def merge(self, text: str) -> list[str]:
-        """Merge neighbours, best score first and leftmost among equals, as long as they form a piece."""
-        parts = list(text)
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Merge neighbours, best score first and leftmost among equals, as long as they form a piece; and the last two merged."""
+        parts, last = list(text), None
         while True:
             best = None
             for n in range(len(parts) - 1):
@@ -99,19 +117,30 @@ class Model:
                 if i is not None and (best is None or self.score[i] > best[0]):
                     best = self.score[i], n
             if best is None:
-                return parts
+                return parts, last
             n = best[1]
+            last = parts[n], parts[n + 1]
             parts[n : n + 2] = [parts[n] + parts[n + 1]]
 
     def follows(self, left: str, right: str) -> bool:
-        """Whether merging their joint characters gives just these two."""
-        key = left, right
-        known = self.merged.get(key)
-        if known is None:
-            if len(self.merged) >= MAX_PAIRS:
-                self.merged.clear()
-            known = self.merged[key] = self.merge(left + right) == [left, right]
-        return known
+        """Whether merging their joint characters gives just these two.
+
+        The merges that made the two are undone, the later one first. At each point the pieces that meet
+        in the middle must not form one that would have come before the merges undone so far; at the same
+        rank the leftmost comes first.
+        """
+        rank, limit, equal = self.rank, math.inf, False
+        while True:
+            joint = rank.get(left + right)
+            if joint is not None and (joint < limit or (equal and joint == limit)):
+                return False
+            a, b = rank.get(left, -math.inf), rank.get(right, -math.inf)
+            if a > b:
+                limit, equal, left = a, False, self.halves[left][1]
+            elif b == -math.inf:
+                return True
+            else:
+                limit, equal, right = b, True, self.halves[right][0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of marked words. They are visited in sorted order; states of shared prefixes stay."""
@@ -120,7 +149,7 @@ class Model:
         last: list[str] = [""]  # last piece of each prefix of the current word
         best: list[float] = [0.0]
         before = ""
-        merges, ids, score, longest, follows, whole = self.kind == MERGES, self.ids, self.score, self.longest, self.follows, self.whole
+        merges, ids, score, longest, follows, endings, known = self.kind == MERGES, self.ids, self.score, self.longest, self.follows, self.endings, self.known
         for n in order:
             word = words[n]
             shared = 0
@@ -132,9 +161,25 @@ class Model:
             for end in range(shared + 1, len(word) + 1):
                 found, most = word[end - 1], None
                 if merges:
-                    for start in range(max(0, end - longest), end):
-                        piece = word[start:end]
-                        if piece in whole and (start == 0 or follows(last[start], piece)):
+                    ends, start = [], end - 1
+                    while start >= 0:
+                        piece = endings.get(word[start:end])
+                        if piece is None:
+                            break
+                        if piece:
+                            ends.append((start, piece))
+                        start -= 1
+                    for start, piece in reversed(ends):
+                        if start == 0:
+                            found = piece
+                            break
+                        pair = last[start], piece
+                        fits = known.get(pair)
+                        if fits is None:
+                            if len(known) >= MAX_PAIRS:
+                                known.clear()
+                            fits = known[pair] = follows(*pair)
+                        if fits:
                             found = piece
                             break
                 else:
@@ -171,18 +216,17 @@ def _loaded(path: str) -> tuple[Model, B.PieceCache, np.ndarray, np.ndarray]:
         return [np.array(x, np.int32) for x in model.encode_words([w.decode().replace(" ", MARK) for w in words])]
 
     sizes = np.array([len(d) for d in model.decoded])
-    return model, B.PieceCache(encode, slots=1 << 20, ids=6_000_000), np.frombuffer(b"".join(model.decoded), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+    return model, B.PieceCache(encode, slots=1 << 21, ids=6_000_000), np.frombuffer(b"".join(model.decoded), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def encode_texts(texts: pa.LargeStringArray, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end, ids, offsets of the texts in them). Marks in a text count as blanks."""
-    cache = _loaded(path)[1]
+    model, cache, _, _ = _loaded(path)
     texts = pc.replace_substring(texts, MARK, " ")
     texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
     for lo, hi, data, offsets in B.chunked(texts):
-        blank = data == 32
-        start = blank.copy()
-        start[1:] &= ~blank[:-1]
+        start = np.zeros(len(data), bool)
+        start[1:] = ~model.joint[data[:-1], data[1:]]
         start[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(start)
         ids, sizes = cache.ids(data, starts, np.append(starts[1:], len(data)).astype(np.int64))
@@ -226,19 +270,25 @@ def decoded(rows: DataFrame, model: str, column: str = "ids", to: str = "text")
     return rows.select(*kept).mapInArrow(run, rows.select(*kept).schema.add(to, "string"))
 
 
-def token_digests(rows: DataFrame, column: str = "ids") -> DataFrame:
-    """The columns of ``rows`` but the ids, and n_tokens and ids_crc32 (of them as little-endian unsigned 32-bit integers)."""
-    kept = [c for c in rows.columns if c not in (column, "n_tokens", "ids_crc32")]
+def measured(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, n_chars, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and round_trip: whether
+    decoding the ids gives the text back. Encoding and decoding meet in one pass, so ids aren't moved about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(column)
-            raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).astype("<u4")).cast("B")
-            at = lists.offsets.to_numpy().astype(np.int64).tolist()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(at)), pa.array(crc, pa.int64())], [*kept, "n_tokens", "ids_crc32"])
+            texts = B.as_strings(batch.column("text"))
+            n_chars = pc.utf8_length(texts)
+            want = pc.replace_substring(texts, MARK, " ")
+            for lo, hi, ids, offsets in encode_texts(texts, model):
+                back = decode_ids(ids, offsets, model)
+                same = [a == b.encode() for a, b in zip(back, want.slice(lo, hi - lo).to_pylist(), strict=True)]
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                columns = [batch.column("doc_id").slice(lo, hi - lo), n_chars.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(crc, pa.int64()), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "n_tokens", "ids_crc32", "round_trip"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("n_tokens", "long").add("ids_crc32", "long"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,8 +299,4 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = decoded(encoded(docs.withColumn("want", F.xxhash64(F.translate("text", MARK, " "))), model), model)
-    rows = rows.select("doc_id", "ids", F.length("text").cast("long").alias("n_chars"), (F.xxhash64("text") == F.col("want")).alias("round_trip"))
-    return token_digests(rows).select("doc_id", "n_chars", "n_tokens", "ids_crc32", "round_trip")
+    return measured(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
