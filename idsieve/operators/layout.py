@@ -85,9 +85,10 @@ def label_anchors(rows: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
     here = rows.withColumn("token", token).withColumn("box", box)
     ahead = {k: (F.lead("token", k).over(order), F.lead("box", k).over(order)) for k in range(1, longest)}
     here = here.withColumn("tokens", F.array("token", *(t for t, _ in ahead.values()))).withColumn("boxes", F.array("box", *(b for _, b in ahead.values())))
-    spellings = [(f, n, s.split()) for f, own in labels.items() for n, s in enumerate(own)]
-    table = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(n).alias("spelling"), F.array(*map(F.lit, s)).alias("words")) for f, n, s in spellings))
-    hits = here.withColumn("label", F.explode(F.filter(table, lambda t: F.slice(F.col("tokens"), 1, F.size(t["words"])) == t["words"])))
+    # only words that begin a label go on; the labels are a table of fixed size
+    spellings = [(s.split()[0], f, n, s.split()) for f, own in labels.items() for n, s in enumerate(own)]
+    table = rows.sparkSession.createDataFrame(spellings, "first string, field string, spelling int, words array<string>").select("first", F.struct("field", "spelling", "words").alias("label"))
+    hits = here.join(F.broadcast(table), F.col("token") == F.col("first")).where(F.slice(F.col("tokens"), F.lit(1), F.size("label.words")) == F.col("label.words"))
     boxes = F.slice("boxes", 1, F.size("label.words"))
     edge = lambda f, pick: pick(F.transform(boxes, lambda b: b[f]))
     hits = hits.select(
@@ -138,7 +139,10 @@ def machine_pairs(rows: DataFrame, visa: bool = False) -> DataFrame:
     prefix, correct, valid = ("V<", mrz.correct_mrv, mrz.valid_mrv) if visa else ("P<", mrz.correct_td3, mrz.valid_td3)
     cleaned = rows.withColumn("line", mrz.clean_line(F.col("text"))).where(F.length("line") == mrz.LENGTH)
     # each row is corrected and checked once, before the join
-    second = cleaned.withColumn("line2", correct(F.col("line"))).where(valid(F.col("line2"))).select(*PAGE, F.col("ord").alias("ord2"), F.col("x").alias("bx"), F.col("y").alias("by"), "line2")
+    checks = [9, 19, 27] if visa else [9, 19, 27, 42]  # correction leaves check digits as they are
+    numeric = F.concat(*(mrz.piece(F.col("line"), at, 1) for at in checks)).rlike(f"^[0-9]{{{len(checks)}}}$")
+    # exploding the one corrected line keeps the filter on it from computing it again
+    second = cleaned.where(numeric).withColumn("line2", F.explode(F.array(correct(F.col("line"))))).where(valid(F.col("line2"))).select(*PAGE, F.col("ord").alias("ord2"), F.col("x").alias("bx"), F.col("y").alias("by"), "line2")
     pairs = cleaned.join(second, PAGE).withColumn("gap", F.col("by") - F.col("y")).where(F.col("gap").between(*PAIR_GAP) & (F.abs(F.col("bx") - F.col("x")) <= PAIR_SHIFT))
     pairs = pairs.withColumn("line1", mrz.line1_of_row(F.col("text"), prefix, F.lit(True), F.col("gap"))).where(F.col("line1").isNotNull())
     score = 400.0 + mrz.line_score(F.col("line1"), prefix) + mrz.line_score(F.col("line2"), prefix) + F.greatest(F.lit(0.0), 80.0 - F.abs(F.col("x") - F.col("bx"))) + F.greatest(F.lit(0.0), 80.0 - F.col("gap"))
