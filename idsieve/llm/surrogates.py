@@ -68,7 +68,8 @@ def _q(text: str) -> str:
 
 
 def _array(values: list[str]) -> str:
-    return f"array({', '.join(map(_q, values))})"
+    """SQL for an array of words; one literal, as hundreds of them would make the plan large."""
+    return f"split({_q(' '.join(values))}, ' ')"
 
 
 def luhn(digits: str) -> str:
@@ -156,8 +157,8 @@ def _attempt(attempts: str | None, k: str, form: str) -> str:
     return "0" if attempts is None else f"coalesce(try_element_at({attempts}, concat({k}, '\\n', {form})), 0)"
 
 
-def surrogate(key: str, x: str, attempts: str | None = None) -> str:
-    """SQL for the surrogate of a match x; x itself where it is no entity. attempts: a map by kind and normal form, or None."""
+def surrogate(key: str, x: str, k: str, attempts: str | None = None) -> str:
+    """SQL for the surrogate of a match x of kind k; x itself where it is no entity. attempts: a map by kind and normal form, or None."""
     a = lambda k, form: _attempt(attempts, _q(k), form)
     digits = _digits(x)
     national = f"greatest(0, length({digits}) - 10)"
@@ -180,27 +181,28 @@ def surrogate(key: str, x: str, attempts: str | None = None) -> str:
     secret = f"CASE WHEN upper({x}) = {x} THEN upper({secret}) ELSE {secret} END"
     word = _coined(key, "w.word", "w.role", _attempt(attempts, "concat('name-', w.role)", "lower(w.word)"))
     name = f"array_join(transform({name_words(x)}, w -> CASE WHEN w.role IS NULL THEN w.word ELSE {word} END), ' ')"
-    made = f"CASE {kind(x)} WHEN 'email' THEN {mail} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {_in_place(x, phone)} WHEN 'card' THEN {_in_place(x, card)} WHEN 'secret' THEN {secret} WHEN 'name' THEN {name} ELSE {x} END"
+    made = f"CASE {k} WHEN 'email' THEN {mail} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {_in_place(x, phone)} WHEN 'card' THEN {_in_place(x, card)} WHEN 'secret' THEN {secret} WHEN 'name' THEN {name} ELSE {x} END"
     return made
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and __found: all matches in the text in order, cards without a valid check digit included."""
+    """The columns of ``docs`` and __found: structs (x, kind) of all matches in the text in order; the kind is null for numbers
+    that are no cards after all."""
     # most texts have no digit, at sign or title, and are not searched further
     likely = F.col("text").rlike(rf"[0-9@]|(?i:{_titles})\.? ")
-    return docs.withColumn("__found", F.when(likely, F.expr(f"regexp_extract_all(text, {_q(ENTITY)}, 0)")).otherwise(F.array().cast("array<string>")))
+    return docs.withColumn("__found", F.when(likely, F.expr(f"transform(regexp_extract_all(text, {_q(ENTITY)}, 0), x -> named_struct('x', x, 'kind', {kind('x')}))")).otherwise(F.array().cast("array<struct<x:string,kind:string>>")))
 
 
-def entity_forms(x: str) -> str:
-    """SQL for the structs (kind, form, made) of a match: one, or one for each word of a name."""
-    return f"CASE WHEN {kind(x)} IS NULL THEN array() WHEN {kind(x)} = 'name' THEN transform(filter({name_words(x)}, w -> w.role IS NOT NULL), w -> named_struct('kind', concat('name-', w.role), 'form', lower(w.word))) ELSE array(named_struct('kind', {kind(x)}, 'form', {normal(x, kind(x))})) END"
+def entity_forms(x: str, k: str) -> str:
+    """SQL for the structs (kind, form) of a match: one, or one for each word of a name."""
+    return f"CASE WHEN {k} IS NULL THEN array() WHEN {k} = 'name' THEN transform(filter({name_words(x)}, w -> w.role IS NOT NULL), w -> named_struct('kind', concat('name-', w.role), 'form', lower(w.word))) ELSE array(named_struct('kind', {k}, 'form', {normal(x, k)})) END"
 
 
 def _made(key: str, attempt: str) -> str:
     """SQL for the surrogate of a normal form (columns kind and form) in a given attempt."""
     one = f"map(concat(kind, '\\n', form), {attempt})"
     name = _coined(key, "form", "substring(kind, 6)", attempt)
-    return f"CASE WHEN kind LIKE 'name-%' THEN {name} WHEN kind = 'phone' THEN {surrogate(key, "concat('+', form)", one)} ELSE {surrogate(key, 'form', one)} END"
+    return f"CASE WHEN kind LIKE 'name-%' THEN {name} ELSE {surrogate(key, 'form', 'kind', one)} END"
 
 
 def collisions(found: DataFrame, key: str) -> DataFrame | None:
@@ -208,7 +210,7 @@ def collisions(found: DataFrame, key: str) -> DataFrame | None:
 
     All distinct entities are checked; a form keeps its surrogate if it is the least of those that share it.
     """
-    forms = found.select(F.explode("__found").alias("x")).selectExpr(f"explode({entity_forms('x')}) AS e").select("e.kind", "e.form").distinct()
+    forms = found.select(F.explode("__found").alias("f")).selectExpr(f"explode({entity_forms('f.x', 'f.kind')}) AS e").select("e.kind", "e.form").distinct()
     forms = scratch.saved(forms.withColumn("attempt", F.lit(0)), "entities")
     moved = False
     for _ in range(MAX_ATTEMPTS):
@@ -232,16 +234,16 @@ def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "n_entities") -
     found = detected(docs.withColumn("text", F.col("text").cast("string")))
     moved = collisions(found.select("__found"), key)
     replaced = lambda attempts: F.expr(
-        f"CASE WHEN size(__found) > 0 THEN array_join(flatten(zip_with(split(text, {_q(ENTITY)}, -1), transform(__found, x -> {surrogate(key, 'x', attempts)}), (p, s) -> array(p, coalesce(s, '')))), '') ELSE text END"
+        f"CASE WHEN size(__found) > 0 THEN array_join(flatten(zip_with(split(text, {_q(ENTITY)}, -1), transform(__found, f -> {surrogate(key, 'f.x', 'f.kind', attempts)}), (p, s) -> array(p, coalesce(s, '')))), '') ELSE text END"
     )
-    count = F.expr(f"cast(coalesce(size(filter(__found, x -> {kind('x')} IS NOT NULL)), 0) AS bigint)").alias(column)
+    count = F.expr(f"cast(coalesce(size(filter(__found, f -> f.kind IS NOT NULL)), 0) AS bigint)").alias(column)
     kept = [c for c in columns if c not in ("text", column)]
     out = lambda df, attempts: df.select(*(replaced(attempts).alias("text") if c == "text" else c for c in columns if c == "text" or c in kept), count)
     if moved is None:
         return out(found, None)
     # the attempts of a document's own entities, gathered for the documents that hold such an entity
     keyed = found.withColumn("__key", F.sha2(F.col("text"), 256))
-    held = keyed.select("__key", F.explode("__found").alias("x")).selectExpr("__key", f"explode({entity_forms('x')}) AS e").select("__key", "e.kind", "e.form").distinct().join(moved, ["kind", "form"])
+    held = keyed.select("__key", F.explode("__found").alias("f")).selectExpr("__key", f"explode({entity_forms('f.x', 'f.kind')}) AS e").select("__key", "e.kind", "e.form").distinct().join(moved, ["kind", "form"])
     held = held.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "kind", "form"), "attempt"))).alias("__attempts"))
     return out(keyed.join(held, "__key", "left"), "__attempts")
 

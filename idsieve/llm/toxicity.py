@@ -258,9 +258,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
                 x = features(data, offsets, lexicon)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [batch.column(c).slice(lo, hi - lo) for c in ("toxic", "part")], [*FEATURES, "toxic", "part"])
 
-    rows = sample.where("part >= 5").mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int, part int").toPandas()
-    rows = rows.sort_values([*FEATURES, "toxic", "part"], kind="stable")  # the same trees whatever the order of tasks
-    x, y, part = rows[FEATURES].to_numpy(float), rows["toxic"].to_numpy(float), rows["part"].to_numpy()
+    rows = sample.where("part >= 5").mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int, part int").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in rows.column_names])  # the same trees whatever the order of tasks
+    x, y, part = np.column_stack([rows[f].to_numpy() for f in FEATURES]), rows["toxic"].to_numpy().astype(float), rows["part"].to_numpy()
     grow = part < 8
     if not 0 < y[grow].sum() < grow.sum():
         return Model(lexicon)
