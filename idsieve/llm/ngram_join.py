@@ -228,7 +228,7 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
 
     Of rows with equal doc_id and text one stays. Texts without words all stay, but for repeated rows.
     """
-    joined = similarity_join(docs, **options)
+    joined = scratch.saved(similarity_join(docs, **options), "join-rows")  # two uses follow
     key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text_key")
     # a text without words is its own class: its own row stays
     single = joined.where("class_size = 1").select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"))
