@@ -12,28 +12,29 @@ BIRTH_YEAR = ["\\bYEAR\\s*OF\\s*BIRTH\\b", "\\bY\\.?\\s*O\\.?\\s*B\\.?\\b"]
 GENDER = ["\\bGENDER\\b", "\\bSEX\\b"]
 GUARDIAN = "\\b[SDWC]\\s*/\\s*O\\b\\.?|\\bSON\\s+OF\\b|\\bDAUGHTER\\s+OF\\b|\\bWIFE\\s+OF\\b|\\bCARE\\s+OF\\b"
 PIN = "\\b[0-9]{6}\\b"
-ANY_LABEL = "(?i)" + "|".join(NAME + BIRTH_DATE + BIRTH_YEAR + GENDER + ADDRESS + VID)
+NO_WORD = "[^\\p{L}\\p{N}_]"  # \\W takes accented letters for blanks
+ANY_LABEL = "(?iU)" + "|".join(NAME + BIRTH_DATE + BIRTH_YEAR + GENDER + ADDRESS + VID)
 
 
 def collapse_spacing(line: Column) -> Column:
     """Runs of three or more single letters, or single digits, joined; two in a row stay apart."""
     for one in ("[A-Za-z]", "[0-9]"):
-        before = f"(?<=(?:^|\\W){one})[ \\t](?={one}[ \\t]{one}(?:\\W|$))"
-        after = f"(?<=(?:^|\\W){one}[ \\t]{one})[ \\t](?={one}(?:\\W|$))"
+        before = f"(?<=(?:^|{NO_WORD}){one})[ \\t](?={one}[ \\t]{one}(?:{NO_WORD}|$))"
+        after = f"(?<=(?:^|{NO_WORD}){one}[ \\t]{one})[ \\t](?={one}(?:{NO_WORD}|$))"
         line = F.regexp_replace(line, f"{before}|{after}", "")
     return line
 
 
 def lines(text: Column) -> Column:
     """Lines without blanks around them, frame characters at their ends, and spaced-out letters; empty ones left out."""
-    one = lambda x: F.trim(collapse_spacing(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), "\\s+", " "), "^[|_\\-~»«]+\\s*", ""), "\\s*[|_\\-~»«]+$", "")))
+    one = lambda x: F.trim(collapse_spacing(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), "(?U)\\s+", " "), "^[|_\\-~»«]+\\s*", ""), "\\s*[|_\\-~»«]+$", "")))
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\R"), one), lambda x: x != "")
 
 
 def clean_value(text: Column) -> Column:
     """A value without the separators that a label leaves before it."""
-    cut = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "^[:\\-.|#]+\\s*", "")
-    return F.trim(F.regexp_replace(cut, "\\s+", " "))
+    cut = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "(?U)^[:\\-.|#]+\\s*", "")
+    return F.trim(F.regexp_replace(cut, "(?U)\\s+", " "))
 
 
 def looks_like_label(text: Column) -> Column:

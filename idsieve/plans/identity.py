@@ -202,6 +202,12 @@ def text_lines(table):
     return table("documents").where(plain).select("doc_id", text.lines(F.col("text")).alias("lines"))
 
 
+@query()
+def text_lines_all(table):
+    """text_lines of every document; its SQL leaves out texts with accents or spaced letters, and nulls."""
+    return table("documents").select("doc_id", text.lines(F.col("text")).alias("lines"))
+
+
 @query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[0-9]{16}'))) AS numbers, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(version|public|license)\\b'), lambda x: upper(x)))) AS terms FROM documents")
 def terms_and_numbers(table):
     return table("documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{16}"), 0))).alias("numbers"), F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("(?i)\\b(version|public|license)\\b"), 0), lambda x: F.upper(x)))).alias("terms"))
@@ -211,10 +217,19 @@ def terms_and_numbers(table):
     """SELECT conv_id, turn, role, length(text) <= 40 AND regexp_matches(text, '(?i)\\b(NAME|GENDER|SEX|ADDRESS|VID)\\b|\\b(DATE|YEAR)\\s*OF\\s*BIRTH\\b|\\b[DY]\\.?\\s*O\\.?\\s*B\\.?\\b') AS label, trim(regexp_replace(regexp_replace(trim(text), '^[:\\-.|#]+\\s*', ''), '\\s+', ' ', 'g')) AS value FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')"""
 )
 def labels_and_values(table):
-    rows = table("conversations").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
+    return _labels_and_values(table("conversations").where(~F.col("text").rlike("[^\\x00-\\x7F]")))
+
+
+def _labels_and_values(rows):
     return rows.select("conv_id", "turn", "role", text.looks_like_label(F.col("text")).alias("label"), text.clean_value(F.col("text")).alias("value"))
 
 
+@query()
+def labels_and_values_all(table):
+    """labels_and_values of every turn; its SQL leaves out texts with accents, and nulls."""
+    return _labels_and_values(table("conversations"))
+
+
 @query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'MULTIPLE' WHEN 1 THEN 'SINGLE' WHEN 2 THEN 'DOUBLE' END AS entries, CASE p_size % 4 WHEN 0 THEN 'WORK' WHEN 1 THEN 'STUDENT' END AS visa_type, CASE WHEN p_size % 3 = 0 THEN 'B' || (1000000 + p_partkey) WHEN p_size % 3 = 1 THEN 'AB' || (100000 + p_partkey) END AS visa_number, p_size || ' ' || CASE p_size % 2 WHEN 0 THEN 'DAY' ELSE 'MONTH' END AS stay FROM part")
 def visa_values(table):
     k, n = F.col("p_size"), F.col("p_partkey")
