@@ -6,10 +6,11 @@ learned by expectation-maximisation on the n-gram counts of a fold of the traini
 counts leave out ("deleted"). Scoring then uses the counts of all training texts.
 
 How it stays distributed: words that make up MIN_SHARE of all tokens or more are at most 1/MIN_SHARE, so
-their counts fit into every task. Rarer words have no estimates of their own as contexts (they form the
-last bucket). So each token needs one shuffle only, to where its pair is counted: packed occurrence lists
-go to parts by rare word or by pair. Pairs of very frequent words, and frequent words after rare ones,
-could be hot: they are dealt out at random, as their counts come from tables of bounded size.
+their counts fit into every task. All occurrences of a rarer word, with the words on both sides, go to one
+part as packed lists, so its count and its pairs with frequent words are known there. A pair of two rare
+words is counted with the second; the count of the first is sent from its own part to where it is needed.
+Pairs of frequent words go to parts by pair. Pairs of very frequent words could be hot: they are dealt out
+at random, as their counts come from a table of bounded size. MIN_SHARE has no effect on results.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from . import bytewords as B
 from . import scratch
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3  # remainder of the texts that are only scored, and of those that fit the weights
-MIN_SHARE = 1e-5  # of all tokens; words below are no contexts of their own
+MIN_SHARE = 1e-5  # of all tokens; counts of words below stay in their parts
 HOT_SHARE = 1e-3  # pairs of words above are dealt out at random
 PART_TOKENS = 4_000_000
 MIN_PARTS = 16
@@ -39,6 +40,8 @@ STEPS = 40
 _END = np.uint64(1)
 _NEVER = -100_000  # logarithm of an estimate of nothing
 _ORIGIN = 0  # context number of the beginning of a text
+_RARE = -1  # stands for the number of any rare context
+_LAST = 64  # bucket of contexts that no training text has
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -115,16 +118,15 @@ class Frequent:
         return np.where(self.tokens[at] == tokens, at + 1, 0)
 
     def contexts(self, deleted: bool = False) -> np.ndarray:
-        """Counts by context number: the beginning, the frequent words, and -1 for the others."""
+        """Counts by context number: the beginning, the frequent words, and none for the others."""
         texts, words = (self.main_texts, self.main) if not deleted else (self.main_texts + self.deleted_texts, self.main + self.deleted)
         return np.concatenate(([texts], words, [0]))
 
-    def buckets(self) -> np.ndarray:
-        """By context number: minus the binary logarithm of its share of all tokens; the last is for rare contexts."""
-        share = np.maximum(self.contexts(True), 1) / max(self.total, 1)
+    def buckets(self, context: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Minus the binary logarithm of a context's share of all tokens, down to a single one; the last is for unknown contexts."""
+        share = np.maximum(count, 1) / max(self.total, 1)
         out = np.clip(np.floor(-np.log2(share)), 0, last_bucket() - 1).astype(np.int64)
-        out[-1] = last_bucket()
-        return out
+        return np.where((count > 0) | (context == _ORIGIN), out, last_bucket())
 
     def hot(self) -> np.ndarray:
         """By context number, the beginning first."""
@@ -132,7 +134,7 @@ class Frequent:
 
 
 def last_bucket() -> int:
-    return math.ceil(-math.log2(MIN_SHARE)) + 1
+    return _LAST
 
 
 def frequent_words(counts: DataFrame) -> Frequent:
@@ -150,8 +152,9 @@ def frequent_words(counts: DataFrame) -> Frequent:
 def occurrences(docs: DataFrame, words: Frequent, parts: int) -> DataFrame:
     """part and block: packed lists of which text holds which pair how often.
 
-    A frequent word's pair is the number context * (frequent words + 1) + word, with context -1 for rare
-    ones; a rare word has its hash and its context.
+    A pair of frequent words is the number context * (frequent words + 1) + word. A rare word has its hash,
+    its context, the context's hash if that is rare, and what follows: the number of a frequent word, or
+    minus one minus the part of a rare one.
     """
     size = len(words.tokens) + 1
     hot = words.hot()
@@ -166,18 +169,23 @@ def occurrences(docs: DataFrame, words: Frequent, parts: int) -> DataFrame:
         number = words.number(token)
         context = np.empty(len(token), np.int64)
         context[1:] = number[:-1]
-        context[context == 0] = -1
+        context[context == 0] = _RARE
         context[first] = _ORIGIN
-        known = number > 0
+        part = (B.mixed(token) % np.uint64(parts)).astype(np.int64)
+        follows = np.where(number > 0, number, -1 - part)
+        follows = np.append(follows[1:], 0).astype(np.int32)
+        follows[token == _END] = 0
+        before = np.append(token[:1], token[:-1])
+        pairs = (number > 0) & (context >= 0)
+        rare = number == 0
         random = (B.mixed(ids.view(np.uint64) ^ digests.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        pair = context[known] * size + number[known]
-        anywhere = (context[known] < 0) | (hot[np.maximum(context[known], 0)] & hot[number[known]])
-        to = np.where(anywhere, random[text[known]], (B.mixed(pair.astype(np.uint64)) % np.uint64(parts)).astype(np.int64))
-        f_order = np.lexsort((text[known], pair, to))
-        f = [x[f_order] for x in (to, pair, text[known])]
-        to = (B.mixed(token[~known]) % np.uint64(parts)).astype(np.int64)
-        r_order = np.lexsort((text[~known], context[~known], token[~known], to))
-        r = [x[r_order] for x in (to, token[~known], context[~known], text[~known])]
+        pair = context[pairs] * size + number[pairs]
+        anywhere = hot[context[pairs]] & hot[number[pairs]]
+        to = np.where(anywhere, random[text[pairs]], (B.mixed(pair.astype(np.uint64)) % np.uint64(parts)).astype(np.int64))
+        f_order = np.lexsort((text[pairs], pair, to))
+        f = [x[f_order] for x in (to, pair, text[pairs])]
+        r_order = np.lexsort((text[rare], context[rare], token[rare], part[rare]))
+        r = [x[rare][r_order] for x in (part, token, context, text, follows, before)]
         f_cut, r_cut = (np.searchsorted(x, np.arange(parts + 1)) for x in (f[0], r[0]))
         for p in range(parts):
             a, b, c, d = f_cut[p], f_cut[p + 1], r_cut[p], r_cut[p + 1]
@@ -187,7 +195,7 @@ def occurrences(docs: DataFrame, words: Frequent, parts: int) -> DataFrame:
             there, back = np.unique(both, return_inverse=True)
             back = back.astype(np.uint16 if len(there) < 65536 else np.int32)
             word, n = np.unique(r[1][c:d], return_counts=True)
-            yield p, _pack(ids[there], digests[there], np.diff(f[1][a:b], prepend=0), back[: b - a], word, n.astype(np.int32), r[2][c:d].astype(np.int32), back[b - a :])
+            yield p, _pack(ids[there], digests[there], np.diff(f[1][a:b], prepend=0), back[: b - a], word, n.astype(np.int32), r[2][c:d].astype(np.int32), back[b - a :], r[4][c:d], r[5][c:d][r[2][c:d] == _RARE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,63 +229,140 @@ def _level(r: np.ndarray) -> np.ndarray:
         return np.where(r > 0, np.round(4 * np.log2(np.maximum(r, 1e-300))), _NEVER).astype(np.int64)
 
 
+def _events(words: Frequent, ctx: np.ndarray, c1: np.ndarray, c1_main: np.ndarray, c12: np.ndarray, c2: np.ndarray, e12: np.ndarray) -> list[tuple]:
+    """(bucket, level of the pair's estimate, of the word's, number) of what the deleted fold holds."""
+    seen = e12 > 0
+    if not seen.any():
+        return []
+    r2 = c12[seen] / np.maximum(c1_main[seen], 1)
+    events = np.column_stack((words.buckets(ctx[seen], c1[seen]), _level(r2), _level(c2[seen] / max(words.main_total, 1))))
+    kinds, back = np.unique(events, axis=0, return_inverse=True)
+    return [(*k, n) for k, n in zip(kinds.tolist(), np.bincount(back.ravel(), e12[seen], len(kinds)).astype(np.int64).tolist(), strict=True)]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], _ROW)
+
+
+_ROW = ["kind", "a", "b", "c", "n", "block"]
+_ROWS = "kind int, a long, b long, c long, n long, block binary"
+
+
 def counted(blocks: DataFrame, words: Frequent) -> DataFrame:
-    """Rows of three kinds: 0 has a part's occurrences with their counts, 1 events of the deleted fold by levels of their
-    estimates, 2 partial counts of pairs of very frequent words."""
+    """Rows of five kinds: 0 has occurrences with their counts, 1 events of the deleted fold by levels of their estimates, 2
+    partial counts of pairs of very frequent words, 3 counts of rare contexts for part a, 4 part a's pairs of two rare words."""
     size = len(words.tokens) + 1
-    hot, bucket, c1_main = words.hot(), words.buckets(), words.contexts()
-    names = ["kind", "a", "b", "c", "n", "block"]
+    hot, c1_main, c1_all = words.hot(), words.contexts(), words.contexts(True)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, digests, pairs, f_text, tokens, contexts, r_text = ([] for _ in range(7))
+        part = table["part"][0].as_py()
+        ids, digests, pairs, f_text, tokens, contexts, r_text, follows, before = ([] for _ in range(9))
         base = 0
         for chunk in table.column("block").chunks:
             for value in chunk:
-                i, d, delta, ft, word, n, c, rt = _unpack(value.as_py())
+                i, d, delta, ft, word, n, c, rt, nx, bf = _unpack(value.as_py())
                 ids.append(i), digests.append(d), pairs.append(np.cumsum(delta)), f_text.append(ft.astype(np.int32) + np.int32(base))
-                tokens.append(np.repeat(word, n)), contexts.append(c), r_text.append(rt.astype(np.int32) + np.int32(base))
+                tokens.append(np.repeat(word, n)), contexts.append(c), r_text.append(rt.astype(np.int32) + np.int32(base)), follows.append(nx), before.append(bf)
                 base += len(i)
-        ids, digests, pairs, f_text, tokens, contexts, r_text = (np.concatenate(x) for x in (ids, digests, pairs, f_text, tokens, contexts, r_text))
+        del table
+        ids, digests, pairs, f_text, tokens, contexts, r_text, follows, before = (np.concatenate(x) for x in (ids, digests, pairs, f_text, tokens, contexts, r_text, follows, before))
         folds = np.array([fold(None if i == _NO_ID else i) for i in ids.tolist()], np.int8)
         main, deleted = (folds != HELD_OUT) & (folds != DELETED), folds == DELETED
-        pair, f_back = np.unique(pairs, return_inverse=True)
-        f_main, f_deleted = (np.bincount(f_back, x[f_text], len(pair)).astype(np.int64) for x in (main, deleted))
+
+        def numbers(back: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+            return tuple(np.bincount(back, x[text], n).astype(np.int64) for x in (main, deleted))
+
+        def listed(ctx, rare_c1, pair_counts, word_counts, hots, which, text) -> list[np.ndarray]:
+            order = np.lexsort((text, which))
+            runs = np.bincount(which, minlength=len(ctx) + len(hots)).astype(np.int32)
+            return [ctx.astype(np.int32), rare_c1, pair_counts, word_counts, hots, runs, text[order]]
+
+        rows: list[tuple] = []
+        # pairs of frequent words
+        pair, back = np.unique(pairs, return_inverse=True)
+        del pairs
+        f_main, f_deleted = numbers(back, f_text, len(pair))
         word = (pair - 1) % size + 1
         context = (pair - word) // size
-        is_hot = (context >= 0) & hot[np.maximum(context, 0)] & hot[word]
-        token, t_back = np.unique(tokens, return_inverse=True)
-        del pairs, tokens
-        t_main, t_deleted = (np.bincount(t_back, x[r_text], len(token)).astype(np.int64) for x in (main, deleted))
-        r_key, r_first, r_back = np.unique(B.mixed(t_back.astype(np.uint64) * np.uint64(size + 1) + (contexts + 1).astype(np.uint64)), return_index=True, return_inverse=True)
-        r_main, r_deleted = (np.bincount(r_back, x[r_text], len(r_key)).astype(np.int64) for x in (main, deleted))
-        own = t_back[r_first]
-        del t_back
-        # pairs of this part alone, frequent and rare words together
-        mine = np.flatnonzero(~is_hot)
-        ctx = np.concatenate((context[mine], contexts[r_first].astype(np.int64)))
-        c12, e12 = np.concatenate((f_main[mine], r_main)), np.concatenate((f_deleted[mine], r_deleted))
-        c2, e2 = np.concatenate((words.main[word[mine] - 1], t_main[own])), np.concatenate((words.deleted[word[mine] - 1], t_deleted[own]))
-        rows: list[tuple] = []
-        seen = e12 > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r2 = np.where(ctx >= 0, c12 / np.maximum(c1_main[ctx], 1), 0)
-        events = np.column_stack((bucket[ctx], _level(r2), _level(c2 / max(words.main_total, 1))))[seen]
-        if len(events):
-            kinds, back = np.unique(events, axis=0, return_inverse=True)
-            rows += [(1, *k, n, None) for k, n in zip(kinds.tolist(), np.bincount(back.ravel(), e12[seen], len(kinds)).astype(np.int64).tolist(), strict=True)]
+        is_hot = hot[context] & hot[word]
         rows += [(2, p, m, d, None, None) for p, m, d in zip(pair[is_hot].tolist(), f_main[is_hot].tolist(), f_deleted[is_hot].tolist(), strict=True)]
-        # occurrences: the pairs of this part in order of their number, then the hot ones
-        number = np.empty(len(pair), np.int64)
+        mine = np.flatnonzero(~is_hot)
+        number = np.empty(len(pair), np.int64)  # the pairs of this part in order, then the hot ones
         number[mine] = np.arange(len(mine))
-        number[is_hot] = len(mine) + len(r_key) + np.arange(int(is_hot.sum()))
-        which = np.concatenate((number[f_back], len(mine) + r_back)).astype(np.int32)
-        text = np.concatenate((f_text, r_text))
-        order = np.lexsort((text, which))
-        runs = np.bincount(which, minlength=len(ctx) + int(is_hot.sum())).astype(np.int32)
-        rows.append((0, None, None, None, None, _pack(ids, digests, ctx.astype(np.int32), (c12 + e12), (c2 + e2), pair[is_hot], runs, text[order])))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], names)
+        number[is_hot] = len(mine) + np.arange(int(is_hot.sum()))
+        ctx, word = context[mine], word[mine]
+        c12, e12, c2, e2 = f_main[mine], f_deleted[mine], words.main[word - 1], words.deleted[word - 1]
+        rows += [(1, *e, None) for e in _events(words, ctx, c1_all[ctx], c1_main[ctx], c12, c2, e12)]
+        lists = listed(ctx, np.zeros(0, np.int64), c12 + e12, c2 + e2, pair[is_hot], number[back].astype(np.int32), f_text)
+        del back, number, f_text
+        # rare words: after frequent ones, and before them
+        token, t_back = np.unique(tokens, return_inverse=True)
+        del tokens
+        t_main, t_deleted = numbers(t_back, r_text, len(token))
+        known, ahead = contexts >= 0, follows > 0
+        kind = np.concatenate((contexts[known], -1 - follows[ahead].astype(np.int64)))  # a context, or minus one minus a following word
+        own, text = np.concatenate((t_back[known], t_back[ahead])), np.concatenate((r_text[known], r_text[ahead]))
+        key, back = np.unique(own * (2 * size + 2) + kind + size + 1, return_inverse=True)
+        own, kind = key // (2 * size + 2), key % (2 * size + 2) - size - 1
+        c12, e12 = numbers(back, text, len(key))
+        after = kind >= 0
+        ctx = np.where(after, kind, _RARE)
+        word = np.where(after, 1, -1 - kind) - 1
+        if len(words.tokens):
+            c2, e2 = np.where(after, t_main[own], words.main[word]), np.where(after, t_deleted[own], words.deleted[word])
+        else:
+            c2, e2 = t_main[own], t_deleted[own]
+        m1, d1 = np.where(after, c1_main[ctx], t_main[own]), np.where(after, (c1_all - c1_main)[ctx], t_deleted[own])
+        rows += [(1, *e, None) for e in _events(words, ctx, m1 + d1, m1, c12, c2, e12)]
+        lists += listed(ctx, (m1 + d1)[~after], c12 + e12, c2 + e2, pair[:0], back.astype(np.int32), text)
+        rows.append((0, None, None, None, None, _pack(ids, digests, *lists)))
+        del lists, key, back, own, kind, text
+        # counts of this part's rare words for the parts of the rare words that follow them
+        far = contexts == _RARE
+        asked = np.unique((-1 - follows[follows < 0].astype(np.int64)) * len(token) + t_back[follows < 0]) if len(token) else np.zeros(0, np.int64)
+        to, which = asked // max(len(token), 1), asked % max(len(token), 1)
+        for target in np.unique(to).tolist():
+            w = which[np.searchsorted(to, target) : np.searchsorted(to, target, side="right")]
+            rows.append((3, target, None, None, None, _pack(token[w], t_main[w], t_deleted[w])))
+        # pairs of two rare words
+        if far.any():
+            first, b_back = np.unique(before, return_inverse=True)
+            key, back = np.unique(b_back * len(token) + t_back[far], return_inverse=True)
+            c12, e12 = numbers(back, r_text[far], len(key))
+            own = key % len(token)
+            order = np.lexsort((r_text[far], back))
+            text = r_text[far][order]
+            there, short = np.unique(text, return_inverse=True)
+            pending = (ids[there], digests[there], first, (key // len(token)).astype(np.int32), c12, e12, t_main[own], t_deleted[own], np.bincount(back, minlength=len(key)).astype(np.int32), short.astype(np.int32))
+            rows.append((4, part, None, None, None, _pack(*pending)))
+        return _table(rows)
+
+    return blocks.groupBy("part").applyInArrow(run, _ROWS)
+
+
+def resolved(rows: DataFrame, words: Frequent) -> DataFrame:
+    """Rows of kinds 0 and 1 for the pairs of two rare words, from those of kinds 3 and 4."""
 
-    return blocks.groupBy("part").applyInArrow(run, "kind int, a long, b long, c long, n long, block binary")
+    def run(table: pa.Table) -> pa.Table:
+        tokens, mains, deleteds, pending = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
+        for kind, value in zip(table["kind"].to_pylist(), table["block"], strict=True):
+            if kind == 4:
+                pending = _unpack(value.as_py())
+            else:
+                t, m, d = _unpack(value.as_py())
+                tokens.append(t), mains.append(m), deleteds.append(d)
+        ids, digests, first, which, c12, e12, c2, e2, runs, text = pending
+        token, main, deleted = (np.concatenate(x) for x in (tokens, mains, deleteds))
+        order = np.argsort(token)
+        at = order[np.searchsorted(token, first, sorter=order)]  # every rare context has sent its count
+        assert (token[at] == first).all()
+        m1, d1 = main[at][which], deleted[at][which]
+        ctx = np.full(len(which), _RARE, np.int32)
+        out = [(1, *e, None) for e in _events(words, ctx, m1 + d1, m1, c12, c2, e12)]
+        out.append((0, None, None, None, None, _pack(ids, digests, ctx, m1 + d1, c12 + e12, c2 + e2, np.zeros(0, np.int64), runs, text)))
+        return _table(out)
+
+    return rows.where("kind IN (3, 4)").select(F.col("a").alias("part"), "kind", "block").groupBy("part").applyInArrow(run, _ROWS)
 
 
 @dataclass
@@ -312,25 +397,29 @@ def learned_weights(events: np.ndarray, words: Frequent) -> Weights:
 def sums(rows: DataFrame, words: Frequent, weights: Weights, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, digest and what one part adds to a text's sums. pairs: numbers of hot pairs in order, and their counts."""
     size = len(words.tokens) + 1
-    bucket, c1 = words.buckets(), words.contexts(True)
+    c1_all = words.contexts(True)
     names = ["doc_id", "digest", "copies", "n_tokens", "n_known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column("block"):
-                ids, digests, ctx, c12, c2, hot, runs, text = _unpack(value.as_py())
-                if len(hot):
-                    word = (hot - 1) % size + 1
-                    ctx = np.concatenate((ctx, (hot - word) // size))
-                    c12 = np.concatenate((c12, pairs[1][np.searchsorted(pairs[0], hot)]))
-                    c2 = np.concatenate((c2, (words.main + words.deleted)[word - 1]))
-                mix = weights.mix[bucket[ctx]]
-                p = mix[:, 0] * c12 / np.maximum(c1[ctx], 1) + mix[:, 1] * c2 / max(words.total, 1) + mix[:, 2] / (words.kinds + 1)
-                cut = np.concatenate(([0], np.cumsum(runs)))
-                total = lambda x: np.bincount(text, np.repeat(x, runs), len(ids))  # noqa: E731, B023
-                whole = lambda x: pa.array(total(x).astype(np.int64))  # noqa: E731, B023
-                assert cut[-1] == len(text)
-                out = [pa.array(ids, mask=ids == _NO_ID), pa.array(digests), whole(ctx == _ORIGIN), whole(np.ones(len(ctx))), whole(c2 > 0), pa.array(total(np.log10(c2 + 1.0))), pa.array(total(np.log10(p)))]
+                ids, digests, *lists = _unpack(value.as_py())
+                found = np.zeros((5, len(ids)))
+                for k in range(0, len(lists), 7):
+                    ctx, c1_rare, c12, c2, hot, runs, text = lists[k : k + 7]
+                    if len(hot):
+                        word = (hot - 1) % size + 1
+                        ctx = np.concatenate((ctx, (hot - word) // size))
+                        c12 = np.concatenate((c12, pairs[1][np.searchsorted(pairs[0], hot)]))
+                        c2 = np.concatenate((c2, (words.main + words.deleted)[word - 1]))
+                    c1 = c1_all[ctx]
+                    c1[ctx == _RARE] = c1_rare
+                    mix = weights.mix[words.buckets(ctx, c1)]
+                    p = mix[:, 0] * c12 / np.maximum(c1, 1) + mix[:, 1] * c2 / max(words.total, 1) + mix[:, 2] / (words.kinds + 1)
+                    assert runs.sum(dtype=np.int64) == len(text)
+                    for n, x in enumerate((ctx == _ORIGIN, np.ones(len(ctx)), c2 > 0, np.log10(c2 + 1.0), np.log10(p))):
+                        found[n] += np.bincount(text, np.repeat(x, runs), len(ids))
+                out = [pa.array(ids, mask=ids == _NO_ID), pa.array(digests), *map(pa.array, found[:3].astype(np.int64)), *map(pa.array, found[3:])]
                 yield pa.RecordBatch.from_arrays(out, names)
 
     return rows.mapInArrow(run, "doc_id long, digest long, copies long, n_tokens long, n_known long, base double, score double")
@@ -349,13 +438,15 @@ def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scratch.saved(counted(occurrences(docs, words, parts), words), "lm-counts")
     pairs = rows.where("kind = 2").groupBy("a").agg(F.sum("b").alias("main"), F.sum("c").alias("deleted")).orderBy("a").toArrow()  # at most 1/HOT_SHARE squared
     number, main, deleted = (pairs[c].to_numpy() for c in ("a", "main", "deleted"))
+    rare = scratch.saved(resolved(rows, words), "lm-rare")
+    rows = rows.union(rare)
     events = rows.where("kind = 1").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).toArrow()  # bounded by the levels
     found = np.column_stack([events[c].to_numpy() for c in ("a", "b", "c", "n")]) if events.num_rows else np.zeros((0, 4), np.int64)
     if len(number):
         size = len(words.tokens) + 1
         word = (number - 1) % size + 1
         ctx = (number - word) // size
-        own = np.column_stack((words.buckets()[ctx], _level(main / np.maximum(words.contexts()[ctx], 1)), _level(words.main[word - 1] / max(words.main_total, 1)), deleted))
+        own = np.column_stack((words.buckets(ctx, words.contexts(True)[ctx]), _level(main / np.maximum(words.contexts()[ctx], 1)), _level(words.main[word - 1] / max(words.main_total, 1)), deleted))
         found = np.concatenate((found, own[deleted > 0]))
     weights = learned_weights(found, words)
     added = sums(rows.where("kind = 0").select("block"), words, weights, (number, main + deleted))

@@ -84,3 +84,21 @@ def test_hot_pairs_are_counted_over_all_parts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 7)
     rows = [(i, "of the of the rare" + str(i % 3)) for i in range(60)]
     assert got(spark, documents(spark, tmp_path, rows)) == expected(rows)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.02])
+def test_rare_contexts_have_pairs(spark, tmp_path, monkeypatch, share):
+    """Results do not depend on which counts are sent to every task."""
+    monkeypatch.setattr(lm, "MIN_PARTS", 5)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 50)
+    rows = ODD + [(i, f"rare{i % 9} word{i % 4} the cat {i % 5} sat on rare{i % 7} rare{i % 9} mat of {i}") for i in range(10, 90)]
+    folder = documents(spark, tmp_path, rows)
+    monkeypatch.setattr(lm, "MIN_SHARE", 1e-300)
+    want = expected(rows)
+    monkeypatch.setattr(lm, "MIN_SHARE", share)
+    assert got(spark, folder) == want
+
+
+def test_only_held_out_texts(spark, tmp_path):
+    rows = [(i, "a b a c") for i in range(40) if lm.fold(i) == lm.HELD_OUT]
+    assert got(spark, documents(spark, tmp_path, rows)) == expected(rows)
