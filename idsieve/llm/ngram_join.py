@@ -158,12 +158,13 @@ def compared(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def similarity_join(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, text_key, class_id, links and class_size for every row of ``docs``.
+    """doc_id, text_key, class_key, class_id, links and class_size for every row of ``docs``.
 
     Two texts are linked if their sets of word k-grams have the similarity or more; a text with fewer words
     has one gram of all its words. ``links`` counts the documents linked to this one, ``class_id`` is the
-    least doc_id among those linked directly or through others. A text without words (null, empty) links to
-    none and is its own class.
+    least doc_id among those linked directly or through others: null if all are null, and the same for two
+    classes whose least doc_id is. ``class_key`` is a class's own. A text without words (null, empty) links to
+    none and is its own class, without a key.
     """
     bands, rows = choose_bands(similarity, recall)
     texts = scratch.saved(signed(docs, k, bands, rows), "join-texts")
@@ -213,9 +214,9 @@ def similarity_join(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SI
     nodes = nodes.select("node", "least", "copies").join(linked, "node", "left").join(classes, "node", "left")
     nodes = nodes.select("node", "least", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("class", "node").alias("class"))
     of_class = nodes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    nodes = nodes.join(of_class, "class").select("node", (F.col("copies") - 1 + F.col("linked")).alias("links"), "class_id", "class_size")
+    nodes = nodes.join(of_class, "class").select("node", F.col("class").alias("class_key"), (F.col("copies") - 1 + F.col("linked")).alias("links"), "class_id", "class_size")
     alone = F.col("node").isNull()
-    return texts.select("doc_id", "text_key", "node").join(nodes, "node", "left").select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return texts.select("doc_id", "text_key", "node").join(nodes, "node", "left").select("doc_id", "text_key", "class_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def _repeats(texts: DataFrame) -> bool:
@@ -232,7 +233,7 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text_key")
     # a text without words is its own class: its own row stays
     single = joined.where("class_size = 1").select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"))
-    groups = joined.where("class_size > 1").groupBy("class_id").agg(F.min(key).alias("first"))
+    groups = joined.where("class_size > 1").groupBy("class_key").agg(F.min(key).alias("first"))
     kept = single.union(groups.select("first.doc_id", "first.text_key")).distinct()
     keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
     kept = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key")), "left_semi")

@@ -96,6 +96,15 @@ def test_one_of_each_class_keeps_columns(spark, tmp_path):
     assert len(ids) == len(classes)
 
 
+def test_one_of_each_class_without_ids_and_of_equal_ids(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(20)) for x in "abcd")
+    rows = [(None, a), (None, a + "!"), (None, b), (None, b + "!"), (1, c), (2, c), (1, d), (3, d), (None, None), (None, "")]
+    docs = spark.read.parquet(documents(spark, tmp_path, rows) + "/documents.parquet")
+    kept = [(r.doc_id, (r.text or "").rstrip("!")) for r in nj.one_of_each_class(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (1, c), (1, d), (None, ""), (None, "")], key=str)
+    assert got(spark, str(tmp_path)) == expected(rows)
+
+
 def test_bands_reach_the_recall():
     bands, rows = nj.choose_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= nj.MAX_HASHES
