@@ -3,7 +3,8 @@
 For each benchmark item, every window of as many words is fingerprinted: 64 signs of the weighted sum of
 its 5-word shingles. Items are indexed by four blocks of their fingerprints, under every value that
 differs in as few bits as the pigeonhole principle asks for, so that each window within the radius meets
-its items. Candidates are verified by the exact similarity of the weighted shingles.
+its items. Candidates are verified by the exact similarity of the weighted shingles. A text with fewer
+words than an item is one window, verified with all items that share a shingle with it.
 
 The radius follows from the similarity: that many bits differ, at most, but for the given share of pairs.
 Windows without any shingle of the benchmark have similarity 0 to all items and get no fingerprint.
@@ -60,6 +61,7 @@ class Items:
     prints: np.ndarray
     known: np.ndarray  # all shingles, in order
     filter: np.ndarray  # whether a shingle with these last bits may be among them
+    holders: tuple[np.ndarray, np.ndarray]  # where the items of each known shingle begin, and the items
     index: list[tuple[np.ndarray, np.ndarray]]  # by block: where the items of each value begin, and the items
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words under k: hashes and items
 
@@ -85,6 +87,8 @@ def prepare(rows: list[tuple[int, str | None]], k: int, within: int) -> Items:
         prints.append(packed(signs(grams).sum(0, keepdims=True))[0])
     prints = np.array(prints, np.uint64)
     known = np.unique(np.array([g for b in bags for g in b], np.uint64))
+    held = sorted((g, i) for i, b in enumerate(bags) for g in b)
+    holders = np.searchsorted(np.array([g for g, _ in held], np.uint64), known), np.array([i for _, i in held], np.int64)
     marks = np.zeros(1 << FILTER_BITS, bool)
     marks[known & np.uint64(len(marks) - 1)] = True
     masks, index = _neighbours(BLOCK_BITS, within // BLOCKS), []
@@ -94,7 +98,7 @@ def prepare(rows: list[tuple[int, str | None]], k: int, within: int) -> Items:
         order = np.argsort(values, kind="stable")
         index.append((np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)), (order // len(masks)).astype(np.int32)))
     table = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)])) for n, x in short.items()}
-    return Items(ids, np.array(sizes, np.int64), bags, prints, known, marks, index, table)
+    return Items(ids, np.array(sizes, np.int64), bags, prints, known, marks, holders, index, table)
 
 
 def _near(prints: np.ndarray, items: Items, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +114,28 @@ def _near(prints: np.ndarray, items: Items, within: int) -> tuple[np.ndarray, np
     return window[close], item[close]
 
 
+def _whole_texts(best: dict, grams: np.ndarray, begin: np.ndarray, first: np.ndarray, hit: np.ndarray, items: Items, k: int, similarity: float) -> None:
+    """Adds matches of texts that have fewer words than the item."""
+    text = np.searchsorted(begin, hit, side="right") - 1
+    brief = (begin[text + 1] - begin[text]) < items.sizes.max() - k + 1
+    hit, text = hit[brief], text[brief]
+    if not len(hit):
+        return
+    at = np.searchsorted(items.known, grams[hit])
+    ends = np.append(items.holders[0], len(items.holders[1]))
+    n = ends[at + 1] - ends[at]
+    pairs = np.unique(np.repeat(text, n) * len(items.ids) + B.gathered(items.holders[1], ends[at], n))
+    text, item = pairs // len(items.ids), pairs % len(items.ids)
+    own, wanted = begin[text + 1] - begin[text], items.sizes[item] - k + 1
+    some = (own < wanted) & (own >= similarity * wanted - 1e-9)
+    for t, i in zip(text[some].tolist(), item[some].tolist(), strict=True):
+        bag = Counter(grams[begin[t] : begin[t + 1]].tolist())
+        common = (bag & items.bags[i]).total()
+        got = common / (bag.total() + items.bags[i].total() - common)
+        if got >= similarity:
+            best[t, items.ids[i]] = got, 0, int(first[t + 1] - first[t])
+
+
 def passages(data: np.ndarray, offsets: np.ndarray, items: Items, k: int, similarity: float, within: int) -> dict[tuple[int, int], tuple[float, int, int]]:
     """(similarity, first word, words) of the best window, by text and item."""
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -129,6 +155,7 @@ def passages(data: np.ndarray, offsets: np.ndarray, items: Items, k: int, simila
     hit = hit[items.known[np.minimum(np.searchsorted(items.known, grams[hit]), len(items.known) - 1)] == grams[hit]]
     if not len(hit):
         return best
+    _whole_texts(best, grams, begin, first, hit, items, k, similarity)
     # stretches of shingles, within one text, from which a window with a hit can be cut
     reach = int(items.sizes.max()) - k
     text = np.searchsorted(begin, hit, side="right") - 1
@@ -165,7 +192,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, k: int = GRAM_WORDS
     """doc_id, text_key, item_id, similarity, first_word and n_words: the best window of each document for each item in it.
 
     Weighted similarity of two bags of shingles: the sum of the smaller counts over that of the larger.
-    Items with fewer than k words match windows of the same words. Null or empty texts match nothing.
+    Items with fewer than k words match windows of the same words. A text with fewer words than the item is
+    its own only window. Null or empty texts match nothing.
     """
     within = radius(similarity)
     count = benchmark.count()

@@ -100,3 +100,32 @@ def test_corpus(spark, small_dir):
 
 def test_radius():
     assert de.radius(0.8) == 19
+
+
+def expected_with_short(rows, items):
+    """As expected(), and a text with fewer words than the item is one window."""
+    out = expected(rows, items)
+    for i, t in rows:
+        own = words(t)
+        for item, text in items:
+            w = words(text)
+            if own and item is not None and len(own) < len(w):
+                common = (bag(own) & bag(w)).total()
+                s = common / (bag(own).total() + bag(w).total() - common)
+                if s >= 0.8:
+                    out.append((i, item, s, 0, len(own)))
+    return sorted(out, key=str)
+
+
+def test_texts_with_fewer_words_than_the_item(spark, tmp_path):
+    r = random.Random(8)
+    items = [(n, " ".join(text(r, 8 + n))) for n in range(30)] + [(50, "w " * 30), (51, "w " * 28), (52, "few words"), (53, None)]
+    rows = [(100 * n + cut, " ".join(t.split()[:-cut])) for n, t in items[:30] for cut in (1, 2, 5)]
+    rows += [(100 * n + 50, " ".join(t.split()[1:])) for n, t in items[:30]] + [(9000, "w " * 27), (9001, "few"), (9002, None), (9003, "w " * 29), (9004, items[29][1] + " more")]
+    folder = tables(spark, tmp_path, rows, items)
+    want = expected_with_short(rows, items)
+    assert run(spark, folder) == want
+    assert len(want) > len(expected(rows, items)) + 60
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    bad = {i for i, *_ in want}
+    assert sorted(x.doc_id for x in de.without_benchmark(docs, bench).collect()) == sorted(i for i, _ in rows if i not in bad)
