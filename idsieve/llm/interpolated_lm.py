@@ -1,62 +1,48 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of a word after its left neighbour, of the word alone and
-of any word at all. The mixture weights depend on how frequent the neighbour (the context) is, and are
-learned by expectation-maximisation on the n-gram counts of a fold of the training texts that the other
-counts leave out ("deleted"). Scoring then uses the counts of all training texts.
-
-How it stays distributed: words that make up MIN_SHARE of all tokens or more are at most 1/MIN_SHARE, so
-their counts fit into every task. All occurrences of a rarer word, with the words on both sides, go to one
-part as packed lists, so its count and its pairs with frequent words are known there. A pair of two rare
-words is counted with the second; the count of the first is sent from its own part to where it is needed.
-Pairs of frequent words go to parts by pair. Pairs of very frequent words could be hot: they are dealt out
-at random, as their counts come from a table of bounded size. MIN_SHARE has no effect on results.
+The model mixes maximum-likelihood estimates of a word after the words before it, after fewer of them,
+alone, and of any word at all. The mixture weights depend on how often the longest known context was seen,
+and are learned by expectation-maximisation on a fold of the training texts that the estimates leave out
+("deleted"). Scoring then uses the counts of all training texts.
+
+1. Texts are packed to blocks of one fold each and written to the shared folder.
+2. A block asks for each different n-gram in it once, with its own count; requests are dealt out by hash
+   ranges, so that a word of a third of all tokens weighs no more than any other: one entry a block. What a
+   range answers to a block is a list of totals in the order that was asked for.
+3. Blocks of the deleted fold, joined with their answers, give the different tuples of counts behind each
+   estimate and how often they occur. A step of expectation-maximisation is one aggregation of that table.
+4. Every block is joined with its answers and scored.
+
+Bytes shuffled are in proportion to the text whatever the number of blocks and ranges; a task holds a block
+of texts or a range of requests, both of bounded size. A single text longer than a block is one by itself.
 """
 
 from __future__ import annotations
 
-import io
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as B
 from . import scratch
 
+ORDER = 2  # words of the longest n-gram
 FOLDS, HELD_OUT, DELETED = 7, 2, 3  # remainder of the texts that are only scored, and of those that fit the weights
-MIN_SHARE = 1e-5  # of all tokens; counts of words below stay in their parts
-HOT_SHARE = 1e-3  # pairs of words above are dealt out at random
-PART_TOKENS = 4_000_000
-MIN_PARTS = 16
-BLOCK_TOKENS = 1_500_000
-STEPS = 40
+KEPT = 0  # stands for the other folds
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20  # of text: in a block, and for each range of requests
+STEPS, CLOSE = 25, 1e-4  # steps at most, and the change of every weight at which they end
+LEAST = 1e-6  # of a weight that no estimate but any word's or the word's own has
 _END = np.uint64(1)
-_NEVER = -100_000  # logarithm of an estimate of nothing
-_ORIGIN = 0  # context number of the beginning of a text
-_RARE = -1  # stands for the number of any rare context
-_LAST = 64  # bucket of contexts that no training text has
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    to = io.BytesIO()
-    for a in arrays:
-        np.lib.format.write_array(to, a, allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(to.getvalue())
-
-
-def _unpack(raw: bytes) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    of, out = io.BytesIO(data), []
-    while of.tell() < len(data):
-        out.append(np.lib.format.read_array(of, allow_pickle=False))
-    return out
+_BEGIN = np.uint64(7)  # before the first word
+_TOTALS = -1  # block of the rows that hold a range's totals
 
 
 def fold(doc_id: int | None) -> int:
@@ -64,401 +50,295 @@ def fold(doc_id: int | None) -> int:
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end, token hashes with one end for each text, offsets of the texts in them)."""
-    for lo, hi, data, offsets in B.chunked(B.as_strings(column)):
-        low = B.lowered(data)
-        starts, ends, first = B.spans(B.SOLID[low], offsets)
-        yield lo, hi, np.insert(B.span_hashes(low, starts, ends), first[1:], _END), first + np.arange(hi - lo + 1)
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 0 and more, byte by byte of all numbers, without the bytes that are 0 in all."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = int(planes.any(axis=1).nonzero()[0].max(initial=-1)) + 1
+    return zstandard.ZstdCompressor(level=1).compress(bytes([used]) + np.ascontiguousarray(planes[:used]).tobytes())
 
 
-def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    unique, back = np.unique(keys, return_inverse=True)
-    return unique, [np.bincount(back, w, len(unique)).astype(np.int64) for w in weights]
+def expanded(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``squeezed`` was given."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    planes = np.zeros((8, n), np.uint8)
+    planes[: data[0]] = data[1:].reshape(data[0], n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """token (hash), main and deleted: counts in the training texts, without and within the deleted fold."""
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """block (its number), fold (KEPT, DELETED or HELD_OUT), n_bytes and payload: the doc_ids and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            folds = np.array([fold(i) for i in batch.column("doc_id").to_pylist()], np.int64)
-            for lo, hi, tokens, at in _tokens(batch.column("text")):
-                f = np.repeat(folds[lo:hi], np.diff(at))
-                train = f != HELD_OUT
-                keys, (n, deleted) = _summed(tokens[train], np.ones(int(train.sum())), f[train] == DELETED)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n - deleted), pa.array(deleted)], ["token", "main", "deleted"])
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: dict[int, list[pa.RecordBatch]] = {f: [] for f in (KEPT, DELETED, HELD_OUT)}
+        size = dict.fromkeys(held, 0)
+
+        def flush(f: int) -> pa.RecordBatch:
+            nonlocal number
+            own, n = pa.Table.from_batches(held[f]).combine_chunks(), size[f]
+            held[f], size[f] = [], 0
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as to:
+                to.write_table(own)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([f], pa.int32()), pa.array([n]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "fold", "n_bytes", "payload"])
 
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "token long, main long, deleted long")
-    return counted.groupBy("token").agg(F.sum("main").alias("main"), F.sum("deleted").alias("deleted"))
+        for batch in batches:
+            folds = np.array([x if (x := fold(i)) in (DELETED, HELD_OUT) else KEPT for i in batch.column("doc_id").to_pylist()], np.int64)
+            texts = B.as_strings(batch.column("text"))
+            for lo, hi, _, _ in B.chunked(texts):
+                part = pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), texts.slice(lo, hi - lo)], ["doc_id", "text"])
+                for f in held:
+                    own = part.filter(pa.array(folds[lo:hi] == f))
+                    if own.num_rows:
+                        held[f].append(own)
+                        size[f] += pc.sum(pc.binary_length(own.column("text"))).as_py()
+                    if size[f] >= BLOCK_BYTES:
+                        yield flush(f)
+        for f in held:
+            if held[f]:
+                yield flush(f)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "block long, fold int, n_bytes long, payload binary")
 
 
 @dataclass
-class Frequent:
-    """Counts of the words that are frequent enough to be contexts, in the order of their hashes, and totals."""
-
-    tokens: np.ndarray
-    main: np.ndarray
-    deleted: np.ndarray
-    main_total: int
-    deleted_total: int
-    kinds: int
-    main_texts: int = 0
-    deleted_texts: int = 0
-
-    @property
-    def total(self) -> int:
-        return self.main_total + self.deleted_total
-
-    def number(self, tokens: np.ndarray) -> np.ndarray:
-        """1 and up for a frequent word, 0 for any other."""
-        if not len(self.tokens):
-            return np.zeros(len(tokens), np.int64)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, at + 1, 0)
-
-    def contexts(self, deleted: bool = False) -> np.ndarray:
-        """Counts by context number: the beginning, the frequent words, and none for the others."""
-        texts, words = (self.main_texts, self.main) if not deleted else (self.main_texts + self.deleted_texts, self.main + self.deleted)
-        return np.concatenate(([texts], words, [0]))
-
-    def buckets(self, context: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Minus the binary logarithm of a context's share of all tokens, down to a single one; the last is for unknown contexts."""
-        share = np.maximum(count, 1) / max(self.total, 1)
-        out = np.clip(np.floor(-np.log2(share)), 0, last_bucket() - 1).astype(np.int64)
-        return np.where((count > 0) | (context == _ORIGIN), out, last_bucket())
-
-    def hot(self) -> np.ndarray:
-        """By context number, the beginning first."""
-        return self.contexts(True)[:-1] >= HOT_SHARE * max(self.total, 1)
-
-
-def last_bucket() -> int:
-    return _LAST
-
-
-def frequent_words(counts: DataFrame) -> Frequent:
-    """At most 1/MIN_SHARE words reach the driver."""
-    main, deleted, kinds = counts.agg(F.coalesce(F.sum("main"), F.lit(0)), F.coalesce(F.sum("deleted"), F.lit(0)), F.count("*")).first()
-    rows = counts.where((F.col("main") + F.col("deleted") >= MIN_SHARE * (main + deleted)) | (F.col("token") == int(_END))).toArrow()
-    tokens = rows["token"].to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    out = Frequent(tokens[order], rows["main"].to_numpy()[order], rows["deleted"].to_numpy()[order], main, deleted, kinds)
-    if n := out.number(np.array([_END]))[0]:
-        out.main_texts, out.deleted_texts = int(out.main[n - 1]), int(out.deleted[n - 1])
+class Grams:
+    """The n-grams of a block, by order: hashes in the order of the text, different hashes, and where each is among these."""
+
+    ids: pa.Array
+    at: np.ndarray  # first token of each text and the end
+    first: np.ndarray  # whether a token is the first of its text
+    unique: list[np.ndarray]
+    back: list[np.ndarray]
+    counts: list[np.ndarray]
+
+
+def grams_of(payload: bytes, order: int) -> Grams:
+    """N-grams that begin before a text have a mark there, and are one with the shorter n-gram of all words so far."""
+    table = pa.ipc.open_stream(payload).read_all()
+    tokens, lengths = [], []
+    for _, _, data, offsets in B.chunked(B.as_strings(table["text"])):
+        low = B.lowered(data)
+        starts, ends, first = B.spans(B.SOLID[low], offsets)
+        tokens.append(np.insert(B.span_hashes(low, starts, ends), first[1:], _END))
+        lengths.append(np.diff(first) + 1)
+    words = np.concatenate(tokens)
+    at = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
+    first = np.zeros(len(words), bool)
+    first[at[:-1]] = True
+    out = Grams(table["doc_id"].combine_chunks(), at, first, [], [], [])
+    own = words
+    for n in range(order):
+        if n:
+            before = np.where(first, _BEGIN + np.uint64(n), np.append(own[:1], own[:-1]))
+            own = B.mixed(before * np.uint64(0x9E3779B97F4A7C15) + words)
+        for to, found in zip((out.unique, out.back, out.counts), np.unique(own, return_inverse=True, return_counts=True), strict=True):
+            to.append(found)
     return out
 
 
-def occurrences(docs: DataFrame, words: Frequent, parts: int) -> DataFrame:
-    """part and block: packed lists of which text holds which pair how often.
-
-    A pair of frequent words is the number context * (frequent words + 1) + word. A rare word has its hash,
-    its context, the context's hash if that is rare, and what follows: the number of a frequent word, or
-    minus one minus the part of a rare one.
-    """
-    size = len(words.tokens) + 1
-    hot = words.hot()
-
-    def flush(docs_, tokens, at) -> Iterator[tuple[int, bytes]]:
-        ids, digests = (np.concatenate(x) for x in docs_)
-        token = np.concatenate(tokens)
-        lengths = np.concatenate(at)
-        text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        first = np.zeros(len(token), bool)
-        first[np.cumsum(lengths) - lengths] = True
-        number = words.number(token)
-        context = np.empty(len(token), np.int64)
-        context[1:] = number[:-1]
-        context[context == 0] = _RARE
-        context[first] = _ORIGIN
-        part = (B.mixed(token) % np.uint64(parts)).astype(np.int64)
-        follows = np.where(number > 0, number, -1 - part)
-        follows = np.append(follows[1:], 0).astype(np.int32)
-        follows[token == _END] = 0
-        before = np.append(token[:1], token[:-1])
-        pairs = (number > 0) & (context >= 0)
-        rare = number == 0
-        random = (B.mixed(ids.view(np.uint64) ^ digests.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        pair = context[pairs] * size + number[pairs]
-        anywhere = hot[context[pairs]] & hot[number[pairs]]
-        to = np.where(anywhere, random[text[pairs]], (B.mixed(pair.astype(np.uint64)) % np.uint64(parts)).astype(np.int64))
-        f_order = np.lexsort((text[pairs], pair, to))
-        f = [x[f_order] for x in (to, pair, text[pairs])]
-        r_order = np.lexsort((text[rare], context[rare], token[rare], part[rare]))
-        r = [x[rare][r_order] for x in (part, token, context, text, follows, before)]
-        f_cut, r_cut = (np.searchsorted(x, np.arange(parts + 1)) for x in (f[0], r[0]))
-        for p in range(parts):
-            a, b, c, d = f_cut[p], f_cut[p + 1], r_cut[p], r_cut[p + 1]
-            if a == b and c == d:
-                continue
-            both = np.concatenate((f[2][a:b], r[3][c:d]))
-            there, back = np.unique(both, return_inverse=True)
-            back = back.astype(np.uint16 if len(there) < 65536 else np.int32)
-            word, n = np.unique(r[1][c:d], return_counts=True)
-            yield p, _pack(ids[there], digests[there], np.diff(f[1][a:b], prepend=0), back[: b - a], word, n.astype(np.int32), r[2][c:d].astype(np.int32), back[b - a :], r[4][c:d], r[5][c:d][r[2][c:d] == _RARE])
+def requests(blocks: DataFrame, ranges: int, order: int) -> DataFrame:
+    """part (range of hashes), order, block, fold, n, and packed: the different n-grams of a block and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
-            digests = batch.column("digest").to_numpy()
-            held: tuple = ([], []), [], []
-            count = 0
-            done = 0
-            for lo, hi, tokens, at in _tokens(batch.column("text")):
-                held[0][0].append(ids[lo:hi])
-                held[0][1].append(digests[lo:hi])
-                held[1].append(tokens)
-                held[2].append(np.diff(at))
-                count += len(tokens)
-                done = hi
-                if count >= BLOCK_TOKENS or done == batch.num_rows:
-                    for p, block in flush(*held):
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([block], pa.binary())], ["part", "block"])
-                    held, count = (([], []), [], []), 0
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("digest", F.xxhash64("text"))
-    return rows.mapInArrow(run, "part int, block binary")
-
-
-_NO_ID = -(1 << 63)  # stands for a null doc_id within blocks
+            for block, f, payload in zip(batch.column("block").to_pylist(), batch.column("fold").to_pylist(), batch.column("payload"), strict=True):
+                grams = grams_of(payload.as_py(), order)
+                rows = []
+                for n, (keys, counts) in enumerate(zip(grams.unique, grams.counts, strict=True), 1):
+                    part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=ranges))
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        rows.append((int(part[a]), n, block, f, b - a, squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), squeezed(counts[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ASKED, strict=True)], ["part", "n", "block", "fold", "size", "keys", "counts"])
 
+    return blocks.mapInArrow(run, "part int, n int, block long, fold int, size int, keys binary, counts binary")
 
-def _level(r: np.ndarray) -> np.ndarray:
-    """Four times the binary logarithm, as a whole number."""
-    with np.errstate(divide="ignore"):
-        return np.where(r > 0, np.round(4 * np.log2(np.maximum(r, 1e-300))), _NEVER).astype(np.int64)
 
+_ASKED = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_ANSWER = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+_ANSWERS = "part int, n int, block long, size int, trained binary, kept binary, tokens long, tokens_kept long, kinds long"
 
-def _events(words: Frequent, ctx: np.ndarray, c1: np.ndarray, c1_main: np.ndarray, c12: np.ndarray, c2: np.ndarray, e12: np.ndarray) -> list[tuple]:
-    """(bucket, level of the pair's estimate, of the word's, number) of what the deleted fold holds."""
-    seen = e12 > 0
-    if not seen.any():
-        return []
-    r2 = c12[seen] / np.maximum(c1_main[seen], 1)
-    events = np.column_stack((words.buckets(ctx[seen], c1[seen]), _level(r2), _level(c2[seen] / max(words.main_total, 1))))
-    kinds, back = np.unique(events, axis=0, return_inverse=True)
-    return [(*k, n) for k, n in zip(kinds.tolist(), np.bincount(back.ravel(), e12[seen], len(kinds)).astype(np.int64).tolist(), strict=True)]
 
+def answers(asked: DataFrame) -> DataFrame:
+    """For each request the n-grams' counts in all training texts, and for blocks of the deleted fold those in the rest of them.
 
-def _table(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], _ROW)
-
-
-_ROW = ["kind", "a", "b", "c", "n", "block"]
-_ROWS = "kind int, a long, b long, c long, n long, block binary"
-
-
-def counted(blocks: DataFrame, words: Frequent) -> DataFrame:
-    """Rows of five kinds: 0 has occurrences with their counts, 1 events of the deleted fold by levels of their estimates, 2
-    partial counts of pairs of very frequent words, 3 counts of rare contexts for part a, 4 part a's pairs of two rare words."""
-    size = len(words.tokens) + 1
-    hot, c1_main, c1_all = words.hot(), words.contexts(), words.contexts(True)
-
-    def run(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        ids, digests, pairs, f_text, tokens, contexts, r_text, follows, before = ([] for _ in range(9))
-        base = 0
-        for chunk in table.column("block").chunks:
-            for value in chunk:
-                i, d, delta, ft, word, n, c, rt, nx, bf = _unpack(value.as_py())
-                ids.append(i), digests.append(d), pairs.append(np.cumsum(delta)), f_text.append(ft.astype(np.int32) + np.int32(base))
-                tokens.append(np.repeat(word, n)), contexts.append(c), r_text.append(rt.astype(np.int32) + np.int32(base)), follows.append(nx), before.append(bf)
-                base += len(i)
-        del table
-        ids, digests, pairs, f_text, tokens, contexts, r_text, follows, before = (np.concatenate(x) for x in (ids, digests, pairs, f_text, tokens, contexts, r_text, follows, before))
-        folds = np.array([fold(None if i == _NO_ID else i) for i in ids.tolist()], np.int8)
-        main, deleted = (folds != HELD_OUT) & (folds != DELETED), folds == DELETED
-
-        def numbers(back: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-            return tuple(np.bincount(back, x[text], n).astype(np.int64) for x in (main, deleted))
-
-        def listed(ctx, rare_c1, pair_counts, word_counts, hots, which, text) -> list[np.ndarray]:
-            order = np.lexsort((text, which))
-            runs = np.bincount(which, minlength=len(ctx) + len(hots)).astype(np.int32)
-            return [ctx.astype(np.int32), rare_c1, pair_counts, word_counts, hots, runs, text[order]]
-
-        rows: list[tuple] = []
-        # pairs of frequent words
-        pair, back = np.unique(pairs, return_inverse=True)
-        del pairs
-        f_main, f_deleted = numbers(back, f_text, len(pair))
-        word = (pair - 1) % size + 1
-        context = (pair - word) // size
-        is_hot = hot[context] & hot[word]
-        rows += [(2, p, m, d, None, None) for p, m, d in zip(pair[is_hot].tolist(), f_main[is_hot].tolist(), f_deleted[is_hot].tolist(), strict=True)]
-        mine = np.flatnonzero(~is_hot)
-        number = np.empty(len(pair), np.int64)  # the pairs of this part in order, then the hot ones
-        number[mine] = np.arange(len(mine))
-        number[is_hot] = len(mine) + np.arange(int(is_hot.sum()))
-        ctx, word = context[mine], word[mine]
-        c12, e12, c2, e2 = f_main[mine], f_deleted[mine], words.main[word - 1], words.deleted[word - 1]
-        rows += [(1, *e, None) for e in _events(words, ctx, c1_all[ctx], c1_main[ctx], c12, c2, e12)]
-        lists = listed(ctx, np.zeros(0, np.int64), c12 + e12, c2 + e2, pair[is_hot], number[back].astype(np.int32), f_text)
-        del back, number, f_text
-        # rare words: after frequent ones, and before them
-        token, t_back = np.unique(tokens, return_inverse=True)
-        del tokens
-        t_main, t_deleted = numbers(t_back, r_text, len(token))
-        known, ahead = contexts >= 0, follows > 0
-        kind = np.concatenate((contexts[known], -1 - follows[ahead].astype(np.int64)))  # a context, or minus one minus a following word
-        own, text = np.concatenate((t_back[known], t_back[ahead])), np.concatenate((r_text[known], r_text[ahead]))
-        key, back = np.unique(own * (2 * size + 2) + kind + size + 1, return_inverse=True)
-        own, kind = key // (2 * size + 2), key % (2 * size + 2) - size - 1
-        c12, e12 = numbers(back, text, len(key))
-        after = kind >= 0
-        ctx = np.where(after, kind, _RARE)
-        word = np.where(after, 1, -1 - kind) - 1
-        if len(words.tokens):
-            c2, e2 = np.where(after, t_main[own], words.main[word]), np.where(after, t_deleted[own], words.deleted[word])
-        else:
-            c2, e2 = t_main[own], t_deleted[own]
-        m1, d1 = np.where(after, c1_main[ctx], t_main[own]), np.where(after, (c1_all - c1_main)[ctx], t_deleted[own])
-        rows += [(1, *e, None) for e in _events(words, ctx, m1 + d1, m1, c12, c2, e12)]
-        lists += listed(ctx, (m1 + d1)[~after], c12 + e12, c2 + e2, pair[:0], back.astype(np.int32), text)
-        rows.append((0, None, None, None, None, _pack(ids, digests, *lists)))
-        del lists, key, back, own, kind, text
-        # counts of this part's rare words for the parts of the rare words that follow them
-        far = contexts == _RARE
-        asked = np.unique((-1 - follows[follows < 0].astype(np.int64)) * len(token) + t_back[follows < 0]) if len(token) else np.zeros(0, np.int64)
-        to, which = asked // max(len(token), 1), asked % max(len(token), 1)
-        for target in np.unique(to).tolist():
-            w = which[np.searchsorted(to, target) : np.searchsorted(to, target, side="right")]
-            rows.append((3, target, None, None, None, _pack(token[w], t_main[w], t_deleted[w])))
-        # pairs of two rare words
-        if far.any():
-            first, b_back = np.unique(before, return_inverse=True)
-            key, back = np.unique(b_back * len(token) + t_back[far], return_inverse=True)
-            c12, e12 = numbers(back, r_text[far], len(key))
-            own = key % len(token)
-            order = np.lexsort((r_text[far], back))
-            text = r_text[far][order]
-            there, short = np.unique(text, return_inverse=True)
-            pending = (ids[there], digests[there], first, (key // len(token)).astype(np.int32), c12, e12, t_main[own], t_deleted[own], np.bincount(back, minlength=len(key)).astype(np.int32), short.astype(np.int32))
-            rows.append((4, part, None, None, None, _pack(*pending)))
-        return _table(rows)
-
-    return blocks.groupBy("part").applyInArrow(run, _ROWS)
-
-
-def resolved(rows: DataFrame, words: Frequent) -> DataFrame:
-    """Rows of kinds 0 and 1 for the pairs of two rare words, from those of kinds 3 and 4."""
+    A row with block _TOTALS has the numbers of training tokens and of different ones among the range's single words.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        tokens, mains, deleteds, pending = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
-        for kind, value in zip(table["kind"].to_pylist(), table["block"], strict=True):
-            if kind == 4:
-                pending = _unpack(value.as_py())
-            else:
-                t, m, d = _unpack(value.as_py())
-                tokens.append(t), mains.append(m), deleteds.append(d)
-        ids, digests, first, which, c12, e12, c2, e2, runs, text = pending
-        token, main, deleted = (np.concatenate(x) for x in (tokens, mains, deleteds))
-        order = np.argsort(token)
-        at = order[np.searchsorted(token, first, sorter=order)]  # every rare context has sent its count
-        assert (token[at] == first).all()
-        m1, d1 = main[at][which], deleted[at][which]
-        ctx = np.full(len(which), _RARE, np.int32)
-        out = [(1, *e, None) for e in _events(words, ctx, m1 + d1, m1, c12, c2, e12)]
-        out.append((0, None, None, None, None, _pack(ids, digests, ctx, m1 + d1, c12 + e12, c2 + e2, np.zeros(0, np.int64), runs, text)))
-        return _table(out)
-
-    return rows.where("kind IN (3, 4)").select(F.col("a").alias("part"), "kind", "block").groupBy("part").applyInArrow(run, _ROWS)
+        sizes = table["size"].to_numpy()
+        ends = np.cumsum(sizes)
+        folds = np.repeat(table["fold"].to_numpy(), sizes)
+        keys = np.concatenate([np.cumsum(expanded(k.as_py(), n), dtype=np.uint64) for k, n in zip(table["keys"], sizes.tolist(), strict=True)])
+        counts = np.concatenate([expanded(c.as_py(), n) for c, n in zip(table["counts"], sizes.tolist(), strict=True)]).astype(np.float64)  # exact below 2**53
+        unique, back = np.unique(keys, return_inverse=True)
+        del keys
+        trained, kept = (np.bincount(back, np.where(which, counts, 0), len(unique)).astype(np.int64) for which in (folds != HELD_OUT, folds == KEPT))
+        part, n = table["part"][0].as_py(), table["n"][0].as_py()
+        rows = []
+        for block, f, size, end in zip(table["block"].to_pylist(), table["fold"].to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
+            own = back[end - size : end]
+            rows.append((part, n, block, size, squeezed(trained[own]), squeezed(kept[own]) if f == DELETED else None, None, None, None))
+        if n == 1:
+            rows.append((part, n, _TOTALS, 0, None, None, int(trained.sum()), int(kept.sum()), int((trained > 0).sum())))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ANSWER, strict=True)], [c.split()[0] for c in _ANSWERS.split(", ")])
+
+    return asked.groupBy("n", "part").applyInArrow(run, _ANSWERS)
+
+
+def _totals(given: pa.Table, column: str, order: int) -> list[np.ndarray]:
+    """By order, the answers to a block in the order of its n-grams."""
+    order_of = np.lexsort((given["part"].to_numpy(), given["n"].to_numpy()))
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(order)]
+    ns, sizes, raw = given["n"].to_numpy(), given["size"].to_numpy(), given[column]
+    for i in order_of.tolist():
+        out[ns[i] - 1].append(expanded(raw[i].as_py(), int(sizes[i])))
+    return [np.concatenate(x).astype(np.int64) for x in out]
+
+
+def _estimates(grams: Grams, totals: list[np.ndarray], texts: int, tokens: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(bucket, counts of the n-grams, counts of their contexts) at each token; the lists go by order, the shortest first.
+
+    The bucket is that of the longest context that has a count: its order and binary logarithm.
+    """
+    count = [t[b] for t, b in zip(totals, grams.back, strict=True)]
+    context = [np.full(len(count[0]), tokens)] + [np.where(grams.first, texts, np.append(c[:1], c[:-1])) for c in count[:-1]]
+    bucket = np.zeros(len(count[0]), np.int64)
+    for n, c in enumerate(context[1:], 1):
+        some = c > 0
+        bucket[some] = 64 * n + np.frexp(c[some].astype(np.float64))[1]
+    return bucket, count, context
+
+
+def events(blocks: DataFrame, given: DataFrame, model: Model, order: int) -> DataFrame:
+    """bucket, the counts behind the estimates (g1 and c1 to the highest order) and number of such tokens, by block of the deleted fold."""
+    names = ["bucket", *(f"{x}{n}" for n in range(1, order + 1) for x in ("g", "c")), "number"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams = grams_of(left["payload"][0].as_py(), order)
+        bucket, count, context = _estimates(grams, _totals(right, "kept", order), model.texts_kept, model.tokens_kept)
+        columns = [bucket, *(x for pair in zip(count, context, strict=True) for x in pair)]
+        kinds, back, number = _different(columns)
+        return pa.table([pa.array(c[kinds].astype(np.int64)) for c in columns] + [pa.array(number)], names)
+
+    own = blocks.where(F.col("fold") == DELETED).select("block", "payload")
+    return own.groupBy("block").cogroup(given.where("kept IS NOT NULL").groupBy("block")).applyInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _different(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each different row comes first, the kind of each row, number of each kind)."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        own = c[order]
+        new[1:] |= own[1:] != own[:-1]
+    kind = np.cumsum(new) - 1
+    back = np.empty(len(order), np.int64)
+    back[order] = kind
+    return order[new], back, np.bincount(kind, minlength=int(new.sum())).astype(np.int64)
 
 
 @dataclass
-class Weights:
-    """A row of mixture weights (pair, word, any word) for each bucket of contexts."""
-
-    mix: np.ndarray = field(default_factory=lambda: np.tile([0.5, 0.4, 0.1], (last_bucket() + 1, 1)))
-
-
-def learned_weights(events: np.ndarray, words: Frequent) -> Weights:
-    """Expectation-maximisation; events has rows (bucket, level of the pair's estimate, of the word's, number)."""
-    out = Weights()
-    out.mix[-1] = [0.0, 0.9, 0.1]
-    for b in range(last_bucket() + 1):
-        own = events[events[:, 0] == b]
-        if not len(own):
-            continue
-        estimates = np.column_stack([*(np.where(own[:, k] == _NEVER, 0.0, np.exp2(np.maximum(own[:, k], -4000) / 4.0)) for k in (1, 2)), np.full(len(own), 1 / (words.kinds + 1))])
-        n = own[:, 3].astype(float)
-        mix = out.mix[b].copy()
-        for _ in range(STEPS):
-            share = estimates * mix
-            share /= share.sum(1, keepdims=True)
-            mix = (share * n[:, None]).sum(0) / n.sum()
-        out.mix[b] = np.maximum(mix, [0.0, 1e-6, 1e-6])
-        if b == last_bucket():
-            out.mix[b, 0] = 0.0
-        out.mix[b] /= out.mix[b].sum()
+class Model:
+    """Totals of the training texts, and by bucket the weights of any word, the word alone, and so on to the longest n-gram."""
+
+    order: int
+    tokens: int
+    tokens_kept: int
+    kinds: int
+    texts: int = 0
+    texts_kept: int = 0
+    weights: dict[int, list[float]] | None = None
+
+    def start(self) -> list[float]:
+        rest = 1 - 0.1
+        return [0.1, *(rest / self.order for _ in range(self.order))]
+
+    def of(self, buckets: np.ndarray) -> np.ndarray:
+        """Rows of weights. A bucket without events has those of the next lower one with any, or else of the next higher one."""
+        known = np.array(sorted(self.weights or {}), np.int64)
+        if not len(known):
+            return np.tile(self.start(), (len(buckets), 1))
+        table = np.array([self.weights[b] for b in known.tolist()])
+        return table[np.maximum(np.searchsorted(known, buckets, side="right") - 1, 0)]
+
+
+def _step(found: DataFrame, model: Model, weights: dict[int, list[float]]) -> dict[int, list[float]]:
+    """One step of expectation-maximisation for all buckets."""
+    known = sorted(weights)
+    where = F.array_position(F.array(*(F.lit(b).cast("long") for b in known)), F.col("bucket")).cast("int")
+    weight = lambda i: F.element_at(F.array(*(F.lit(float(weights[b][i])) for b in known)), where)
+    ratio: list[Column] = [F.lit(1 / (model.kinds + 1))]
+    ratio += [F.col(f"g{n}") / F.greatest(F.col(f"c{n}"), F.lit(1)) for n in range(1, model.order + 1)]
+    shares = found.select("bucket", "number", *((weight(i) * r).alias(f"s{i}") for i, r in enumerate(ratio)))
+    whole = sum((F.col(f"s{i}") for i in range(1, len(ratio))), F.col("s0"))
+    sums = shares.withColumn("per", F.col("number") / whole).groupBy("bucket").agg(F.sum("number").alias("number"), *(F.sum(F.col("per") * F.col(f"s{i}")).alias(f"s{i}") for i in range(len(ratio))))
+    return {r["bucket"]: [r[f"s{i}"] / r["number"] for i in range(len(ratio))] for r in sums.collect()}
+
+
+def learned_weights(found: DataFrame, model: Model) -> dict[int, list[float]]:
+    """Weights by bucket: at most STEPS steps, until no weight changes by more than CLOSE. The driver sees sums by bucket alone."""
+    weights = {r["bucket"]: model.start() for r in found.select("bucket").distinct().collect()}
+    for _ in range(STEPS if weights else 0):
+        before, weights = weights, _step(found, model, weights)
+        if max(abs(x - y) for b in weights for x, y in zip(weights[b], before[b], strict=True)) <= CLOSE:
+            break
+    out = {}
+    for b, mix in weights.items():
+        mix = [max(mix[0], LEAST), max(mix[1], LEAST), *mix[2:]]
+        out[b] = [x / sum(mix) for x in mix]
     return out
 
 
-def sums(rows: DataFrame, words: Frequent, weights: Weights, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, digest and what one part adds to a text's sums. pairs: numbers of hot pairs in order, and their counts."""
-    size = len(words.tokens) + 1
-    c1_all = words.contexts(True)
-    names = ["doc_id", "digest", "copies", "n_tokens", "n_known", "base", "score"]
+def scored(blocks: DataFrame, given: DataFrame, model: Model, order: int) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of each text."""
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column("block"):
-                ids, digests, *lists = _unpack(value.as_py())
-                found = np.zeros((5, len(ids)))
-                for k in range(0, len(lists), 7):
-                    ctx, c1_rare, c12, c2, hot, runs, text = lists[k : k + 7]
-                    if len(hot):
-                        word = (hot - 1) % size + 1
-                        ctx = np.concatenate((ctx, (hot - word) // size))
-                        c12 = np.concatenate((c12, pairs[1][np.searchsorted(pairs[0], hot)]))
-                        c2 = np.concatenate((c2, (words.main + words.deleted)[word - 1]))
-                    c1 = c1_all[ctx]
-                    c1[ctx == _RARE] = c1_rare
-                    mix = weights.mix[words.buckets(ctx, c1)]
-                    p = mix[:, 0] * c12 / np.maximum(c1, 1) + mix[:, 1] * c2 / max(words.total, 1) + mix[:, 2] / (words.kinds + 1)
-                    assert runs.sum(dtype=np.int64) == len(text)
-                    for n, x in enumerate((ctx == _ORIGIN, np.ones(len(ctx)), c2 > 0, np.log10(c2 + 1.0), np.log10(p))):
-                        found[n] += np.bincount(text, np.repeat(x, runs), len(ids))
-                out = [pa.array(ids, mask=ids == _NO_ID), pa.array(digests), *map(pa.array, found[:3].astype(np.int64)), *map(pa.array, found[3:])]
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    return rows.mapInArrow(run, "doc_id long, digest long, copies long, n_tokens long, n_known long, base double, score double")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams = grams_of(left["payload"][0].as_py(), order)
+        bucket, count, context = _estimates(grams, _totals(right, "trained", order), model.texts, model.tokens)
+        different, back = np.unique(bucket, return_inverse=True)
+        mix = model.of(different)
+        p = mix[back, 0] / (model.kinds + 1)
+        for n, (g, c) in enumerate(zip(count, context, strict=True), 1):
+            p += mix[back, n] * (g / np.maximum(c, 1))
+        sums = lambda x: np.add.reduceat(x, grams.at[:-1])
+        length = np.diff(grams.at)
+        base = sums(np.log10(count[0] + 1.0)) - length * math.log10(model.tokens + model.kinds + 1)
+        return pa.table([grams.ids, pa.array(length), pa.array(sums((count[0] > 0).astype(np.int64))), pa.array(base), pa.array(sums(np.log10(p)))], names)
 
+    return blocks.select("block", "payload").groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
-def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base and model scores of every text.
 
+def interpolated_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
+
+    Texts of fold HELD_OUT teach nothing, those of fold DELETED the weights alone until these are known.
     Null or empty text: the end alone. Repeated rows: a result each. Null doc_id: a training text. Without
-    training texts every estimate is that of any word. An empty table gives no rows.
+    training texts every estimate is that of any word. An empty table gives no rows. Other columns, whatever
+    their names, are left aside.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = scratch.saved(token_counts(docs), "lm-tokens")
-    words = frequent_words(counts)
-    parts = max(MIN_PARTS, math.ceil(words.total / PART_TOKENS))
-    rows = scratch.saved(counted(occurrences(docs, words, parts), words), "lm-counts")
-    pairs = rows.where("kind = 2").groupBy("a").agg(F.sum("b").alias("main"), F.sum("c").alias("deleted")).orderBy("a").toArrow()  # at most 1/HOT_SHARE squared
-    number, main, deleted = (pairs[c].to_numpy() for c in ("a", "main", "deleted"))
-    rare = scratch.saved(resolved(rows, words), "lm-rare")
-    rows = rows.union(rare)
-    events = rows.where("kind = 1").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).toArrow()  # bounded by the levels
-    found = np.column_stack([events[c].to_numpy() for c in ("a", "b", "c", "n")]) if events.num_rows else np.zeros((0, 4), np.int64)
-    if len(number):
-        size = len(words.tokens) + 1
-        word = (number - 1) % size + 1
-        ctx = (number - word) // size
-        own = np.column_stack((words.buckets(ctx, words.contexts(True)[ctx]), _level(main / np.maximum(words.contexts()[ctx], 1)), _level(words.main[word - 1] / max(words.main_total, 1)), deleted))
-        found = np.concatenate((found, own[deleted > 0]))
-    weights = learned_weights(found, words)
-    added = sums(rows.where("kind = 0").select("block"), words, weights, (number, main + deleted))
-    whole = added.groupBy("doc_id", "digest").agg(*(F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")))
-    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    n = (F.col("n_tokens") / F.col("copies")).cast("long")
-    return whole.select(
-        "doc_id",
-        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False)).alias("held_out"),
-        n.alias("n_tokens"),
-        (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies") - n * math.log10(words.total + words.kinds + 1)).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
-    )
+    blocks = scratch.saved(blocks_of(docs), "lm-blocks")
+    ranges = max(1, math.ceil((blocks.agg(F.sum("n_bytes")).first()[0] or 0) / RANGE_BYTES))
+    given = scratch.saved(answers(requests(blocks, ranges, order)), "lm-answers")
+    sums = given.where(F.col("block") == _TOTALS).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "tokens_kept", "kinds"))).first()
+    given = given.where(F.col("block") != _TOTALS).select("part", "n", "block", "size", "trained", "kept")
+    model = Model(order, *sums)
+    folds = F.crc32(F.col("doc_id").cast("string")) % FOLDS
+    held_out = F.coalesce(folds == HELD_OUT, F.lit(False))
+    texts = docs.select(held_out.alias("held"), F.coalesce(folds == DELETED, F.lit(False)).alias("deleted")).agg(F.count_if(~F.col("held")).alias("texts"), F.count_if(~F.col("held") & ~F.col("deleted")).alias("kept")).first()
+    model.texts, model.texts_kept = texts["texts"], texts["kept"]
+    model.weights = learned_weights(scratch.saved(events(blocks, given, model, order), "lm-events"), model)
+    whole = scored(blocks, given, model, order)
+    return whole.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document; odd rows as in ``interpolated_scores``."""
+    return interpolated_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
