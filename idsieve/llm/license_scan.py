@@ -2,18 +2,22 @@
 
 Every rolling word k-gram of every text is joined to the positions at which a template has it. A hit
 at word i of the text and word j of the template votes for the diagonal i - j; a copied passage fills
-one diagonal, and each inserted or dropped word moves it to a neighbouring one. Diagonals that lie
-close together are merged to a span, and a span counts when it covers enough of its template.
+one diagonal, and each inserted or dropped word moves it to a neighbouring one. Runs of hits on
+neighbouring diagonals are merged where they go on in both the text and the template, in the way that covers
+most of the template, and the span that they give is verified: it counts when the words that both have
+are enough of the template and of the span. What stands beside a notice, such as a second copy of it or
+stray words of it, makes spans of its own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as B
@@ -69,16 +73,15 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
     return B.gram_hashes(words, np.array([0, len(words)]), k)[0].view(np.int64) if len(words) >= k else np.zeros(0, np.int64)
 
 
-def template_positions(spark: SparkSession, templates: list[Template], k: int) -> tuple[DataFrame, DataFrame]:
-    """(hash, template, at) for every k-gram of every template, and (template, label, exact, size)."""
+def template_positions(spark: SparkSession, templates: list[Template], k: int) -> tuple[DataFrame, list[int]]:
+    """(hash, template, at) for every k-gram of every template, and the templates' numbers of words."""
     words = [_words(t.text) for t in templates]
     if sum(map(len, words)) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
     if short := [t.text for t, w in zip(templates, words, strict=True) if len(w) < k]:
         raise ValueError(f"templates need {k} words or more: {short}")
     rows = [(h, n, at) for n, w in enumerate(words) for at, h in enumerate(_grams(w, k).tolist())]
-    places = spark.createDataFrame([*rows, (0, _DOCUMENT, 0)], "hash long, template int, at int")
-    return places, spark.createDataFrame([(n, t.label, t.exact, len(w)) for n, (t, w) in enumerate(zip(templates, words, strict=True))], "template int, label string, exact boolean, size int")
+    return spark.createDataFrame([*rows, (0, _DOCUMENT, 0)], "hash long, template int, at int"), [len(w) for w in words]
 
 
 def rolling_grams(docs: DataFrame, k: int) -> DataFrame:
@@ -100,12 +103,118 @@ def rolling_grams(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest long, n_words long, grams array<long>")
 
 
+@dataclass(frozen=True)
+class Run:
+    """Words that a text and a template have in common, one after the other: from ``i`` in the text and ``j`` in the template."""
+
+    i: int
+    j: int
+    size: int
+
+
+def runs_of(diagonal: int, at: list[int], k: int) -> list[Run]:
+    """The runs on a diagonal, from the template positions of its hits."""
+    out, first = [], None
+    at = sorted(at)
+    for n, j in enumerate(at):
+        first = j if first is None else first
+        if n + 1 == len(at) or at[n + 1] != j + 1:
+            out.append(Run(diagonal + first, first, j - first + k))
+            first = None
+    return out
+
+
+def added(a: Run, b: Run, shift: int) -> int:
+    """Words that b adds to a span that ends with a; 0 if b does not go on from there."""
+    if not (a.i < b.i and a.j < b.j and a.i + a.size < b.i + b.size and a.j + a.size < b.j + b.size and abs((b.i - b.j) - (a.i - a.j)) <= shift):
+        return 0
+    return max(0, b.size - max(0, a.i + a.size - b.i, a.j + a.size - b.j))
+
+
+def spans_of(runs: list[Run], size: int, shift: int, cover: float) -> list[tuple[int, int, float]]:
+    """(start, words, score) of the spans of a template of ``size`` words, in the order of the text.
+
+    A span begins and ends with a run and holds runs of which each goes on from the one before; its score is
+    the number of words in the runs over that of the template or the span, whichever is larger. Of spans that
+    overlap, the one with the higher score counts, or else the first, or else the shorter.
+    """
+    runs = sorted(runs, key=lambda r: (r.i, r.j))
+    found = []
+    for n, head in enumerate(runs):
+        end = head.i + size / cover + 1e-9  # a longer span cannot be covered enough
+        best = {n: head.size}
+        for m in range(n + 1, len(runs)):
+            if runs[m].i >= end:
+                break
+            if runs[m].i + runs[m].size <= end:
+                most = max((b + new for p, b in best.items() if (new := added(runs[p], runs[m], shift))), default=0)
+                if most:
+                    best[m] = most
+        for m, covered in best.items():
+            length = runs[m].i + runs[m].size - head.i
+            score = covered / max(size, length)
+            if score >= cover - 1e-9:
+                found.append((-score, head.i, length))
+    starts: list[int] = []
+    out: list[tuple[int, int, float]] = []
+    for score, start, length in sorted(found):
+        at = bisect(starts, start)
+        if (at == 0 or out[at - 1][0] + out[at - 1][1] <= start) and (at == len(out) or start + length <= out[at][0]):
+            starts.insert(at, start)
+            out.insert(at, (start, length, -score))
+    return out
+
+
+_SPAN = pa.struct([("template", pa.int32()), ("label", pa.string()), ("exact", pa.bool_()), ("start", pa.int64()), ("size", pa.int64()), ("score", pa.float64())])
+
+
+def merged(votes: DataFrame, templates: list[Template], sizes: list[int], k: int, shift: int, cover: float) -> DataFrame:
+    """Rows with votes (template, diagonal, at and n) of one text, to its number of words, copies and spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("votes")
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            template, diagonal, n, at = (flat.field(f) for f in ("template", "diagonal", "n", "at"))
+            template, diagonal, n = (x.to_numpy() for x in (template, diagonal, n))
+            at_from = at.offsets.to_numpy()
+            hits = np.diff(at_from)
+            at = at.values.to_numpy()
+            n_words, copies = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            of = template == _DOCUMENT
+            n_words[rows[of]], copies[rows[of]] = diagonal[of], n[of]
+            size = np.array([*sizes, 0])[template]
+            exact = np.array([*(t.exact for t in templates), True])[template]
+            spans: dict[int, list] = {}
+            for v in np.flatnonzero(exact & ~of & (hits == size - k + 1)).tolist():
+                t = int(template[v])
+                spans.setdefault(int(rows[v]), []).append((t, templates[t].label, True, int(diagonal[v]), sizes[t], 1.0))
+            # a template whose hits cannot cover enough of it has no span
+            group, back = np.unique(rows * len(sizes) + template, return_inverse=True)
+            likely = ~exact & (np.bincount(back, hits)[back] * k >= cover * size - 1e-9) if len(group) else exact
+            order = np.flatnonzero(likely)
+            order = order[np.argsort(back[order], kind="stable")]
+            for own in np.split(order, np.flatnonzero(np.diff(back[order])) + 1):
+                if len(own):
+                    t = int(template[own[0]])
+                    runs = [r for v in own.tolist() for r in runs_of(int(diagonal[v]), at[at_from[v] : at_from[v + 1]].tolist(), k)]
+                    spans.setdefault(int(rows[own[0]]), []).extend((t, templates[t].label, False, *s) for s in spans_of(runs, sizes[t], shift, cover))
+            made = [sorted(spans.get(r, ()), key=lambda s: (s[3], s[0])) for r in range(batch.num_rows)]
+            names = [f.name for f in _SPAN]
+            made = pa.array([[dict(zip(names, s, strict=True)) for s in own] for own in made], pa.list_(_SPAN))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(n_words), pa.array(copies), made], ["doc_id", "digest", "n_words", "copies", "spans"])
+
+    return votes.mapInArrow(run, "doc_id long, digest long, n_words long, copies long, spans array<struct<template: int, label: string, exact: boolean, start: long, size: long, score: double>>")
+
+
 def scan(docs: DataFrame, templates: list[Template] | None = None, k: int = GRAM_WORDS, shift: int = MAX_SHIFT, cover: float = MIN_COVER) -> DataFrame:
     """doc_id, digest, n_words, copies and spans (template, label, exact, start, size, score) of each different row.
 
     Rows of equal doc_id and text are one row, with their number in ``copies``. A null text is an empty one.
     """
-    places, about = template_positions(docs.sparkSession, templates or TEMPLATES, k)
+    templates = templates or TEMPLATES
+    places, sizes = template_positions(docs.sparkSession, templates, k)
     key = ["doc_id", "digest"]
     hits = (
         rolling_grams(docs, k)
@@ -114,31 +223,8 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, k: int = GRAM
         .select(*key, "template", F.when(F.col("template") == _DOCUMENT, F.col("n_words")).otherwise(F.col("word") - 1 - F.col("at")).alias("diagonal"), "at")
     )
     votes = hits.groupBy(*key, "template", "diagonal").agg(F.collect_set("at").alias("at"), F.count("*").alias("n"))
-    # a long passage may be cut by an insertion: diagonals within `shift` words belong together
-    order = Window.partitionBy(*key, "template").orderBy("diagonal")
-    votes = votes.join(F.broadcast(about), "template", "left")
-    apart = F.col("exact") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > shift)
-    votes = votes.withColumn("opens", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("opens").over(order))
-    spans = votes.groupBy(*key, "template", "span").agg(
-        F.first("label").alias("label"),
-        F.first("exact").alias("exact"),
-        F.first("size").alias("size"),
-        F.max("n").alias("n"),
-        F.max("diagonal").alias("n_words"),
-        F.min(F.col("diagonal") + F.array_min("at")).alias("start"),
-        F.max(F.col("diagonal") + F.array_max("at") + k).alias("end"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("grams"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("at", lambda a: F.sequence(a, a + k - 1))))))).alias("covered"),
-    )
-    score = F.col("covered") / F.greatest("size", F.col("end") - F.col("start"))
-    kept = F.when(F.col("exact"), F.col("grams") == F.col("size") - k + 1).otherwise(score >= cover)
-    itself = F.col("template") == _DOCUMENT
-    found = F.struct("template", "label", "exact", "start", (F.col("end") - F.col("start")).alias("size"), F.least(F.lit(1.0), score).alias("score"))
-    return spans.groupBy(*key).agg(
-        F.max(F.when(itself, F.col("n_words"))).alias("n_words"),
-        F.max(F.when(itself, F.col("n"))).alias("copies"),
-        F.collect_list(F.when(~itself & kept, found)).alias("spans"),
-    )
+    votes = votes.groupBy(*key).agg(F.collect_list(F.struct("template", F.col("diagonal").cast("long").alias("diagonal"), "at", "n")).alias("votes"))
+    return merged(votes, templates, sizes, k, shift, cover)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

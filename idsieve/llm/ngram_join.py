@@ -4,9 +4,11 @@
    with the same set are one node from here on, however many copies there are.
 2. Nodes meet on band keys. A bucket is not expanded to pairs: it links its nodes to their least one, and
    the connected components of these links hold all pairs of candidates.
-3. The n-grams of candidates, and of no other text, are dealt out by component; large components go as
-   pairs of blocks. Each task compares full sets by counting common n-grams in matrix products, and emits
-   a row for each node: how many it is linked to, and its least node among those linked directly or not.
+3. The n-grams of candidates, and of no other text, are dealt out: those of small components by component,
+   those of others by bucket, a large bucket as pairs of blocks. There a pair is compared in the first band
+   that it shares, and nowhere else. Each task compares full sets by counting common n-grams in matrix
+   products, and emits a row for each node: how many it is linked to, and its least node among those linked
+   directly or not.
 4. Components of the verified links are the classes.
 
 The numbers of bands and rows follow from the similarity and the recall asked for.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as B
@@ -28,7 +30,7 @@ from . import scratch
 from .components import components
 
 GRAM_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
-MAX_HASHES = 128
+MAX_HASHES = 256
 BLOCK_GRAMS, BLOCK_NODES = 1_000_000, 1200
 COLUMNS = 2048
 
@@ -37,8 +39,8 @@ def choose_bands(similarity: float, recall: float, most: int = MAX_HASHES) -> tu
     """(bands, rows): the most selective rows with which a pair of this similarity meets in a band with the given probability."""
     best = None
     for rows in range(1, most + 1):
-        p = similarity**rows
-        bands = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        p = max(similarity**rows, 1e-300)
+        bands = 1 if p >= recall else math.ceil(math.log1p(-recall) / math.log1p(-p))
         if bands * rows <= most:
             best = bands, rows
     if best is None:
@@ -73,7 +75,7 @@ def band_keys(grams: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np
 
 
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, node (digest of the n-gram set; null without words), n (its size) and keys of the bands."""
+    """doc_id, text_key, digest (of the n-gram set; null without words), n (its size) and keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +85,10 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 raw = memoryview(grams.tobytes())
                 nodes = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 cut = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_key")]
-                yield pa.RecordBatch.from_arrays([*cut, pa.array(nodes, pa.binary()), pa.array(np.diff(begin)), B.lists(keys.view(np.int64).ravel(), np.arange(hi - lo + 1) * bands)], ["doc_id", "text_key", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*cut, pa.array(nodes, pa.binary()), pa.array(np.diff(begin)), B.lists(keys.view(np.int64).ravel(), np.arange(hi - lo + 1) * bands)], ["doc_id", "text_key", "digest", "n", "keys"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
-    return keyed.mapInArrow(run, "doc_id long, text_key long, node binary, n long, keys array<long>")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, digest binary, n long, keys array<long>")
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -122,39 +124,69 @@ def common_counts(grams: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _shared_before(keys: np.ndarray, band: int) -> np.ndarray:
+    """Whether each two rows of band keys agree in a band before this one."""
+    out = np.zeros((len(keys), len(keys)), bool)
+    for b in range(band):
+        out |= keys[:, b][:, None] == keys[:, b][None, :]
+    return out
+
+
 def compared(members: DataFrame, similarity: float) -> DataFrame:
-    """Verify groups of candidates. Rows: node, linked (documents in other nodes linked to it), hub and whole (no other block).
+    """Verify groups of candidates. Rows: node, linked (documents in other nodes linked to it in this group) and hub.
 
-    members: bin, component, i, j, block, node, copies and grams. A task gets one bin with small components,
-    or one pair of blocks of a large one; within a pair, nodes of the same block are only compared where i = j.
+    members: cell, grp, i, j, block, band, keys, node, copies and grams. A task gets one cell: small components (band is -1), or
+    one pair of blocks of a bucket. There, pairs that share an earlier band are left to it, and nodes of the same
+    block are only compared where i = j.
     """
     share = similarity / (1 + similarity)
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, groups = table["node"].to_pylist(), table["component"].to_pylist()
+        nodes, groups = table["node"].to_numpy(), table["grp"].to_numpy()
         copies, block = table["copies"].to_numpy(), table["block"].to_numpy()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        i, j, band = (table[c][0].as_py() for c in ("i", "j", "band"))
         lists = table["grams"].combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-        by: dict[bytes, list[int]] = {}
-        for n, g in enumerate(groups):
-            by.setdefault(g, []).append(n)
+        order = np.lexsort((nodes, groups))  # the least node of a group is its first
         rows = []
-        for own in by.values():
-            own = np.array(sorted(own, key=nodes.__getitem__))  # the least node is the first
-            sizes = (at[own + 1] - at[own]).astype(np.float64)
-            common = common_counts([flat[at[x] : at[x + 1]] for x in own])
-            linked = common >= share * (sizes[:, None] + sizes[None, :]) - 1e-6
+        for own in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+            left = ~np.eye(len(own), dtype=bool)
+            if band > 0:
+                left &= ~_shared_before(np.array([table["keys"][x].as_py()[:band] for x in own.tolist()], np.int64), band)
             if i != j:
-                linked &= block[own][:, None] != block[own][None, :]
-            np.fill_diagonal(linked, False)
-            label = _labels(linked)
-            total = linked @ copies[own]
-            rows += [(nodes[x], int(t), nodes[own[h]]) for x, t, h in zip(own.tolist(), total.tolist(), label.tolist(), strict=True)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["node", "linked", "hub"])
-
-    return members.groupBy("bin", "i", "j").applyInArrow(run, "node binary, linked long, hub binary")
+                left &= block[own][:, None] != block[own][None, :]
+            if left.any():
+                sizes = (at[own + 1] - at[own]).astype(np.float64)
+                common = common_counts([flat[at[x] : at[x + 1]] for x in own])
+                left &= common >= share * (sizes[:, None] + sizes[None, :]) - 1e-6
+            rows.append((nodes[own], left @ copies[own], nodes[own][_labels(left)]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["node", "linked", "hub"])
+
+    return members.groupBy("cell", "i", "j").applyInArrow(run, "node long, linked long, hub long")
+
+
+def _blocks() -> Column:
+    """How many blocks of bounded size hold what has these sums."""
+    return F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("members") / BLOCK_NODES)).cast("int")
+
+
+def _cells(found: DataFrame, met: DataFrame) -> tuple[DataFrame, bool]:
+    """The candidates with ``cells``: where each is compared, as structs (cell, grp, band, blocks). Whether there are large components."""
+    sums = [F.sum("n").alias("grams"), F.count("*").alias("members")]
+    sizes = scratch.saved(found.groupBy("root").agg(*sums).select("root", "grams", _blocks().alias("blocks")), "join-sizes")
+    small, large = sizes.agg(F.sum(F.expr("IF(blocks = 1, grams, 0)")), F.coalesce(F.max("blocks") > 1, F.lit(False))).first()
+    bins = max(1, math.ceil((small or 0) / BLOCK_GRAMS))
+    of_bin = F.array(F.struct(F.concat(F.lit("c"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("cell"), F.col("root").alias("grp"), F.lit(-1).alias("band"), F.lit(1).alias("blocks")))
+    if not large:
+        return found.withColumn("cells", of_bin), False
+    found = scratch.saved(found.join(sizes.select("root", (F.col("blocks") > 1).alias("large")), "root"), "join-found")
+    inside = scratch.saved(met.join(found.where("large").select("node", "n"), "node"), "join-inside")
+    buckets = inside.groupBy("key", "band").agg(*sums).where("members > 1").select("key", "band", _blocks().alias("blocks"))
+    inside = inside.join(scratch.saved(buckets, "join-buckets"), ["key", "band"])
+    of_buckets = inside.groupBy("node").agg(F.collect_list(F.struct(F.concat(F.lit("b"), "key").alias("cell"), F.col("key").alias("grp"), "band", "blocks")).alias("of_buckets"))  # one for each band at most
+    found = found.join(of_buckets, "node", "left")
+    return found.withColumn("cells", F.when(F.col("large"), F.col("of_buckets")).otherwise(of_bin)).drop("of_buckets", "large"), True
 
 
 def similarity_join(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -164,24 +196,19 @@ def similarity_join(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SI
     has one gram of all its words. ``links`` counts the documents linked to this one, ``class_id`` is the
     least doc_id among those linked directly or through others: null if all are null, and the same for two
     classes whose least doc_id is. ``class_key`` is a class's own. A text without words (null, empty) links to
-    none and is its own class, without a key.
+    none and is its own class, without a key. Other columns, whatever their names, are left aside.
     """
     bands, rows = choose_bands(similarity, recall)
     texts = scratch.saved(signed(docs, k, bands, rows), "join-texts")
-    nodes = texts.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = scratch.saved(nodes, "join-nodes")
-    met = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = met.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "a")
-    found = components(met.join(hubs, "key").select("a", F.col("node").alias("b")))
-    found = scratch.saved(found.withColumnRenamed("root", "component").join(nodes.select("node", "first", "copies", "n"), "node"), "join-candidates")
-    # blocks of bounded size; small components share bins
-    sizes = found.groupBy("component").agg(F.sum("n").alias("grams"), F.count("*").alias("members"))
-    blocks = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("members") / BLOCK_NODES)).cast("int")
-    sizes = sizes.select("component", "grams", blocks.alias("blocks"))
-    small = sizes.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0
-    bins = max(1, math.ceil(small / BLOCK_GRAMS))
-    found = found.join(sizes.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    wanted = found.select("node", "component", "blocks", "block", "copies", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
+    nodes = texts.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = scratch.saved(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
+    met = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    hubs = scratch.saved(met.groupBy("key", "band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "band", "hub"), "join-hubs")
+    met = scratch.saved(met.join(hubs, ["key", "band"]), "join-met")
+    roots = components(met.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    found = scratch.saved(nodes.drop("digest", "least").join(roots, "node"), "join-candidates")
+    found, large = _cells(found, met.drop("hub"))
+    wanted = found.select("node", "copies", "keys", "cells", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     near = whole.join(wanted, whole["id"].eqNullSafe(wanted["id"]) & (whole["key"] == wanted["key"])).drop(wanted["id"]).drop(wanted["key"]).drop("id", "key")
 
@@ -189,34 +216,26 @@ def similarity_join(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SI
         for batch in batches:
             for lo, hi, data, offsets in B.chunked(B.as_strings(batch.column("text"))):
                 flat, begin = gram_sets(data, offsets, k)
-                cut = [batch.column(c).slice(lo, hi - lo) for c in ("node", "component", "blocks", "block", "copies")]
-                yield pa.RecordBatch.from_arrays([*cut, B.lists(flat.view(np.int64), begin)], ["node", "component", "blocks", "block", "copies", "grams"])
-
-    members = near.mapInArrow(grams, "node binary, component binary, blocks int, block int, copies long, grams array<long>")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    alone = F.col("blocks") == 1
-    members = members.select("*", other).select(
-        F.when(alone, F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string")).otherwise(F.hex("component")).alias("bin"),
-        "component",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        "block",
-        "node",
-        "copies",
-        "grams",
-    )
+                cut = [batch.column(c).slice(lo, hi - lo) for c in ("node", "copies", "keys", "cells")]
+                yield pa.RecordBatch.from_arrays([*cut, B.lists(flat.view(np.int64), begin)], ["node", "copies", "keys", "cells", "grams"])
+
+    members = near.mapInArrow(grams, "node long, copies long, keys array<long>, cells array<struct<cell: string, grp: long, band: int, blocks: int>>, grams array<long>")
+    members = members.withColumn("at", F.explode("cells")).select("node", "copies", "grams", "at.*", F.when(F.col("at.band") > 0, F.col("keys")).alias("keys"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
     # identical rows of one document would come twice
-    members = members.dropDuplicates(["bin", "i", "j", "node"]) if _repeats(texts) else members
+    members = members.dropDuplicates(["cell", "grp", "i", "j", "node"]) if _repeats(texts) else members
     checked = scratch.saved(compared(members, similarity), "join-checked")
-    linked = checked.groupBy("node").agg(F.sum("linked").alias("linked"))
-    classes = components(checked.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    classes = classes.withColumnRenamed("root", "class")
-    nodes = nodes.select("node", "least", "copies").join(linked, "node", "left").join(classes, "node", "left")
-    nodes = nodes.select("node", "least", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("class", "node").alias("class"))
-    of_class = nodes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    nodes = nodes.join(of_class, "class").select("node", F.col("class").alias("class_key"), (F.col("copies") - 1 + F.col("linked")).alias("links"), "class_id", "class_size")
-    alone = F.col("node").isNull()
-    return texts.select("doc_id", "text_key", "node").join(nodes, "node", "left").select("doc_id", "text_key", "class_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    linked = checked.groupBy("node").agg(F.sum("linked").alias("linked"), F.min("hub").alias("class"))
+    if large:
+        classes = components(checked.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        linked = linked.drop("class").join(classes.withColumnRenamed("root", "class"), "node", "left")
+    nodes = nodes.select("node", "digest", "least", "copies").join(linked, "node", "left")
+    nodes = scratch.saved(nodes.select("digest", "least", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("class", "node").alias("class_key")), "join-linked")
+    of_class = scratch.saved(nodes.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "join-classes")
+    nodes = nodes.join(of_class, "class_key").select("digest", "class_key", (F.col("copies") - 1 + F.col("linked")).alias("links"), "class_id", "class_size")
+    alone = F.col("digest").isNull()
+    return texts.select("doc_id", "text_key", "digest").join(scratch.saved(nodes, "join-result"), "digest", "left").select("doc_id", "text_key", "class_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def _repeats(texts: DataFrame) -> bool:
@@ -227,17 +246,19 @@ def _repeats(texts: DataFrame) -> bool:
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that come first in their class: least doc_id (nulls first), then least text key.
 
-    Of rows with equal doc_id and text one stays. Texts without words all stay, but for repeated rows.
+    Of rows with equal doc_id and text one stays. Texts without words all stay, but for repeated rows. An empty
+    table stays one.
     """
     joined = scratch.saved(similarity_join(docs, **options), "join-rows")  # two uses follow
     key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text_key")
     # a text without words is its own class: its own row stays
-    single = joined.where("class_size = 1").select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"))
+    text_key, keep_id, keep_key = scratch.unused(docs, "text_key", "keep_id", "keep_key")
+    single = joined.where("class_size = 1").select("doc_id", "text_key")
     groups = joined.where("class_size > 1").groupBy("class_key").agg(F.min(key).alias("first"))
-    kept = single.union(groups.select("first.doc_id", "first.text_key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__key") == F.col("keep_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    kept = single.union(groups.select("first.doc_id", "first.text_key")).distinct().toDF(keep_id, keep_key)
+    keyed = docs.withColumn(text_key, F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & F.col(text_key).eqNullSafe(F.col(keep_key)), "left_semi")
+    return kept.dropDuplicates(["doc_id", text_key]).drop(text_key)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

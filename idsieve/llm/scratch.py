@@ -20,6 +20,18 @@ def root(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, for columns that go again."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"

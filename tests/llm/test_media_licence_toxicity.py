@@ -117,6 +117,91 @@ def test_licences(spark, tmp_path):
     assert license_scan.op5_license_scan(spark, documents(spark, tmp_path, [])).collect() == []
 
 
+def every_chain(runs, shift):
+    """(start, end, covered) of all spans, one run after the other in every way."""
+    found = set()
+
+    def go(first, last, covered):
+        found.add((first.i, last.i + last.size, covered))
+        for r in runs:
+            if new := license_scan.added(last, r, shift):
+                go(first, r, covered + new)
+
+    for r in runs:
+        go(r, r, r.size)
+    return found
+
+
+def plain_spans(words, template, k, shift, cover):
+    """Spans by trying every chain of runs of common k-grams."""
+    by = {}
+    for i in range(len(words) - k + 1):
+        for j in range(len(template) - k + 1):
+            if words[i : i + k] == template[j : j + k]:
+                by.setdefault(i - j, []).append(j)
+    runs = [r for d, at in by.items() for r in license_scan.runs_of(d, at, k)]
+    found = [(-c / max(len(template), b - a), a, b - a) for a, b, c in every_chain(runs, shift)]
+    out = []
+    for score, start, length in sorted(f for f in found if -f[0] >= cover - 1e-9):
+        if all(start + length <= s or s + n <= start for s, n, _ in out):
+            out.append((start, length, -score))
+    return sorted(out)
+
+
+def plain_scan(text):
+    """(labels, score, number of spans) of a text."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels, scores, n = set(), [0.0], 0
+    for t in license_scan.TEMPLATES:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.text.lower())
+        if t.exact:
+            spans = [(i, len(own), 1.0) for i in range(len(words)) if words[i : i + len(own)] == own]
+        else:
+            spans = plain_spans(words, own, license_scan.GRAM_WORDS, license_scan.MAX_SHIFT, license_scan.MIN_COVER)
+        labels |= {t.label for _ in spans}
+        scores += [s for _, _, s in spans]
+        n += len(spans)
+    return ",".join(sorted(labels)), round(max(scores), 6), n
+
+
+def scans(spark, folder):
+    return sorted(((r.doc_id, r.labels, round(r.score, 6), r.n_spans) for r in license_scan.op5_license_scan(spark, folder).collect()), key=str)
+
+
+def test_notices_beside_each_other(spark, tmp_path):
+    """Repeated, adjacent, interleaved and worn notices, and stray words of them, against every way to merge."""
+    r = np.random.default_rng(5)
+    notices = [re.findall(r"[a-z0-9]+", t.text.lower()) for t in license_scan.NOTICES]
+    reserved = "All rights reserved."
+    texts = [f"{reserved} {reserved}", f"rights {reserved} {reserved}", f"rights reserved. {reserved}", reserved, f"{reserved} rights reserved", "All rights all rights reserved reserved", " ".join([reserved] * 50)]
+    for _ in range(120):
+        words = []
+        for _ in range(int(r.integers(1, 4))):
+            own = list(notices[int(r.integers(len(notices)))])
+            for _ in range(int(r.integers(0, 4))):
+                at = int(r.integers(len(own)))
+                match int(r.integers(4)):
+                    case 0:
+                        own.insert(at, "uh")
+                    case 1 if len(own) > 2:
+                        del own[at]
+                    case 2:
+                        own[at] = "um"
+                    case 3:
+                        own[at:at] = own[max(0, at - 3) : at]
+            words += own + ["and"] * int(r.integers(0, 3))
+        texts.append(" ".join(words))
+    texts += [" ".join(x for pair in zip(a, b) for x in pair) for a, b in zip(notices, notices[1:])]
+    assert scans(spark, documents(spark, tmp_path, list(enumerate(texts)))) == sorted(((i, *plain_scan(t)) for i, t in enumerate(texts)), key=str)
+    assert [plain_scan(t)[0] for t in texts[:5]] == ["reserved"] * 5 and plain_scan(texts[6])[2] == 50
+
+
+def test_notices_of_the_corpus(spark, small_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert scans(spark, small_dir) == sorted(((i, *plain_scan(t)) for i, t in rows), key=str)
+
+
 def test_licence_base_on_the_corpus(spark, small_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = license_scan.op5_license_scan(spark, small_dir).collect()

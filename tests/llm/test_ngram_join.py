@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from idsieve.llm import ngram_join as nj
 from idsieve.llm.components import components
@@ -105,6 +106,21 @@ def test_one_of_each_class_without_ids_and_of_equal_ids(spark, tmp_path):
     assert got(spark, str(tmp_path)) == expected(rows)
 
 
+def test_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(documents(spark, tmp_path, ODD) + "/documents.parquet")
+    more = docs.select("*", *(F.lit("x").alias(c) for c in ("node", "class_key", "text_key", "keep_id", "keep_key", "Cells", "first")))
+    kept = nj.one_of_each_class(more)
+    assert kept.columns == more.columns and {tuple(r[-7:]) for r in kept.collect()} == {("x",) * 7}
+    assert sorted((r.doc_id, r.class_id, r.links, r.class_size) for r in nj.similarity_join(more).collect() if r.doc_id) == sorted(r for r in got(spark, str(tmp_path)) if r[0])
+
+
+def test_a_chain_through_many_blocks(spark, tmp_path, monkeypatch):
+    """Each text is near the next only, so the class is one and links are few."""
+    monkeypatch.setattr(nj, "BLOCK_NODES", 7)
+    rows = [(i, " ".join(f"w{n}" for n in range(3 * i, 3 * i + 64))) for i in range(60)]
+    assert got(spark, documents(spark, tmp_path, rows)) == expected(rows)
+
+
 def test_bands_reach_the_recall():
     bands, rows = nj.choose_bands(0.8, 0.9995)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= nj.MAX_HASHES
@@ -125,6 +141,6 @@ def test_common_counts(monkeypatch):
 
 
 def test_components_of_a_path(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)]
-    have = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert have == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (102, 100)}
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)] + [(900, n) for n in range(200, 260)]
+    have = sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert have == sorted([(i, 0) for i in range(41)] + [(100, 100), (101, 100), (102, 100), (900, 200)] + [(n, 200) for n in range(200, 260)])
