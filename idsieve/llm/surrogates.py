@@ -1,29 +1,34 @@
 """Keyed surrogates for personal data, from built-in expressions alone.
 
-Detected entities are e-mail addresses, phone numbers, IPv4 addresses, payment cards (with a valid check
-digit), secrets (long hexadecimal strings given as a token, key or password) and names after a title.
-Each gets a replacement of its own kind that depends on the key and on its normal form only, so that it
-is the same wherever the entity comes up again, however it is written:
+Detected entities are e-mail addresses, phone numbers, IP addresses of both versions, payment cards and IBANs
+(with valid check digits), social security numbers, secrets (access keys, and strings with a digit given as a
+token, key or password) and names after a title or after words that introduce one. Each gets a replacement of
+its own kind that depends on the key and on its normal form only, so that it is the same wherever the entity
+comes up again, however it is written:
 
 - digits go through a Feistel network keyed by SHA-256, which is a bijection; separators, country code,
-  first digit of a card and its check digit's validity stay;
-- names are coined word by word in the script of the original, with the endings of the title's gender and
-  the original's capitals, so a family name stays the same with and without a given name;
-- addresses and secrets are spelt from digests, with the top-level domain, length and case kept.
-
-Distinct entities that would get the same surrogate are found by a check over all entities of the corpus
-and get further attempts until no two share one; only documents that hold such an entity are touched by
-the join that this takes.
+  first digit of a card and the check digits' validity stay;
+- names are coined word by word in the script of the original, with its capitals and the endings of its
+  gender, so a family name stays the same with and without a given name. A given name has the gender of most
+  of the titles that the corpus gives it, so it stays the same after a title that tells none;
+- addresses and secrets are spelt from digests, with the top-level domain, length, case and kinds of
+  characters kept.
+
+Distinct entities that would get the same surrogate, and surrogates that are real entities of the corpus, are
+found by a check over all entities and get further attempts; only documents that hold such an entity are touched
+by the join that this takes. What still collides after MAX_ATTEMPTS becomes a mark of its kind with a digest.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
 
-KEY = "idsieve"
+KEY_SETTING = "spark.idsieve.surrogates.key"
 ROUNDS = 6
 MAX_ATTEMPTS = 12
 # Titles by gender, and syllables and endings to coin names from, by script.
@@ -51,16 +56,39 @@ ENDINGS = {
     ("greek", "n"): ["ντι", "λις", "ρι", "νι"],
     ("greek", "family"): ["ίδης", "άκης", "όπουλος", "έας"],
 }
+# Words that introduce a name without a title.
+INTRODUCTIONS = ["my name is", "name:", "named", "contact:", "signed by", "signed:", "regards,", "sincerely,", "dear", "author:", "patient:", "customer:"]
 _titles = "|".join(sorted((t for own in TITLES.values() for t in own), key=len, reverse=True))
+_TITLED = rf"(?i:{_titles})\.? "
 _WORD = r"\p{Lu}[\p{L}'’-]*"
+_ALONE, _ENDS = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
-IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?[\p{L}\p{N}])"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\p{N}])"
-CARD = r"(?<![\p{L}\p{N}])[2-6]\d{3}(?:[ -]?\d){9,15}(?![\p{L}\p{N}])"
-SECRET = r"(?<=(?i:token|key|secret|password|passwd) {0,3}[=:] {0,3}[\"']{0,1})[0-9a-fA-F]{24,128}(?![\p{L}\p{N}])"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?i:{_titles}))\.? {_WORD}(?: {_WORD}){{0,2}}"
-ENTITY = "|".join((EMAIL, SECRET, IP, PHONE, CARD, NAME))
-KINDS = ["email", "ip", "phone", "card", "secret", "name"]
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_IP6 = rf"(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}})"
+IP6 = rf"(?<![\p{{L}}\p{{N}}:.]){_IP6}(?![\p{{L}}\p{{N}}:])"
+_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+SSN = r"\d{3}-\d{2}-\d{4}"
+_PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})"
+PHONE = rf"(?<![\p{{L}}\p{{N}}+]){_PHONE}{_ENDS}"
+CARD = r"[2-6]\d{3}(?:[ -]?\d){9,15}"
+_PREFIX = "(?:A[KS]IA|gh[opsu]_|sk-)"  # of access keys
+_LABEL = r"(?i:token|key|secret|password|passwd) {0,3}[=:] {0,3}[\"']?"
+SECRET = rf"{_ALONE}(?:A[KS]IA[0-9A-Z]{{16}}|gh[opsu]_[0-9A-Za-z]{{30,60}}|sk-[0-9A-Za-z]{{20,60}}){_ENDS}|{_LABEL}(?=[^\s\"']{{0,60}}\d)[0-9A-Za-z+/_-]{{8,128}}{_ENDS}"
+_INTRODUCED = rf"(?i:{'|'.join(INTRODUCTIONS)}) {{1,2}}(?!{_TITLED})"
+NAME = rf"{_ALONE}(?:{_TITLED}{_WORD}(?: {_WORD}){{0,2}}|{_INTRODUCED}{_WORD}(?: {_WORD}){{1,2}})"
+ENTITY = "|".join((EMAIL, SECRET, IP6, IP, _ALONE + _IBAN + _ENDS, _ALONE + SSN + _ENDS, PHONE, _ALONE + CARD + _ENDS, NAME))
+LIKELY = rf"[0-9@]|A[KS]IA|{_TITLED}|(?i:{'|'.join(INTRODUCTIONS)}) "
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in KEY_SETTING. Where none is set, one is drawn for the session, so that surrogates of two sessions have nothing in common."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def _q(text: str) -> str:
@@ -81,15 +109,38 @@ def _digits(x: str) -> str:
     return f"regexp_replace({x}, '[^0-9]', '')"
 
 
+def mod97(text: str) -> str:
+    """SQL for the number that capitals (10 to 35) and digits make, modulo 97."""
+    return f"aggregate(split({text}, ''), 0, (a, c) -> CASE WHEN c RLIKE '^[0-9]$' THEN (a * 10 + int(c)) % 97 WHEN c = '' THEN a ELSE (a * 100 + ascii(c) - 55) % 97 END)"
+
+
 def kind(x: str) -> str:
-    """SQL for the kind of a match; null for a number that is no card after all."""
+    """SQL for the kind of a match; null for a number that is no card or IBAN after all."""
+    is_ = lambda pattern: f"{x} RLIKE {_q(f'^(?:{pattern})$')}"
     card = f"(length({_digits(x)}) BETWEEN 13 AND 19 AND {luhn(_digits(x))} = 0)"
-    return f"CASE WHEN {x} LIKE '%@%' THEN 'email' WHEN {x} RLIKE {_q(r'^(?:\d+\.){3}\d+$')} THEN 'ip' WHEN {x} RLIKE '^[0-9a-fA-F]{{24,}}$' THEN 'secret' WHEN {x} RLIKE {_q('^' + CARD + '$')} THEN CASE WHEN {card} THEN 'card' END WHEN {x} RLIKE '^[+(0-9]' THEN 'phone' ELSE 'name' END"
+    plain = f"replace({x}, ' ', '')"
+    iban = f"{mod97(f'concat(substring({plain}, 5), substring({plain}, 1, 4))')} = 1"
+    cases = [
+        (f"{x} RLIKE {_q(f'^(?:{_LABEL}|{_PREFIX})')}", "'secret'"),
+        (f"{x} LIKE '%@%'", "'email'"),
+        (is_(r"(?:\d+\.){3}\d+"), "'ip'"),
+        (is_(_IP6), "'ip6'"),
+        (is_(SSN), "'ssn'"),
+        (is_(_IBAN), f"CASE WHEN {iban} THEN 'iban' END"),
+        (is_(CARD), f"CASE WHEN {card} THEN 'card' END"),
+        (is_(_PHONE), "'phone'"),
+    ]
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in cases) + " ELSE 'name' END"
+
+
+def _value(x: str) -> str:
+    """SQL for a secret without its label."""
+    return f"regexp_replace({x}, {_q('^' + _LABEL)}, '')"
 
 
 def normal(x: str, k: str) -> str:
     """SQL for the form that all spellings of an entity share. Names are looked at word by word."""
-    return f"CASE {k} WHEN 'email' THEN lower({x}) WHEN 'secret' THEN lower({x}) WHEN 'ip' THEN {x} ELSE {_digits(x)} END"
+    return f"CASE {k} WHEN 'email' THEN lower({x}) WHEN 'secret' THEN CASE WHEN {_value(x)} RLIKE '^[0-9a-fA-F]+$' THEN lower({_value(x)}) ELSE {_value(x)} END WHEN 'ip' THEN {x} WHEN 'ip6' THEN lower({x}) WHEN 'iban' THEN replace({x}, ' ', '') ELSE {_digits(x)} END"
 
 
 def _digest(key: str, *parts: str) -> str:
@@ -118,9 +169,19 @@ def _permuted(key: str, k: str, digits: str, attempt: str) -> str:
     return f"element_at(transform(array({done}), p -> concat(lpad(cast(p.l AS string), {half}, '0'), lpad(cast(p.r AS string), {rest}, '0'))), 1)"
 
 
-def _in_place(x: str, digits: str) -> str:
-    """SQL for x with its digits replaced, in order."""
-    return f"aggregate(split({x}, ''), named_struct('o', '', 'k', 1), (s, c) -> CASE WHEN c RLIKE '^[0-9]$' THEN named_struct('o', concat(s.o, substring({digits}, s.k, 1)), 'k', s.k + 1) ELSE named_struct('o', concat(s.o, c), 'k', s.k) END).o"
+def _in_place(x: str, digits: str, of: str = "[0-9]") -> str:
+    """SQL for x with its digits, or whatever ``of`` matches, replaced in order."""
+    return f"aggregate(split({x}, ''), named_struct('o', '', 'k', 1), (s, c) -> CASE WHEN c RLIKE '^{of}$' THEN named_struct('o', concat(s.o, substring({digits}, s.k, 1)), 'k', s.k + 1) ELSE named_struct('o', concat(s.o, c), 'k', s.k) END).o"
+
+
+def _spelt(x: str, digest: str, as_hex: str) -> str:
+    """SQL for a string of x's length from the hexadecimal digits of a digest, four times as long at most: digits for digits,
+    letters of the same case for letters (``as_hex``: hexadecimal digits for both, capitals if all are), other characters as they are."""
+    at = lambda size: f"int(conv(substring(z, 2 * n + 1, 2), 16, 10)) % {size} + 1"
+    letter = f"substring('abcdefghijklmnopqrstuvwxyz', {at(26)}, 1)"
+    one = f"CASE WHEN hexed AND c RLIKE '[0-9a-zA-Z]' THEN substring('0123456789abcdef', {at(16)}, 1) WHEN c RLIKE '[0-9]' THEN substring('0123456789', {at(10)}, 1) WHEN c RLIKE '[a-z]' THEN {letter} WHEN c RLIKE '[A-Z]' THEN upper({letter}) ELSE c END"
+    long = _bind(digest, "y", "concat(y, sha2(y, 256), sha2(concat(y, '2'), 256), sha2(concat(y, '3'), 256))")
+    return _bind(long, "z", _bind(as_hex, "hexed", _bind(f"array_join(transform(split({x}, ''), (c, n) -> {one}), '')", "made", f"CASE WHEN hexed AND upper({x}) = {x} THEN upper(made) ELSE made END")))
 
 
 def _bind(value: str, name: str, body: str) -> str:
@@ -148,110 +209,137 @@ def _gender(x: str) -> str:
 
 
 def name_words(x: str) -> str:
-    """SQL for the words of a name as structs (role, word), the title first with a null role."""
-    words = f"split({x}, ' ')"
-    return f"transform({words}, (w, n) -> named_struct('role', CASE WHEN n = 0 THEN NULL WHEN n = size({words}) - 1 THEN 'family' ELSE {_gender(x)} END, 'word', w))"
+    """SQL for the words of a name as structs (role, word): family, or for a given name m, f or n; null for a title."""
+    words, titled = f"split(regexp_replace({x}, {_q('^' + _INTRODUCED)}, ''), ' ')", f"{x} RLIKE {_q('^' + _TITLED)}"
+    roles = f"transform(v, (w, n) -> named_struct('role', CASE WHEN n = 0 AND {titled} THEN NULL WHEN n = size(v) - 1 THEN 'family' ELSE {_gender(x)} END, 'word', w))"
+    return _bind(words, "v", roles)
 
 
-def _attempt(attempts: str | None, k: str, form: str) -> str:
-    return "0" if attempts is None else f"coalesce(try_element_at({attempts}, concat({k}, '\\n', {form})), 0)"
+def _entry(moved: str | None, k: str, form: str, part: str, default: str) -> str:
+    """SQL for what the map ``moved`` has of an entity (a struct of attempt and gender)."""
+    return default if moved is None else f"coalesce(try_element_at({moved}, concat({k}, '\\n', {form})).{part}, {default})"
 
 
-def surrogate(key: str, x: str, k: str, attempts: str | None = None) -> str:
-    """SQL for the surrogate of a match x of kind k; x itself where it is no entity. attempts: a map by kind and normal form, or None."""
-    a = lambda k, form: _attempt(attempts, _q(k), form)
+def _single(key: str, x: str, k: str, attempt: str) -> str:
+    """SQL for the surrogate of a match x that is no name."""
     digits = _digits(x)
     national = f"greatest(0, length({digits}) - 10)"
-    phone = _bind(digits, "d", f"concat(substring(d, 1, {national}), {_permuted(key, 'phone', f'substring(d, {national} + 1)', a('phone', 'd'))})")
-    # the last digit keeps its distance from a valid check digit: 0 for a card
-    middle = _permuted(key, "card", "substring(d, 2, length(d) - 2)", a("card", "d"))
+    phone = _bind(digits, "d", f"concat(substring(d, 1, {national}), {_permuted(key, 'phone', f'substring(d, {national} + 1)', attempt)})")
+    middle = _permuted(key, "card", "substring(d, 2, length(d) - 2)", attempt)
     card = _bind(digits, "d", _bind(f"concat(substring(d, 1, 1), {middle})", "b", f"concat(b, cast((10 - {luhn("concat(b, '0')")}) % 10 AS string))"))
+    # areas 1 to 899 but 666, groups from 1, serial numbers from 1; numbers beyond these go to some of them
+    area = "CASE WHEN int(substring(d, 1, 3)) > 666 THEN int(substring(d, 1, 3)) - 2 ELSE int(substring(d, 1, 3)) - 1 END"
+    number = _feistel(key, "ssn", f"pmod(({area}) * 99 + int(substring(d, 4, 2)) - 1, 88902)", "pmod(int(substring(d, 6)) - 1, 9999)", "88902", "9999", attempt)
+    ssn = _bind(digits, "d", _bind(number, "p", "concat(lpad(cast(p.l div 99 + CASE WHEN p.l div 99 >= 665 THEN 2 ELSE 1 END AS string), 3, '0'), lpad(cast(p.l % 99 + 1 AS string), 2, '0'), lpad(cast(p.r + 1 AS string), 4, '0'))"))
     octets = f"transform(split({x}, '[.]'), o -> int(o))"
     plain = "(array_min(t) > 0 AND array_max(t) < 255)"
     base, low = f"CASE WHEN {plain} THEN 254 ELSE 256 END", f"CASE WHEN {plain} THEN 1 ELSE 0 END"
-    net = _feistel(key, "ip", "(t[0] - z) * y + t[1] - z", "(t[2] - z) * y + t[3] - z", "(y * y)", "(y * y)", a("ip", x))
+    net = _feistel(key, "ip", "(t[0] - z) * y + t[1] - z", "(t[2] - z) * y + t[3] - z", "(y * y)", "(y * y)", attempt)
     ip = _bind(octets, "t", _bind(base, "y", _bind(low, "z", _bind(net, "p", "concat_ws('.', cast(p.l div y + z AS string), cast(p.l % y + z AS string), cast(p.r div y + z AS string), cast(p.r % y + z AS string))"))))
-    mail_hash = _digest(key, "'email'", f"lower({x})", f"cast({a('email', f'lower({x})')} AS string)")
+    of = lambda k, form: _digest(key, _q(k), form, f"cast({attempt} AS string)")
     domain_hash = _digest(key, "'domain'", f"lower(substring_index({x}, '@', -1))")
-    local = "concat(" + ", ".join(f"element_at({_array(SYLLABLES['latin'])}, int(conv(substring(h, {2 * n + 1}, 2), 16, 10)) % 32 + 1)" for n in range(3)) + ", '.', substring(h, 9, 10))"
-    mail = f"concat({_bind(mail_hash, 'h', local)}, '@mail-', substring({domain_hash}, 1, 6), '.example.', substring_index(lower({x}), '.', -1))"
+    local = "concat(" + ", ".join(f"element_at({_array(SYLLABLES['latin'])}, int(conv(substring(h, {2 * n + 1}, 2), 16, 10)) % {len(SYLLABLES['latin'])} + 1)" for n in range(3)) + ", '.', substring(h, 9, 10))"
+    mail = f"concat({_bind(of('email', f'lower({x})'), 'h', local)}, '@mail-', substring({domain_hash}, 1, 6), '.example.', substring_index(lower({x}), '.', -1))"
     mail = f"CASE WHEN upper({x}) = {x} THEN upper({mail}) ELSE {mail} END"
-    secret_hash = _digest(key, "'secret'", f"lower({x})", f"cast({a('secret', f'lower({x})')} AS string)")
-    secret = _bind(secret_hash, "h", f"substring(concat(h, sha2(h, 256)), 1, length({x}))")
-    secret = f"CASE WHEN upper({x}) = {x} THEN upper({secret}) ELSE {secret} END"
-    word = _coined(key, "w.word", "w.role", _attempt(attempts, "concat('name-', w.role)", "lower(w.word)"))
-    name = f"array_join(transform({name_words(x)}, w -> CASE WHEN w.role IS NULL THEN w.word ELSE {word} END), ' ')"
-    made = f"CASE {k} WHEN 'email' THEN {mail} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {_in_place(x, phone)} WHEN 'card' THEN {_in_place(x, card)} WHEN 'secret' THEN {secret} WHEN 'name' THEN {name} ELSE {x} END"
-    return made
-
-
-def detected(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and __found: structs (x, kind) of all matches in the text in order; the kind is null for numbers
+    account = _bind(f"replace({x}, ' ', '')", "a", _bind(_spelt("substring(a, 5)", of("iban", "a"), "false"), "b", f"concat(substring(a, 1, 2), lpad(cast(98 - {mod97("concat(b, substring(a, 1, 2), '00')")} AS string), 2, '0'), b)"))
+    iban = _in_place(x, account, "[0-9A-Z]")
+    kept = f"regexp_extract({x}, {_q(f'^(?:{_LABEL})?{_PREFIX}?')}, 0)"
+    secret = _bind(kept, "u", f"concat(u, {_spelt(f'substring({x}, length(u) + 1)', of('secret', normal(x, _q('secret'))), f'{_value(x)} RLIKE {_q("^[0-9a-fA-F]+$")}')})")
+    made = {"email": mail, "ip": ip, "ip6": _spelt(x, of("ip6", f"lower({x})"), "true"), "ssn": _in_place(x, ssn), "iban": iban, "phone": _in_place(x, phone), "card": _in_place(x, card), "secret": secret}
+    return f"CASE {k} " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in made.items()) + f" ELSE {x} END"
+
+
+def _marked(key: str, k: str, form: str, attempt: str, made: str) -> str:
+    """SQL for the surrogate, or for a mark where the attempts are used up (-1)."""
+    return made if attempt == "0" else f"CASE WHEN {attempt} < 0 THEN concat('[', {k}, ' ', substring({_digest(key, k, form)}, 1, 16), ']') ELSE {made} END"
+
+
+def surrogate(key: str, x: str, k: str, moved: str | None = None) -> str:
+    """SQL for the surrogate of a match x of kind k; x itself where it is no entity. moved: a map by kind and normal form of structs
+    (attempt, gender), or None."""
+    form = normal(x, k)
+    single = _single(key, x, k, "0") if moved is None else _bind(_entry(moved, k, form, "attempt", "0"), "q", _marked(key, k, form, "q", _single(key, x, k, "q")))
+    sort = "CASE WHEN w.role = 'family' THEN 'family' ELSE 'given' END"
+    role = f"CASE WHEN w.role = 'family' THEN 'family' ELSE {_entry(moved, _q('given'), 'lower(w.word)', 'gender', 'w.role')} END"
+    attempt = _entry(moved, sort, "lower(w.word)", "attempt", "0")
+    word = _marked(key, sort, "lower(w.word)", attempt, _coined(key, "w.word", role, attempt))
+    name = f"concat(regexp_extract({x}, {_q('^' + _INTRODUCED)}, 0), array_join(transform({name_words(x)}, w -> CASE WHEN w.role IS NULL THEN w.word ELSE {word} END), ' '))"
+    return f"CASE WHEN {k} IS NULL THEN {x} WHEN {k} = 'name' THEN {name} ELSE {single} END"
+
+
+def detected(docs: DataFrame, column: str) -> DataFrame:
+    """The columns of ``docs`` and one more: structs (x, kind) of all matches in the text in order; the kind is null for numbers
     that are no cards after all."""
     # most texts have no digit, at sign or title, and are not searched further
-    likely = F.col("text").rlike(rf"[0-9@]|(?i:{_titles})\.? ")
-    return docs.withColumn("__found", F.when(likely, F.expr(f"transform(regexp_extract_all(text, {_q(ENTITY)}, 0), x -> named_struct('x', x, 'kind', {kind('x')}))")).otherwise(F.array().cast("array<struct<x:string,kind:string>>")))
+    found = F.expr(f"transform(regexp_extract_all(text, {_q(ENTITY)}, 0), x -> named_struct('x', x, 'kind', {kind('x')}))")
+    return docs.withColumn(column, F.when(F.col("text").rlike(LIKELY), found).otherwise(F.array().cast("array<struct<x:string,kind:string>>")))
 
 
 def entity_forms(x: str, k: str) -> str:
-    """SQL for the structs (kind, form) of a match: one, or one for each word of a name."""
-    return f"CASE WHEN {k} IS NULL THEN array() WHEN {k} = 'name' THEN transform(filter({name_words(x)}, w -> w.role IS NOT NULL), w -> named_struct('kind', concat('name-', w.role), 'form', lower(w.word))) ELSE array(named_struct('kind', {k}, 'form', {normal(x, k)})) END"
+    """SQL for the structs (kind, form, role) of a match: one, or one for each word of a name."""
+    names = f"transform(filter({name_words(x)}, w -> w.role IS NOT NULL), w -> named_struct('kind', CASE WHEN w.role = 'family' THEN 'family' ELSE 'given' END, 'form', lower(w.word), 'role', w.role))"
+    return f"CASE WHEN {k} IS NULL THEN array() WHEN {k} = 'name' THEN {names} ELSE array(named_struct('kind', {k}, 'form', {normal(x, k)}, 'role', cast(NULL AS string))) END"
 
 
-def _made(key: str, attempt: str) -> str:
-    """SQL for the surrogate of a normal form (columns kind and form) in a given attempt."""
-    one = f"map(concat(kind, '\\n', form), {attempt})"
-    name = _coined(key, "form", "substring(kind, 6)", attempt)
-    return f"CASE WHEN kind LIKE 'name-%' THEN {name} ELSE {surrogate(key, 'form', 'kind', one)} END"
+def entities(found: DataFrame, column: str) -> DataFrame:
+    """kind, form, gender (of given names, from all titles) and mixed (whether some title tells another), of all distinct entities."""
+    forms = found.select(F.explode(column).alias("f")).selectExpr(f"explode({entity_forms('f.x', 'f.kind')}) AS e").select("e.kind", "e.form", "e.role")
+    forms = forms.groupBy("kind", "form").agg(*(F.count_if(F.col("role") == r).alias(r) for r in ("m", "f", "n")))
+    forms = forms.withColumn("gender", F.when(F.col("kind") == "given", F.expr("CASE WHEN m > f THEN 'm' WHEN f > m THEN 'f' ELSE 'n' END")))
+    return forms.select("kind", "form", "gender", F.coalesce(F.expr("m + f + n > CASE gender WHEN 'm' THEN m WHEN 'f' THEN f ELSE n END"), F.lit(False)).alias("mixed"))
 
 
-def collisions(found: DataFrame, key: str) -> DataFrame | None:
-    """kind, form and attempt of the entities that need another attempt than the first; None if no two entities share a surrogate.
+def collisions(found: DataFrame, column: str, key: str) -> DataFrame | None:
+    """kind, form, attempt and gender of the entities whose own occurrence does not tell their surrogate; None if all do.
 
-    All distinct entities are checked; a form keeps its surrogate if it is the least of those that share it.
+    All distinct entities are checked: a surrogate that is a real entity gives way, and of entities that share one
+    all but that with the fewest attempts and then the least form.
     """
-    forms = found.select(F.explode("__found").alias("f")).selectExpr(f"explode({entity_forms('f.x', 'f.kind')}) AS e").select("e.kind", "e.form").distinct()
-    forms = scratch.saved(forms.withColumn("attempt", F.lit(0)), "entities")
-    moved = False
-    for _ in range(MAX_ATTEMPTS):
-        made = forms.withColumn("made", F.expr(_made(key, "attempt")))
-        shared = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "form")).alias("first")).where("n > 1")
+    forms = scratch.saved(entities(found, column).withColumn("attempt", F.lit(0)), "entities")
+    coined = _coined(key, "form", "CASE WHEN kind = 'family' THEN 'family' ELSE gender END", "attempt")
+    value = F.expr(f"CASE WHEN attempt < 0 THEN NULL WHEN kind IN ('family', 'given') THEN lower({coined}) ELSE {_bind(_single(key, 'form', 'kind', 'attempt'), 'made', normal('made', 'kind'))} END")
+    for n in range(MAX_ATTEMPTS + 1):
+        made = scratch.saved(forms.withColumn("value", value), "surrogates")
+        seen = made.where("value IS NOT NULL").select("kind", "value", F.struct("attempt", "form").alias("first"), F.lit(False).alias("real")).union(made.select("kind", F.col("form").alias("value"), F.lit(None), F.lit(True)))
+        shared = seen.groupBy("kind", "value").agg(F.count("first").alias("n"), F.max("real").alias("real"), F.min("first").alias("first")).where("n > 1 OR n = 1 AND real")
         shared = scratch.saved(shared, "collisions")
         if shared.isEmpty():
-            return forms.where("attempt > 0") if moved else None
-        moved = True
-        again = made.join(shared, ["kind", "made"], "left").withColumn("attempt", F.when(F.col("n").isNotNull() & (F.col("first.form") != F.col("form")), F.col("attempt") + 1).otherwise(F.col("attempt")))
-        forms = scratch.saved(again.select("kind", "form", "attempt"), "entities")
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
+            break
+        lost = F.col("n").isNotNull() & (F.col("real") | (F.col("first.form") != F.col("form")))
+        forms = made.join(shared, ["kind", "value"], "left").select("kind", "form", "gender", "mixed", F.when(lost, F.lit(-1) if n == MAX_ATTEMPTS else F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
+        forms = scratch.saved(forms, "entities")
+    moved = forms.where("attempt != 0 OR mixed").select("kind", "form", "attempt", "gender")
+    return None if moved.isEmpty() else moved
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "n_entities") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, column: str = "n_entities") -> DataFrame:
     """The columns of ``docs`` with surrogates in ``text``, and the number of entities replaced.
 
-    Null texts stay null and empty ones empty, with 0 entities.
+    Null texts stay null and empty ones empty, with 0 entities. Repeated rows get the same surrogates. An empty table
+    stays one. A column of the same name as ``column`` is replaced, others stay whatever their names.
     """
-    columns = docs.columns
-    found = detected(docs.withColumn("text", F.col("text").cast("string")))
-    moved = collisions(found.select("__found"), key)
-    replaced = lambda attempts: F.expr(
-        f"CASE WHEN size(__found) > 0 THEN array_join(flatten(zip_with(split(text, {_q(ENTITY)}, -1), transform(__found, f -> {surrogate(key, 'f.x', 'f.kind', attempts)}), (p, s) -> array(p, coalesce(s, '')))), '') ELSE text END"
-    )
-    count = F.expr(f"cast(coalesce(size(filter(__found, f -> f.kind IS NOT NULL)), 0) AS bigint)").alias(column)
-    kept = [c for c in columns if c not in ("text", column)]
-    out = lambda df, attempts: df.select(*(replaced(attempts).alias("text") if c == "text" else c for c in columns if c == "text" or c in kept), count)
-    if moved is None:
-        return out(found, None)
-    # the attempts of a document's own entities, gathered for the documents that hold such an entity
-    keyed = found.withColumn("__key", F.sha2(F.col("text"), 256))
-    held = keyed.select("__key", F.explode("__found").alias("f")).selectExpr("__key", f"explode({entity_forms('f.x', 'f.kind')}) AS e").select("__key", "e.kind", "e.form").distinct().join(moved, ["kind", "form"])
-    held = held.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "kind", "form"), "attempt"))).alias("__attempts"))
-    return out(keyed.join(held, "__key", "left"), "__attempts")
+    if not key:
+        raise ValueError("surrogates need a key")
+    own = [c for c in docs.columns if c != column]
+    hits, row, row2, entry = scratch.unused(docs, "hits", "row", "row2", "moved")
+    # looked for once: the check and the replacement read what was found
+    found = scratch.saved(detected(docs.select(*own).withColumn("text", F.col("text").cast("string")), hits).withColumn(row, F.monotonically_increasing_id()), "found")
+    moved = collisions(found, hits, key)
+    if moved is not None:
+        # the entries of a document's own entities, gathered for the documents that hold one
+        held = found.where(F.size(hits) > 0).select(F.col(row).alias("row"), F.explode(hits).alias("f")).selectExpr("row", f"explode({entity_forms('f.x', 'f.kind')}) AS e").select("row", "e.kind", "e.form").distinct().join(moved, ["kind", "form"])
+        held = held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "kind", "form"), F.struct("attempt", "gender")))).alias(entry)).withColumnRenamed("row", row2)
+        found = found.join(held, F.col(row) == F.col(row2), "left")
+    made = surrogate(key, "f.x", "f.kind", None if moved is None else f"`{entry}`")
+    text = F.expr(f"CASE WHEN size(`{hits}`) > 0 THEN array_join(flatten(zip_with(split(text, {_q(ENTITY)}, -1), transform(`{hits}`, f -> {made}), (p, s) -> array(p, coalesce(s, '')))), '') ELSE text END")
+    count = F.coalesce(F.size(F.filter(hits, lambda f: f["kind"].isNotNull())), F.lit(0)).cast("long").alias(column)
+    return found.select(*(text.alias("text") if c == "text" else f"`{c}`" for c in own), count)
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with surrogates for its personal data.
+    """Every document with surrogates for its personal data, under the session's key.
 
     Null text: null, 0 entities. Repeated rows: a result each. An empty table gives no rows.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymised(docs).select("doc_id", "n_entities", "text")
+    return pseudonymised(docs, session_key(spark)).select("doc_id", "n_entities", "text")

@@ -1,8 +1,10 @@
 """Surrogates: nothing personal stays, formats do, equal entities stay equal and different ones different."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from idsieve.llm import surrogates as su
 from tests.llm.tables import documents
@@ -23,9 +25,9 @@ ROWS = [
 ]
 
 
-def run(spark, folder, rows, **kw):
+def run(spark, folder, rows, key="a key"):
     docs = spark.read.parquet(documents(spark, folder, rows) + "/documents.parquet")
-    out = su.pseudonymised(docs, **kw)
+    out = su.pseudonymised(docs, key)
     assert out.columns == [*docs.columns, "n_entities"]
     return sorted(((r.doc_id, r.n_entities, r.text) for r in out.collect()), key=str)
 
@@ -54,7 +56,7 @@ def test_rows(spark, tmp_path):
     assert names[0].endswith(tuple(su.ENDINGS["latin", "m"])) and names[4].endswith(tuple(su.ENDINGS["latin", "f"]))
     assert all(re.fullmatch(r"[А-я]+", x) for x in names[6:8])
     gone = " ".join(t or "" for _, t in got.values())
-    assert not re.search(r"(?i)anna|berg|smith|john|schmidt|иван|петров|555-5699|189\.251|4539148803436467|87e15d|ünïcode", gone)
+    assert not re.search(r"(?i)\b(?:anna|berg|smith|john|schmidt|иван|петров)\b|555-5699|189\.251|4539148803436467|87e15d|ünïcode", gone)
 
 
 def test_keys_differ(spark, tmp_path):
@@ -77,7 +79,108 @@ def test_colliding_names_get_further_attempts(spark, tmp_path, monkeypatch, syll
     assert all(b == a.upper() for a, b in made)
     assert len({a for a, _ in made}) == len(names)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    assert (su.collisions(su.detected(docs), su.KEY) is None) == (syllables == 32)
+    assert (su.collisions(su.detected(docs, "hits"), "hits", "a key") is None) == (syllables == 32)
+
+
+def test_used_up_attempts_leave_marks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(su, "SYLLABLES", {s: x[:1] for s, x in su.SYLLABLES.items()})
+    monkeypatch.setattr(su, "ENDINGS", {k: [x[0]] * 4 for k, x in su.ENDINGS.items()})
+    monkeypatch.setattr(su, "MAX_ATTEMPTS", 2)
+    got = [t for _, _, t in run(spark, tmp_path, [(n, f"Mr {x} and Mr {x}.") for n, x in enumerate(["Alder", "Birch", "Cedar", "Elm"])])]
+    own = [re.match(r"Mr (.+) and Mr (.+)\.$", t).groups() for t in got]
+    assert all(a == b for a, b in own) and len({a for a, _ in own}) == 4
+    assert sum(bool(re.match(r"\[family [0-9a-f]{16}\]$", a)) for a, _ in own) == 2
+
+
+def test_a_given_name_has_one_gender(spark, tmp_path):
+    rows = [(1, "Mrs Maria Rossi"), (2, "Dr Maria Rossi"), (3, "my name is Maria Rossi, name: Anna Weiss"), (4, "Mr Robin Weiss, Prof Robin Weiss"), (5, "Dear Mr Robin Weiss")]
+    got = {i: t for i, _, t in run(spark, tmp_path, rows)}
+    maria, rossi = re.match(r"Mrs (\w+) (\w+)$", got[1]).groups()
+    assert got[2] == f"Dr {maria} {rossi}" and maria.endswith(tuple(su.ENDINGS["latin", "f"]))
+    robin, weiss = re.match(r"Mr (\w+) (\w+), ", got[4]).groups()
+    assert got[4].endswith(f"Prof {robin} {weiss}") and got[5] == f"Dear Mr {robin} {weiss}" and robin.endswith(tuple(su.ENDINGS["latin", "m"]))
+    assert re.match(rf"my name is {maria} {rossi}, name: \w+ {weiss}$", got[3])
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def iban(r):
+    body = "".join(str(r.randrange(10)) for _ in range(18))
+    return f"DE{98 - mod97(body + 'DE00'):02d}{body}"
+
+
+def card(r):
+    body = "4" + "".join(str(r.randrange(10)) for _ in range(14))
+    return body + str((10 - luhn(body + "0")) % 10)
+
+
+#: By kind: an entity, its spellings, its normal form, and whether a surrogate is of its type.
+KINDS = {
+    "email": (lambda r: f"user{r.randrange(40)}@host{r.randrange(3)}.org", [str, str.upper], str.lower, r"(?i)[a-z]+\.[0-9a-f]{10}@mail-[0-9a-f]{6}\.example\.org"),
+    "ip": (lambda r: ".".join(str(r.randrange(1, 255)) for _ in range(4)), [str], str, r"(?:(?:25[0-4]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}\d+"),
+    "ip6": (lambda r: ":".join(f"{r.randrange(4096, 65536):x}" for _ in range(8)), [str, str.upper], str.lower, r"(?:[0-9a-fA-F]{4}:){7}[0-9a-fA-F]{4}"),
+    "ssn": (lambda r: f"{r.randrange(1, 665):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}", [str], str, r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
+    "phone": (lambda r: f"555{r.randrange(100, 110)}{r.randrange(1000, 1100)}", [lambda d: f"{d[:3]}-{d[3:6]}-{d[6:]}", lambda d: f"({d[:3]}) {d[3:6]}-{d[6:]}"], lambda x: re.sub(r"\D", "", x), r"\d{3}-\d{3}-\d{4}|\(\d{3}\) \d{3}-\d{4}"),
+    "card": (card, [str, lambda x: " ".join(x[i : i + 4] for i in range(0, 16, 4))], lambda x: x.replace(" ", ""), r"4(?: ?\d){15}"),
+    "iban": (iban, [str, lambda x: " ".join(x[i : i + 4] for i in range(0, 22, 4))], lambda x: x.replace(" ", ""), r"DE(?: ?\d){20}"),
+    "key": (lambda r: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), [str], str, r"AKIA[0-9A-Z]{16}"),
+    "secret": (lambda r: "".join(r.choice("0123456789abcdef") for _ in range(18)), [str, str.upper], str.lower, r"(?i)[0-9a-f]{18}"),
+    "name": (lambda r: r.choice(["Abel", "Cora", "Dora", "Emil"]) + r.choice(["son", "berg", "feld", "ski", "ow"]), [str, str.upper], str.lower, r"[A-Z][a-z]+|[A-Z]+"),
+}
+BEFORE = {"secret": "password=", "name": "Herr "}
+
+
+def test_entities_of_all_kinds(spark, tmp_path):
+    """Every planted entity against a table of all: one surrogate for each, no two alike, none a real one, all of their type."""
+    r = random.Random(9)
+    pools = {k: [make(r) for _ in range(25)] for k, (make, *_) in KINDS.items()}
+    planted, rows = [], []
+    for i in range(150):
+        own = [(k, r.choice(KINDS[k][1])(r.choice(pools[k]))) for k in r.sample(list(KINDS), r.randrange(5))]
+        planted.append(own)
+        rows.append((i, "".join(f" w {BEFORE.get(k, '')}{x} ;" for k, x in own) + " end"))
+    made: dict = {}
+    for (i, n, text), own in zip(sorted(run(spark, tmp_path, rows)), planted, strict=True):
+        found = re.fullmatch("".join(rf" w {re.escape(BEFORE.get(k, ''))}(.+?) ;" for k, _ in own) + " end", text)
+        assert found and n == len(own), (rows[i], text)
+        for (k, x), y in zip(own, found.groups(), strict=True):
+            normal, form = KINDS[k][2:]
+            assert re.fullmatch(form, y) and (x.upper() == x) == (y.upper() == y) and [c for c in x if c in " -()."] == [c for c in y if c in " -()."] or k in ("email", "ip"), (x, y)
+            if k == "card":
+                assert luhn(normal(y)) == 0
+            if k == "iban":
+                assert mod97(normal(y)[4:] + normal(y)[:4]) == 1
+            made.setdefault(k, {}).setdefault(normal(x), set()).add(normal(y))
+    for k, of in made.items():
+        assert all(len(ys) == 1 for ys in of.values())
+        ys = {y for own in of.values() for y in own}
+        assert len(ys) == len(of) and not ys & {KINDS[k][2](x) for x in pools[k]} & set(of)
+
+
+def test_a_surrogate_is_no_real_entity(spark, tmp_path):
+    """A text that holds the surrogate that another entity would get makes it get a further one."""
+    (_, _, first), = run(spark, tmp_path / "a", [(1, "call 555-123-4567")])
+    taken = first.split()[-1]
+    got = {i: t for i, _, t in run(spark, tmp_path / "b", [(1, "call 555-123-4567"), (2, f"call {taken}")])}
+    assert len({got[1], got[2], f"call {taken}", "call 555-123-4567"}) == 4
+
+
+def test_numbers_that_are_none(spark, tmp_path):
+    rows = [(1, "DE89370400440532013001 and 4539148803436468 stay"), (2, "keyword: nothing here, version 1.2.3, at 10:30:15, ratio 3:4::x")]
+    assert run(spark, tmp_path, rows) == [(i, 0, t) for i, t in rows]
+
+
+def test_clashing_names_and_other_columns(spark, tmp_path):
+    docs = spark.read.parquet(documents(spark, tmp_path, [(1, "ip 189.251.249.1"), (2, None), (1, "ip 189.251.249.1")]) + "/documents.parquet")
+    more = docs.select("*", *(F.lit("x").alias(c) for c in ("hits", "row", "moved", "form", "n_entities", "f")))
+    out = su.pseudonymised(more, "k")
+    assert out.columns == [c for c in more.columns if c != "n_entities"] + ["n_entities"]
+    rows = sorted(((r.doc_id, r.hits, r.row, r.moved, r.form, r.f, r.n_entities) for r in out.collect()))
+    assert rows == [(1, *"xxxxx", 1), (1, *"xxxxx", 1), (2, *"xxxxx", 0)]
+    with pytest.raises(ValueError):
+        su.pseudonymised(docs, "")
 
 
 def test_empty_table(spark, tmp_path):
