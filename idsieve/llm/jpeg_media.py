@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as B
+from . import scratch
 
 ROW = 192  # blocks in a row of a stored image, which is also its restart interval
 MAX_ROWS = 8191  # an image is at most 65,535 samples high; longer payloads take several images
 QUANT = 8
-# The usual code lengths and categories for luminance DC differences.
-DC_COUNTS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
-DC_VALUES = list(range(12))
+# With these code lengths a block takes whole bytes: one if its DC difference has 1 to 6 bits, else two. Equal passages of texts
+# are equal bytes then, which the compression of the table that holds the images makes use of.
+DC_COUNTS = [1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 1, 0]
+DC_VALUES = [6, 5, 4, 3, 2, 1, 8, 7, 0]
 AC_COUNTS = [1] + [0] * 15  # one code of one bit: end of block
 AC_VALUES = [0]
 
@@ -389,11 +391,11 @@ def features(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts stored as JPEG, read back, and their features.
+    """All texts stored as JPEG in a table in the shared folder, read back from there, and their features.
 
     Null or empty text: a payload of blanks. Repeated rows: a result each. An empty table gives no rows.
     """
-    rows = features(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    rows = features(scratch.saved(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
     payload = F.col("thumbnail")
     return rows.select(
         "doc_id",

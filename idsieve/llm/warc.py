@@ -1,23 +1,33 @@
 """WARC derivatives: metadata and plain-text conversion records of response records.
 
-All of it is built-in expressions on columns: a response's HTTP header is split off, its fields and
+Deriving is built-in expressions on columns: a response's HTTP header is split off, its fields and
 digests are kept as source fields of the metadata record, and the body becomes plain text. Both
 derivatives name the response in WARC-Refers-To; ids are digests of what they stand for, so a rerun
-gives the same ones. Nothing is shuffled.
+gives the same ones. Nothing is shuffled. Files are read record by record, by their lengths.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 DATE = "1970-01-01T00:00:00Z"  # pages have none
 VERSION = "WARC/1.1"
 # Elements whose content is no text, elements that begin a line, and named characters.
 HIDDEN = ["script", "style", "noscript", "template", "title"]
 BLOCK = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul".split()
 NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")]
-RECORD = "record_id string, type string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block string"
+#: Columns of a record and the fields that hold them.
+FIELDS = {"record_id": "WARC-Record-ID", "type": "WARC-Type", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "source_payload_digest": "WARC-Source-Payload-Digest"}
+READ_BYTES = 16 << 20  # of blocks in one batch
 
 _q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -69,85 +79,138 @@ def responses_from_pages(pages: DataFrame, date: str = DATE) -> DataFrame:
     )
 
 
+def _header_and_body(block: str, binary: bool) -> tuple[str, str]:
+    """SQL for the HTTP header of a block and for its body; a block without a header is all body."""
+    text = f"decode({block}, 'ISO-8859-1')" if binary else block  # a character for each byte
+    whole = f"CASE WHEN startswith({text}, 'HTTP/') THEN regexp_extract({text}, '(?s)^HTTP/.*?\\r?\\n\\r?\\n', 0) ELSE '' END"
+    head = f"regexp_replace({whole}, '\\r?\\n\\r?\\n$', '')"
+    return head, f"substring({block}, length({whole}) + 1)"
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
-    """A metadata and a conversion record for each response record, with all its other columns.
+    """A metadata and a conversion record for each response record, with all its other columns but those that a derivative has itself.
 
-    The payload digest of both is that of the response; where it has none, it is taken of the body. A block
-    without an HTTP header is all body. Records of other types are left out.
+    Blocks are text or bytes; bytes are read as ISO-8859-1 where the HTTP header says so, else as UTF-8, and what is none
+    becomes the replacement character. The source's payload digest goes with both; where it has none, it is taken of the
+    body. The metadata record has all HTTP header lines, folded ones as one line and repeated ones each. A null
+    block is an empty one. Records of other types are left out; repeated records give the same records again.
     """
-    kept = [c for c in responses.columns if c not in ("record_id", "type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block")]
-    split = "locate('\\r\\n\\r\\n', block)"
-    rows = responses.where("type = 'response'").selectExpr(
-        *kept,
-        "record_id AS source_id",
-        "target_uri",
-        "date",
-        "payload_digest AS given",
-        f"CASE WHEN block LIKE 'HTTP/%' AND {split} > 0 THEN substring(block, 1, {split} - 1) ELSE '' END AS head",
-        f"CASE WHEN block LIKE 'HTTP/%' AND {split} > 0 THEN substring(block, {split} + 4) ELSE coalesce(block, '') END AS body",
-    )
+    made = ["record_id", "type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "source_payload_digest", "block", "title", "n_links"]
+    kept = [f"`{c}`" for c in responses.columns if c not in made]
+    binary = dict(responses.dtypes)["block"] == "binary"
+    source_id, given, head, raw, body, seen, lang, links, text, record = scratch.unused(responses, "source_id", "given", "head", "raw", "body", "seen", "lang", "links", "text", "record")
+    header, payload = _header_and_body("coalesce(block, X'')" if binary else "coalesce(block, '')", binary)
+    rows = responses.where("type = 'response'").selectExpr(*kept, f"record_id AS {source_id}", "target_uri", "date", f"payload_digest AS {given}", f"regexp_replace({header}, '\\r?\\n[ \\t]+', ' ') AS {head}", f"{payload} AS {raw}")
+    as_text = f"CASE WHEN {head} RLIKE '(?i)charset=\"?(iso-8859-1|latin-?1)' THEN decode({raw}, 'ISO-8859-1') ELSE make_valid_utf8(cast({raw} AS string)) END" if binary else raw
+    rows = rows.withColumn(body, F.expr(as_text))
     rows = rows.selectExpr(
         *kept,
-        "source_id",
+        source_id,
         "target_uri",
         "date",
-        "head",
-        "coalesce(given, concat('sha256:', sha2(body, 256))) AS payload_digest",
-        f"{visible_text('body')} AS seen",
-        "trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1), '\\\\s+', ' ')) AS title",
-        "regexp_extract(body, '(?i)<html[^>]*\\\\slang=\"([^\"]*)\"', 1) AS lang",
-        "regexp_extract_all(body, '(?i)<a\\\\s[^>]*href=\"([^\"]*)\"', 1) AS links",
+        head,
+        f"coalesce({given}, concat('sha256:', sha2({raw}, 256))) AS source_payload_digest",
+        f"{visible_text(body)} AS {seen}",
+        f"trim(regexp_replace(regexp_extract({body}, '(?is)<title[^>]*>(.*?)</title', 1), '\\\\s+', ' ')) AS title",
+        f"regexp_extract({body}, '(?i)<html[^>]*\\\\slang=\"([^\"]*)\"', 1) AS {lang}",
+        f"regexp_extract_all({body}, '(?i)<a\\\\s[^>]*href=\"([^\"]*)\"', 1) AS {links}",
     )
-    rows = rows.withColumn("text", F.expr(plain_text("seen")))
-    fields = "concat('title: ', title, '\\r\\nlanguage: ', lang, '\\r\\nsource-payload-digest: ', payload_digest, '\\r\\n', CASE WHEN head = '' THEN '' ELSE concat('source-header: ', replace(head, '\\r\\n', '\\r\\nsource-header: '), '\\r\\n') END, array_join(transform(links, x -> concat('outlink: ', x, '\\r\\n')), ''))"
-    both = f"array(named_struct('type', 'metadata', 'content_type', 'application/warc-fields', 'block', {fields}), named_struct('type', 'conversion', 'content_type', 'text/plain; charset=utf-8', 'block', text))"
-    made = rows.selectExpr(*kept, "source_id", "target_uri", "date", "payload_digest", "title", "size(links) AS n_links", f"explode({both}) AS r")
-    return made.selectExpr(
+    rows = rows.withColumn(text, F.expr(plain_text(seen)))
+    lines = f"CASE WHEN {head} = '' THEN '' ELSE concat('source-header: ', regexp_replace({head}, '\\r?\\n', '\\r\\nsource-header: '), '\\r\\n') END"
+    fields = f"concat('title: ', title, '\\r\\nlanguage: ', {lang}, '\\r\\nsource-payload-digest: ', source_payload_digest, '\\r\\n', {lines}, array_join(transform({links}, x -> concat('outlink: ', x, '\\r\\n')), ''))"
+    both = f"array(named_struct('type', 'metadata', 'content_type', 'application/warc-fields', 'block', {fields}), named_struct('type', 'conversion', 'content_type', 'text/plain; charset=utf-8', 'block', {text}))"
+    out = rows.selectExpr(*kept, source_id, "target_uri", "date", "source_payload_digest", "title", f"size({links}) AS n_links", f"explode({both}) AS {record}")
+    return out.selectExpr(
         *kept,
-        _uuid("r.type", "source_id", "r.block") + " AS record_id",
-        "r.type AS type",
-        "source_id AS refers_to",
+        _uuid(f"{record}.type", source_id, f"{record}.block") + " AS record_id",
+        f"{record}.type AS type",
+        f"{source_id} AS refers_to",
         "target_uri",
         "date",
-        "r.content_type AS content_type",
-        "payload_digest",
-        "r.block AS block",
+        f"{record}.content_type AS content_type",
+        "cast(NULL AS string) AS payload_digest",
+        "source_payload_digest",
+        f"{record}.block AS block",
         "title",
         "n_links",
     )
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """One column ``value``: each record with its header lines."""
-    lines = [
-        ("WARC-Type", "type"),
-        ("WARC-Record-ID", "record_id"),
-        ("WARC-Refers-To", "refers_to"),
-        ("WARC-Target-URI", "target_uri"),
-        ("WARC-Date", "date"),
-        ("WARC-Payload-Digest", "payload_digest"),
-        ("WARC-Block-Digest", "concat('sha256:', sha2(block, 256))"),
-        ("Content-Type", "content_type"),
-        ("Content-Length", "octet_length(block)"),
-    ]
+    """One column ``value``: each record with its header lines. Blocks are text."""
+    own = {f: c for c, f in FIELDS.items() if c in records.columns}
+    order = ["WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Source-Payload-Digest"]
+    lines = [(f, own[f]) for f in order if f in own] + [("WARC-Block-Digest", "concat('sha256:', sha2(block, 256))"), ("Content-Type", "content_type"), ("Content-Length", "octet_length(block)")]
     head = ", ".join(f"coalesce(concat('{name}: ', {column}, '\\r\\n'), '')" for name, column in lines)
     return records.selectExpr(f"concat('{VERSION}\\r\\n', {head}, '\\r\\n', block) AS value")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Uncompressed WARC files, one for each task."""
-    serialized(records).write.option("lineSep", "\r\n\r\n").text(path)
+def write_warc(records: DataFrame, path: str, compressed: bool = False) -> None:
+    """WARC files, one for each task; compressed ones are one gzip member each."""
+    serialized(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip" if compressed else "none").text(path)
+
+
+def records_in(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+    """(fields in order, block, what is wrong or None) of each record of a file, whose gzip members may hold any part of it.
+
+    Blocks are as long as Content-Length says. A file that breaks off ends with the record that is not whole, and one
+    in which no record begins where it should ends there with a record without fields; both name what is wrong.
+    """
+    file = gzip.open(io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+    fields: list[tuple[str, str]] = []
+    try:
+        while line := file.readline():
+            if not line.strip():
+                continue
+            fields = []
+            if not line.startswith(b"WARC/"):
+                yield fields, line, "no record begins here"
+                return
+            while (line := file.readline()).strip():
+                if line[:1] in b" \t" and fields:
+                    fields[-1] = fields[-1][0], f"{fields[-1][1]} {line.decode('utf-8', 'replace').strip()}"
+                else:
+                    name, _, value = line.decode("utf-8", "replace").partition(":")
+                    fields.append((name.strip(), value.strip()))
+            given = next((v for n, v in fields if n.lower() == "content-length"), "")
+            if not given.isdecimal():
+                yield fields, b"", "no length"
+                return
+            block = file.read(int(given))
+            yield fields, block, None if len(block) == int(given) else "breaks off"
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        yield fields, b"", "breaks off"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of such files, whose blocks are text; they are cut where a record's version line follows a record's end."""
-    rows = spark.read.option("lineSep", f"\r\n\r\n{VERSION}\r\n").text(path)
-    # the first record of a file still has its version line, the last one its end
-    value = f"regexp_replace(regexp_replace(value, '^{VERSION}\\r\\n', ''), '\\r\\n\\r\\n$', '')"
-    rows = rows.selectExpr(f"{value} AS value").selectExpr("substring(value, 1, locate('\\r\\n\\r\\n', value) - 1) AS head", "substring(value, locate('\\r\\n\\r\\n', value) + 4) AS block")
-    field = lambda name: f"nullif(regexp_extract(head, '(?im)^{name}: *(.*?)\\r?$', 1), '')"
-    names = {"record_id": "WARC-Record-ID", "type": "WARC-Type", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest"}
-    return rows.selectExpr(*(f"{field(f)} AS {c}" for c, f in names.items()), "block")
+    """Records of WARC files, compressed or not: the columns of FIELDS, headers (all fields in order), block (bytes) and error.
+
+    A record's place follows from the lengths before it, so a file is read by one task; there are many, and each is
+    of a bounded size (spark.sql.sources.binaryFile.maxLength at most).
+    """
+    schema = ", ".join(f"{c} string" for c in FIELDS) + ", headers array<struct<name: string, value: string>>, block binary, error string"
+    kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            columns = [[r[i] for r in rows] for i in range(len(FIELDS))]
+            headers = [[{"name": n, "value": v} for n, v in r[-3]] for r in rows]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(headers, kind), pa.array([r[-2] for r in rows], pa.binary()), pa.array([r[-1] for r in rows], pa.string())], [*FIELDS, "headers", "block", "error"])
+
+        for files in batches:
+            for content in files.column("content"):
+                rows, size = [], 0
+                for fields, block, error in records_in(content.as_py()):
+                    first = {n.lower(): v for n, v in reversed(fields)}
+                    rows.append((*(first.get(f.lower()) or None for f in FIELDS.values()), fields, block, error))
+                    size += len(block)
+                    if size >= READ_BYTES:
+                        yield batch()
+                        rows, size = [], 0
+                if rows:
+                    yield batch()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +226,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "refers_to",
         "target_uri",
         "content_type",
-        "payload_digest",
+        "source_payload_digest",
         "concat('sha256:', sha2(block, 256)) AS block_digest",
         "cast(octet_length(block) AS bigint) AS content_length",
         "cast(n_links AS bigint) AS n_links",
@@ -198,7 +261,7 @@ def _oracle() -> str:
         regexp_extract(body, '<html[^>]*\\slang="([^"]*)"', 1, 'i') AS lang, regexp_extract_all(body, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS links, {text} AS plain FROM source),
     record AS (SELECT *, 'metadata' AS type, 'application/warc-fields' AS content_type, 'title: ' || title || {crlf} || 'language: ' || lang || {crlf} || 'source-payload-digest: ' || payload_digest || {crlf} || head || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || {crlf}), ''), '') AS block FROM response
         UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', plain FROM response)
-    SELECT page_id, type, {uuid("type", "source_id", "block")} AS record_id, source_id AS refers_to, target_uri, content_type, payload_digest, 'sha256:' || sha256(block) AS block_digest,
+    SELECT page_id, type, {uuid("type", "source_id", "block")} AS record_id, source_id AS refers_to, target_uri, content_type, payload_digest AS source_payload_digest, 'sha256:' || sha256(block) AS block_digest,
         strlen(block)::bigint AS content_length, len(links)::bigint AS n_links, title FROM record"""
 
 
