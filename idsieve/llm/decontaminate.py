@@ -8,11 +8,14 @@ words than an item is one window, verified with all items that share a shingle w
 
 The radius follows from the similarity: that many bits differ, at most, but for the given share of pairs.
 Windows without any shingle of the benchmark have similarity 0 to all items and get no fingerprint.
-Documents are read once and not shuffled; items are few, and go to every task in passes of bounded size.
+Documents are not shuffled. Items go to every task as an index of INDEX_BYTES at most; where they are too many for one,
+a filter of fixed size over all their shingles first takes out the documents that hold any, in one pass over all, and the
+passes with an index each read these alone.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections import Counter
@@ -25,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as B
+from . import scratch
 
 GRAM_WORDS, SIMILARITY = 5, 0.8
 SURE = 3.1  # standard deviations: one pair in a thousand is farther apart
 BLOCKS, BLOCK_BITS = 4, 16
-ITEMS_A_PASS = 512
+INDEX_BYTES = 128 << 20
 FILTER_BITS = 20
+SLOT_BITS = 27  # of the filter over all shingles: 16 MB
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -71,19 +76,30 @@ def _neighbours(bits: int, distance: int) -> np.ndarray:
     return np.array(masks, np.int64)
 
 
+def items_a_pass(within: int) -> int:
+    """How many items INDEX_BYTES hold: each stands under all near values of its blocks."""
+    return max(1, INDEX_BYTES // (4 * BLOCKS * len(_neighbours(BLOCK_BITS, within // BLOCKS))))
+
+
+def _shingles(text: str | None, k: int) -> tuple[int, np.ndarray]:
+    """(words of a shingle, hashes): a text with fewer than k words has one of all of them."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    words, first = B.word_hashes(raw, np.array([0, len(raw)]))
+    n = min(k, len(words))
+    return n, B.gram_hashes(words, first, n)[0] if n else words
+
+
 def prepare(rows: list[tuple[int, str | None]], k: int, within: int) -> Items:
     """Items without words are left out."""
     ids, sizes, bags, prints, short = [], [], [], [], {}
     for item, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        words, first = B.word_hashes(raw, np.array([0, len(raw)]))
-        if not len(words):
+        n, grams = _shingles(text, k)
+        if not n:
             continue
-        grams, _ = B.gram_hashes(words, first, min(k, len(words)))
-        if len(words) < k:
-            short.setdefault(len(words), []).append((int(grams[0]), item))
+        if n < k:
+            short.setdefault(n, []).append((int(grams[0]), item))
             continue
-        ids.append(item), sizes.append(len(words)), bags.append(Counter(grams.tolist()))
+        ids.append(item), sizes.append(len(grams) + k - 1), bags.append(Counter(grams.tolist()))
         prints.append(packed(signs(grams).sum(0, keepdims=True))[0])
     prints = np.array(prints, np.uint64)
     known = np.unique(np.array([g for b in bags for g in b], np.uint64))
@@ -188,23 +204,54 @@ def passages(data: np.ndarray, offsets: np.ndarray, items: Items, k: int, simila
     return best
 
 
+def touching(docs: DataFrame, slots: np.ndarray, sizes: list[int], k: int) -> DataFrame:
+    """The rows whose text holds a shingle of k words, or of as many as one of ``sizes``, in a slot of the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in B.chunked(B.as_strings(batch.column("text"))):
+                words, first = B.word_hashes(data, offsets)
+                keep = np.zeros(hi - lo, bool)
+                for n in (k, *sizes):
+                    grams, begin = B.gram_hashes(words, first, n)
+                    slot = grams & np.uint64(len(slots) * 8 - 1)
+                    hit = np.flatnonzero(slots[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    keep[np.searchsorted(begin, hit, side="right") - 1] = True
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, k: int = GRAM_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, item_id, similarity, first_word and n_words: the best window of each document for each item in it.
 
     Weighted similarity of two bags of shingles: the sum of the smaller counts over that of the larger.
     Items with fewer than k words match windows of the same words. A text with fewer words than the item is
-    its own only window. Null or empty texts match nothing.
+    its own only window. Null or empty texts match nothing, nor do items without an id. Repeated rows have a
+    result each; an empty table on either side gives none. Other columns, whatever their names, are left aside.
     """
     within = radius(similarity)
-    count = benchmark.count()
     listed = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL")
-    passes = max(1, math.ceil(count / ITEMS_A_PASS))
+    passes = max(1, math.ceil(listed.count() / items_a_pass(within)))
     schema = "doc_id long, text_key long, item_id long, similarity double, first_word long, n_words long"
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
 
-    def one(n: int) -> DataFrame:
+    def rows_of(n: int) -> list[tuple[int, str]]:
         rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).distinct().collect()
-        items = prepare(sorted((r.item_id, r.text or "") for r in rows), k, within)
+        return sorted((r.item_id, r.text or "") for r in rows)
+
+    if passes > 1:
+        slots, sizes = np.zeros((1 << SLOT_BITS) // 8, np.uint8), set()
+        for n in range(passes):
+            for _, text in rows_of(n):
+                size, grams = _shingles(text, k)
+                sizes.add(size)
+                slot = grams & np.uint64((1 << SLOT_BITS) - 1)
+                np.bitwise_or.at(slots, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+        whole = scratch.saved(touching(whole, slots, sorted(sizes - {0, k}), k), "benchmark-touching")
+
+    def one(n: int) -> DataFrame:
+        items = prepare(rows_of(n), k, within)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -217,17 +264,15 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, k: int = GRAM_WORDS
 
         return whole.mapInArrow(run, schema)
 
-    out = one(0)
-    for n in range(1, passes):
-        out = out.union(one(n))
-    return out
+    return functools.reduce(DataFrame.union, (one(n) for n in range(passes)))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    found = benchmark_matches(docs, benchmark, **options).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__found")).distinct()
-    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__found")), "left_anti").drop("__key")
+    """The rows of ``docs``, all columns, that hold no benchmark item; of repeated rows all or none."""
+    text_key, bad_id, bad_key = scratch.unused(docs, "text_key", "bad_id", "bad_key")
+    keyed = docs.withColumn(text_key, F.xxhash64(F.col("text").cast("string")))
+    found = benchmark_matches(docs, benchmark, **options).select("doc_id", "text_key").distinct().toDF(bad_id, bad_key)
+    return keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.col(text_key) == F.col(bad_key)), "left_anti").drop(text_key)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

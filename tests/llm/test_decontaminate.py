@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from idsieve.llm import decontaminate as de
 from tests.llm.tables import documents, write
@@ -73,7 +74,8 @@ def test_planted(spark, tmp_path, planted):
 
 
 def test_several_passes(spark, tmp_path, planted, monkeypatch):
-    monkeypatch.setattr(de, "ITEMS_A_PASS", 15)
+    monkeypatch.setattr(de, "INDEX_BYTES", 15 * 40_272)
+    assert de.items_a_pass(19) == 15
     rows, items = planted
     assert run(spark, tables(spark, tmp_path, rows, items)) == expected(rows, items)
 
@@ -93,6 +95,33 @@ def test_anti_join_keeps_clean_rows(spark, tmp_path, planted):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in bad), key=str)
 
 
+def test_clashing_names(spark, tmp_path, planted):
+    rows, items = planted
+    folder = tables(spark, tmp_path, rows, items)
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    more = docs.select("*", *(F.lit("x").alias(c) for c in ("text_key", "bad_id", "bad_key", "item_id", "similarity")))
+    kept = de.without_benchmark(more, bench)
+    assert kept.columns == more.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in de.without_benchmark(docs, bench).collect()), key=str)
+
+
+def test_recall_just_over_the_similarity(spark, tmp_path):
+    """Fingerprints find all windows but for one in a thousand, measured on windows that have 0.8 to 0.85 of the item's shingles."""
+    r = random.Random(2)
+    items, rows = [], []
+    while len(rows) < 400:
+        own = [f"{w}{r.randrange(4)}" for w in text(r, r.randrange(40, 90))]
+        other = list(own)
+        for _ in range(r.randrange(1, 4)):
+            other[r.randrange(len(other))] = "changed"
+        common = (bag(own) & bag(other)).total()
+        if 0.8 <= common / (bag(own).total() + bag(other).total() - common) <= 0.85:
+            items.append((len(items), " ".join(own)))
+            rows.append((len(rows), " ".join([*text(r, 20), *other, *text(r, 20)])))
+    found = {(i, item) for i, item, *_ in run(spark, tables(spark, tmp_path, rows, items))}
+    assert len(found & {(n, n) for n in range(400)}) >= 0.99 * 400
+
+
 def test_corpus(spark, small_dir):
     rows, items = ([tuple(r) for r in spark.read.parquet(f"{small_dir}/{t}.parquet").select(c, "text").collect()] for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
     assert run(spark, small_dir) == expected(rows, items)
