@@ -144,8 +144,9 @@ def gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndar
 class PieceCache:
     """Ids of tokens by their 64-bit hashes, in a table of fixed size; each token has two slots that may hold it.
 
-    ``encode(tokens)`` gives a list of id arrays for a list of byte strings. Memory is bounded by
-    ``slots`` and ``ids``; what was put out is encoded again when it comes back.
+    ``encode(tokens)`` gives a list of id arrays for a list of byte strings. A slot also has the token's bytes, and
+    counts only for the same bytes. Memory is bounded by ``slots`` and ``ids``; what was put out is encoded again when
+    it comes back.
     """
 
     def __init__(self, encode, slots: int = 1 << 20, ids: int = 8_000_000, dtype=np.int32):
@@ -156,35 +157,55 @@ class PieceCache:
         self.keys = np.zeros(self.slots, np.uint64)
         self.begin = np.zeros(self.slots, np.int64)
         self.length = np.zeros(self.slots, np.int32)
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.used = 0
-
-    def _room(self, n: int) -> None:
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(n, len(self.flat)), self.dtype)))
+        self.raw_begin = np.zeros(self.slots, np.int64)
+        self.raw_length = np.zeros(self.slots, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
+
+    @staticmethod
+    def _with(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        """The store with more behind what is used of it."""
+        if used + len(more) > len(store):
+            store = np.concatenate((store[:used], np.zeros(max(len(more), len(store)), store.dtype)))
+        store[used : used + len(more)] = more
+        return store
+
+    def _same(self, slot: np.ndarray, which: np.ndarray, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the slots of those tokens hold the tokens' bytes."""
+        out = np.zeros(len(slot), bool)
+        likely = np.flatnonzero(which & (self.raw_length[slot] == length))
+        size = length[likely]
+        equal = gathered(self.raw, self.raw_begin[slot[likely]], size) == gathered(data, begin[likely], size)
+        ends = np.cumsum(size)
+        wrong = np.concatenate(([0], np.cumsum(~equal)))
+        out[likely] = wrong[ends] == wrong[ends - size]
+        return out
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each span)."""
         hashes = span_hashes(data, starts, ends)
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.used > self.limit:
+        if self.used > self.limit or self.raw_used > 4 * self.limit:
             self.clear()
+        at, size = starts[first], (ends - starts)[first]
         slot = (unique & np.uint64(self.slots - 1)).astype(np.int64)
         other = (unique >> np.uint64(40) & np.uint64(self.slots - 1)).astype(np.int64)
-        there = self.keys[slot] == unique
+        there = self._same(slot, self.keys[slot] == unique, data, at, size)
+        there_too = self._same(other, ~there & (self.keys[other] == unique), data, at, size)
         found = np.where(there, slot, other)
         begin, length = self.begin[found], self.length[found].copy()
-        missing = np.flatnonzero(~there & (self.keys[other] != unique))
+        missing = np.flatnonzero(~there & ~there_too)
         if len(missing):
             raw = data.tobytes()
-            new = self.encode([raw[a:b] for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
+            new = self.encode([raw[a : a + n] for a, n in zip(at[missing].tolist(), size[missing].tolist(), strict=True)])
             sizes = np.fromiter(map(len, new), np.int64, len(new))
             flat = np.concatenate([*new, np.zeros(0, self.dtype)]).astype(self.dtype)
-            self._room(len(flat))
-            at = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            begin[missing], length[missing] = at, sizes
+            self.flat = self._with(self.flat, self.used, flat)
+            own = gathered(data, at[missing], size[missing])
+            self.raw = self._with(self.raw, self.raw_used, own)
+            ids_at, raw_at = self.used + np.cumsum(sizes) - sizes, self.raw_used + np.cumsum(size[missing]) - size[missing]
+            self.used, self.raw_used = self.used + len(flat), self.raw_used + len(own)
+            begin[missing], length[missing] = ids_at, sizes
             put = np.where(self.keys[slot[missing]] == 0, slot[missing], other[missing])
-            self.keys[put], self.begin[put], self.length[put] = unique[missing], at, sizes
+            self.keys[put], self.begin[put], self.length[put], self.raw_begin[put], self.raw_length[put] = unique[missing], ids_at, sizes, raw_at, size[missing]
         return gathered(self.flat, begin[back], length[back].astype(np.int64)), length[back]

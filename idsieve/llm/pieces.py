@@ -6,10 +6,11 @@ each distinct word is encoded once. The distinct words of a block are sorted,
 which puts them in the order of a depth-first walk through their trie: a word keeps the forward states of
 the prefix it shares with the word before, and only its further characters are looked at.
 
-The forward state of a prefix is the best last piece (Viterbi). A unigram model takes the piece with the
-best sum of scores. A model of merges has no scores that add up: there a piece may follow the prefix
-before it only if the pair of pieces is what merging makes of their joint characters; exactly one piece
-per prefix can, so the walk gives the merges' result.
+The forward state of a prefix is the best last piece (Viterbi) by the best sum of scores, as the library
+encodes with a unigram model. A model of merges comes with scores too, but its own ids follow from merging;
+``encode_words`` gives both. For merging, a piece may follow the prefix before it only if the pair of pieces is
+what merging makes of their joint characters; exactly one piece per prefix can, so the walk gives the merges'
+result.
 
 Vocabularies come from the model file; nothing is trained. Models must keep texts as they are (identity
 normalisation), mark a beginning, and have byte pieces for unknown characters.
@@ -99,6 +100,8 @@ class Model:
                     if parts == [p]:
                         self.whole.add(p)
                         self.halves[p] = last
+        #: For each end of a piece its id, or -1 where that is no piece itself.
+        self.tails = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
         #: For each end of a piece: the piece itself if it is whole, else an empty text.
         self.endings = {p[k:]: "" for p in self.whole for k in range(len(p))}
         self.endings |= {p: p for p in self.whole}
@@ -142,14 +145,15 @@ class Model:
             else:
                 limit, equal, right = b, True, self.halves[right][0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of marked words. They are visited in sorted order; states of shared prefixes stay."""
+    def encode_words(self, words: list[str], kind: int) -> list[list[int]]:
+        """Ids of marked words, by sums of scores (UNIGRAM) or merges. Words are visited in sorted order; states of shared
+        prefixes stay. Of paths with equal sums the one whose last piece is longer counts."""
         order = sorted(range(len(words)), key=words.__getitem__)
         out: list[list[int]] = [[]] * len(words)
         last: list[str] = [""]  # last piece of each prefix of the current word
         best: list[float] = [0.0]
         before = ""
-        merges, ids, score, longest, follows, endings, known = self.kind == MERGES, self.ids, self.score, self.longest, self.follows, self.endings, self.known
+        step = self._merged_step if kind == MERGES else self._scored_step
         for n in order:
             word = words[n]
             shared = 0
@@ -159,46 +163,13 @@ class Model:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                found, most = word[end - 1], None
-                if merges:
-                    ends, start = [], end - 1
-                    while start >= 0:
-                        piece = endings.get(word[start:end])
-                        if piece is None:
-                            break
-                        if piece:
-                            ends.append((start, piece))
-                        start -= 1
-                    for start, piece in reversed(ends):
-                        if start == 0:
-                            found = piece
-                            break
-                        pair = last[start], piece
-                        fits = known.get(pair)
-                        if fits is None:
-                            if len(known) >= MAX_PAIRS:
-                                known.clear()
-                            fits = known[pair] = follows(*pair)
-                        if fits:
-                            found = piece
-                            break
-                else:
-                    for start in range(max(0, end - longest), end):
-                        piece = word[start:end]
-                        i = ids.get(piece)
-                        if i is None and start < end - 1:
-                            continue
-                        s = best[start] + (self.unknown_score if i is None else score[i])
-                        if most is None or s > most:
-                            found, most = piece, s
-                last.append(found)
-                best.append(most or 0.0)
+                step(word, end, last, best)
             before = word
             got: list[int] = []
             end = len(word)
             while end:
                 piece = last[end]
-                i = ids.get(piece)
+                i = self.ids.get(piece)
                 if i is None:
                     got.extend(self.bytes[list(reversed(piece.encode()))].tolist())
                 else:
@@ -207,21 +178,75 @@ class Model:
             out[n] = got[::-1]
         return out
 
+    def _scored_step(self, word: str, end: int, last: list[str], best: list[float]) -> None:
+        """Adds the best last piece of a prefix, and its sum of scores."""
+        tails, score = self.tails, self.score
+        found, most = word[end - 1], best[end - 1] + self.unknown_score
+        if found in self.ids:
+            most = -math.inf
+        start = end - 1
+        while start >= 0:
+            i = tails.get(word[start:end])
+            if i is None:
+                break
+            if i >= 0:
+                s = best[start] + score[i]
+                if s >= most:
+                    found, most = word[start:end], s
+            start -= 1
+        last.append(found)
+        best.append(most)
+
+    def _merged_step(self, word: str, end: int, last: list[str], best: list[float]) -> None:
+        """Adds the one last piece of a prefix that merging gives."""
+        endings, known = self.endings, self.known
+        found = word[end - 1]
+        ends, start = [], end - 1
+        while start >= 0:
+            piece = endings.get(word[start:end])
+            if piece is None:
+                break
+            if piece:
+                ends.append((start, piece))
+            start -= 1
+        for start, piece in reversed(ends):
+            if start == 0:
+                found = piece
+                break
+            pair = last[start], piece
+            fits = known.get(pair)
+            if fits is None:
+                if len(known) >= MAX_PAIRS:
+                    known.clear()
+                fits = known[pair] = self.follows(*pair)
+            if fits:
+                found = piece
+                break
+        last.append(found)
+        best.append(0.0)
+
 
 @functools.lru_cache(2)
-def _loaded(path: str) -> tuple[Model, B.PieceCache, np.ndarray, np.ndarray]:
+def _model(path: str) -> tuple[Model, np.ndarray, np.ndarray]:
     model = Model(path)
+    sizes = np.array([len(d) for d in model.decoded])
+    return model, np.frombuffer(b"".join(model.decoded), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+
+
+@functools.lru_cache(2)
+def _cache(path: str, kind: int) -> B.PieceCache:
+    model = _model(path)[0]
 
     def encode(words: list[bytes]) -> list[np.ndarray]:
-        return [np.array(x, np.int32) for x in model.encode_words([w.decode().replace(" ", MARK) for w in words])]
+        return [np.array(x, np.int32) for x in model.encode_words([w.decode().replace(" ", MARK) for w in words], kind)]
 
-    sizes = np.array([len(d) for d in model.decoded])
-    return model, B.PieceCache(encode, slots=1 << 21, ids=6_000_000), np.frombuffer(b"".join(model.decoded), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+    return B.PieceCache(encode, slots=1 << 20, ids=4_000_000)
 
 
-def encode_texts(texts: pa.LargeStringArray, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end, ids, offsets of the texts in them). Marks in a text count as blanks."""
-    model, cache, _, _ = _loaded(path)
+def encode_texts(texts: pa.LargeStringArray, path: str, *kinds: int) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(first text, end, for each kind of encoding all ids and the offsets of the texts in them); by default of the model's own
+    kind. Marks in a text count as blanks."""
+    model = _model(path)[0]
     texts = pc.replace_substring(texts, MARK, " ")
     texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
     for lo, hi, data, offsets in B.chunked(texts):
@@ -229,14 +254,26 @@ def encode_texts(texts: pa.LargeStringArray, path: str) -> Iterator[tuple[int, i
         start[1:] = ~model.joint[data[:-1], data[1:]]
         start[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(start)
-        ids, sizes = cache.ids(data, starts, np.append(starts[1:], len(data)).astype(np.int64))
-        begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        yield lo, hi, ids, begin[np.searchsorted(starts, offsets)]
+        ends, at = np.append(starts[1:], len(data)).astype(np.int64), np.searchsorted(starts, offsets)
+        made = []
+        for kind in kinds or (model.kind,):
+            ids, sizes = _cache(path, kind).ids(data, starts, ends)
+            made.append((ids, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[at]))
+        yield lo, hi, made
+
+
+def sums_of_scores(ids: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
+    """The sum of scores of each list of ids; an unknown character has one score for all its bytes."""
+    model = _model(path)[0]
+    score = np.array(model.score)
+    score[model.bytes] = 0.0
+    score[np.concatenate((model.bytes[:128], model.bytes[192:]))] = model.unknown_score
+    return np.diff(np.concatenate(([0.0], np.cumsum(score[ids])))[offsets])
 
 
 def decode_ids(ids: np.ndarray, offsets: np.ndarray, path: str) -> list[bytes]:
     """UTF-8 of each list of ids: pieces joined, marks as blanks, without the one that marks the beginning."""
-    _, _, flat, at = _loaded(path)
+    _, flat, at = _model(path)
     data = B.gathered(flat, at[ids], at[ids + 1] - at[ids]).tobytes()
     ends = np.concatenate(([0], np.cumsum(at[ids + 1] - at[ids])))[offsets]
     return [data[a + 1 : b] if data[a : a + 1] == b" " else data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -248,7 +285,7 @@ def encoded(docs: DataFrame, model: str, column: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, ids, offsets in encode_texts(B.as_strings(batch.column("text")), model):
+            for lo, hi, [(ids, offsets)] in encode_texts(B.as_strings(batch.column("text")), model):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), B.lists(ids, offsets)], [*kept, column])
 
     return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(column, ArrayType(IntegerType())))
@@ -271,28 +308,34 @@ def decoded(rows: DataFrame, model: str, column: str = "ids", to: str = "text")
 
 
 def measured(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_chars, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and round_trip: whether
-    decoding the ids gives the text back. Encoding and decoding meet in one pass, so ids aren't moved about."""
+    """doc_id, n_chars, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), best_tokens, best_crc32 and
+    best_score (of the path with the best sum of scores), and round_trip: whether decoding either gives the text back.
+
+    Encoding and decoding meet in one pass, so ids aren't moved about.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = B.as_strings(batch.column("text"))
             n_chars = pc.utf8_length(texts)
             want = pc.replace_substring(texts, MARK, " ")
-            for lo, hi, ids, offsets in encode_texts(texts, model):
-                back = decode_ids(ids, offsets, model)
-                same = [a == b.encode() for a, b in zip(back, want.slice(lo, hi - lo).to_pylist(), strict=True)]
-                raw = memoryview(ids.astype("<u4")).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                columns = [batch.column("doc_id").slice(lo, hi - lo), n_chars.slice(lo, hi - lo).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(crc, pa.int64()), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "n_tokens", "ids_crc32", "round_trip"])
-
+            for lo, hi, both in encode_texts(texts, model, MERGES, UNIGRAM):
+                wanted = [x.encode() for x in want.slice(lo, hi - lo).to_pylist()]
+                same, columns = np.ones(hi - lo, bool), [batch.column("doc_id").slice(lo, hi - lo), n_chars.slice(lo, hi - lo).cast(pa.int64())]
+                for ids, offsets in both:
+                    same &= np.array([a == b for a, b in zip(decode_ids(ids, offsets, model), wanted, strict=True)], bool)
+                    raw = memoryview(ids.astype("<u4")).cast("B")
+                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                    columns += [pa.array(np.diff(offsets)), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums_of_scores(*both[1], model)), pa.array(same)], names)
+
+    names = ["doc_id", "n_chars", "n_tokens", "ids_crc32", "best_tokens", "best_crc32", "best_score", "round_trip"]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, best_tokens long, best_crc32 long, best_score double, round_trip boolean")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number and checksum of every document's ids, and whether decoding them gives its text back.
+    """Number and checksum of every document's ids, by merges and by the best sum of scores, and whether decoding gives its text back.
 
     Null text: no ids. Repeated rows: a result each. An empty table gives no rows. A text with the mark
     character itself comes back with blanks instead, and is compared so.
