@@ -1,4 +1,7 @@
-"""Cleaning of a corpus: toxicity, near-duplicates, benchmark passages, personal data, tokens."""
+"""Cleaning of a corpus: toxicity, near-duplicates, benchmark passages, personal data, tokens.
+
+Every stage keeps all columns of its input, whatever their names, and takes an empty table to an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,6 @@ from pyspark.sql import functions as F
 from idsieve.llm import decontaminate, ngram_join, pieces, scratch, surrogates, toxicity
 
 TOXIC_FROM = 0.5  # score from which a document goes
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,32 +20,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below TOXIC_FROM."""
+    """Documents that the classifier scores below TOXIC_FROM.
+
+    A null or empty text is one without words, which stays. Repeated rows stay or go together.
+    """
+    (score,) = scratch.unused(docs, "toxicity")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs.select(*COLUMNS), model).where(F.col("toxicity") < TOXIC_FROM).drop("toxicity")
+    return toxicity.scored(docs, model, score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts that are linked by 5-gram similarity."""
-    return ngram_join.one_of_each_class(docs.select(*COLUMNS))
+    """One document of each class of texts that are linked by 5-gram similarity: the least doc_id, nulls first.
+
+    Texts without words all stay, but of rows with equal doc_id and text one does.
+    """
+    return ngram_join.one_of_each_class(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontaminate.without_benchmark(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of the benchmark. Null and empty texts have none; repeated rows stay or go together."""
+    return decontaminate.without_benchmark(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates in their texts, and n_chars counted anew."""
-    return surrogates.pseudonymised(docs.select(*COLUMNS), surrogates.session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """All documents, with surrogates in their texts under the session's key, and n_chars counted anew.
+
+    A null text stays null, with null n_chars; equal texts stay equal.
+    """
+    (count,) = scratch.unused(docs, "n_entities")
+    rows = surrogates.pseudonymised(docs, surrogates.session_key(spark), count).drop(count)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents and their ids; decoding them gives the text back."""
+    """All documents with ``ids`` and ``n_tokens``, which take the place of columns so named; decoding gives the text back.
+
+    A null or empty text has no ids; equal texts have equal ones.
+    """
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encoded(docs.select(*COLUMNS), model).withColumn("n_tokens", F.size("ids").cast("long"))
+    return pieces.encoded(docs, model).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -280,7 +280,7 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, path: str) -> list[bytes]:
 
 
 def encoded(docs: DataFrame, model: str, column: str = "ids") -> DataFrame:
-    """The columns of ``docs`` and the ids of the whole text. A null text has none."""
+    """The columns of ``docs`` and the ids of the whole text, in place of a column so named. A null text has none."""
     kept = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +288,8 @@ def encoded(docs: DataFrame, model: str, column: str = "ids") -> DataFrame:
             for lo, hi, [(ids, offsets)] in encode_texts(B.as_strings(batch.column("text")), model):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), B.lists(ids, offsets)], [*kept, column])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(column, ArrayType(IntegerType())))
+    rows = docs.select(*(f"`{c}`" for c in kept))
+    return rows.mapInArrow(run, rows.select("*").schema.add(column, ArrayType(IntegerType())))
 
 
 def decoded(rows: DataFrame, model: str, column: str = "ids", to: str = "text") -> DataFrame:

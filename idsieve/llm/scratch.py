@@ -9,15 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
+    """A folder of this session's own below the shared one that the cluster names in spark.checkpoint.dir.
 
-    Only where none is set, as in tests on one machine, a new local folder takes its place for the session.
+    In local mode, as in tests, a new local folder takes its place where none is set; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="idsieve-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/{spark.conf.get('spark.app.id', 'idsieve')}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written here; results that are still to be read from it go too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

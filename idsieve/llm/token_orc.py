@@ -136,9 +136,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write the ids of all documents below ``to`` in ascending order of doc_id: over the files, and within each.
 
-    Texts cross the shuffle, as they are smaller than their ids; encoding follows in the writing task.
+    Texts cross the shuffle, as they are smaller than their ids; encoding follows in the writing task. A doc_id that many
+    rows have, or none, is dealt out over several files by the rows' places in the input.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.col("place")]
+    ordered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place")).repartitionByRange(*order).sortWithinPartitions(*order)
     (
         encode_documents(ordered, tokenizer, end_id)
         .write.option("compression", "zstd")
@@ -165,7 +167,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files.
 
     ``start`` counts the ids of all documents before: those of earlier files, and in the same file of
-    smaller doc_id (equal ones in the order of n_tokens and ids_crc32).
+    smaller doc_id (equal ones in the order of n_tokens and ids_crc32). Null doc_ids come first.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     rows = read_tokens(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
     rows = scratch.saved(rows.mapInArrow(measure, "file string, doc_id long, n_tokens long, ids_crc32 long"), "token-index")
-    # a row for each file; doc_id may be null in the first one only
+    # a row for each file; only the first ones have rows without doc_id
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     before = Window.orderBy(F.col("least").asc_nulls_first(), F.col("most").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

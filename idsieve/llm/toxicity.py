@@ -207,12 +207,19 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """text, toxic and part (0 to 9) of at most ``most`` labelled rows outside the held-out fold, the same ones each time."""
-    doc_id = F.col("doc_id").cast("long")
-    y = labels.select(doc_id.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF != HELD_OUT))
+    """text, toxic and part (0 to 9) of at most ``most`` labelled texts outside the held-out fold, the same ones each time.
+
+    A doc_id with several labels counts as toxic if any says so; of repeated rows of documents one is taken.
+    """
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    y = labels.select(doc_id, F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF != HELD_OUT))
     y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("at", F.xxhash64("doc_id"))
     y = y.orderBy("at", "doc_id").limit(most)  # its size is bounded, so it can be sent to every task
-    return docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").select("text", "toxic", F.pmod("at", F.lit(10)).cast("int").alias("part"))
+    texts = docs.select(doc_id, text).withColumn("key", F.xxhash64("text"))
+    # several texts of one doc_id count against the bound too
+    chosen = texts.select("doc_id", "key").join(F.broadcast(y), "doc_id").distinct().orderBy("at", "doc_id", "key").limit(most)
+    found = texts.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    return found.select("text", "toxic", F.pmod("at", F.lit(10)).cast("int").alias("part"))
 
 
 def learned_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -269,27 +276,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     return Model(lexicon, trees, isotonic(trees.raw(x[rest]), y[rest]) if rest.sum() >= 50 and 0 < y[rest].sum() < rest.sum() else None)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` and toxicity, a score from 0 to 1, in one pass. A null text is an empty one."""
+def scored(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """The columns of ``docs`` and one more, a score from 0 to 1, in one pass; it takes the place of one with that name.
+
+    A null text is an empty one; repeated rows get the same score; an empty table stays one.
+    """
+    kept = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for lo, hi, data, offsets in B.chunked(B.as_strings(batch.column("text").cast(pa.large_string()))):
                 out[lo:hi] = model.scores(features(data, offsets, model.lexicon))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*kept, column])
 
-    kept = [c for c in docs.columns if c != "toxicity"]
-    schema = docs.select(*kept).schema.add("toxicity", "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    rows = docs.select(*(f"`{c}`" for c in kept))
+    return rows.mapInArrow(run, rows.select("*").schema.add(column, "double"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and prediction for every document.
 
-    Null or empty texts get the score of a text without words. Repeated rows: a result each. Without
-    labels of both kinds, the fixed list alone scores. An empty table gives no rows.
+    Null or empty texts get the score of a text without words. Repeated rows: a result each. A null doc_id is not
+    held out. Without labels of both kinds, the fixed list alone scores. An empty table gives no rows.
     """
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fit(docs, labels))
-    return rows.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF == HELD_OUT).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_OF == HELD_OUT, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

@@ -251,9 +251,20 @@ def test_toxicity_of_odd_rows(spark, tmp_path):
     write(spark, tmp_path, "labels", [(1, None, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.op9_toxicity(spark, documents(spark, tmp_path, rows)).collect()
     assert len(got) == 6 and {r.doc_id: r.predicted for r in got} == {1: 0, 2: 0, None: 1, 4: 0, 5: 0}
+    assert {r.doc_id: r.held_out for r in got} == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 2, None, 4, 5)}
     assert toxicity.op9_toxicity(spark, documents(spark, tmp_path, [])).collect() == []
 
 
+def test_the_sample_is_bounded_by_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 7, f"text {i % 40}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 3)) for i in range(7)] + [(1, 1)], "doc_id long, toxic int")
+    all_ = toxicity.labelled_sample(docs, labels).collect()
+    held = [i for i in range(7) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(all_) == len({(i % 7, i % 40) for i in range(400) if i % 7 not in held})
+    some = toxicity.labelled_sample(docs, labels, 25).collect()
+    assert len(some) == 25 and sorted(some) == sorted(toxicity.labelled_sample(docs, labels, 25).collect()) and set(some) <= set(all_)
+
+
 def test_isotonic_fit_rises():
     r = np.random.default_rng(0)
     raw = r.normal(size=500)

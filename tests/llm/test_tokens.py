@@ -10,6 +10,7 @@ import pyarrow.orc
 import pytest
 import sentencepiece
 import tokenizers
+from pyspark.sql import functions as F
 
 from idsieve.llm import bytewords as B
 from idsieve.llm import pieces, token_orc
@@ -129,17 +130,57 @@ def test_orc_files(spark, tmp_path):
 
 
 def test_token_index(spark, tmp_path):
-    got = sorted((tuple(r) for r in token_orc.op7_token_orc(spark, documents(spark, tmp_path, ROWS)).collect()), key=lambda r: r[1])
-    ids = [(i, x, zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(ROWS, bpe([t for _, t in ROWS]), strict=True)]
-    ids.sort(key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), r[2]))
-    want, start = [], 0
-    for i, x, crc in ids:
-        want.append((i, start, len(x), crc))
-        start += len(x)
-    assert got == want
+    check_index(token_orc.op7_token_orc(spark, documents(spark, tmp_path, ROWS)).collect(), ROWS)
     assert token_orc.op7_token_orc(spark, documents(spark, tmp_path, [])).collect() == []
 
 
+def check_index(got, rows):
+    """Every document's ids, one after the other in the order of doc_ids, those without first."""
+    key = lambda i: (i is not None, i or 0)
+    got = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert [key(r.doc_id) for r in got] == sorted(key(i) for i, _ in rows)
+    want = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(rows, bpe([t for _, t in rows]), strict=True)]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_one_id_over_several_files(spark, tmp_path):
+    rows = [(None, f"text {n % 3}") for n in range(300)] + [(7, "seven")] * 300 + [(n, f"text {n}") for n in range(50)]
+    docs = spark.read.parquet(documents(spark, tmp_path, rows) + "/documents.parquet")
+    to = str(tmp_path / "orc")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few rows are one file
+    try:
+        token_orc.write_tokens(docs, to, BPE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [pyarrow.orc.ORCFile(str(f)).nrows for f in (tmp_path / "orc").glob("*.orc")]
+    assert len(sizes) >= 4 and max(sizes) < 300
+    check_index(token_orc.token_index(spark, to).collect(), rows)
+
+
+def test_lookups_skip_stripes_and_row_groups(spark, tmp_path):
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text")).repartition(3)
+    to = str(tmp_path / "orc")
+    token_orc.write_tokens(docs, to, BPE)
+
+    def rows_read(found):
+        found.collect()
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return scan.metrics().apply("numOutputRows").value()
+
+    found = token_orc.lookup(spark, to, [12_344])
+    assert [list(r.ids) for r in found.collect()] == bpe(["some text 12344"])
+    assert 1 <= rows_read(token_orc.lookup(spark, to, [12_344])) <= 2 * token_orc.INDEX_STRIDE
+    # an odd id lies between the least and the most of its row group: the Bloom filter alone tells that it isn't there
+    assert sum(rows_read(token_orc.lookup(spark, to, [n])) == 0 for n in range(10_001, 10_041, 2)) >= 18
+
+
+def test_all_code_points(monkeypatch):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    assert split(token_orc.encode_texts(B.as_strings(pa.array(texts)), BPE)) == bpe(texts)
+
+
 def test_piece_round_trip(spark, tmp_path):
     rows = [*ROWS, *((100 + n, t) for n, t in enumerate(ODD))]
     folder = documents(spark, tmp_path, rows)
