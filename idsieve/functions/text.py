@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Labels, as patterns; all are looked for without regard to case.
-NAME, ADDRESS, VID = ["\\bNAME\\b"], ["\\bADDRESS\\b"], ["\\bVID\\b"]
-BIRTH_DATE = ["\\bDATE\\s*OF\\s*BIRTH\\b", "\\bD\\.?\\s*O\\.?\\s*B\\.?\\b"]
-BIRTH_YEAR = ["\\bYEAR\\s*OF\\s*BIRTH\\b", "\\bY\\.?\\s*O\\.?\\s*B\\.?\\b"]
-GENDER = ["\\bGENDER\\b", "\\bSEX\\b"]
-GUARDIAN = "\\b[SDWC]\\s*/\\s*O\\b\\.?|\\bSON\\s+OF\\b|\\bDAUGHTER\\s+OF\\b|\\bWIFE\\s+OF\\b|\\bCARE\\s+OF\\b"
+
+
+def _phrase(words: str, gap: str = "\\s*") -> str:
+    """A pattern of words that stand alone, with blanks between them."""
+    return "\\b" + gap.join(words.split()) + "\\b"
+
+
+def _initials(letters: str) -> str:
+    """A pattern of an abbreviation, with or without full stops and blanks."""
+    return "\\b" + "\\s*".join(f"{c}\\.?" for c in letters) + "\\b"
+
+
+# The words of labels and what a guardian is called; all are looked for without regard to case.
+NAME, ADDRESS, VID = [_phrase("NAME")], [_phrase("ADDRESS")], [_phrase("VID")]
+BIRTH_DATE = [_phrase("DATE OF BIRTH"), _initials("DOB")]
+BIRTH_YEAR = [_phrase("YEAR OF BIRTH"), _initials("YOB")]
+GENDER = [_phrase("GENDER"), _phrase("SEX")]
+GUARDIANS = ["SON", "DAUGHTER", "WIFE", "CARE"]
+GUARDIAN = "|".join([f"\\b[{''.join(w[0] for w in GUARDIANS)}]\\s*/\\s*O\\b\\.?", *(_phrase(f"{w} OF", "\\s+") for w in GUARDIANS)])
 PIN = "\\b[0-9]{6}\\b"
 NO_WORD = "[^\\p{L}\\p{N}_]"  # \\W takes accented letters for blanks
 ANY_LABEL = "(?iU)" + "|".join(NAME + BIRTH_DATE + BIRTH_YEAR + GENDER + ADDRESS + VID)
@@ -119,10 +132,11 @@ def address(rows: Column, most: int = 6) -> Column:
 
 def clean_text(value: Column) -> Column:
     """Capitals with nothing but letters, digits and common punctuation; null if nothing is left."""
-    cut = F.trim(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9 .,'#:/()&-]", " "), "\\s+", " "))
+    cut = F.trim(F.regexp_replace(F.regexp_replace(value, "[^\\p{Alnum} .,'#:/()&-]", " "), "\\s+", " "))
     return F.nullif(F.upper(cut), F.lit(""))
 
 
 def label_token(word: Column) -> Column:
     """A word as labels are compared: capitals, digits and full stops at most."""
-    return F.regexp_replace(F.upper(word), "[^A-Z0-9.]", "")
+    # a range from the full stop to 9 has / too
+    return F.regexp_replace(F.translate(F.upper(word), "/", ""), "[^.-9A-Z]", "")

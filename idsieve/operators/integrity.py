@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idsieve.functions import identifiers
+
 REGISTERED = ["CONFIRMED", "REUSED"]
 ESCALATED_SCORE = 90.0
 
 
 def prior_record(records: DataFrame, key: list[str], order: list[str], prefix: str = "prior") -> DataFrame:
     """The latest earlier registered record with the same key, as a struct column. A null key has none."""
-    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    known = F.when(F.col("status").isin(REGISTERED), F.struct("record_id", "document_hash"))
-    out = F.last(known, ignorenulls=True).over(before)
+    some = F.lit(True)
     for k in key:
-        out = F.when(F.col(k).isNotNull(), out)
-    return records.withColumn(prefix, out)
+        some = some & F.col(k).isNotNull()
+    # rows without a key have nothing in common, so they are dealt out by what orders them
+    apart = F.when(~some, F.xxhash64(*order))
+    before = Window.partitionBy(*key, apart).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("status").isin(REGISTERED), F.struct("record_id", "document_hash"))
+    return records.withColumn(prefix, F.when(some, F.last(known, ignorenulls=True).over(before)))
 
 
 def with_prior(records: DataFrame, order: list[str]) -> DataFrame:
@@ -85,6 +89,21 @@ def retried(status: Column, receipt_status: Column, error: Column) -> Column:
     return F.when(status == "CONFIRMED", status).when(error.isNotNull(), "PENDING").when(receipt_status == 1, "CONFIRMED").otherwise("FAILED")
 
 
+def audit_records(files: DataFrame) -> DataFrame:
+    """The rows with audit_id, document_hash (of ``content``, which goes) and blockchain_tx, null until a ledger confirms.
+
+    A file that is not there (null content) has no record.
+    """
+    rows = files.where(F.col("content").isNotNull()).withColumn("document_hash", F.sha2("content", 256)).drop("content")
+    return rows.withColumn("audit_id", identifiers.short_id("AUD-", F.col("screening_id"))).withColumn("blockchain_tx", F.lit(None).cast("string"))
+
+
+def newest(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows in an order, with their ``position`` from 1. Only k rows meet in one task."""
+    top = rows.orderBy(*order).limit(k)
+    return top.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long"))
+
+
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row of each key: the one that comes first in the order."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")

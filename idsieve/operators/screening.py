@@ -59,6 +59,11 @@ def search(rows: DataFrame, query: str | None, columns: list[str], **equal: str
     return rows
 
 
+def with_total(rows: DataFrame) -> DataFrame:
+    """The rows with ``total``, how many they are. Only the count of each part meets in one task."""
+    return rows.withColumn("total", rows.agg(F.count("*")).scalar())
+
+
 def key_figures(rows: DataFrame, baseline: int = 0) -> DataFrame:
     """One row of counts by decision; a baseline is added to the total alone."""
     c = F.col("decision")
@@ -93,6 +98,30 @@ def field_rows(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return long.select(key, "field", F.when(found, F.col("value")).otherwise("Not detected").alias("value"), F.when(found, "present").otherwise("missing").alias("status"), F.when(F.col("field").contains("mrz"), "MRZ").otherwise("OCR").alias("source"))
 
 
+def audit_counts(rows: DataFrame, key: str) -> DataFrame:
+    """Counts by a column: records, registered, pending, flagged, and unknown where nothing tells whether a record is flagged.
+
+    rows: status and flagged (true, false or null).
+    """
+    registered = F.col("status").isin("CONFIRMED", "REUSED", "PENDING")
+    return rows.groupBy(key).agg(F.count("*").alias("records"), F.count_if(registered).alias("registered"), F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if("flagged").alias("flagged"), F.count_if(F.col("flagged").isNull()).alias("unknown"))
+
+
+def pass_rates(rows: DataFrame, key: str) -> DataFrame:
+    """Average processing_seconds, and the percentage of rows passed (1 decimal), by a column."""
+    return rows.groupBy(key).agg(F.avg("processing_seconds").alias("seconds"), F.bround(100.0 * F.count_if("passed") / F.count("*"), 1).alias("pass_rate"))
+
+
+def step_rows(rows: DataFrame, key: str, steps: list[str]) -> DataFrame:
+    """A row for each step of each screening: done before the current one, active or failed at it, waiting after it.
+
+    rows: current (number of the step from 0; one behind the last means that all are done) and failed.
+    """
+    n = F.col("n")
+    status = F.when((n == F.col("current")) & F.col("failed"), "failed").when(n < F.col("current"), "done").when(n == F.col("current"), "active").otherwise("waiting")
+    return rows.select(key, "current", "failed", F.posexplode(F.array(*map(F.lit, steps))).alias("n", "step")).select(key, "step", status.alias("status"))
+
+
 def missing_names(rows: DataFrame, key: str) -> DataFrame:
     """Fields present, and the names of those missing, joined in order of name."""
     gone = F.array_sort(F.collect_list(F.when(F.col("status") == "missing", F.col("field"))))

@@ -22,24 +22,38 @@ def block_noise(table):
 
 def images(table):
     """Grey images of 64x64 samples: each number of a vector fills an 8x8 square."""
-    level = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
-    pixel = F.array_join(F.transform(F.col("levels"), lambda v: F.lpad(F.hex(v), 2, "0")), "")
-    rows = table("embeddings").select(F.col("vec_id").alias("doc_id"), level.alias("levels")).withColumn("pixels", F.unhex(pixel))
-    return rows.select("doc_id", "pixels", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"))
+    level = F.transform("embedding", lambda e: F.lpad(F.hex((F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int")), 2, "0"))
+    return _drawn(table("embeddings").select(F.col("vec_id").alias("doc_id"), level.alias("squares")), 8, 1)
 
 
-@query(f"{_PIXELS} SELECT vec_id AS doc_id, round(var_pop(v) + 1e-7, 3) AS noise_mean, 0.0::double AS noise_score FROM p GROUP BY 1")
+def _drawn(rows, side: int, channels: int):
+    """Images of 8x8 squares; each square is the hexadecimal digits of one sample, ``side`` samples wide and high."""
+    band = lambda r: F.repeat(F.array_join(F.transform(F.slice("squares", r * 8 + 1, 8), lambda c: F.repeat(c, F.lit(side))), ""), F.lit(side))
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), band), ""))
+    return rows.withColumn("pixels", pixels).drop("squares").withColumns({"height": F.lit(8 * side), "width": F.lit(8 * side), "channels": F.lit(channels)})
+
+
+@query(
+    f"""{_PIXELS}, s AS (SELECT vec_id, avg(var) AS mean, stddev_pop(var) AS std, max(var) AS most FROM b GROUP BY 1)
+    SELECT vec_id AS doc_id, round(mean + 1e-7, 3) AS noise_mean, round_even(greatest(0, least(1, CASE WHEN std < 1e-6 THEN 0 ELSE (most - mean) / std END / 8) * least(1, most / 100)) + 1e-9, 3) AS noise_score FROM s"""
+)
 def noise_of_images(table):
     rows = imaging.block_statistics(images(table))
     return rows.select("doc_id", F.round(F.col("noise_mean") + 1e-7, 3).alias("noise_mean"), imaging.anomaly_score(F.col("noise_mean"), F.col("noise_std"), F.col("noise_max"), imaging.NOISE_SCALE).alias("noise_score"))
 
 
-@query("WITH p AS (SELECT a.vec_id AS doc_id, len(list_filter(range(1, 65), lambda i: floor(abs(a.embedding[i]::double) * 1000) % 256 <> floor(abs(b.embedding[i]::double) * 1000) % 256)) AS changed FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 2) SELECT doc_id, CASE WHEN changed > 0 THEN 'CHANGED' ELSE 'IDENTICAL' END AS status, changed, round_even(100.0 * changed / 64, 4) AS percent FROM p")
+_OTHER = "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 2"
+
+
+@query(
+    f"""WITH p AS (SELECT a.vec_id AS doc_id, list_filter(range(0, 64), lambda i: floor(abs(a.embedding[i + 1]::double) * 1000) % 256 <> floor(abs(b.embedding[i + 1]::double) * 1000) % 256) AS c {_OTHER})
+    SELECT doc_id, CASE WHEN len(c) > 0 THEN 'CHANGED' ELSE 'IDENTICAL' END AS status, len(c) * 64 AS changed, round_even(100.0 * len(c) / 64, 4) AS percent, list_min(list_transform(c, lambda i: i % 8)) * 8 AS x, list_min(list_transform(c, lambda i: i // 8)) * 8 AS y, list_max(list_transform(c, lambda i: i % 8)) * 8 + 8 AS x2, list_max(list_transform(c, lambda i: i // 8)) * 8 + 8 AS y2 FROM p"""
+)
 def compared_images(table):
     rows = images(table)
     other = rows.select(F.col("doc_id").alias("other_id"), *(F.col(c).alias(f"other_{c}") for c in ("pixels", "height", "width", "channels")))
     pairs = rows.join(other, F.col("other_id") == F.col("doc_id") - F.col("doc_id") % 2).drop("other_id")
-    return imaging.compared(pairs).select("doc_id", "status", "changed", "percent")
+    return imaging.compared(pairs)
 
 
 @query(
@@ -72,8 +86,17 @@ def boxes_without_overlaps(table):
     return boxes.select("l_orderkey", F.posexplode(imaging.without_overlaps(F.col("boxes"))).alias("at", "b")).select("l_orderkey", F.concat(F.lit("STAMP-"), F.lpad((F.col("at") + 1).cast("string"), 2, "0")).alias("region_id"), "b.x", "b.y")
 
 
+def ink_images(table):
+    """Images of 96x96 samples in colour: positive numbers of a vector are red ink, larger ones dark, the others paper."""
+    colour = F.transform("embedding", lambda e: F.when(e > 0.1, "782840").when(e > 0, "C83C46").otherwise("FAFAF5"))
+    rows = table("embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 5 == 0, "AADHAAR").when(F.col("vec_id") % 2 == 0, "visa").otherwise("PASSPORT").alias("document_type"), F.when(F.col("vec_id") % 3 == 0, "PNG").otherwise("JPEG").alias("format"), colour.alias("squares"))
+    return _drawn(rows, 12, 3).withColumn("pixels", F.when(F.col("doc_id") % 11 > 0, F.col("pixels")))
+
+
 @query()
 def stamps_of_images(table):
-    """Ink regions of the images, gated: grey images have no coloured ink, so none is a stamp."""
-    candidates = imaging.ink_candidates(images(table))
-    return candidates.groupBy("doc_id").agg(F.count("x").alias("regions"), F.first("sharpness").alias("sharpness"))
+    """Stamp analysis of coloured images whose first region reads as an entry stamp; some are of other types or have no samples."""
+    images_ = ink_images(table)
+    texts = images_.select("doc_id", F.lit("STAMP-01").alias("region_id"), F.concat(F.lit("entry port 12/03/20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(" Entry")).alias("text"))
+    rows = imaging.stamp_analysis(images_, texts)
+    return rows.select("doc_id", "status", "quality_status", F.size("regions").alias("regions"), "flagged", F.array_join(F.transform("regions", lambda r: F.concat_ws(" ", r["region_id"], r["x"].cast("string"), r["y"].cast("string"), r["width"].cast("string"), r["height"].cast("string"), F.array_join(r["dates"], "+"), F.array_join(r["terms"], "+"))), ";").alias("found"), F.array_join("indicators", ",").alias("indicators"), F.size("limitations").alias("limitations"))

@@ -80,21 +80,11 @@ def machine_line_pairs(table):
 
 
 @query(
-    """WITH r AS (SELECT conv_id AS doc_id, turn AS page, role, text, len(list_filter(['NAME', 'THE'], lambda k: contains(upper(text), k))) AS hits, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS n FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
+    """WITH r AS (SELECT conv_id AS doc_id, turn AS page, role, text, len(list_filter(['NAME', 'THE'], lambda k: contains(upper(text), k))) AS hits, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS n FROM conversations WHERE text IS NOT NULL),
     b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY hits DESC, n DESC, role, text) = 1) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM b WHERE trim(text) <> '' GROUP BY 1"""
 )
 def richest_readings(table):
-    return _richest_readings(table("conversations").where(~F.col("text").rlike("[^\\x00-\\x7F]")))
-
-
-def _richest_readings(rows):
     from pyspark.sql import Window
 
     variant = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return layout.richest_reading(rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), variant.alias("variant"), "text"), ["NAME", "THE"])
-
-
-@query()
-def richest_readings_all(table):
-    """richest_readings of all pages; its SQL leaves out texts with accents, and nulls."""
-    return _richest_readings(table("conversations"))
+    return layout.richest_reading(table("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), variant.alias("variant"), "text"), ["NAME", "THE"])

@@ -44,10 +44,8 @@ def search_any_column(table):
 
 @query("SELECT c_custkey, count(*) OVER () AS total FROM customer WHERE contains(lower(c_name), '9') AND upper(c_mktsegment) = 'BUILDING'")
 def filtered_with_total(table):
-    from pyspark.sql import Window
-
     rows = screening.search(table("customer"), "9", ["c_name"], c_mktsegment="building", c_nationkey="ALL")
-    return rows.select("c_custkey", F.count("*").over(Window.partitionBy(F.lit(1))).alias("total"))
+    return screening.with_total(rows).select("c_custkey", "total")
 
 
 @query("SELECT p_partkey FROM part WHERE contains(p_partkey::varchar || ' ' || p_name, 'a') AND p_brand = 'Brand#11' AND p_size > 10")
@@ -149,10 +147,29 @@ def top_five_findings(table):
     return screening.top_values(table("documents"), "source", 5)
 
 
-@query("SELECT l_returnflag AS kind, count(*) AS records, count_if(l_linestatus IN ('F', 'O')) AS registered, count_if(l_linestatus = 'O') AS pending, count_if(l_discount > 0.05) AS flagged, count_if(CASE WHEN l_tax < 0.01 THEN NULL ELSE l_tax END IS NULL) AS unknown FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS kind, count(*) AS records, count_if(l_linestatus IN ('F', 'O')) AS registered, count_if(l_linestatus = 'O') AS pending, count_if(l_discount > 0.05 AND l_tax >= 0.01) AS flagged, count_if(l_tax < 0.01) AS unknown FROM lineitem GROUP BY 1")
 def audit_counts(table):
-    s = F.col("l_linestatus")
-    return table("lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("records"), F.count_if(s.isin("F", "O")).alias("registered"), F.count_if(s == "O").alias("pending"), F.count_if(F.col("l_discount") > 0.05).alias("flagged"), F.count_if(F.when(F.col("l_tax") >= 0.01, F.col("l_tax")).isNull()).alias("unknown"))
+    rows = table("lineitem").select(F.col("l_returnflag").alias("kind"), F.when(F.col("l_linestatus") == "O", "PENDING").otherwise("CONFIRMED").alias("status"), F.when(F.col("l_tax") >= 0.01, F.col("l_discount") > 0.05).alias("flagged"))
+    return screening.audit_counts(rows, "kind")
+
+
+@query("SELECT o_orderpriority AS kind, round_even(avg(o_totalprice / 1000), 2) AS seconds, round_even(100.0 * count_if(o_orderstatus = 'O') / count(*), 1) AS pass_rate FROM orders GROUP BY 1")
+def pass_rates(table):
+    rows = table("orders").select(F.col("o_orderpriority").alias("kind"), (F.col("o_totalprice") / 1000).alias("processing_seconds"), (F.col("o_orderstatus") == "O").alias("passed"))
+    return screening.pass_rates(rows, "kind").withColumn("seconds", F.bround("seconds", 2))
+
+
+@query("SELECT o_orderkey, s.step, CASE WHEN o_orderkey % 7 = 6 AND s.n = o_orderkey % 6 THEN 'failed' WHEN s.n < o_orderkey % 6 THEN 'done' WHEN s.n = o_orderkey % 6 THEN 'active' ELSE 'waiting' END AS status FROM orders, (VALUES (0, 'upload'), (1, 'read'), (2, 'validate'), (3, 'compare'), (4, 'register')) s(n, step)")
+def step_statuses(table):
+    rows = table("orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("current"), (F.col("o_orderkey") % 7 == 6).alias("failed"))
+    return screening.step_rows(rows, "o_orderkey", ["upload", "read", "validate", "compare", "register"])
+
+
+@query("SELECT 'AUD-' || upper(substring(sha256(page_id::varchar), 1, 8)) AS audit_id, page_id::varchar AS screening_id, sha256(html) AS document_hash, NULL AS blockchain_tx, row_number() OVER (ORDER BY fetched DESC, page_id) AS position FROM (SELECT page_id, html, page_id % 50 AS fetched FROM pages) ORDER BY position LIMIT 20")
+def newest_audit_records(table):
+    """Audit records of files by the hash of their content, the newest twenty first."""
+    rows = table("pages").select(F.col("page_id").cast("string").alias("screening_id"), F.encode("html", "UTF-8").alias("content"), (F.col("page_id") % 50).alias("timestamp"), "page_id")
+    return integrity.newest(integrity.audit_records(rows), [F.col("timestamp").desc(), F.col("page_id")], 20).select("audit_id", "screening_id", "document_hash", "blockchain_tx", "position")
 
 
 @query("SELECT count(*) AS total, count_if(quality = 1) AS completed, count_if(coalesce(quality, 0) = 0) AS failed, count_if(n_chars < 500) AS low, count_if(n_chars BETWEEN 500 AND 2000) AS medium, count_if(n_chars > 2000) AS high, count_if(toxic = 1) AS tampering, count_if(lang = 'en') AS aadhaar, count_if(lang = 'de') AS passport FROM documents LEFT JOIN labels USING (doc_id)")

@@ -42,9 +42,9 @@ def once_per_file(files: DataFrame) -> DataFrame:
 
 def dataset(files: DataFrame, expected: int) -> DataFrame:
     """Files in order of their names without regard to case; fails if they are not as many as expected."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    checked = files.withColumn("__n", n).withColumn("__ok", F.assert_true(F.col("__n") == expected, F.concat(F.lit(f"expected {expected} files, found "), F.col("__n").cast("string"))))
-    return checked.where(F.col("__ok").isNull()).drop("__n", "__ok").orderBy(F.lower(F.regexp_extract("path", "([^/]+)$", 1)), "path")
+    found = files.agg(F.count("*")).scalar()  # one number, not the files
+    checked = files.where(F.assert_true(found == expected, F.concat(F.lit(f"expected {expected} files, found "), found.cast("string"))).isNull())
+    return checked.orderBy(F.lower(F.regexp_extract("path", "([^/]+)$", 1)), "path")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

@@ -5,7 +5,6 @@ import re
 import pytest
 
 from idsieve.plans import catalog
-from tests.llm.tables import write
 
 TEXTS = [
     None,
@@ -26,6 +25,11 @@ CONVERSATIONS = [(n // 4, n // 2 % 2, "user" if n % 2 else "assistant", t) for n
 LABELS = r"\b(?:NAME|ADDRESS|VID|GENDER|SEX)\b|\b(?:DATE|YEAR)\s*OF\s*BIRTH\b|\b[DY]\.?\s*O\.?\s*B\.?\b"
 
 
+def write(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).repartition(3).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
 def lines(text):
     out = []
     for line in re.split("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]", text or ""):
@@ -54,12 +58,12 @@ def run(spark, folder, name):
 
 
 def test_lines(spark, folder):
-    assert run(spark, folder, "text_lines_all") == sorted(((n, lines(t)) for n, t in enumerate(TEXTS)), key=str)
+    assert run(spark, folder, "text_lines") == sorted(((n, lines(t)) for n, t in enumerate(TEXTS)), key=str)
 
 
 def test_labels_and_values(spark, folder):
     label = lambda t: None if t is None else len(t) <= 40 and bool(re.search(LABELS, t, re.IGNORECASE))
-    assert run(spark, folder, "labels_and_values_all") == sorted(((c, n, role, label(t), value(t)) for c, n, role, t in CONVERSATIONS), key=str)
+    assert run(spark, folder, "labels_and_values") == sorted(((c, n, role, label(t), value(t)) for c, n, role, t in CONVERSATIONS), key=str)
 
 
 def test_richest_readings(spark, folder):
@@ -72,14 +76,14 @@ def test_richest_readings(spark, folder):
         text = min((x for x in own if x[1] is not None), key=rank, default=(None, None))[1]
         if text and text.strip(" "):
             best.setdefault(conv, []).append(text)
-    assert run(spark, folder, "richest_readings_all") == sorted(((c, "\n\n".join(t)) for c, t in best.items()), key=str)
+    assert run(spark, folder, "richest_readings") == sorted(((c, "\n\n".join(t)) for c, t in best.items()), key=str)
 
 
-@pytest.mark.parametrize(("name", "table"), [("text_lines_all", "documents"), ("labels_and_values_all", "conversations")])
+@pytest.mark.parametrize(("name", "table"), [("text_lines", "documents"), ("labels_and_values", "conversations")])
 def test_no_row_is_left_out(spark, small_dir, name, table):
     assert catalog.QUERIES[name](spark, small_dir).count() == spark.read.parquet(f"{small_dir}/{table}.parquet").count()
 
 
 def test_lines_of_the_corpus(spark, small_dir):
     rows = {r.doc_id: lines(r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
-    assert dict(run(spark, small_dir, "text_lines_all")) == rows
+    assert dict(run(spark, small_dir, "text_lines")) == rows
