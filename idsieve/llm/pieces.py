@@ -82,7 +82,7 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark after other characters")
         self.score = [model.get_score(i) for i in range(size)]
-        self.longest = max(map(len, self.ids))
+
         self.unknown_score = min(self.score[i] for i in self.ids.values()) - 10.0
         #: Whether two bytes may stand side by side in a piece; where they don't, nothing is ever merged. Bytes beyond ASCII may.
         self.joint = np.zeros((256, 256), bool)
@@ -100,16 +100,25 @@ class Model:
                     if parts == [p]:
                         self.whole.add(p)
                         self.halves[p] = last
-        #: For each end of a piece its id, or -1 where that is no piece itself.
-        self.tails = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
-        #: For each end of a piece: the piece itself if it is whole, else an empty text.
-        self.endings = {p[k:]: "" for p in self.whole for k in range(len(p))}
-        self.endings |= {p: p for p in self.whole}
+        self.ends = self.by_ends()
         self.known: dict[tuple[str, str], bool] = {}
         byte_of = np.full(size, -1)
         byte_of[self.bytes] = np.arange(256)
         self.decoded = [b"" if i in special and byte_of[i] < 0 else bytes([byte_of[i]]) if byte_of[i] >= 0 else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
+    def by_ends(self) -> dict:
+        """A trie of the pieces from their last character to their first: by character, (what goes before, id of the piece up
+        to here or -1, whether merging can give it)."""
+        root: dict = {}
+        for p in {*self.ids, *self.whole}:
+            node = root
+            for c in reversed(p):
+                if c not in node:
+                    node[c] = [{}, -1, False]
+                last, node = node[c], node[c][0]
+            last[1:] = self.ids.get(p, -1), p in self.whole
+        return root
+
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Merge neighbours, best score first and leftmost among equals, as long as they form a piece; and the last two merged."""
         parts, last = list(text), None
@@ -145,15 +154,20 @@ class Model:
             else:
                 limit, equal, right = b, True, self.halves[right][0]
 
-    def encode_words(self, words: list[str], kind: int) -> list[list[int]]:
-        """Ids of marked words, by sums of scores (UNIGRAM) or merges. Words are visited in sorted order; states of shared
-        prefixes stay. Of paths with equal sums the one whose last piece is longer counts."""
+    def encode_words(self, words: list[str], *kinds: int) -> list[list[list[int]]]:
+        """For each kind, by merges (MERGES) or sums of scores (UNIGRAM), the ids of all marked words.
+
+        Words are visited in sorted order; states of shared prefixes stay. Of paths with equal sums the one whose last
+        piece is longer counts.
+        """
         order = sorted(range(len(words)), key=words.__getitem__)
-        out: list[list[int]] = [[]] * len(words)
-        last: list[str] = [""]  # last piece of each prefix of the current word
+        made: dict[int, list[list[int]]] = {k: [[]] * len(words) for k in kinds}
+        merging, scoring = MERGES in kinds, UNIGRAM in kinds
+        ids, score, unknown, root, follows, known = self.ids, self.score, self.unknown_score, self.ends, self.follows, self.known
+        merged: list[str] = [""]  # last piece of each prefix of the current word, by merging
+        found: list[str] = [""]  # and by the best sum of scores, which follows
         best: list[float] = [0.0]
         before = ""
-        step = self._merged_step if kind == MERGES else self._scored_step
         for n in order:
             word = words[n]
             shared = 0
@@ -161,69 +175,58 @@ class Model:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
+            del merged[shared + 1 :], found[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                step(word, end, last, best)
+                piece, first = word[end - 1], end - 1
+                most = -math.inf if piece in ids else best[first] + unknown if scoring else 0.0
+                ends, start, node = [], end, root
+                while start:
+                    start -= 1
+                    step = node.get(word[start])
+                    if step is None:
+                        break
+                    node, i, whole = step
+                    if i >= 0 and scoring:
+                        s = best[start] + score[i]
+                        if s >= most:
+                            first, most = start, s
+                    if whole and merging:
+                        ends.append(start)
+                if scoring:
+                    found.append(word[first:end])
+                    best.append(most)
+                if merging:
+                    for start in reversed(ends):
+                        own = word[start:end]
+                        if start == 0:
+                            piece = own
+                            break
+                        pair = merged[start], own
+                        fits = known.get(pair)
+                        if fits is None:
+                            if len(known) >= MAX_PAIRS:
+                                known.clear()
+                            fits = known[pair] = follows(*pair)
+                        if fits:
+                            piece = own
+                            break
+                    merged.append(piece)
             before = word
-            got: list[int] = []
-            end = len(word)
-            while end:
-                piece = last[end]
-                i = self.ids.get(piece)
-                if i is None:
-                    got.extend(self.bytes[list(reversed(piece.encode()))].tolist())
-                else:
-                    got.append(i)
-                end -= len(piece)
-            out[n] = got[::-1]
-        return out
-
-    def _scored_step(self, word: str, end: int, last: list[str], best: list[float]) -> None:
-        """Adds the best last piece of a prefix, and its sum of scores."""
-        tails, score = self.tails, self.score
-        found, most = word[end - 1], best[end - 1] + self.unknown_score
-        if found in self.ids:
-            most = -math.inf
-        start = end - 1
-        while start >= 0:
-            i = tails.get(word[start:end])
-            if i is None:
-                break
-            if i >= 0:
-                s = best[start] + score[i]
-                if s >= most:
-                    found, most = word[start:end], s
-            start -= 1
-        last.append(found)
-        best.append(most)
-
-    def _merged_step(self, word: str, end: int, last: list[str], best: list[float]) -> None:
-        """Adds the one last piece of a prefix that merging gives."""
-        endings, known = self.endings, self.known
-        found = word[end - 1]
-        ends, start = [], end - 1
-        while start >= 0:
-            piece = endings.get(word[start:end])
-            if piece is None:
-                break
-            if piece:
-                ends.append((start, piece))
-            start -= 1
-        for start, piece in reversed(ends):
-            if start == 0:
-                found = piece
-                break
-            pair = last[start], piece
-            fits = known.get(pair)
-            if fits is None:
-                if len(known) >= MAX_PAIRS:
-                    known.clear()
-                fits = known[pair] = self.follows(*pair)
-            if fits:
-                found = piece
-                break
-        last.append(found)
-        best.append(0.0)
+            for kind in kinds:
+                last_of = merged if kind == MERGES else found
+                got: list[int] = []
+                end = len(word)
+                while end:
+                    piece = last_of[end]
+                    i = ids.get(piece)
+                    if i is None:
+                        got.extend(self.bytes[list(reversed(piece.encode()))].tolist())
+                    else:
+                        got.append(i)
+                    end -= len(piece)
+                got.reverse()
+                made[kind][n] = got
+        return [made[k] for k in kinds]
 
 
 @functools.lru_cache(2)
@@ -234,19 +237,23 @@ def _model(path: str) -> tuple[Model, np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(2)
-def _cache(path: str, kind: int) -> B.PieceCache:
+def _cache(path: str, *kinds: int) -> B.PieceCache:
+    """The ids of a word by each kind, one after the other, after the numbers of ids of all kinds but the last."""
     model = _model(path)[0]
 
-    def encode(words: list[bytes]) -> list[np.ndarray]:
-        return [np.array(x, np.int32) for x in model.encode_words([w.decode().replace(" ", MARK) for w in words], kind)]
+    def encode(words: list[bytes]) -> list[list[int]]:
+        by = model.encode_words([w.decode().replace(" ", MARK) for w in words], *kinds)
+        return by[0] if len(by) == 1 else [[*map(len, own[:-1]), *(i for x in own for i in x)] for own in zip(*by, strict=True)]
 
-    return B.PieceCache(encode, slots=1 << 20, ids=4_000_000)
+    return B.PieceCache(encode, slots=1 << 21, ids=8_000_000)
 
 
 def encode_texts(texts: pa.LargeStringArray, path: str, *kinds: int) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
     """(first text, end, for each kind of encoding all ids and the offsets of the texts in them); by default of the model's own
     kind. Marks in a text count as blanks."""
     model = _model(path)[0]
+    kinds = kinds or (model.kind,)
+    cache = _cache(path, *kinds)
     texts = pc.replace_substring(texts, MARK, " ")
     texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
     for lo, hi, data, offsets in B.chunked(texts):
@@ -254,11 +261,14 @@ def encode_texts(texts: pa.LargeStringArray, path: str, *kinds: int) -> Iterator
         start[1:] = ~model.joint[data[:-1], data[1:]]
         start[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(start)
-        ends, at = np.append(starts[1:], len(data)).astype(np.int64), np.searchsorted(starts, offsets)
-        made = []
-        for kind in kinds or (model.kind,):
-            ids, sizes = _cache(path, kind).ids(data, starts, ends)
-            made.append((ids, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[at]))
+        flat, sizes = cache.ids(data, starts, np.append(starts[1:], len(data)).astype(np.int64))
+        at, made = np.cumsum(sizes, dtype=np.int64) - sizes, []
+        texts_at = np.searchsorted(starts, offsets)
+        lengths = [flat[at + k].astype(np.int64) for k in range(len(kinds) - 1)]
+        at, rest = at + len(kinds) - 1, sizes - (len(kinds) - 1)
+        for n in [*lengths, rest - sum(lengths)]:
+            made.append((B.gathered(flat, at, n) if len(kinds) > 1 else flat, np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[texts_at]))
+            at = at + n
         yield lo, hi, made
 
 

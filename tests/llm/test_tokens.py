@@ -97,7 +97,8 @@ def test_unigram_walk_finds_the_best_path(monkeypatch):
     words = {"a": -1.0, "b": -1.5, "ab": -2.2, "aba": -2.6, "bab": -4.0, "▁": -1.0, "▁a": -1.2}
     model.kind, model.pieces, model.ids = pieces.UNIGRAM, list(words), {p: i for i, p in enumerate(words)}
     model.score, model.unknown_score, model.bytes = list(words.values()), -20.0, np.arange(100, 356)
-    model.tails = {p[k:]: -1 for p in model.ids for k in range(len(p))} | model.ids
+    model.known, model.whole = {}, set()
+    model.ends = model.by_ends()
 
     def best(word):
         if not word:
@@ -105,7 +106,7 @@ def test_unigram_walk_finds_the_best_path(monkeypatch):
         return max(words[word[:n]] + best(word[n:]) for n in range(1, len(word) + 1) if word[:n] in words)
 
     own = ["▁" + "".join(x) for n in range(1, 7) for x in __import__("itertools").product("ab", repeat=n)]
-    for word, ids in zip(own, model.encode_words(own, pieces.UNIGRAM), strict=True):
+    for word, ids in zip(own, model.encode_words(own, pieces.UNIGRAM)[0], strict=True):
         assert "".join(model.pieces[i] for i in ids) == word
         assert abs(sum(model.score[i] for i in ids) - best(word)) < 1e-9
 
