@@ -14,6 +14,7 @@ from idsieve.functions import mrz, text
 ROW_SHIFT, SEGMENT_GAP, SEGMENT_CHARS = 14.0, 60.0, 12
 RIGHT_REACH, BELOW_REACH, LEFT_SLACK, RIGHT_SLACK = 200.0, 70.0, 12.0, 35.0
 PAIR_GAP, PAIR_SHIFT = (12.0, 120.0), 80.0
+REGION_FROM, REGION_CHARS, REGION_GAP = 0.45, 20, 0.18  # shares of the page's height, and characters
 PAGE = ["doc_id", "page"]
 # Labels of visa fields as word sequences, the more specific ones first.
 VISA_LABELS = {
@@ -150,6 +151,35 @@ def machine_pairs(rows: DataFrame, visa: bool = False) -> DataFrame:
     return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "line1", "line2", "score")
 
 
+def machine_region(rows: DataFrame) -> DataFrame:
+    """doc_id, page, top and bottom of the part of a page where machine-readable lines are to be looked for.
+
+    Of pairs of long rows in the lower half, one close under the other, the longest, best aligned and lowest counts; ties go to
+    the earlier rows. A page without such a pair has its lower part. rows: doc_id, page, ord, text, x, y, y2, page_height.
+    """
+    low = rows.where((F.col("y") >= F.col("page_height") * REGION_FROM) & (F.length("text") >= REGION_CHARS))
+    second = low.select(*PAGE, F.col("ord").alias("ord2"), F.length("text").alias("length2"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("y2").alias("by2"))
+    gap = F.col("by") - F.col("y")
+    pairs = low.join(second, PAGE).where((F.col("ord2") > F.col("ord")) & gap.between(F.lit(PAIR_GAP[0]), F.greatest(F.lit(PAIR_GAP[1]), F.col("page_height") * REGION_GAP)))
+    score = F.length("text") + F.col("length2") + F.greatest(F.lit(0.0), 100.0 - F.abs(F.col("x") - F.col("bx"))) + F.col("y") / F.col("page_height") * 10
+    best = pairs.groupBy(*PAGE).agg(F.min_by(F.struct("y", "by2"), F.struct(-score, "ord", "ord2")).alias("best"))
+    pages = rows.groupBy(*PAGE).agg(F.max("page_height").alias("h")).join(best, PAGE, "left")
+    top = F.coalesce(F.greatest(F.lit(0), F.col("best.y").cast("int") - 24), (F.col("h") * 0.55).cast("int"))
+    bottom = F.coalesce(F.least(F.col("h").cast("int"), F.col("best.by2").cast("int") + 24), F.col("h").cast("int"))
+    return pages.select(*PAGE, top.alias("top"), bottom.alias("bottom"))
+
+
+def candidate_pairs(rows: DataFrame, prefix: str) -> DataFrame:
+    """doc_id, line1, line2, ord1 and ord2 of each line 1 with the prefix and each line 2 of a passport or visa that verifies.
+
+    rows: doc_id, ord and text; only texts of a line's length are looked at, and none is completed.
+    """
+    lines = rows.where(F.length("text") == mrz.LENGTH)
+    first = lines.select("doc_id", F.col("ord").alias("ord1"), mrz.normalise_line1(F.col("text")).alias("line1")).where(F.col("line1").startswith(prefix) & (F.length("line1") == mrz.LENGTH))
+    second = lines.where(mrz.valid_td3(F.col("text")) | mrz.valid_mrv(F.col("text"))).select("doc_id", F.col("ord").alias("ord2"), F.col("text").alias("line2"))
+    return first.join(second, "doc_id").select("doc_id", "line1", "line2", "ord1", "ord2")
+
+
 def lowest_rows(rows: DataFrame, k: int) -> DataFrame:
     """The k lowest rows of each page."""
     order = Window.partitionBy(*PAGE).orderBy(F.col("y").desc(), F.col("ord").desc())

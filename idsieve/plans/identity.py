@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from idsieve.functions import dates, identifiers, mrz, text
-from idsieve.operators import parsers, validation
+from idsieve.operators import outcome, parsers, validation
 from idsieve.plans.registry import query
 
 AS_OF = "2024-06-15"
+_NAME_LINE = "P<UTOERIKSSON<<ANNA" + "<" * 25
 
 
 def _value(c: str) -> str:
@@ -228,6 +229,51 @@ def visa_values(table):
     return table("part").select("p_partkey", parsers.entries(pick(6, "Multi", "1", " double ")).alias("entries"), parsers.visa_type(pick(4, "H-1B", "F1", "zz")).alias("visa_type"), parsers.visa_number(number).alias("visa_number"), parsers.stay_duration(stay).alias("stay"))
 
 
+@query(
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) WHEN 2 THEN substring(c_name, 1, 8) WHEN 4 THEN c_name END AS holder_name, CASE WHEN c_custkey % 6 IN (0, 4) THEN c_name WHEN c_custkey % 6 = 1 THEN upper(c_name) WHEN c_custkey % 6 = 2 THEN substring(c_name, 1, 8) WHEN c_custkey % 6 = 3 THEN 'OTHER' END AS passport_number FROM customer"""
+)
+def merged_readings(table):
+    """Two sources of a field: one missing, equal but for case, a part of the other, and different."""
+    k, name = F.col("c_custkey") % 6, F.col("c_name")
+    read = F.when(k.isin(0, 1, 2, 3), name)
+    machine = F.when(k == 1, F.upper(name)).when(k == 2, F.substring(name, 1, 8)).when(k == 3, "OTHER").when(k == 4, name)
+    return table("customer").select("c_custkey", parsers.resolved("holder_name", read, machine).alias("holder_name"), parsers.resolved("passport_number", read, machine).alias("passport_number"))
+
+
+_SCREENED = f"""{_LINE}, s AS (SELECT l.o_orderkey AS k, o_custkey, o_orderpriority, rtrim(substring(line2, 1, 9), '<') AS number, {sql_valid_td3('line2')} AS ok, ((l.o_orderkey % 2 = 0)::int * 0.45::double + (l.o_orderkey % 2 <> 0)::int * 0.135::double) * ((l.o_orderkey % 10) / 10) + 0.35::double * ((l.o_orderkey % 7) / 7) + CASE WHEN l.o_orderkey % 9 = 0 THEN 0.2::double ELSE 0 END AS c,
+        {sql_dmy(sql_mrz_date('expiry'))} >= TIMESTAMP '{AS_OF}' AS active FROM line l JOIN orders o ON o.o_orderkey = l.o_orderkey),
+    t AS (SELECT *, round_even(least(c, 1), 2) >= 0.5 AS tampering, CASE WHEN NOT ok THEN 90 WHEN round_even(least(c, 1), 2) >= 0.5 THEN 75 ELSE 10 END::double AS stored_score, sha256(o_custkey || '-' || o_orderpriority) AS hash FROM s)"""
+
+
+def _read_documents(table):
+    """A passport for each order, with scores of its image and gate results of its stamps."""
+    k = F.col("document_id")
+    rows = lines(table).select(F.col("o_orderkey").alias("document_id"), "line2")
+    gates = F.when(k % 4 == 0, F.array(F.lit("UNCERTAIN"))).when(k % 4 == 1, F.array(F.lit("UNCERTAIN"), F.lit("STAMP_DETECTED")))
+    return rows.select("document_id", F.lit("PASSPORT").alias("document_type"), F.lit("").alias("text"), F.lit(_NAME_LINE).alias("line1"), "line2", (k % 10 / 10).alias("ela"), (k % 7 / 7).alias("noise"), F.when(k % 9 == 0, "GIMP 2.10").alias("software"), (k % 2 == 0).alias("jpeg"), gates.alias("stamps"))
+
+
+@query(
+    f"""{_SCREENED} SELECT k AS document_id, CASE WHEN ok THEN number END AS identity_number, CASE WHEN ok THEN 'MATCH' ELSE 'MISMATCH' END AS mrz_verification, CASE WHEN ok THEN 'VALID' ELSE 'INVALID' END AS validation_status, CASE WHEN NOT ok THEN 'UNKNOWN' WHEN active THEN 'ACTIVE' ELSE 'EXPIRED' END AS expiry_status,
+    tampering, CASE k % 4 WHEN 0 THEN 'UNCERTAIN' WHEN 1 THEN 'STAMP_DETECTED' ELSE 'NO_STAMP_DETECTED' END AS stamp_status, stored_score, CASE WHEN stored_score >= 75 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM t"""
+)
+def documents_screened(table):
+    rows = outcome.screened(_read_documents(table), F.lit(AS_OF).cast("timestamp"))
+    return rows.drop("document_type", "validation_score", "reasons")
+
+
+@query(
+    f"""{_SCREENED}, h AS (SELECT *, lag(hash) OVER (PARTITION BY hash ORDER BY k) AS same, CASE WHEN ok THEN lag(hash) OVER (PARTITION BY CASE WHEN ok THEN number END ORDER BY k) END AS other FROM t)
+    SELECT k AS document_id, CASE WHEN same IS NOT NULL THEN 'UNCHANGED' WHEN other IS NULL THEN 'NEW' WHEN other = hash THEN 'UNCHANGED' ELSE 'MISMATCH' END AS integrity_status, stored_score, CASE WHEN same IS NULL AND other <> hash THEN greatest(stored_score, 90) ELSE stored_score END AS record_score FROM h"""
+)
+def screenings_recorded(table):
+    """The score stored with a screening and that of its record, which a mismatch with a prior record escalates."""
+    rows = outcome.screened(_read_documents(table), F.lit(AS_OF).cast("timestamp"))
+    hashes = table("orders").select(F.col("o_orderkey").alias("document_id"), F.sha2(F.concat_ws("-", F.col("o_custkey").cast("string"), "o_orderpriority"), 256).alias("document_hash"))
+    rows = rows.join(hashes, "document_id").withColumns({"record_id": F.col("document_id"), "status": F.lit("CONFIRMED")})
+    return outcome.recorded(rows, ["record_id"]).select("document_id", "integrity_status", "stored_score", "record_score")
+
+
 def resident_cards(table):
     """A card text for each customer, with fields that some lack."""
     k = F.col("c_custkey")
@@ -268,9 +314,6 @@ def resident_cards_validated(table):
     return rows.select("c_custkey", "v.status", "v.validation_score", F.size("v.warnings").alias("warnings"))
 
 
-_NAME_LINE = "P<UTOERIKSSON<<ANNA" + "<" * 25
-
-
 @query(
     f"""{_LINE} SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 OR {sql_check_digit('expiry')} = '9' THEN 'VALID' ELSE 'INVALID' END AS mrz_status, CASE WHEN o_orderkey % 5 > 0 OR {sql_check_digit('expiry')} = '9' THEN 'VALID' ELSE 'INVALID' END AS status,
     CASE WHEN o_orderkey % 5 > 0 OR {sql_check_digit('expiry')} = '9' THEN CASE WHEN {sql_dmy(sql_mrz_date('expiry'))} >= TIMESTAMP '{AS_OF}' THEN 'ACTIVE' ELSE 'EXPIRED' END ELSE 'UNKNOWN' END AS expiry_status FROM line"""
@@ -281,7 +324,9 @@ def passports_validated(table):
     return rows.select("o_orderkey", "mrz_status", "v.status", "v.expiry_status")
 
 
-@query()
+@query(
+    """SELECT c_custkey, upper(c_mktsegment) AS surname, 'ANNA' AS given_names, 'K' || lpad(c_custkey::varchar, 7, '0') AS passport_number, 'IND' AS nationality, '12/04/1985' AS date_of_birth, '13/01/2032' AS expiry_date, 'Female' AS gender, 'NOT_FOUND' AS mrz_status FROM customer"""
+)
 def visible_passports(table):
     """Passports without machine-readable lines: what their visible text gives."""
     k = F.col("c_custkey")
@@ -290,12 +335,21 @@ def visible_passports(table):
     return rows.select("c_custkey", "identity.surname", "identity.given_names", "identity.passport_number", "identity.nationality", "identity.date_of_birth", "identity.expiry_date", "identity.gender", F.col("mrz.status").alias("mrz_status"))
 
 
-@query()
+@query(
+    f"""{_LINE}, v AS (SELECT l.o_orderkey AS k, o_orderdate, l.o_orderkey % 2 = 0 AND {sql_check_digit('substring(line2, 1, 9)')} = substring(line2, 10, 1) AS own, l.o_orderkey % 2 = 0 AS pair, line2 FROM line l JOIN orders o ON o.o_orderkey = l.o_orderkey),
+    w AS (SELECT *, CASE WHEN pair THEN rtrim(substring(line2, 1, 9), '<') WHEN k % 3 = 1 THEN 'K1234567' END AS number, CASE k % 3 WHEN 0 THEN DATE '2024-02-01' WHEN 1 THEN DATE '2025-03-30' END AS issue,
+        CASE WHEN pair THEN {sql_dmy(sql_mrz_date('substring(line2, 22, 6)'))} WHEN k % 3 = 0 THEN o_orderdate WHEN k % 3 = 1 THEN DATE '2026-01-01' END AS expiry, CASE WHEN pair THEN {sql_dmy(sql_mrz_date('substring(line2, 14, 6)'))} END AS birth FROM v),
+    c AS (SELECT *, CASE WHEN expiry < issue THEN NULL ELSE expiry END AS until, k % 3 = 1 AS grid FROM w),
+    n AS (SELECT *, (number IS NOT NULL AND length(number) BETWEEN 6 AND 9)::int AS number_ok, pair::int AS nation_ok, (until IS NOT NULL AND (birth IS NULL OR (birth <= TIMESTAMP '{AS_OF}' AND until > birth)))::int AS dates_ok FROM c)
+    SELECT k AS o_orderkey, number AS passport_number, strftime(issue, '%d/%m/%Y') AS issue_date, strftime(until, '%d/%m/%Y') AS expiry_date, CASE WHEN k % 3 = 0 THEN 'MULTIPLE' END AS entries, CASE WHEN grid THEN 'ANNA MARIA VAIRAT' END AS holder_name, CASE WHEN grid THEN 'B1' END AS visa_class,
+    'INVALID' AS status, round_even(100.0 * ((grid AND number IS NOT NULL AND pair AND until IS NOT NULL)::int + grid::int + number_ok + nation_ok + dates_ok) / 7, 0)::int AS validation_score,
+    coalesce((until < TIMESTAMP '{AS_OF}')::int, 0) + (birth IS NULL)::int + (issue IS NULL)::int + 1 + (NOT grid)::int + (k % 3 <> 0)::int + 1 AS warnings FROM n"""
+)
 def visas_parsed_and_validated(table):
     """Visas of three layouts: Schengen labels, the US grid, and machine-readable lines that override both."""
     k = F.col("o_orderkey")
     schengen = F.concat(F.lit("SCHENGEN STATES\nVALID FROM 01-02-2024 UNTIL "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit("\nMULT NEW DELHI"))
-    grid = F.lit("Issuing Post Name\nNEW DELHI\nControl Number\nx\nSe VAIRAT\nGiven Name Visa Type /Class\nANNA MARIA R B1\nPassport Number Sex\nK1234567 F\nIssue Date Expiration Date\n31 OCT 2O25 01 JAN 2026\nAnnotation\nX BLANKET L-1")
+    grid = F.lit("Issuing Post Name\nNEW DELHI\nControl Number\nx\nSe VAIRAT\nGiven Name Visa Type /Class\nANNA MARIA R B1\nPassport Number Sex\nK1234567 F\nIssue Date Expiration Date\n3O MAR 2025 O1 JAN 2026\nAnnotation\nX BLANKET L-1")
     rows = lines(table).join(table("orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     rows = rows.select("o_orderkey", F.when(k % 3 == 0, schengen).when(k % 3 == 1, grid).otherwise("").alias("text"), F.when(k % 2 == 0, F.rpad(F.lit("V<UTOERIKSSON<<ANNA"), 44, "<")).alias("line1"), F.when(k % 2 == 0, F.col("line2")).alias("line2"))
     rows = parsers.parse_visas(rows).withColumn("v", validation.validate_visa(F.col("identity"), F.lit(AS_OF).cast("timestamp")))

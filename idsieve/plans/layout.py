@@ -79,6 +79,35 @@ def machine_line_pairs(table):
     return layout.machine_pairs(rows).select("doc_id", "line2")
 
 
+_REGION_ROWS = """WITH o AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 1 THEN 1000.0 ELSE 600.0 END::double AS h, 40 + o_orderkey % 4 * 50 AS gap, o_orderkey % 10 = 0 AS brief FROM orders),
+    r AS (SELECT doc_id, h, unnest([{'ord': 0, 'n': 30, 'x': 20, 'y': 100.0}, {'ord': 1, 'n': CASE WHEN brief THEN 12 ELSE 44 END, 'x': 20, 'y': h / 2}, {'ord': 2, 'n': 44, 'x': 23, 'y': h / 2 + gap}, {'ord': 3, 'n': 25, 'x': 90, 'y': h / 2 + gap + 5}]) AS c FROM o)"""
+
+
+@query(
+    f"""{_REGION_ROWS}, e AS (SELECT doc_id, h, c.ord AS ord, c.n AS n, c.x AS x, c.y::double AS y FROM r WHERE c.y >= h * 0.45 AND c.n >= 20),
+    p AS (SELECT a.doc_id, a.y, b.y + 12 AS by2, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.n + b.n + greatest(0, 100 - abs(a.x - b.x)) + a.y / a.h * 10 DESC, a.ord, b.ord) AS k FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.ord > a.ord AND b.y - a.y BETWEEN 12 AND greatest(120, a.h * 0.18))
+    SELECT o.doc_id, coalesce(greatest(0, floor(p.y)::int - 24), floor(h * 0.55::double)::int) AS top, coalesce(least(h::int, floor(p.by2)::int + 24), h::int) AS bottom FROM o LEFT JOIN p ON o.doc_id = p.doc_id AND k = 1"""
+)
+def machine_regions(table):
+    k = F.col("o_orderkey")
+    h, gap = F.when(k % 2 == 1, 1000.0).otherwise(600.0), 40 + k % 4 * 50
+    row = lambda n, x, y: F.struct(F.repeat(F.lit("A"), n).alias("text"), F.lit(float(x)).alias("x"), y.cast("double").alias("y"))
+    cells = F.array(row(F.lit(30), 20, F.lit(100)), row(F.when(k % 10 == 0, 12).otherwise(44), 20, h / 2), row(F.lit(44), 23, h / 2 + gap), row(F.lit(25), 90, h / 2 + gap + 5))
+    rows = table("orders").select(k.alias("doc_id"), F.lit(1).alias("page"), h.alias("page_height"), F.posexplode(cells).alias("ord", "c")).select("doc_id", "page", "page_height", "ord", "c.text", "c.x", "c.y", (F.col("c.y") + 12).alias("y2"))
+    return layout.machine_region(rows).select("doc_id", "top", "bottom")
+
+
+@query(
+    f"""{identity._LINE}, pool AS (SELECT o_orderkey AS doc_id, line2, {identity.sql_valid_td3('line2')} AS td3, ({identity.sql_check_digit('substring(line2, 22, 6)')} = substring(line2, 28, 1)) AS mrv, o_orderkey % 3 > 0 AS p FROM line)
+    SELECT doc_id, line2, 2::int AS ord2 FROM pool WHERE (td3 OR mrv) AND p UNION ALL SELECT doc_id, line2, 4::int FROM pool WHERE (td3 OR mrv) AND p"""
+)
+def pooled_line_pairs(table):
+    """A pool of candidates for each order: a line 1 of a passport or a visa, a short text, and the same line 2 twice."""
+    first = F.when(F.col("o_orderkey") % 3 > 0, F.lit(identity._NAME_LINE)).otherwise(F.lit("V" + identity._NAME_LINE[1:]))
+    rows = identity.lines(table).select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(F.lit("REPUBLIC"), first, F.col("line2"), F.substring("line2", 1, 30), F.col("line2"))).alias("ord", "text"))
+    return layout.candidate_pairs(rows, "P<").select("doc_id", "line2", "ord2")
+
+
 @query(
     """WITH r AS (SELECT conv_id AS doc_id, turn AS page, role, text, len(list_filter(['NAME', 'THE'], lambda k: contains(upper(text), k))) AS hits, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS n FROM conversations WHERE text IS NOT NULL),
     b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY hits DESC, n DESC, role, text) = 1) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM b WHERE trim(text) <> '' GROUP BY 1"""
