@@ -1,51 +1,55 @@
-"""The ledger as a stream: state by id, kept by Structured Streaming over any number of restarts."""
+"""The ledger as a stream: partial states of each trigger are appended to a table, and a view folds them.
+
+A partial state is a row of maxima by id and hash, so states combine in any order and a trigger that is written twice
+changes nothing. The stream itself keeps no state and needs no Python rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+PARTIALS = "id string, document_hash string, stored long, recorder string, verified long, revoked long"
+
+
+def ledger_partials(events: DataFrame, owner: str) -> DataFrame:
+    """By id and hash the last seq of a store (and its actor), of a verification, and of a revocation by the owner.
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    events: seq, id, actor, action and document_hash.
+    """
+    seq = lambda condition: F.when(condition, F.col("seq"))
+    stored = seq(F.col("action") == "store")
+    return events.groupBy("id", "document_hash").agg(F.max(stored).alias("stored"), F.max_by("actor", stored).alias("recorder"), F.max(seq(F.col("action") == "verify")).alias("verified"), F.max(seq((F.col("action") == "revoke") & (F.col("actor") == owner))).alias("revoked"))
 
-OUT = "id string, document_hash string, status string, recorder string, events long"
-STATE = "document_hash string, status string, recorder string, last long, events long"
 
+def write_ledger(events: DataFrame, owner: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that appends the partial states of each trigger of a stream of events below ``path``, once for what is there."""
 
-def fold_events(state: tuple | None, events: pd.DataFrame, owner: str) -> tuple | None:
-    """The state after some events of one id, in order of seq; events already seen are passed over."""
-    for e in events.sort_values("seq").itertuples(index=False):
-        if state is not None and e.seq <= state[3]:
-            continue
-        if e.action == "store":
-            state = (e.document_hash, "REGISTERED", e.actor, int(e.seq), (state[4] if state else 0) + 1)
-        elif state is not None:
-            stored, status, recorder, _, n = state
-            if e.action == "verify" and e.document_hash == stored:
-                status = "VERIFIED"
-            elif e.action == "revoke" and e.actor == owner:
-                status = "REVOKED"
-            state = (stored, status, recorder, int(e.seq), n + 1)
-    return state
+    def put(batch: DataFrame, number: int) -> None:
+        ledger_partials(batch, owner).write.mode("append").parquet(path)
 
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def ledger_stream(events: DataFrame, owner: str) -> DataFrame:
-    """The state of each id that has new events. events: a stream of seq, id, actor, action and document_hash."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        # the batches of one trigger come in any order; seq decides
-        found = list(batches)
-        now = fold_events(now, pd.concat(found), owner) if found else now
-        if now is not None:
-            state.update(now)
-            yield pd.DataFrame([(key[0], now[0], now[1], now[2], now[4])], columns=["id", "document_hash", "status", "recorder", "events"])
+def ledger_state(partials: DataFrame) -> DataFrame:
+    """id, document_hash, status, recorder and stored_at of each id with a stored record, from all partial states.
 
-    return events.groupBy("id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    The last store begins the record anew; after it the owner's revocation or a verification of its own hash counts,
+    whichever is later.
+    """
+    by_hash = partials.groupBy("id", "document_hash").agg(F.max("stored").alias("stored"), F.max_by("recorder", "stored").alias("recorder"), F.max("verified").alias("verified"), F.max("revoked").alias("revoked"))
+    last = by_hash.groupBy("id").agg(F.max_by(F.struct("document_hash", "stored", "recorder", "verified"), "stored").alias("s"), F.max("revoked").alias("revoked")).where(F.col("s.stored").isNotNull())
+    verified = F.when(F.col("s.verified") > F.col("s.stored"), F.struct(F.col("s.verified").alias("at"), F.lit("VERIFIED").alias("status")))
+    revoked = F.when(F.col("revoked") > F.col("s.stored"), F.struct(F.col("revoked").alias("at"), F.lit("REVOKED").alias("status")))
+    latest = F.greatest(F.struct(F.col("s.stored").alias("at"), F.lit("REGISTERED").alias("status")), verified, revoked)
+    return last.select("id", "s.document_hash", latest["status"].alias("status"), "s.recorder", F.col("s.stored").alias("stored_at"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return ledger_state(spark.read.schema(PARTIALS).parquet(path))
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Events by window and action; rows later than the watermark are left out."""
-    from pyspark.sql import functions as F
-
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "action").agg(F.count("*").alias("n"))

@@ -1,6 +1,8 @@
 """Known cases of the expressions and operators."""
 
 import datetime
+import functools
+import random
 
 import numpy as np
 import pytest
@@ -190,17 +192,35 @@ def test_ledger_fold(spark):
 
 
 def test_ledger_stream_agrees_with_the_fold(spark, tmp_path):
-    source, out = tmp_path / "in", tmp_path / "out"
+    source, out = tmp_path / "in", str(tmp_path / "out")
     schema = spark.createDataFrame([], SCHEMA).schema
     for part in (EVENTS[:5], EVENTS[5:]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
-        stream = ledger.ledger_stream(spark.readStream.schema(schema).parquet(str(source)), "o")
-        kept = lambda df, n: df.write.mode("append").parquet(str(out))  # noqa: E731, ARG005
-        stream.writeStream.outputMode("update").foreachBatch(kept).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    last = {}
-    for r in spark.read.parquet(str(out)).orderBy("events").collect():
-        last[r.id] = (r.document_hash, r.status)
-    assert last == {"a": ("h1", "VERIFIED"), "b": ("h8", "REVOKED")}
+        ledger.write_ledger(spark.readStream.schema(schema).parquet(str(source)), "o", out, str(tmp_path / "cp")).awaitTermination()
+    # a trigger written twice changes nothing
+    ledger.ledger_partials(spark.createDataFrame(EVENTS[5:], SCHEMA), "o").write.mode("append").parquet(out)
+    got = {r.id: (r.document_hash, r.status, r.recorder, r.stored_at) for r in ledger.read_ledger(spark, out).collect()}
+    assert got == {"a": ("h1", "VERIFIED", "o", 2), "b": ("h8", "REVOKED", "x", 8)}
+
+
+def test_ledger_states_of_random_events(spark):
+    r = random.Random(3)
+    events = [(n, r.choice("abcdefgh"), r.choice("oxy"), r.choice(["store", "verify", "verify", "revoke"]), r.choice(["h1", "h2", "h3"])) for n in range(400)]
+    want = {x.id: (x.document_hash, x.status, x.recorder, x.stored_at) for x in integrity.ledger_fold(spark.createDataFrame(events, SCHEMA), "o").collect()}
+    parts = [ledger.ledger_partials(spark.createDataFrame(events[a : a + 90], SCHEMA), "o") for a in range(0, 400, 90)]
+    got = {x.id: (x.document_hash, x.status, x.recorder, x.stored_at) for x in ledger.ledger_state(functools.reduce(lambda a, b: a.union(b), reversed(parts))).collect()}
+    assert got == want and len(want) == 8
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    t = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp, action string"
+    spark.createDataFrame([(t(1, 5), "store"), (t(1, 50), "store"), (t(1, 59), "verify"), (t(3, 0), "store")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = ledger.windowed_counts(stream).writeStream.outputMode("append").format("memory").queryName("counts").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.w.start.hour, r.action, r.n) for r in spark.table("counts").collect())
+    assert got == [(1, "store", 2), (1, "verify", 1)]  # the window at 3 is still open
 
 
 def test_prior_needs_a_registered_record(spark):
