@@ -75,9 +75,8 @@ def labelled_value(rows: Column, labels: list[str], ahead: int = 2) -> Column:
     return F.get(F.filter(F.transform(rows, one), lambda v: v.isNotNull()), F.lit(0))
 
 
-def gender(rows: Column, text: Column) -> Column:
-    """Female, Transgender or Male, in the labelled value or else in the whole text."""
-    where = F.coalesce(labelled_value(rows, GENDER), text)
+def gender_in(where: Column) -> Column:
+    """Female, Transgender or Male, whichever of these words a text has first in this order."""
     return F.coalesce(*(F.when(where.rlike(f"(?i)\\b{w}\\b"), F.lit(w.capitalize())) for w in ("FEMALE", "TRANSGENDER", "MALE")))
 
 

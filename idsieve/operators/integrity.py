@@ -104,6 +104,11 @@ def newest(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long"))
 
 
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows with their ``position`` from 1 among those of the same key."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+
+
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row of each key: the one that comes first in the order."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")

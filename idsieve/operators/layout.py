@@ -110,25 +110,26 @@ def _joined_by_x(words: Column) -> Column:
     return F.nullif(F.trim(F.array_join(F.transform(F.array_sort(words), lambda w: w["text"]), " ")), F.lit(""))
 
 
-def values_below(anchors: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, field and the text of the first visual row right under the label."""
-    near = anchors.join(words.select(*PAGE, "cy", "x", "x2", "ord", "text"), PAGE).where((F.col("cy") > F.col("ay2")) & (F.col("cy") <= F.col("ay2") + BELOW_REACH) & (F.col("x2") >= F.col("ax") - LEFT_SLACK) & (F.col("x") <= F.col("ax2") + RIGHT_SLACK))
-    top = F.min("cy").over(Window.partitionBy("doc_id", "field"))
-    near = near.withColumn("top", top).where(F.abs(F.col("cy") - F.col("top")) <= ROW_SHIFT)
-    return near.groupBy("doc_id", "field").agg(_joined_by_x(F.collect_list(F.struct("x", "ord", "text"))).alias("below"))
+def label_texts(anchors: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, field, below (the text of the first visual row right under the label) and right (what stands right of it in its row).
 
-
-def values_right(anchors: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, field and the text that stands right of the label in its row."""
-    centre = (F.col("ay") + F.col("ay2")) / 2
-    near = anchors.join(words.select(*PAGE, "cy", "x", "ord", "text"), PAGE).where((F.abs(F.col("cy") - centre) <= ROW_SHIFT) & (F.col("x") > F.col("ax2")) & (F.col("x") - F.col("ax2") <= RIGHT_REACH))
-    return near.groupBy("doc_id", "field").agg(_joined_by_x(F.collect_list(F.struct("x", "ord", "text"))).alias("right"))
+    Every anchor has a row; a text that is not there is null. The words of the page are joined once for both.
+    """
+    page = words.select(*(F.col(c).alias(f"w_{c}") for c in PAGE), "cy", "x", "x2", "ord", "text")
+    y, x = F.col("cy"), F.col("x")
+    under = (y > F.col("ay2")) & (y <= F.col("ay2") + BELOW_REACH) & (F.col("x2") >= F.col("ax") - LEFT_SLACK) & (x <= F.col("ax2") + RIGHT_SLACK)
+    beside = (F.abs(y - (F.col("ay") + F.col("ay2")) / 2) <= ROW_SHIFT) & (x > F.col("ax2")) & (x - F.col("ax2") <= RIGHT_REACH)
+    same = (F.col("doc_id") == F.col("w_doc_id")) & (F.col("page") == F.col("w_page"))
+    near = anchors.join(page, same & (under | beside), "left").withColumn("under", under)
+    top = F.min(F.when(F.col("under"), y)).over(Window.partitionBy("doc_id", "field"))
+    word = F.struct("x", "ord", "text")
+    near = near.select("doc_id", "field", F.when(F.col("under") & (F.abs(y - top) <= ROW_SHIFT), word).alias("b"), F.when(beside, word).alias("r"))
+    return near.groupBy("doc_id", "field").agg(_joined_by_x(F.collect_list("b")).alias("below"), _joined_by_x(F.collect_list("r")).alias("right"))
 
 
 def labelled_values(rows: DataFrame, labels: dict[str, list[str]], parse) -> DataFrame:
     """doc_id, field and value: what stands below a label if it parses, else what stands right of it. parse: (field, text) to a column."""
-    anchors = label_anchors(rows, labels)
-    found = anchors.select("doc_id", "field").join(values_below(anchors, rows), ["doc_id", "field"], "left").join(values_right(anchors, rows), ["doc_id", "field"], "left")
+    found = label_texts(label_anchors(rows, labels), rows)
     return found.select("doc_id", "field", F.coalesce(parse(F.col("field"), F.col("below")), parse(F.col("field"), F.col("right"))).alias("value"))
 
 
@@ -144,7 +145,8 @@ def machine_pairs(rows: DataFrame, visa: bool = False) -> DataFrame:
     numeric = F.concat(*(mrz.piece(F.col("line"), at, 1) for at in checks)).rlike(f"^[0-9]{{{len(checks)}}}$")
     # exploding the one corrected line keeps the filter on it from computing it again
     second = cleaned.where(numeric).withColumn("line2", F.explode(F.array(correct(F.col("line"))))).where(valid(F.col("line2"))).select(*PAGE, F.col("ord").alias("ord2"), F.col("x").alias("bx"), F.col("y").alias("by"), "line2")
-    pairs = cleaned.join(second, PAGE).withColumn("gap", F.col("by") - F.col("y")).where(F.col("gap").between(*PAIR_GAP) & (F.abs(F.col("bx") - F.col("x")) <= PAIR_SHIFT))
+    starts = F.col("line").startswith(prefix) | (F.col("line").startswith("VN") if visa else F.lit(False))  # only these can be a line 1
+    pairs = cleaned.where(starts).join(second, PAGE).withColumn("gap", F.col("by") - F.col("y")).where(F.col("gap").between(*PAIR_GAP) & (F.abs(F.col("bx") - F.col("x")) <= PAIR_SHIFT))
     pairs = pairs.withColumn("line1", mrz.line1_of_row(F.col("text"), prefix, F.lit(True), F.col("gap"))).where(F.col("line1").isNotNull())
     score = 400.0 + mrz.line_score(F.col("line1"), prefix) + mrz.line_score(F.col("line2"), prefix) + F.greatest(F.lit(0.0), 80.0 - F.abs(F.col("x") - F.col("bx"))) + F.greatest(F.lit(0.0), 80.0 - F.col("gap"))
     best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "page", "ord", "ord2")

@@ -15,8 +15,7 @@ _PIXELS = "WITH p AS (SELECT vec_id, unnest(list_transform(embedding, lambda e:
 def block_noise(table):
     """As a grouped aggregate: exploded samples, blocks by whole division of their places."""
     values = table("embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 1000) % 256)).alias("i", "v"))
-    blocks = values.groupBy("vec_id", F.floor(F.col("i") / 16).alias("y"), F.floor(F.col("i") % 8 / 2).alias("x")).agg(F.var_pop("v").alias("var"))
-    stats = blocks.groupBy("vec_id").agg(F.avg("var").alias("mean"), F.stddev_pop("var").alias("std"), F.max("var").alias("most"))
+    stats = imaging.grouped_block_statistics(values, "vec_id", 8, 2)
     return stats.select("vec_id", F.round(F.col("mean") + 1e-7, 4).alias("mean"), F.round(F.col("most") + 1e-7, 4).alias("most"), F.round(imaging.anomaly_ratio(F.col("mean"), F.col("std"), F.col("most")), 4).alias("ratio"))
 
 
@@ -86,6 +85,15 @@ def boxes_without_overlaps(table):
     return boxes.select("l_orderkey", F.posexplode(imaging.without_overlaps(F.col("boxes"))).alias("at", "b")).select("l_orderkey", F.concat(F.lit("STAMP-"), F.lpad((F.col("at") + 1).cast("string"), 2, "0")).alias("region_id"), "b.x", "b.y")
 
 
+@query(
+    """WITH s AS (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN 'UNREADABLE' ELSE 'READABLE' END AS status, regexp_extract_all(t, '\\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\\b|\\b[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}\\b') AS dates,
+    list_sort(list_distinct(regexp_extract_all(upper(t), '\\b(?:ENTRY|EXIT|ADMIT|VISA|IMMIGRATION|ARRIVAL|DEPARTURE|PORT|VALID|UNTIL)\\b'))) AS terms FROM s"""
+)
+def stamp_texts(table):
+    """Dates and terms of every document's text, read as a stamp's."""
+    return table("documents").select("doc_id", imaging.stamp_text(F.col("text")).alias("s")).select("doc_id", "s.status", "s.dates", "s.terms")
+
+
 def ink_images(table):
     """Images of 96x96 samples in colour: positive numbers of a vector are red ink, larger ones dark, the others paper."""
     colour = F.transform("embedding", lambda e: F.when(e > 0.1, "782840").when(e > 0, "C83C46").otherwise("FAFAF5"))

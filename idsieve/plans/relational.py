@@ -132,9 +132,7 @@ def latest_audit_record(table):
 
 @query("SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events")
 def audit_timeline(table):
-    from pyspark.sql import Window
-
-    return table("events").select("user_id", "event_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("position"))
+    return integrity.numbered(table("events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "position")
 
 
 @query("SELECT ts::date AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -188,10 +186,7 @@ def featured_record(table):
 
 @query("SELECT s_suppkey, s_name, row_number() OVER (ORDER BY lower(s_name), s_suppkey) AS position FROM supplier ORDER BY position LIMIT 7")
 def first_seven_by_name(table):
-    from pyspark.sql import Window
-
-    top = table("supplier").orderBy(F.lower("s_name"), "s_suppkey").limit(7)
-    return top.select("s_suppkey", "s_name", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lower("s_name"), "s_suppkey")).cast("long").alias("position"))
+    return integrity.newest(table("supplier"), [F.lower("s_name"), F.col("s_suppkey")], 7).select("s_suppkey", "s_name", "position")
 
 
 @query("SELECT c_custkey AS id, c_name AS name, 'AADHAAR' AS document_type FROM customer UNION ALL SELECT s_suppkey, s_name, 'PASSPORT' FROM supplier")
