@@ -32,7 +32,7 @@ from .components import components
 GRAM_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
 MAX_HASHES = 256
 BLOCK_GRAMS, BLOCK_NODES = 1_000_000, 1200
-COLUMNS = 2048
+COLUMNS, ROWS = 2048, 128
 
 
 def choose_bands(similarity: float, recall: float, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -91,11 +91,18 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, text_key long, digest binary, n long, keys array<long>")
 
 
+def _parts(n: int) -> Iterator[slice]:
+    """Runs of rows of a matrix, so that what is made of them is small beside it."""
+    return (slice(a, a + ROWS) for a in range(0, n, ROWS))
+
+
 def _labels(linked: np.ndarray) -> np.ndarray:
     """The least index of each component of a symmetric matrix of links."""
     label = np.arange(len(linked))
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(1, initial=len(linked)))
+        new = label.copy()
+        for part in _parts(len(linked)):
+            new[part] = np.minimum(label[part], np.where(linked[part], label[None, :], len(linked)).min(1, initial=len(linked)))
         new = new[new]
         if (new == label).all():
             return label
@@ -159,8 +166,11 @@ def compared(members: DataFrame, similarity: float) -> DataFrame:
             if left.any():
                 sizes = (at[own + 1] - at[own]).astype(np.float64)
                 common = common_counts([flat[at[x] : at[x + 1]] for x in own])
-                left &= common >= share * (sizes[:, None] + sizes[None, :]) - 1e-6
-            rows.append((nodes[own], left @ copies[own], nodes[own][_labels(left)]))
+                for part in _parts(len(own)):
+                    left[part] &= common[part] >= share * (sizes[part, None] + sizes[None, :]) - 1e-6
+                del common
+            linked = np.concatenate([left[part] @ copies[own] for part in _parts(len(own))])
+            rows.append((nodes[own], linked, nodes[own][_labels(left)]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["node", "linked", "hub"])
 
     return members.groupBy("cell", "i", "j").applyInArrow(run, "node long, linked long, hub long")

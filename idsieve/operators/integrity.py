@@ -11,22 +11,35 @@ REGISTERED = ["CONFIRMED", "REUSED"]
 ESCALATED_SCORE = 90.0
 
 
-def prior_record(records: DataFrame, key: list[str], order: list[str], prefix: str = "prior") -> DataFrame:
-    """The latest earlier registered record with the same key, as a struct column. A null key has none."""
+def prior_record(records: DataFrame, key: list[str], order: list[str], prefix: str = "prior", period: Column | None = None) -> DataFrame:
+    """The latest earlier registered record with the same key, as a struct column. A null key has none.
+
+    period: a value that never falls in the given order, such as the day. With it, records of one key are looked at period by
+    period, and only the last one of each is carried on, so that a key which many records share is no single task.
+    """
     some = F.lit(True)
     for k in key:
         some = some & F.col(k).isNotNull()
-    # rows without a key have nothing in common, so they are dealt out by what orders them
-    apart = F.when(~some, F.xxhash64(*order))
-    before = Window.partitionBy(*key, apart).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col("status").isin(REGISTERED), F.struct("record_id", "document_hash"))
-    return records.withColumn(prefix, F.when(some, F.last(known, ignorenulls=True).over(before)))
+    # rows without a key have nothing in common, so they are dealt out by what orders them
+    apart = [F.when(~some, F.xxhash64(*order)), *([period] if period is not None else [])]
+    before = Window.partitionBy(*key, *apart).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = records.withColumn(prefix, F.when(some, F.last(known, ignorenulls=True).over(before)))
+    if period is None:
+        return rows
+    ends = records.where(some).groupBy(*(F.col(k).alias(f"__{k}") for k in key), period.alias("__period")).agg(F.max_by(known, F.when(known.isNotNull(), F.struct(*order))).alias("__last"))
+    earlier = Window.partitionBy(*(f"__{k}" for k in key)).orderBy("__period").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).where(F.col("__carried").isNotNull()).drop("__last")
+    same = period == F.col("__period")
+    for k in key:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return rows.join(ends, same, "left").withColumn(prefix, F.coalesce(prefix, "__carried")).drop("__period", "__carried", *(f"__{k}" for k in key))
 
 
-def with_prior(records: DataFrame, order: list[str]) -> DataFrame:
+def with_prior(records: DataFrame, order: list[str], period: Column | None = None) -> DataFrame:
     """``prior``: by exact content first, else by identity (identity_type, identity_key)."""
-    rows = prior_record(records, ["document_hash"], order, "by_hash")
-    rows = prior_record(rows, ["identity_type", "identity_key"], order, "by_identity")
+    rows = prior_record(records, ["document_hash"], order, "by_hash", period)
+    rows = prior_record(rows, ["identity_type", "identity_key"], order, "by_identity", period)
     return rows.withColumn("prior", F.coalesce("by_hash", "by_identity")).drop("by_hash", "by_identity")
 
 

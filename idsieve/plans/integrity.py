@@ -22,7 +22,7 @@ _PRIOR = f"""{_RECORDS}, p AS (SELECT *, last_value(CASE WHEN status <> 'FAILED'
 
 
 def classified(table):
-    rows = integrity.with_prior(records(table), ["ts", "record_id"])
+    rows = integrity.with_prior(records(table), ["ts", "record_id"], F.to_date("ts"))
     return rows.withColumn("integrity", integrity.classification(F.col("document_hash"), F.col("prior.document_hash")))
 
 
