@@ -36,7 +36,6 @@ BLOCKS, BLOCK_BITS = 4, 16
 INDEX_BYTES = 128 << 20
 FILTER_BITS = 20
 SLOT_BITS = 27  # of the filter over all shingles: 16 MB
-_BITS = np.arange(64, dtype=np.uint64)
 
 
 def radius(similarity: float) -> int:
@@ -47,8 +46,9 @@ def radius(similarity: float) -> int:
 
 
 def signs(grams: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle."""
-    return (((grams[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) << 1) - 1
+    """+1 or -1 for each bit of each shingle, a byte each."""
+    bits = np.unpackbits(np.ascontiguousarray(grams, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return (bits << 1).view(np.int8) - np.int8(1)
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def passages(data: np.ndarray, offsets: np.ndarray, items: Items, k: int, simila
     stretch = np.repeat(np.arange(len(lo)), length)
     hits = np.concatenate(([0], np.cumsum(np.isin(flat, hit))))
     sums = np.zeros((len(flat) + 1, 64), np.int32)
-    np.cumsum(signs(grams[flat]), axis=0, out=sums[1:])
+    np.cumsum(signs(grams[flat]), axis=0, dtype=np.int32, out=sums[1:])
     for size in np.unique(items.sizes).tolist():
         m = size - k + 1
         if len(flat) < m:

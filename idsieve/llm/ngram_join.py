@@ -190,7 +190,8 @@ def _cells(found: DataFrame, met: DataFrame) -> tuple[DataFrame, bool]:
     of_bin = F.array(F.struct(F.concat(F.lit("c"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("cell"), F.col("root").alias("grp"), F.lit(-1).alias("band"), F.lit(1).alias("blocks")))
     if not large:
         return found.withColumn("cells", of_bin), False
-    found = scratch.saved(found.join(sizes.select("root", (F.col("blocks") > 1).alias("large")), "root"), "join-found")
+    among = scratch.saved(sizes.where("blocks > 1").select("root", F.lit(True).alias("large")), "join-large")  # few, so mostly sent to all tasks
+    found = scratch.saved(found.join(among, "root", "left").withColumn("large", F.coalesce("large", F.lit(False))), "join-found")
     inside = scratch.saved(met.join(found.where("large").select("node", "n"), "node"), "join-inside")
     buckets = inside.groupBy("key", "band").agg(*sums).where("members > 1").select("key", "band", _blocks().alias("blocks"))
     inside = inside.join(scratch.saved(buckets, "join-buckets"), ["key", "band"])
@@ -199,15 +200,8 @@ def _cells(found: DataFrame, met: DataFrame) -> tuple[DataFrame, bool]:
     return found.withColumn("cells", F.when(F.col("large"), F.col("of_buckets")).otherwise(of_bin)).drop("of_buckets", "large"), True
 
 
-def similarity_join(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, text_key, class_key, class_id, links and class_size for every row of ``docs``.
-
-    Two texts are linked if their sets of word k-grams have the similarity or more; a text with fewer words
-    has one gram of all its words. ``links`` counts the documents linked to this one, ``class_id`` is the
-    least doc_id among those linked directly or through others: null if all are null, and the same for two
-    classes whose least doc_id is. ``class_key`` is a class's own. A text without words (null, empty) links to
-    none and is its own class, without a key. Other columns, whatever their names, are left aside.
-    """
+def _verified(docs: DataFrame, k: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts with their digests, nodes, and of each node in a group of candidates ``linked`` and ``class``)."""
     bands, rows = choose_bands(similarity, recall)
     texts = scratch.saved(signed(docs, k, bands, rows), "join-texts")
     nodes = texts.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -240,8 +234,21 @@ def similarity_join(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SI
     if large:
         classes = components(checked.select(F.col("node").alias("a"), F.col("hub").alias("b")))
         linked = linked.drop("class").join(classes.withColumnRenamed("root", "class"), "node", "left")
+    return texts, nodes, scratch.saved(linked, "join-linked")
+
+
+def similarity_join(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, text_key, class_key, class_id, links and class_size for every row of ``docs``.
+
+    Two texts are linked if their sets of word k-grams have the similarity or more; a text with fewer words
+    has one gram of all its words. ``links`` counts the documents linked to this one, ``class_id`` is the
+    least doc_id among those linked directly or through others: null if all are null, and the same for two
+    classes whose least doc_id is. ``class_key`` is a class's own. A text without words (null, empty) links to
+    none and is its own class, without a key. Other columns, whatever their names, are left aside.
+    """
+    texts, nodes, linked = _verified(docs, k, similarity, recall)
     nodes = nodes.select("node", "digest", "least", "copies").join(linked, "node", "left")
-    nodes = scratch.saved(nodes.select("digest", "least", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("class", "node").alias("class_key")), "join-linked")
+    nodes = scratch.saved(nodes.select("digest", "least", "copies", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("class", "node").alias("class_key")), "join-nodes")
     of_class = scratch.saved(nodes.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "join-classes")
     nodes = nodes.join(of_class, "class_key").select("digest", "class_key", (F.col("copies") - 1 + F.col("linked")).alias("links"), "class_id", "class_size")
     alone = F.col("digest").isNull()
@@ -253,19 +260,17 @@ def _repeats(texts: DataFrame) -> bool:
     return not texts.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
 
 
-def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
+def one_of_each_class(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs``, all columns, that come first in their class: least doc_id (nulls first), then least text key.
 
     Of rows with equal doc_id and text one stays. Texts without words all stay, but for repeated rows. An empty
     table stays one.
     """
-    joined = scratch.saved(similarity_join(docs, **options), "join-rows")  # two uses follow
-    key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text_key")
-    # a text without words is its own class: its own row stays
+    texts, nodes, linked = _verified(docs, k, similarity, recall)
+    # a node has the first of its copies, nulls first
+    groups = nodes.select("node", "first").join(linked.select("node", "class"), "node", "left").groupBy(F.coalesce("class", "node")).agg(F.min("first").alias("first"))
     text_key, keep_id, keep_key = scratch.unused(docs, "text_key", "keep_id", "keep_key")
-    single = joined.where("class_size = 1").select("doc_id", "text_key")
-    groups = joined.where("class_size > 1").groupBy("class_key").agg(F.min(key).alias("first"))
-    kept = single.union(groups.select("first.doc_id", "first.text_key")).distinct().toDF(keep_id, keep_key)
+    kept = groups.select("first.doc_id", "first.text_key").union(texts.where("digest IS NULL").select("doc_id", "text_key")).toDF(keep_id, keep_key)
     keyed = docs.withColumn(text_key, F.xxhash64(F.col("text").cast("string")))
     kept = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & F.col(text_key).eqNullSafe(F.col(keep_key)), "left_semi")
     return kept.dropDuplicates(["doc_id", text_key]).drop(text_key)

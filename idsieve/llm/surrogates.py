@@ -189,18 +189,22 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _table(rows: dict[str, list[str]]) -> str:
+    """SQL for a map of words by name, as one literal."""
+    return f"str_to_map({_q(';'.join(f'{k}={" ".join(v)}' for k, v in rows.items()))}, ';', '=')"
+
+
 def _coined(key: str, word: str, role: str, attempt: str) -> str:
-    """SQL for a name word: role is m, f, n or family."""
+    """SQL for a name word: role is m, f, n or family. Further attempts have more syllables."""
     script = f"CASE WHEN {word} RLIKE '\\\\p{{IsCyrillic}}' THEN 'cyrillic' WHEN {word} RLIKE '\\\\p{{IsGreek}}' THEN 'greek' ELSE 'latin' END"
-    cases = []
-    for s, parts in SYLLABLES.items():
-        take = ", ".join(f"element_at({_array(parts)}, int(conv(substring(h, {3 * n + 1}, 3), 16, 10)) % {len(parts)} + 1)" for n in range(4))
-        more = f"array_join(transform(sequence(1, 3 * least(1, {attempt})), n -> CASE WHEN {attempt} = 0 THEN '' ELSE element_at({_array(parts)}, int(conv(substring(h, 20 + 3 * n, 3), 16, 10)) % {len(parts)} + 1) END), '')"
-        ends = "CASE role " + " ".join(f"WHEN '{r}' THEN element_at({_array(ENDINGS[s, r])}, int(conv(substring(h, 13, 3), 16, 10)) % 4 + 1)" for r in ("m", "f", "n", "family")) + " END"
-        cases.append(f"WHEN '{s}' THEN concat({take}, {more}, {ends})")
-    body = f"CASE {script} {' '.join(cases)} END".replace("CASE role", f"CASE {role}")
-    made = _bind(_digest(key, "'name'", role, f"lower({word})", f"cast({attempt} AS string)"), "h", body)
-    return f"CASE WHEN length({word}) > 1 AND upper({word}) = {word} THEN upper({made}) ELSE initcap({made}) END"
+    pick = lambda words, at: f"element_at({words}, int(conv(substring(h, {at}, 3), 16, 10)) % size({words}) + 1)"
+    start, more = (", ".join(pick("sy", at) for at in places) for places in ((1, 4, 7, 10), (23, 26, 29)))
+    made = f"concat({start}, CASE WHEN {attempt} = 0 THEN '' ELSE concat({more}) END, {pick('en', 13)})"
+    spelt = _bind(made, "c", f"CASE WHEN length({word}) > 1 AND upper({word}) = {word} THEN upper(c) ELSE initcap(c) END")
+    endings = {f"{s} {r}": own for (s, r), own in ENDINGS.items()}
+    spelt = _bind(_digest(key, "'name'", role, f"lower({word})", f"cast({attempt} AS string)"), "h", spelt)
+    spelt = _bind(f"split(element_at({_table(endings)}, concat(sc, ' ', {role})), ' ')", "en", spelt)
+    return _bind(script, "sc", _bind(f"split(element_at({_table(SYLLABLES)}, sc), ' ')", "sy", spelt))
 
 
 def _gender(x: str) -> str:
@@ -223,7 +227,7 @@ def _entry(moved: str | None, k: str, form: str, part: str, default: str) -> str
 def _single(key: str, x: str, k: str, attempt: str) -> str:
     """SQL for the surrogate of a match x that is no name."""
     digits = _digits(x)
-    national = f"greatest(0, length({digits}) - 10)"
+    national = "greatest(0, length(d) - 10)"
     phone = _bind(digits, "d", f"concat(substring(d, 1, {national}), {_permuted(key, 'phone', f'substring(d, {national} + 1)', attempt)})")
     middle = _permuted(key, "card", "substring(d, 2, length(d) - 2)", attempt)
     card = _bind(digits, "d", _bind(f"concat(substring(d, 1, 1), {middle})", "b", f"concat(b, cast((10 - {luhn("concat(b, '0')")}) % 10 AS string))"))
@@ -240,7 +244,7 @@ def _single(key: str, x: str, k: str, attempt: str) -> str:
     domain_hash = _digest(key, "'domain'", f"lower(substring_index({x}, '@', -1))")
     local = "concat(" + ", ".join(f"element_at({_array(SYLLABLES['latin'])}, int(conv(substring(h, {2 * n + 1}, 2), 16, 10)) % {len(SYLLABLES['latin'])} + 1)" for n in range(3)) + ", '.', substring(h, 9, 10))"
     mail = f"concat({_bind(of('email', f'lower({x})'), 'h', local)}, '@mail-', substring({domain_hash}, 1, 6), '.example.', substring_index(lower({x}), '.', -1))"
-    mail = f"CASE WHEN upper({x}) = {x} THEN upper({mail}) ELSE {mail} END"
+    mail = _bind(mail, "c", f"CASE WHEN upper({x}) = {x} THEN upper(c) ELSE c END")
     account = _bind(f"replace({x}, ' ', '')", "a", _bind(_spelt("substring(a, 5)", of("iban", "a"), "false"), "b", f"concat(substring(a, 1, 2), lpad(cast(98 - {mod97("concat(b, substring(a, 1, 2), '00')")} AS string), 2, '0'), b)"))
     iban = _in_place(x, account, "[0-9A-Z]")
     kept = f"regexp_extract({x}, {_q(f'^(?:{_LABEL})?{_PREFIX}?')}, 0)"
