@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import scratch
 
 KEY_SETTING = "spark.idsieve.surrogates.key"
+#: Spark's SQL parser keeps what it learns of the long expressions here, some 100 MB on the driver, unless it may let it go.
+PARSER = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "2000"}
 ROUNDS = 6
 MAX_ATTEMPTS = 12
 # Titles by gender, and syllables and endings to coin names from, by script.
@@ -324,6 +326,8 @@ def pseudonymised(docs: DataFrame, key: str, column: str = "n_entities") -> Data
     """
     if not key:
         raise ValueError("surrogates need a key")
+    for setting, value in PARSER.items():
+        docs.sparkSession.conf.set(setting, value)
     own = [c for c in docs.columns if c != column]
     hits, row, row2, entry = scratch.unused(docs, "hits", "row", "row2", "moved")
     # looked for once: the check and the replacement read what was found
