@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .annulus import OP12_SQL, op12_annulus
+from .byte_bpe import op13_byte_bpe
+from .conversation_repair import op11_conversation_repair
 from .decontaminate import op6_decontaminate
 from .interpolated_lm import op8_interpolated_lm
 from .jpeg_media import op10_jpeg_media
@@ -28,8 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_interpolated_lm": op8_interpolated_lm,
     "op9_toxicity": op9_toxicity,
     "op10_jpeg_media": op10_jpeg_media,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_annulus": op12_annulus,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op12_annulus": OP12_SQL,
 }

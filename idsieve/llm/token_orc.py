@@ -23,7 +23,7 @@ from . import scratch
 END_ID = 0
 STRIPE_BYTES = 32 << 20
 INDEX_STRIDE = 1000
-_LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
+LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The code points with the property White_Space.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -32,14 +32,15 @@ _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 def _classes() -> np.ndarray:
     kinds = np.fromiter((ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)), np.uint8, 0x110000)
     out = np.zeros(0x110000, np.uint8)
-    out[kinds == ord("L")] = _LETTER
-    out[kinds == ord("N")] = _NUMBER
-    out[_WHITE] = _SPACE
+    out[kinds == ord("L")] = LETTER
+    out[kinds == ord("N")] = NUMBER
+    out[_WHITE] = SPACE
     return out
 
 
-def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte offsets at which the byte-level BPE's pattern begins a new piece, for whole texts at once.
+def pretoken_starts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """Byte offsets at which the byte-level BPE's pattern begins a new piece, for whole texts at once. ``classes`` says of each code
+    point whether it is a letter, a number, white space or other; by default as Python's tables do.
 
     The pattern is: a contraction; runs of letters, of numbers or of other characters, each with one
     space before it if there is one; or white space, whose last character is left to what follows.
@@ -48,13 +49,13 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(at):
         return at
     chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    kind = _classes()[chars]
+    kind = (_classes() if classes is None else classes)[chars]
     n = len(chars)
     edge = np.zeros(n + 1, bool)
     edge[np.searchsorted(at, offsets)] = True
     first = edge[:n]
-    before = np.concatenate(([_OTHER], kind[:-1]))
-    space = kind == _SPACE
+    before = np.concatenate(([OTHER], kind[:-1]))
+    space = kind == SPACE
     blank_before = np.concatenate(([False], chars[:-1] == 32)) & ~first
     start = first | ((kind != before) & ~(~space & blank_before))
     last_white = space[:-1] & ~space[1:] & ~first[1:]
@@ -62,7 +63,7 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # contractions: a lone apostrophe that begins a piece, with s t m d re ve ll after it
     quote = np.flatnonzero((chars == 39) & start)
     for i in quote.tolist():
-        if i + 1 >= n or first[i + 1] or (kind[i + 1] != _LETTER):
+        if i + 1 >= n or first[i + 1] or (kind[i + 1] != LETTER):
             continue
         two = i + 2 < n and not first[i + 2]
         a, b = chr(chars[i + 1]), chr(chars[i + 2]) if two else ""
@@ -70,7 +71,7 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if size:
             start[i + 1] = False
             end = i + 1 + size
-            if end < n and not first[end] and kind[end] == _LETTER:
+            if end < n and not first[end] and kind[end] == LETTER:
                 start[end] = True
     return at[start]
 
