@@ -7,5 +7,5 @@ recognised words. Every query runs over its whole tables.
 
 from __future__ import annotations
 
-from idsieve.plans import identity, imaging, integrity, layout, relational  # noqa: F401
+from idsieve.plans import files, identity, imaging, integrity, layout, relational  # noqa: F401
 from idsieve.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

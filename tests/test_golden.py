@@ -156,10 +156,14 @@ def test_components_are_joined_in_eight_directions():
 def test_noise_of_a_pasted_block(spark):
     image = np.full((64, 64, 1), 128, np.uint8)
     image[16:32, 16:32, 0] = np.random.default_rng(2).integers(0, 255, (16, 16))
-    df = spark.createDataFrame([("a", image.tobytes(), 64, 64, 1, np.full((64, 64, 1), 120, np.uint8).tobytes())], "doc_id string, pixels binary, height int, width int, channels int, again binary")
-    r = imaging.block_statistics(df, "again").first()
+    rows = [("a", image.tobytes(), 64, 64, 1), ("none", None, 64, 64, 1), ("short", b"abc", 64, 64, 1), ("sizes", image.tobytes(), None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, pixels binary, height int, width int, channels int")
+    got = {r.doc_id: r for r in imaging.block_statistics(df).collect()}
     variances = imaging.block_variances(image[:, :, 0].astype(float))
-    assert variances.shape == (4, 4) and np.isclose(r.noise_max, image[16:32, 16:32].var()) and np.isclose(r.ela_max, np.abs(image[16:32, 16:32].astype(int) - 120).mean())
+    assert variances.shape == (4, 4) and np.isclose(got["a"].noise_max, image[16:32, 16:32].var())
+    assert [got[k].noise_max for k in ("none", "short", "sizes")] == [None] * 3
+    other = df.select("doc_id", *(F.col(c).alias(f"other_{c}") for c in ("pixels", "height", "width", "channels")))
+    assert {r.doc_id: r.status for r in imaging.compared(df.join(other, "doc_id")).collect()} == {"a": "IDENTICAL", "none": "UNAVAILABLE", "short": "UNAVAILABLE", "sizes": "UNAVAILABLE"}
 
 
 def test_dataset_size_is_asserted(spark):
