@@ -560,7 +560,9 @@ def decode(content: bytes) -> tuple[str, np.ndarray]:
         raise Unreadable(f"files of format {kind} are not supported")
     try:
         return kind, decode_png(content) if kind == "PNG" else decode_jpeg(content)
-    except (IndexError, struct.error) as e:
+    except Unreadable:
+        raise
+    except (IndexError, ValueError, struct.error) as e:  # sizes that don't fit
         raise Unreadable(f"the file is damaged: {e}") from e
 
 
