@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-KEY_SETTING = "spark.idsieve.surrogates.key"
+KEY_SETTING = "spark.idsieve.surrogates.secretKey"  # Spark hides the values of settings that are called secret
 #: Spark's SQL parser keeps what it learns of the long expressions here, some 100 MB on the driver, unless it may let it go.
 PARSER = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "2000"}
 ROUNDS = 6
@@ -62,9 +62,15 @@ ENDINGS = {
 INTRODUCTIONS = ["my name is", "name:", "named", "contact:", "signed by", "signed:", "regards,", "sincerely,", "dear", "author:", "patient:", "customer:"]
 _titles = "|".join(sorted((t for own in TITLES.values() for t in own), key=len, reverse=True))
 _TITLED = rf"(?i:{_titles})\.? "
-_WORD = r"\p{Lu}[\p{L}'’-]*"
+# Runs that may be long are taken by possessive quantifiers and begin at a boundary, so that a text is passed once whatever it holds.
+# Particles that stand before a family name.
+PARTICLES = "van von der den de del della di da dos du la le ter ten zu zur bin al el".split()
 _ALONE, _ENDS = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+#: A name's word: parts joined by apostrophes or hyphens, without the 's of a possessive.
+_WORD = rf"\p{{Lu}}\p{{L}}*+(?:['’-](?!s{_ENDS})\p{{L}}++)*+"
+_PARTS = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_WORD}"
+_NEXT = rf" (?!{_TITLED}){_PARTS}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{N}.-]*\.\p{L}{2,}+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[\p{{L}}\p{{N}}])"
 _GROUP = "[0-9A-Fa-f]{1,4}"
@@ -75,11 +81,12 @@ SSN = r"\d{3}-\d{2}-\d{4}"
 _PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})"
 PHONE = rf"(?<![\p{{L}}\p{{N}}+]){_PHONE}{_ENDS}"
 CARD = r"[2-6]\d{3}(?:[ -]?\d){9,15}"
-_PREFIX = "(?:A[KS]IA|gh[opsu]_|sk-)"  # of access keys
+_PREFIX = "(?:A[KS]IA|gh[opsu]_|sk-|eyJ)"  # of access keys and signed tokens
 _LABEL = r"(?i:token|key|secret|password|passwd) {0,3}[=:] {0,3}[\"']?"
-SECRET = rf"{_ALONE}(?:A[KS]IA[0-9A-Z]{{16}}|gh[opsu]_[0-9A-Za-z]{{30,60}}|sk-[0-9A-Za-z]{{20,60}}){_ENDS}|{_LABEL}(?=[^\s\"']{{0,60}}\d)[0-9A-Za-z+/_-]{{8,128}}{_ENDS}"
+_OWN = rf"A[KS]IA[0-9A-Z]{{16}}{_ENDS}|gh[opsu]_[0-9A-Za-z]{{30,}}+|sk-[0-9A-Za-z_-]{{20,}}+|eyJ[0-9A-Za-z_-]{{10,}}+(?:\.[0-9A-Za-z_-]{{4,}}+){{0,2}}"
+SECRET = rf"{_ALONE}(?:{_OWN})|{_LABEL}(?=[A-Za-z+/_-]*+\d)[0-9A-Za-z+/_-]{{8,}}+"
 _INTRODUCED = rf"(?i:{'|'.join(INTRODUCTIONS)}) {{1,2}}(?!{_TITLED})"
-NAME = rf"{_ALONE}(?:{_TITLED}{_WORD}(?: {_WORD}){{0,2}}|{_INTRODUCED}{_WORD}(?: {_WORD}){{1,2}})"
+NAME = rf"{_ALONE}(?:{_TITLED}{_PARTS}(?:{_NEXT}){{0,5}}|{_INTRODUCED}{_PARTS}(?:{_NEXT}){{1,5}})"
 ENTITY = "|".join((EMAIL, SECRET, IP6, IP, _ALONE + _IBAN + _ENDS, _ALONE + SSN + _ENDS, PHONE, _ALONE + CARD + _ENDS, NAME))
 LIKELY = rf"[0-9@]|A[KS]IA|{_TITLED}|(?i:{'|'.join(INTRODUCTIONS)}) "
 
@@ -177,13 +184,15 @@ def _in_place(x: str, digits: str, of: str = "[0-9]") -> str:
 
 
 def _spelt(x: str, digest: str, as_hex: str) -> str:
-    """SQL for a string of x's length from the hexadecimal digits of a digest, four times as long at most: digits for digits,
-    letters of the same case for letters (``as_hex``: hexadecimal digits for both, capitals if all are), other characters as they are."""
+    """SQL for a string of x's length from the hexadecimal digits of a digest and of further ones for each 32 characters: digits for
+    digits, letters of the same case for letters (``as_hex``: hexadecimal digits for both, capitals if all are), other characters as
+    they are."""
     at = lambda size: f"int(conv(substring(z, 2 * n + 1, 2), 16, 10)) % {size} + 1"
     letter = f"substring('abcdefghijklmnopqrstuvwxyz', {at(26)}, 1)"
     one = f"CASE WHEN hexed AND c RLIKE '[0-9a-zA-Z]' THEN substring('0123456789abcdef', {at(16)}, 1) WHEN c RLIKE '[0-9]' THEN substring('0123456789', {at(10)}, 1) WHEN c RLIKE '[a-z]' THEN {letter} WHEN c RLIKE '[A-Z]' THEN upper({letter}) ELSE c END"
-    long = _bind(digest, "y", "concat(y, sha2(y, 256), sha2(concat(y, '2'), 256), sha2(concat(y, '3'), 256))")
-    return _bind(long, "z", _bind(as_hex, "hexed", _bind(f"array_join(transform(split({x}, ''), (c, n) -> {one}), '')", "made", f"CASE WHEN hexed AND upper({x}) = {x} THEN upper(made) ELSE made END")))
+    part = _bind("sha2(concat(y, cast(m AS string)), 256)", "z", f"array_join(transform(split(part, ''), (c, n) -> {one}), '')")
+    parts = f"array_join(transform(regexp_extract_all({x}, '(?s).{{1,32}}', 0), (part, m) -> {part}), '')"
+    return _bind(digest, "y", _bind(as_hex, "hexed", _bind(parts, "made", f"CASE WHEN hexed AND upper({x}) = {x} THEN upper(made) ELSE made END")))
 
 
 def _bind(value: str, name: str, body: str) -> str:
@@ -215,10 +224,12 @@ def _gender(x: str) -> str:
 
 
 def name_words(x: str) -> str:
-    """SQL for the words of a name as structs (role, word): family, or for a given name m, f or n; null for a title."""
+    """SQL for the words of a name as structs (role, word, sep: what stands before it): family, or for a given name m, f or n; null
+    for a title and for particles. The parts of a word with hyphens are words."""
     words, titled = f"split(regexp_replace({x}, {_q('^' + _INTRODUCED)}, ''), ' ')", f"{x} RLIKE {_q('^' + _TITLED)}"
-    roles = f"transform(v, (w, n) -> named_struct('role', CASE WHEN n = 0 AND {titled} THEN NULL WHEN n = size(v) - 1 THEN 'family' ELSE {_gender(x)} END, 'word', w))"
-    return _bind(words, "v", roles)
+    role = f"CASE WHEN n = 0 AND {titled} OR w RLIKE {_q(f'^(?:{"|".join(PARTICLES)})$')} THEN NULL WHEN n = size(v) - 1 THEN 'family' ELSE {_gender(x)} END"
+    parts = f"transform(split(w, '-'), (p, k) -> named_struct('role', {role}, 'word', p, 'sep', CASE WHEN k > 0 THEN '-' WHEN n > 0 THEN ' ' ELSE '' END))"
+    return _bind(words, "v", f"flatten(transform(v, (w, n) -> {parts}))")
 
 
 def _entry(moved: str | None, k: str, form: str, part: str, default: str) -> str:
@@ -269,7 +280,7 @@ def surrogate(key: str, x: str, k: str, moved: str | None = None) -> str:
     role = f"CASE WHEN w.role = 'family' THEN 'family' ELSE {_entry(moved, _q('given'), 'lower(w.word)', 'gender', 'w.role')} END"
     attempt = _entry(moved, sort, "lower(w.word)", "attempt", "0")
     word = _marked(key, sort, "lower(w.word)", attempt, _coined(key, "w.word", role, attempt))
-    name = f"concat(regexp_extract({x}, {_q('^' + _INTRODUCED)}, 0), array_join(transform({name_words(x)}, w -> CASE WHEN w.role IS NULL THEN w.word ELSE {word} END), ' '))"
+    name = f"concat(regexp_extract({x}, {_q('^' + _INTRODUCED)}, 0), array_join(transform({name_words(x)}, w -> concat(w.sep, CASE WHEN w.role IS NULL THEN w.word ELSE {word} END)), ''))"
     return f"CASE WHEN {k} IS NULL THEN {x} WHEN {k} = 'name' THEN {name} ELSE {single} END"
 
 
@@ -326,8 +337,18 @@ def pseudonymised(docs: DataFrame, key: str, column: str = "n_entities") -> Data
     """
     if not key:
         raise ValueError("surrogates need a key")
+    conf = docs.sparkSession.conf
+    before = {setting: conf.get(setting, None) for setting in PARSER}
     for setting, value in PARSER.items():
-        docs.sparkSession.conf.set(setting, value)
+        conf.set(setting, value)
+    try:
+        return _replaced(docs, key, column)
+    finally:
+        for setting, value in before.items():
+            conf.unset(setting) if value is None else conf.set(setting, value)
+
+
+def _replaced(docs: DataFrame, key: str, column: str) -> DataFrame:
     own = [c for c in docs.columns if c != column]
     hits, row, row2, entry = scratch.unused(docs, "hits", "row", "row2", "moved")
     # looked for once: the check and the replacement read what was found

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,59 @@ def test_clashing_names_and_other_columns(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
+
+
+def test_long_runs_take_linear_time(spark, tmp_path):
+    """Texts that are one run, or full of beginnings without an end, of a million characters; secrets of any length go whole."""
+    secret = "a1B2-" * 200_000
+    rows = [
+        (1, "a@" + "b.c" * 100_000 + ".de"),
+        (2, "x1" * 500_000),
+        (3, "token=" + secret + " end"),
+        (4, "a@" * 500_000),
+        (5, "key=" * 250_000),
+        (6, "a." * 500_000),
+        (7, "Mr A" + "b'c" * 300_000),
+        (8, "+1 23 " * 150_000),
+        (9, "1:" * 500_000),
+        (10, "DE89 " * 200_000),
+    ]
+    began = time.time()
+    got = {i: (n, t) for i, n, t in run(spark, tmp_path, rows)}
+    assert time.time() - began < 60
+    assert got[1][0] == 1 and got[1][1].endswith(".example.de") and got[2] == (0, rows[1][1]) and got[3][0] == 1
+    assert len(got[3][1]) == len(rows[2][1]) and got[3][1].endswith(" end") and "a1B2-a1B2" not in got[3][1] and re.fullmatch(r"token=(?:[a-z]\d[A-Z]\d-)+ end", got[3][1])
+    assert len({got[3][1][6 + 40 * k : 46 + 40 * k] for k in range(100)}) == 100
+
+
+def test_secrets_of_all_lengths(spark, tmp_path):
+    secrets = ["secret=" + "a1" * n for n in (4, 30, 64, 65, 500)] + ["password: " + "x" * 70 + "9", "sk-proj-" + "Ab3_" * 30, "ghp_" + "aB3" * 40, "Bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abc-123_def"]
+    got = {i: (n, t) for i, n, t in run(spark, tmp_path, list(enumerate(secrets)))}
+    for i, said in enumerate(secrets):
+        n, text = got[i]
+        assert n == 1 and len(text) == len(said) and not set(re.findall(r"[0-9A-Za-z]{7,}", text)) & set(re.findall(r"[0-9A-Za-z]{7,}", said)) - {"password"}, (said, text)
+
+
+def test_names_of_many_forms(spark, tmp_path):
+    rows = [
+        (1, "Herr Müller and Herr Müller's car"),
+        (2, "Mr Smith Mrs Smith"),
+        (3, "Mr Anna Maria Luisa Bianchi"),
+        (4, "Mr van der Berg met Ludwig"),
+        (5, "Dr. Rossi-Bianchi and Dr. Rossi, Mr O'Brien’s dog, Mr D'Angelo-Smith"),
+    ]
+    got = {i: t for i, _, t in run(spark, tmp_path, rows)}
+    a, b = re.fullmatch(r"Herr (\p{L}+) and Herr (\p{L}+)'s car".replace(r"\p{L}", "[^\\W\\d_]"), got[1]).groups()
+    assert a == b != "Müller"
+    smith, other = re.fullmatch(r"Mr (\w+) Mrs (\w+)", got[2]).groups()
+    assert smith == other != "Smith"
+    assert not set(got[3].split()[1:]) & {"Anna", "Maria", "Luisa", "Bianchi"} and len(got[3].split()) == 5
+    assert re.fullmatch(r"Mr van der (?!Berg)\w+ met Ludwig", got[4])
+    rossi, bianchi, again, brien, angelo, last = re.fullmatch(r"Dr\. (\w+)-(\w+) and Dr\. (\w+), Mr (\w+)’s dog, Mr (\w+)-(\w+)", got[5]).groups()
+    assert rossi == again and last == smith and "Rossi" not in got[5] and bianchi != "Bianchi" and brien and angelo
+
+
+def test_settings_are_put_back(spark, tmp_path):
+    before = {s: spark.conf.get(s, None) for s in su.PARSER}
+    run(spark, tmp_path, ROWS[:1])
+    assert {s: spark.conf.get(s, None) for s in su.PARSER} == before
