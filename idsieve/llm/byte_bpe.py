@@ -7,8 +7,8 @@ their joint bytes gives those two again. So for every place where a token of the
 transducer keeps the tokens that lead there; when all of them begin alike, that beginning is emitted. No more
 bytes than the longest token has are looked at again.
 
-A state is what is kept: the last token emitted, the bytes since the first open place, and the tokens that
-lead to each. States and transitions are made when a text first needs them (lazy determinisation), up to
+A state is what is kept: the last token emitted, the bytes behind each open place (as a node of the vocabulary's trie), and the
+tokens that lead to it. States and transitions are made when a text first needs them (lazy determinisation), up to
 MAX_TRANSITIONS, after which they are made anew. A piece takes time in proportion to its length, however long it is.
 
 Ranks come from the file; nothing is trained.
@@ -55,42 +55,56 @@ def _classes() -> np.ndarray:
     return out
 
 
-class _State:
-    """``last``: the token emitted last, None at the start; ``held``: bytes since the first open place; ``open``: (length of
-    what stands behind an open place, tokens from the emitted ones up to it), the end of the input last."""
-
-    __slots__ = ("held", "last", "next", "open")
-
-    def __init__(self, last: bytes | None, held: bytes, places: tuple[tuple[int, tuple[bytes, ...]], ...]):
-        self.last, self.held, self.open = last, held, places
-        self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
-
-
 class Transducer:
-    """Encodes pieces by ranks, as merging the neighbours of lowest joint rank, leftmost first, does."""
+    """Encodes pieces by ranks, as merging the neighbours of lowest joint rank, leftmost first, does.
+
+    A state is (the id emitted last or -1, open places); a place is (node in the trie of the tokens that the bytes behind it
+    lead to, ids from the emitted ones up to it), the end of the input, at the root, last.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.token: dict[int, bytes] = {rank: t for t, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every byte needs a rank")
-        self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
-        #: Tokens that merging never makes; they come only as whole pieces.
-        self.unmade = set()
+        #: By node of the trie the nodes that follow, and the id of the token that ends there; -1 if none does that merging makes.
+        self.kids: list[dict[int, int]] = [{}]
+        self.ends: list[int] = [-1]
+        self.halves: dict[int, tuple[int, int]] = {}
         for t, rank in ranks.items():
             parts, last = self.merge(t)
-            if len(parts) > 1:
-                self.unmade.add(t)
-            elif last and max(ranks[last[0]], ranks[last[1]]) >= rank:
-                raise ValueError(f"{t!r} has a lower rank than a part that it is made of")
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+            node = 0
+            for b in t:
+                at = self.kids[node].get(b)
+                if at is None:
+                    at = self.kids[node][b] = len(self.kids)
+                    self.kids.append({})
+                    self.ends.append(-1)
+                node = at
+            if len(parts) == 1:  # others come only as whole pieces
+                self.ends[node] = rank
+            if last and len(parts) == 1:
+                self.halves[rank] = ranks[last[0]], ranks[last[1]]
+                if max(self.halves[rank]) >= rank:
+                    raise ValueError(f"{t!r} has a lower rank than a part that it is made of")
+        self.pairs: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Let go of all states; one that is still in use goes on by itself."""
-        self.made = 0
-        self.start = _State(None, b"", ((0, ()),))
-        self.states: dict[tuple, _State] = {(None, b"", self.start.open): self.start}
+        """Let go of all states."""
+        self.states: list[tuple] = []
+        self.numbers: dict[tuple, int] = {}
+        self.steps: dict[int, int] = {}  # by 256 * state + byte: 2 * next state, and 1 more if ids are emitted
+        self.emitted: dict[int, tuple[int, ...]] = {}
+        self.number((-1, ((0, ()),)))
+
+    def number(self, state: tuple) -> int:
+        n = self.numbers.get(state)
+        if n is None:
+            n = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return n
 
     def merge(self, text: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
         """The tokens of a short text by merging, and the two merged last."""
@@ -103,51 +117,79 @@ class Transducer:
             last = parts[n], parts[n + 1]
             parts[n : n + 2] = [last[0] + last[1]]
 
-    def follows(self, left: bytes, right: bytes) -> bool:
-        """Whether merging their joint bytes gives just these two."""
-        fits = self.pairs.get((left, right))
-        if fits is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            fits = self.pairs[left, right] = self.merge(left + right)[0] == [left, right]
-        return fits
-
-    def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        """The state after one more byte, and the ids that are certain by then."""
-        held, places, chain = state.held + bytes([byte]), [], None
-        for length, tokens in state.open:
-            tail = held[len(held) - length - 1 :]
-            if chain is None and tail in self.ranks and tail not in self.unmade:
-                before = tokens[-1] if tokens else state.last
-                if before is None or self.follows(before, tail):
-                    chain = *tokens, tail
-            if tail in self.prefixes:
-                places.append((length + 1, tokens))
-        places.append((0, chain))
-        certain = os.path.commonprefix([tokens for _, tokens in places])
-        n = len(certain)
-        last, held = certain[-1] if n else state.last, held[len(held) - places[0][0] :]
-        key = last, held, tuple((length, tokens[n:]) for length, tokens in places)
-        to = self.states.get(key)
-        if to is None:
-            to = self.states[key] = _State(*key)
-        out = state.next[byte] = to, tuple(self.ranks[t] for t in certain)
-        self.made += 1
-        if self.made > MAX_TRANSITIONS:
+    def follows(self, left: int, right: int) -> bool:
+        """Whether merging their joint bytes gives just these two.
+
+        The merges that made the two are undone, the later one first (of equal ones the right one). Before each the ids that meet in
+        the middle must not merge earlier than what has been undone.
+        """
+        token, ranks, halves = self.token, self.ranks, self.halves
+        limit = len(token) + 1 << 32
+        first = False  # whether a joint of the same rank would have come first, too
+        while True:
+            joint = ranks.get(token[left] + token[right])
+            if joint is not None and (joint < limit or (first and joint == limit)):
+                return False
+            a, b = left if left in halves else -1, right if right in halves else -1
+            if a > b:
+                limit, first, left = a, False, halves[left][1]
+            elif b < 0:
+                return True
+            else:
+                limit, first, right = b, True, halves[right][0]
+
+    def step(self, number: int, byte: int) -> tuple[int, int]:
+        """(key, entry of ``steps``) of a state and a byte, made now."""
+        last, places = self.states[number]
+        if len(self.steps) >= MAX_TRANSITIONS:
             self.forget()
-        return out
+            number = self.number((last, places))
+        kids, ends, pairs = self.kids, self.ends, self.pairs
+        to, chain = [], None
+        for node, ids in places:
+            after = kids[node].get(byte)
+            if after is None:
+                continue
+            if chain is None and (own := ends[after]) >= 0:
+                before = ids[-1] if ids else last
+                if before < 0:
+                    chain = *ids, own
+                else:
+                    pair = before << 32 | own
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) >= MAX_PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self.follows(before, own)
+                    if fits:
+                        chain = *ids, own
+            if kids[after]:
+                to.append((after, ids))
+        to.append((0, chain))
+        certain: tuple[int, ...] = os.path.commonprefix([ids for _, ids in to]) if to[0][1] else ()
+        if n := len(certain):
+            last, to = certain[-1], [(node, ids[n:]) for node, ids in to]
+        key = number << 8 | byte
+        entry = self.steps[key] = self.number((last, tuple(to))) << 1 | (n > 0)
+        if n:
+            self.emitted[key] = certain
+        return key, entry
 
     def ids(self, piece: bytes) -> list[int]:
         """The ids of one piece; a piece that is itself a token is that one."""
         if len(piece) <= self.longest and piece in self.ranks:
             return [self.ranks[piece]]
         out: list[int] = []
-        state = self.start
+        state = 0
         for byte in piece:
-            state, certain = state.next.get(byte) or self.step(state, byte)
-            if certain:
-                out.extend(certain)
-        out.extend(self.ranks[t] for t in state.open[-1][1])
+            key = state << 8 | byte
+            entry = self.steps.get(key)
+            if entry is None:
+                key, entry = self.step(state, byte)
+            if entry & 1:
+                out.extend(self.emitted[key])
+            state = entry >> 1
+        out.extend(self.states[state][1][-1][1])
         return out
 
 
