@@ -9,7 +9,9 @@ gives the same ones. Nothing is shuffled. Files are read record by record, by th
 from __future__ import annotations
 
 import gzip
+import html.entities
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,10 +23,9 @@ from . import scratch
 
 DATE = "1970-01-01T00:00:00Z"  # pages have none
 VERSION = "WARC/1.1"
-# Elements whose content is no text, elements that begin a line, and named characters.
+# Elements whose content is no text, and elements that begin a line.
 HIDDEN = ["script", "style", "noscript", "template", "title"]
 BLOCK = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul".split()
-NAMED = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")]
 #: Columns of a record and the fields that hold them.
 FIELDS = {"record_id": "WARC-Record-ID", "type": "WARC-Type", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "payload_digest": "WARC-Payload-Digest", "source_payload_digest": "WARC-Source-Payload-Digest"}
 READ_BYTES = 16 << 20  # of blocks in one batch
@@ -32,31 +33,54 @@ READ_BYTES = 16 << 20  # of blocks in one batch
 _q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-#: Comments and hidden elements, in one pass from left to right.
-_UNSEEN = "(?is)<!--.*?-->|" + "|".join(f"<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>" for tag in HIDDEN)
+#: The attributes of a tag; a quoted value may hold what would end it. Java takes them possessively, so that nothing is looked at again
+#: where a tag has no end; the SQL of the other engine, which never goes back, has plain quantifiers.
+_ATTRIBUTES = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+#: Comments and hidden elements, in one pass from left to right; what has no end goes up to the end of the page.
+_UNSEEN = "(?is)<!--(?:.*?-->|.*)|" + "|".join(f"<{tag}(?:\\s{_ATTRIBUTES})?>(?:.*?</{tag}\\s*>|.*)" for tag in HIDDEN)
+_BLOCKS = f"(?i)</?(?:{'|'.join(BLOCK)})(?:\\s{_ATTRIBUTES})?/?>"
+_TAGS = f"</?[a-zA-Z!]{_ATTRIBUTES}>"
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+_TITLE = r"(?is)<title(?:\s[^<>]*)?>(.*?)(?:</title|\z)"
+_LANG = rf"(?i)<html\s(?:[^<>]*?\s)?lang{_VALUE}"
+_LINK = rf"(?i)<a\s(?:[^<>]*?\s)?href{_VALUE}"
+_CHARACTER = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
-def visible_text(html: str) -> str:
-    """SQL for the text of an HTML column without its hidden elements and tags; block elements begin lines, and named
-    characters but for &amp; are decoded."""
-    out = f"regexp_replace({html}, {_q(_UNSEEN)}, ' ')"
-    out = f"regexp_replace({out}, '(?i)</?(?:{'|'.join(BLOCK)})(?:\\\\s[^>]*)?/?>', '\\n')"
-    out = f"regexp_replace({out}, '</?[a-zA-Z!][^>]*>', '')"
-    for name, char in NAMED:
-        out = f"replace({out}, '{name}', {_q(char)})"
-    return out
+def named_characters() -> dict[str, str]:
+    """The named characters of the HTML standard by ``&name;``; a blank that may not be broken counts as a blank."""
+    return {f"&{name}": char for name, char in html.entities.html5.items() if name.endswith(";")} | {"&nbsp;": " "}
 
 
-def plain_text(seen: str) -> str:
-    """SQL for the final text: numbered characters and &amp; decoded, blanks collapsed, empty lines left out."""
+def visible_text(html_: str) -> str:
+    """SQL for the text of an HTML column without its hidden elements and tags; block elements begin lines."""
+    out = f"regexp_replace({html_}, {_q(_UNSEEN)}, ' ')"
+    out = f"regexp_replace({out}, {_q(_BLOCKS)}, '\\n')"
+    return f"regexp_replace({out}, {_q(_TAGS)}, '')"
+
+
+def decoded_characters(text: str) -> str:
+    """SQL for a text with its numbered and named characters decoded, each once; unknown ones stay."""
     code = "CASE WHEN x LIKE '&#x%' OR x LIKE '&#X%' THEN try_cast(conv(substring(x, 4, length(x) - 4), 16, 10) AS int) ELSE try_cast(substring(x, 3, length(x) - 3) AS int) END"
-    char = f"CASE WHEN ({code}) BETWEEN 32 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') ELSE x END"
-    out = f"CASE WHEN contains({seen}, '&#') THEN aggregate(array_distinct(regexp_extract_all({seen}, '&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});', 0)), {seen}, (acc, x) -> replace(acc, x, {char})) ELSE {seen} END"
-    out = f"replace({out}, '&amp;', '&')"
+    numbered = f"CASE WHEN ({code}) BETWEEN 32 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') ELSE x END"
+    table = f"str_to_map({_q('\x01'.join(f'{name}\x02{char}' for name, char in named_characters().items()))}, '\x01', '\x02')"
+    usual = " ".join(f"WHEN '{name}' THEN {_q(named_characters()[name])}" for name in ("&amp;", "&nbsp;", "&lt;", "&gt;", "&quot;", "&apos;"))
+    char = f"CASE WHEN x LIKE '&#%' THEN {numbered} ELSE CASE x {usual} ELSE coalesce(try_element_at({table}, x), x) END END"
+    pattern = _q(_CHARACTER)
+    return f"CASE WHEN contains({text}, '&') THEN array_join(flatten(zip_with(split({text}, {pattern}, -1), transform(regexp_extract_all({text}, {pattern}, 0), x -> {char}), (p, c) -> array(p, coalesce(c, '')))), '') ELSE {text} END"
+
+
+def plain_text(seen: str) -> str:
+    """SQL for the final text: characters decoded, blanks collapsed, empty lines left out."""
+    out = decoded_characters(seen)
     out = f"regexp_replace({out}, '[ \\\\t\\\\r\\\\f\\\\x0B]+', ' ')"
     return f"trim(BOTH '\\n ' FROM regexp_replace({out}, ' ?\\n[\\n ]*', '\\n'))"
 
 
+def _unquoted(value: str) -> str:
+    return f"regexp_replace({value}, {_q('^["' + "'" + ']|["' + "'" + ']$')}, '')"
+
+
 def _uuid(*parts: str) -> str:
     h = f"sha2(concat_ws('\\n', {', '.join(parts)}), 256)"
     cut = ", '-', ".join(f"substring({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
@@ -111,11 +135,12 @@ def derivatives(responses: DataFrame) -> DataFrame:
         head,
         f"coalesce({given}, concat('sha256:', sha2({raw}, 256))) AS source_payload_digest",
         f"{visible_text(body)} AS {seen}",
-        f"trim(regexp_replace(regexp_extract({body}, '(?is)<title[^>]*>(.*?)</title', 1), '\\\\s+', ' ')) AS title",
-        f"regexp_extract({body}, '(?i)<html[^>]*\\\\slang=\"([^\"]*)\"', 1) AS {lang}",
-        f"regexp_extract_all({body}, '(?i)<a\\\\s[^>]*href=\"([^\"]*)\"', 1) AS {links}",
+        f"regexp_extract({body}, {_q(_TITLE)}, 1) AS title",
+        f"{_unquoted(f'regexp_extract({body}, {_q(_LANG)}, 1)')} AS {lang}",
+        f"transform(regexp_extract_all({body}, {_q(_LINK)}, 1), x -> {_unquoted('x')}) AS {links}",
     )
-    rows = rows.withColumn(text, F.expr(plain_text(seen)))
+    decoded = decoded_characters("title")
+    rows = rows.withColumns({text: F.expr(plain_text(seen)), "title": F.trim(F.regexp_replace(F.expr(decoded), "\\s+", " "))})
     lines = f"CASE WHEN {head} = '' THEN '' ELSE concat('source-header: ', regexp_replace({head}, '\\r?\\n', '\\r\\nsource-header: '), '\\r\\n') END"
     fields = f"concat('title: ', title, '\\r\\nlanguage: ', {lang}, '\\r\\nsource-payload-digest: ', source_payload_digest, '\\r\\n', {lines}, array_join(transform({links}, x -> concat('outlink: ', x, '\\r\\n')), ''))"
     both = f"array(named_struct('type', 'metadata', 'content_type', 'application/warc-fields', 'block', {fields}), named_struct('type', 'conversion', 'content_type', 'text/plain; charset=utf-8', 'block', {text}))"
@@ -237,17 +262,22 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """The same in DuckDB's SQL."""
     e = lambda s: "'" + s.replace("'", "''") + "'"
-    text = f"regexp_replace(body, {e(_UNSEEN)}, ' ', 'g')"
-    text = f"regexp_replace({text}, '</?(?:{'|'.join(BLOCK)})(?:\\s[^>]*)?/?>', chr(10), 'gi')"
-    text = f"regexp_replace({text}, '</?[a-zA-Z!][^>]*>', '', 'g')"
-    for name, char in NAMED:
-        text = f"replace({text}, '{name}', {e(char)})"
+    plain = lambda pattern: re.sub(r"([+*?])\+", r"\1", pattern)  # noqa: E731  possessive quantifiers as plain ones
+    text = f"regexp_replace(body, {e(plain(_UNSEEN))}, ' ', 'g')"
+    text = f"regexp_replace({text}, {e(plain(_BLOCKS))}, chr(10), 'g')"
+    text = f"regexp_replace({text}, {e(plain(_TAGS))}, '', 'g')"
     code = "CASE WHEN x LIKE '&#x%' OR x LIKE '&#X%' THEN try_cast('0x' || substring(x, 4, length(x) - 4) AS int) ELSE try_cast(substring(x, 3, length(x) - 3) AS int) END"
-    char = f"CASE WHEN ({code}) BETWEEN 32 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE x END"
-    text = f"list_reduce(list_distinct(regexp_extract_all({text}, '&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});')), lambda acc, x: replace(acc, x, {char}), {text})"
-    text = f"replace({text}, '&amp;', '&')"
-    text = f"regexp_replace({text}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
-    text = f"trim(regexp_replace({text}, ' ?\\n[\\n ]*', chr(10), 'g'), chr(10) || ' ')"
+    numbered = f"CASE WHEN ({code}) BETWEEN 32 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE x END"
+    names = named_characters()
+    table = f"MAP([{', '.join(map(e, names))}], [{', '.join(map(e, names.values()))}])"
+
+    def characters(of: str) -> str:
+        parts = f"list_transform(regexp_extract_all({of}, {e(_CHARACTER)}), lambda x: CASE WHEN x LIKE '&#%' THEN {numbered} ELSE coalesce({table}[x], x) END)"
+        return f"array_to_string(list_transform(list_zip(regexp_split_to_array({of}, {e(_CHARACTER)}), {parts}), lambda p: p[1] || coalesce(p[2], '')), '')"
+
+    unquoted = lambda of: f"regexp_replace({of}, {e('^["' + "'" + ']|["' + "'" + ']$')}, '', 'g')"
+    blanks = lambda of: f"regexp_replace({of}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
+    tidy = lambda of: f"trim(regexp_replace({blanks(of)}, ' ?\\n[\\n ]*', chr(10), 'g'), chr(10) || ' ')"
 
     def uuid(*parts: str) -> str:
         h = f"sha256(concat_ws(chr(10), {', '.join(parts)}))"
@@ -257,10 +287,10 @@ def _oracle() -> str:
     return f"""WITH source AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS body FROM pages),
     response AS (SELECT *, {uuid("'response'", "coalesce(page_id::varchar, '')", "target_uri", "body")} AS source_id, 'sha256:' || sha256(body) AS payload_digest,
         'source-header: HTTP/1.1 200 OK' || {crlf} || 'source-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'source-header: Content-Length: ' || strlen(body) || {crlf} AS head,
-        trim(regexp_replace(regexp_extract(body, '<title[^>]*>(.*?)</title', 1, 'is'), '\\s+', ' ', 'g')) AS title,
-        regexp_extract(body, '<html[^>]*\\slang="([^"]*)"', 1, 'i') AS lang, regexp_extract_all(body, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS links, {text} AS plain FROM source),
-    record AS (SELECT *, 'metadata' AS type, 'application/warc-fields' AS content_type, 'title: ' || title || {crlf} || 'language: ' || lang || {crlf} || 'source-payload-digest: ' || payload_digest || {crlf} || head || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || {crlf}), ''), '') AS block FROM response
-        UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', plain FROM response)
+        regexp_extract(body, {e(_TITLE)}, 1) AS said, {unquoted(f"regexp_extract(body, {e(_LANG)}, 1)")} AS lang, list_transform(regexp_extract_all(body, {e(_LINK)}, 1), lambda x: {unquoted("x")}) AS links, {text} AS seen FROM source),
+    decoded AS (SELECT *, trim(regexp_replace({characters("said")}, '\\s+', ' ', 'g')) AS title, {tidy(characters("seen"))} AS plain FROM response),
+    record AS (SELECT *, 'metadata' AS type, 'application/warc-fields' AS content_type, 'title: ' || title || {crlf} || 'language: ' || lang || {crlf} || 'source-payload-digest: ' || payload_digest || {crlf} || head || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || {crlf}), ''), '') AS block FROM decoded
+        UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', plain FROM decoded)
     SELECT page_id, type, {uuid("type", "source_id", "block")} AS record_id, source_id AS refers_to, target_uri, content_type, payload_digest AS source_payload_digest, 'sha256:' || sha256(block) AS block_digest,
         strlen(block)::bigint AS content_length, len(links)::bigint AS n_links, title FROM record"""
 

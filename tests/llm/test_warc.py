@@ -1,6 +1,7 @@
 """Derivatives against the same SQL in DuckDB, and records through files."""
 
 import gzip
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -21,6 +22,14 @@ ODD = [
 ]
 
 
+ODD += [
+    (6, "http://d", "<HTML class=x lang='fr'><title>A &copy; &eacute;&mdash;B</title><a href='/x'>one</a> <a href=/y title=\"x>y\">two</a> <a class=k data-href=no>three</a><p title=it's>four</p> &amp;copy; &unknown; &copy &CounterClockwiseContourIntegral;"),
+    (7, "http://e", "seen <!-- never closed <p>gone</p>"),
+    (8, "http://f", "seen <script>never closed <p>gone"),
+    (9, "http://g", "<p a=b c=\"d>e\" f='g>h'>text</p><br /><hr/>more <title>late"),
+]
+
+
 def table(spark, folder, rows):
     return write(spark, folder, "pages", [(*r, "b", "t") for r in rows], PAGES)
 
@@ -112,3 +121,21 @@ def test_compressed_files_and_clashing_names(spark, tmp_path):
     assert {(r.head, r.body, r.source_id, r.record, r.links) for r in made.collect()} == {("x",) * 5}
     columns = ["page_id", "type", "record_id", "title", "block"]
     assert sorted(map(tuple, made.select(columns).collect()), key=str) == sorted(map(tuple, warc.derivatives(responses).select(columns).collect()), key=str)
+
+
+def test_all_forms_of_attributes_and_characters(spark, tmp_path):
+    records = warc.derivatives(warc.responses_from_pages(spark.read.parquet(table(spark, tmp_path, ODD) + "/pages.parquet").where("page_id BETWEEN 6 AND 9")))
+    text = {r.target_uri: r.block for r in records.where("type = 'conversion'").collect()}
+    assert text["http://d"] == "one two three\nfour\n&copy; &unknown; &copy ∳"
+    assert text["http://e"] == text["http://f"] == "seen" and text["http://g"] == "text\nmore"
+    first = records.where("type = 'metadata' AND target_uri = 'http://d'").first()
+    assert first.title == "A © é—B" and first.n_links == 2 and "outlink: /x\r\noutlink: /y\r\n" in first.block and "language: fr\r\n" in first.block
+
+
+def test_pages_full_of_openings_take_linear_time(spark, tmp_path):
+    parts = ["<!--", "<script>", "<script ", "<title>", "<title", "<a ", "<a href=", '<a href="', "<p ", "<p x='", "<html ", "&amp", "&#1", "<", "="]
+    rows = [(n, "u", part * (1_000_000 // len(part))) for n, part in enumerate(parts)] + [(99, "u", "&lt;" * 250_000)]
+    began = time.time()
+    assert warc.op2_warc(spark, table(spark, tmp_path, rows)).count() == 2 * len(rows)
+    spent = time.time() - began
+    assert spent < 60, spent
