@@ -263,8 +263,8 @@ def _repeats(texts: DataFrame) -> bool:
 def one_of_each_class(docs: DataFrame, k: int = GRAM_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs``, all columns, that come first in their class: least doc_id (nulls first), then least text key.
 
-    Of rows with equal doc_id and text one stays. Texts without words all stay, but for repeated rows. An empty
-    table stays one.
+    Of rows with equal doc_id and text one stays: that whose columns, as JSON, have the least digest. Texts without words all stay,
+    but for repeated rows. An empty table stays one.
     """
     texts, nodes, linked = _verified(docs, k, similarity, recall)
     # a node has the first of its copies, nulls first
@@ -273,7 +273,10 @@ def one_of_each_class(docs: DataFrame, k: int = GRAM_WORDS, similarity: float =
     kept = groups.select("first.doc_id", "first.text_key").union(texts.where("digest IS NULL").select("doc_id", "text_key")).toDF(keep_id, keep_key)
     keyed = docs.withColumn(text_key, F.xxhash64(F.col("text").cast("string")))
     kept = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & F.col(text_key).eqNullSafe(F.col(keep_key)), "left_semi")
-    return kept.dropDuplicates(["doc_id", text_key]).drop(text_key)
+    row = F.struct(*(f"`{c}`" for c in docs.columns))
+    # of rows that differ in other columns only, the choice is the same whenever a task is run again
+    first = F.min_by(row, F.sha2(F.to_json(row), 256)).alias(keep_key)
+    return kept.groupBy("doc_id", text_key).agg(first).select(f"`{keep_key}`.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,3 +144,11 @@ def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)] + [(900, n) for n in range(200, 260)]
     have = sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert have == sorted([(i, 0) for i in range(41)] + [(100, 100), (101, 100), (102, 100), (900, 200)] + [(n, 200) for n in range(200, 260)])
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    """The row that stays does not depend on how rows are dealt out."""
+    rows = [(1, "one two three four five six", {"k": n}, f"v{n}") for n in range(9)] + [(2, "", {}, "a"), (2, "", {}, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, extra string")
+    kept = [sorted(r.extra for r in nj.one_of_each_class(docs.repartition(n, "extra")).collect()) for n in (1, 3, 7)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
