@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idsieve.functions import display
+from idsieve.functions.columns import unused
 
 FACE_TOLERANCE = 0.6
 
 
-def mrz_verdict(status: Column, present: Column) -> Column:
-    return F.when(~F.coalesce(present, F.lit(False)), "NOT_PRESENT").when(status == "VALID", "MATCH").otherwise("MISMATCH")
+def mrz_verdict(kind: Column, status: Column) -> Column:
+    """What the machine-readable lines say. status: of a passport's parsed lines, or of a visa's pair, null where there is none.
+
+    Lines of a passport that are not valid are given up for its visible text, so they count as not there; a visa's pair is told by its
+    form alone and may be wrong. Other documents have no lines.
+    """
+    return F.when((kind == "PASSPORT") & (status == "VALID"), "MATCH").when((kind == "VISA") & status.isNotNull(), F.when(status == "VALID", "MATCH").otherwise("MISMATCH")).otherwise("NOT_PRESENT")
 
 
 def risk(validation_status: Column, tampering: Column, parse_errors: Column) -> Column:
     """Struct of score, level and reasons: 90 for an invalid document, 75 for signs of tampering, 25 for fields not read, else 10."""
     invalid, tampered, unread = (F.coalesce(x, F.lit(False)) for x in (validation_status == "INVALID", tampering, parse_errors))
     score = F.when(invalid, 90).when(tampered, 75).when(unread, 25).otherwise(10).cast("double")
-    reasons = F.array_compact(F.array(F.when(invalid, "Document validation failed"), F.when(tampered, "Possible tampering detected"), F.when(unread & ~invalid & ~tampered, "Some fields could not be read")))
+    reasons = F.array_compact(F.array(F.when(invalid, "The document does not meet the rules of its type"), F.when(tampered, "Possible tampering detected"), F.when(unread & ~invalid & ~tampered, "Some fields could not be read")))
     return F.struct(score.alias("score"), display.level_of(score).alias("level"), reasons.alias("reasons"))
 
 
@@ -130,9 +136,9 @@ def missing_names(rows: DataFrame, key: str) -> DataFrame:
 
 def overlay(base: DataFrame, detail: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The base rows with the detail's values where it has any."""
-    d = detail.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
-    rows = base.join(d, key, "left")
-    return rows.select(*(F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns))
+    own = dict(zip(columns, unused(base, *(f"own_{c}" for c in columns)), strict=True))
+    rows = base.join(detail.select(key, *(F.col(c).alias(n) for c, n in own.items())), key, "left")
+    return rows.select(*(F.coalesce(own[c], c).alias(c) if c in own else F.col(c) for c in base.columns))
 
 
 def evaluation_summary(rows: DataFrame) -> DataFrame:

@@ -240,30 +240,46 @@ def merged_readings(table):
     return table("customer").select("c_custkey", parsers.resolved("holder_name", read, machine).alias("holder_name"), parsers.resolved("passport_number", read, machine).alias("passport_number"))
 
 
-_SCREENED = f"""{_LINE}, s AS (SELECT l.o_orderkey AS k, o_custkey, o_orderpriority, rtrim(substring(line2, 1, 9), '<') AS number, {sql_valid_td3('line2')} AS ok, ((l.o_orderkey % 2 = 0)::int * 0.45::double + (l.o_orderkey % 2 <> 0)::int * 0.135::double) * ((l.o_orderkey % 10) / 10) + 0.35::double * ((l.o_orderkey % 7) / 7) + CASE WHEN l.o_orderkey % 9 = 0 THEN 0.2::double ELSE 0 END AS c,
-        {sql_dmy(sql_mrz_date('expiry'))} >= TIMESTAMP '{AS_OF}' AS active FROM line l JOIN orders o ON o.o_orderkey = l.o_orderkey),
-    t AS (SELECT *, round_even(least(c, 1), 2) >= 0.5 AS tampering, CASE WHEN NOT ok THEN 90 WHEN round_even(least(c, 1), 2) >= 0.5 THEN 75 ELSE 10 END::double AS stored_score, sha256(o_custkey || '-' || o_orderpriority) AS hash FROM s)"""
+# what each kind of document gives: passports by their lines, visas by a pair of lines or by a line of the text, cards, and others
+_SCREENED = f"""{_LINE}, o AS (SELECT l.o_orderkey AS k, o_custkey, o_orderpriority, rtrim(substring(line2, 1, 9), '<') AS line_number, {sql_valid_td3('line2')} AS td3, l.o_orderkey % 5 > 0 OR {sql_check_digit('expiry')} = '9' AS mrv, lpad((l.o_orderkey * 7919)::varchar, 12, '3') AS digits, l.o_orderkey % 13 = 0 AS dark,
+        CASE WHEN l.o_orderkey % 8 < 4 THEN 'PASSPORT' WHEN l.o_orderkey % 8 < 6 THEN 'VISA' WHEN l.o_orderkey % 8 = 6 THEN 'AADHAAR' WHEN l.o_orderkey % 3 > 0 THEN 'LICENCE' END AS kind, {sql_dmy(sql_mrz_date('expiry'))} >= TIMESTAMP '{AS_OF}' AS active,
+        ((l.o_orderkey % 2 = 0)::int * 0.45::double + (l.o_orderkey % 2 <> 0)::int * 0.135::double) * ((l.o_orderkey % 10) / 10) + 0.35::double * ((l.o_orderkey % 7) / 7) + CASE WHEN l.o_orderkey % 9 = 0 THEN 0.2::double ELSE 0 END AS c FROM line l JOIN orders o ON o.o_orderkey = l.o_orderkey),
+    s AS (SELECT *, CASE WHEN kind = 'PASSPORT' THEN CASE WHEN td3 THEN 'MATCH' ELSE 'NOT_PRESENT' END WHEN kind = 'VISA' AND k % 8 = 4 THEN CASE WHEN mrv THEN 'MATCH' ELSE 'MISMATCH' END ELSE 'NOT_PRESENT' END AS mrz_verification,
+        CASE WHEN kind = 'PASSPORT' AND td3 OR kind = 'VISA' AND (k % 8 = 4 OR mrv) THEN line_number WHEN kind = 'AADHAAR' THEN substring(digits, 1, 4) || ' ' || substring(digits, 5, 4) || ' ' || substring(digits, 9, 4) END AS number,
+        CASE WHEN kind = 'PASSPORT' AND td3 OR kind = 'AADHAAR' AND {sql_verhoeff('digits')} THEN 'VALID' ELSE 'INVALID' END AS validation_status,
+        CASE WHEN NOT coalesce(kind = 'PASSPORT' AND td3 OR kind = 'VISA' AND (k % 8 = 4 OR mrv), false) THEN 'UNKNOWN' WHEN active THEN 'ACTIVE' ELSE 'EXPIRED' END AS expiry_status, NOT dark AND round_even(least(c, 1), 2) >= 0.5 AS tampering,
+        CASE WHEN coalesce(kind NOT IN ('PASSPORT', 'VISA'), true) THEN 'NOT_APPLICABLE' WHEN dark THEN 'INSUFFICIENT_EVIDENCE' WHEN k % 4 = 0 THEN 'UNCERTAIN' WHEN k % 4 = 1 THEN 'STAMP_DETECTED' ELSE 'NO_STAMP_DETECTED' END AS stamp_status FROM o),
+    t AS (SELECT *, CASE WHEN validation_status = 'INVALID' THEN 90 WHEN tampering THEN 75 ELSE 10 END::double AS stored_score, sha256(o_custkey || '-' || o_orderpriority) AS hash FROM s)"""
 
 
 def _read_documents(table):
-    """A passport for each order, with scores of its image and gate results of its stamps."""
+    """A document for each order, with scores of its image and gate results of its stamps: passports, visas with lines or with a
+    line in the text, cards, and others with and without a type. Some images could not be decoded."""
     k = F.col("document_id")
-    rows = lines(table).select(F.col("o_orderkey").alias("document_id"), "line2")
+    kind = F.when(k % 8 < 4, "PASSPORT").when(k % 8 == 4, "visa").when(k % 8 == 5, "VISA").when(k % 8 == 6, "AADHAAR").when(k % 3 > 0, "LICENCE")
+    rows = lines(table).select(F.col("o_orderkey").alias("document_id"), "line2").withColumn("kind", kind)
     gates = F.when(k % 4 == 0, F.array(F.lit("UNCERTAIN"))).when(k % 4 == 1, F.array(F.lit("UNCERTAIN"), F.lit("STAMP_DETECTED")))
-    return rows.select("document_id", F.lit("PASSPORT").alias("document_type"), F.lit("").alias("text"), F.lit(_NAME_LINE).alias("line1"), "line2", (k % 10 / 10).alias("ela"), (k % 7 / 7).alias("noise"), F.when(k % 9 == 0, "GIMP 2.10").alias("software"), (k % 2 == 0).alias("jpeg"), gates.alias("stamps"))
+    card = F.concat(F.lit("GOVERNMENT\nName: Anna Maria\nDOB: 12/04/1985\nGender: Female\nAddress: 12 Main Road\n"), identifiers.grouped(F.lpad((k * 7919).cast("string"), 12, "3")))
+    said = F.when(k % 8 == 5, F.concat(F.lit("VISA\n"), F.col("line2"))).when(k % 8 == 6, card).otherwise("")
+    first = F.when(k % 8 < 4, _NAME_LINE).when(k % 8 == 4, "V<UTOERIKSSON<<ANNA" + "<" * 25)
+    image = [(k % 10 / 10).alias("ela"), (k % 7 / 7).alias("noise"), F.when(k % 9 == 0, "GIMP 2.10").alias("software"), (k % 2 == 0).alias("jpeg"), gates.alias("stamps"), F.when(k % 13 == 0, "the file ends within a chunk").alias("image_error")]
+    return rows.select("document_id", F.col("kind").alias("document_type"), said.alias("text"), first.alias("line1"), F.when(first.isNotNull(), F.col("line2")).alias("line2"), *image)
 
 
 @query(
-    f"""{_SCREENED} SELECT k AS document_id, CASE WHEN ok THEN number END AS identity_number, CASE WHEN ok THEN 'MATCH' ELSE 'MISMATCH' END AS mrz_verification, CASE WHEN ok THEN 'VALID' ELSE 'INVALID' END AS validation_status, CASE WHEN NOT ok THEN 'UNKNOWN' WHEN active THEN 'ACTIVE' ELSE 'EXPIRED' END AS expiry_status,
-    tampering, CASE k % 4 WHEN 0 THEN 'UNCERTAIN' WHEN 1 THEN 'STAMP_DETECTED' ELSE 'NO_STAMP_DETECTED' END AS stamp_status, stored_score, CASE WHEN stored_score >= 75 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM t"""
+    f"""{_SCREENED}, w AS (SELECT l_orderkey, round_even(avg(CASE WHEN l_linenumber % 4 > 0 THEN l_quantity * 2 END), 1) AS confidence, count(*) AS tokens, count_if(l_linenumber % 4 > 0 AND l_quantity * 2 < 70) AS review FROM lineitem GROUP BY 1)
+    SELECT k AS document_id, number AS identity_number, mrz_verification, (mrz_verification = 'MATCH')::int::double AS mrz_confidence, validation_status, expiry_status, tampering, stamp_status, stored_score, CASE WHEN stored_score >= 75 THEN 'HIGH' ELSE 'LOW' END AS risk_level,
+    confidence, coalesce(tokens, 0) AS tokens_detected, coalesce(review, 0) AS tokens_requiring_review FROM t LEFT JOIN w ON k = l_orderkey"""
 )
 def documents_screened(table):
-    rows = outcome.screened(_read_documents(table), F.lit(AS_OF).cast("timestamp"))
+    confidence = F.when(F.col("l_linenumber") % 4 > 0, F.col("l_quantity") * 2).otherwise(-1.0)
+    words = table("lineitem").select(F.col("l_orderkey").alias("doc_id"), confidence.cast("double").alias("confidence"))
+    rows = outcome.screened(_read_documents(table), F.lit(AS_OF).cast("timestamp"), words)
     return rows.drop("document_type", "validation_score", "reasons")
 
 
 @query(
-    f"""{_SCREENED}, h AS (SELECT *, lag(hash) OVER (PARTITION BY hash ORDER BY k) AS same, CASE WHEN ok THEN lag(hash) OVER (PARTITION BY CASE WHEN ok THEN number END ORDER BY k) END AS other FROM t)
+    f"""{_SCREENED}, h AS (SELECT *, lag(hash) OVER (PARTITION BY hash ORDER BY k) AS same, CASE WHEN number IS NOT NULL THEN lag(hash) OVER (PARTITION BY kind, number ORDER BY k) END AS other FROM t)
     SELECT k AS document_id, CASE WHEN same IS NOT NULL THEN 'UNCHANGED' WHEN other IS NULL THEN 'NEW' WHEN other = hash THEN 'UNCHANGED' ELSE 'MISMATCH' END AS integrity_status, stored_score, CASE WHEN same IS NULL AND other <> hash THEN greatest(stored_score, 90) ELSE stored_score END AS record_score FROM h"""
 )
 def screenings_recorded(table):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from idsieve.functions import dates, display, identifiers, mrz, text
-from idsieve.operators import imaging, integrity, layout, parsers, screening, validation
+from idsieve.operators import imaging, integrity, layout, outcome, parsers, screening, validation
 from idsieve.sources import tables
 from idsieve.streaming import ledger
 
@@ -233,3 +233,44 @@ def test_prior_needs_a_registered_record(spark):
     df = spark.createDataFrame(rows, "record_id long, ts timestamp, status string, document_hash string, identity_type string, identity_key string")
     out = integrity.with_prior(df, ["ts", "record_id"]).select("record_id", F.col("prior.record_id").alias("p"), integrity.classification(F.col("document_hash"), F.col("prior.document_hash")).alias("c"))
     assert sorted((r.record_id, r.p, r.c) for r in out.collect()) == [(1, None, "NEW"), (2, None, "NEW"), (3, 2, "MISMATCH"), (4, 3, "UNCHANGED"), (5, None, "NEW")]
+
+
+GOOD = "AB12345671UTO8504124F3201141<<<<<<<<<<<<<<04"
+
+
+def test_verdicts_of_machine_readable_lines(spark):
+    """Passports whose lines are wrong have none; a visa's pair may be wrong; a line found in a visa's text is no pair and gives the gender."""
+    name = lambda c: (c + "UTOERIKSSON<<ANNA").ljust(44, "<")
+    bad = GOOD[:9] + "9" + GOOD[10:]
+    rows = [
+        ("passport", "PASSPORT", "", name("P<"), GOOD),
+        ("passport wrong", "PASSPORT", "Passport No: K1234567", name("P<"), bad),
+        ("passport without", "passport", "", None, None),
+        ("visa", "VISA", "", name("V<"), GOOD),
+        ("visa wrong", "VISA", "", name("V<"), bad),
+        ("visa text", "VISA", "VISA\n" + GOOD, None, None),
+        ("visa text wrong", "VISA", "VISA\n" + bad, None, None),
+        ("card", "AADHAAR", "", name("P<"), GOOD),
+        ("none", None, "", name("P<"), GOOD),
+        ("empty", "", None, None, None),
+    ]
+    docs = spark.createDataFrame([(*r, 0.9, 0.9, "GIMP", True, ["STAMP_DETECTED"], "x" if r[0] == "visa" else None, "a", "b") for r in rows], "document_id string, document_type string, text string, line1 string, line2 string, ela double, noise double, software string, jpeg boolean, stamps array<string>, image_error string, source string, kind string")
+    got = {r.document_id: r for r in outcome.screened(docs, F.lit("2024-06-15").cast("timestamp")).collect()}
+    want = {"passport": "MATCH", "passport wrong": "NOT_PRESENT", "passport without": "NOT_PRESENT", "visa": "MATCH", "visa wrong": "MISMATCH", "visa text": "NOT_PRESENT", "visa text wrong": "NOT_PRESENT", "card": "NOT_PRESENT", "none": "NOT_PRESENT", "empty": "NOT_PRESENT"}
+    assert {k: r.mrz_verification for k, r in got.items()} == want
+    assert got["passport"].validation_status == "VALID" and got["passport"].stored_score == 75 and got["none"].validation_score == 0
+    assert (got["visa"].tampering, got["visa"].stamp_status, got["visa wrong"].stamp_status) == (False, "INSUFFICIENT_EVIDENCE", "STAMP_DETECTED")
+    assert got["passport wrong"].identity_number == "K1234567" and got["visa text"].identity_number == "AB1234567" and got["visa text wrong"].identity_number is None
+    visas = spark.createDataFrame(rows, "document_id string, document_type string, text string, line1 string, line2 string").where("document_type = 'VISA'")
+    parsed = {r.document_id: r for r in parsers.parse_visas(visas).collect()}
+    assert {k: r.identity.gender for k, r in parsed.items()} == {"visa": None, "visa wrong": None, "visa text": "F", "visa text wrong": None}
+    assert {k: r.mrz and r.mrz.status for k, r in parsed.items()} == {"visa": "VALID", "visa wrong": "INVALID", "visa text": None, "visa text wrong": None}
+    plan = outcome.screened(spark.read.parquet("/root/testdata/sf0.001/customer.parquet").selectExpr("c_custkey AS document_id", "c_name AS document_type", "c_name AS text", "c_name AS line1", "c_name AS line2", "0.5D AS ela", "0.5D AS noise", "c_name AS software", "true AS jpeg", "array(c_name) AS stamps"), F.lit("2024-06-15").cast("timestamp"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_types_are_routed(spark):
+    v = lambda n: F.struct(F.lit(n).alias("status"), F.lit(1).alias("validation_score"), F.lit("x").alias("expiry_status"), F.array().cast("array<string>").alias("errors"), F.array().cast("array<string>").alias("warnings"), F.create_map().cast("map<string,boolean>").alias("checks"))
+    rows = spark.createDataFrame([("visa",), ("Aadhaar",), ("PASSPORT",), ("",), (None,), ("other",)], "t string")
+    got = [r.s for r in rows.select(validation.routed(F.col("t"), v("P"), v("V"), v("A"))["status"].alias("s")).collect()]
+    assert got == ["V", "A", "P", "P", "P", "INVALID"]
