@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsieve.operators import imaging
+from idsieve.operators import imaging, integrity
 from idsieve.operators.isolation import isolated
 from idsieve.sources import images
 
@@ -164,3 +164,49 @@ def examined(files: DataFrame, keep: list[str], content: str = "content") -> Dat
     score = lambda n, scale: F.when(F.col(f"{n}_mean").isNotNull(), imaging.anomaly_score(F.col(f"{n}_mean"), F.col(f"{n}_std"), F.col(f"{n}_max"), scale))
     rows = rows.withColumns({"noise_score": score("noise", imaging.NOISE_SCALE), "ela_score": score("ela", imaging.ELA_SCALE)})
     return rows.withColumn("tampering", tampering_of(*(F.col(c) for c in ("format", "width", "height", "software", "noise_score", "ela_score", "unreadable"))))
+
+
+COMPARISON = "comparison string, changed long, percent double, x long, y long, x2 long, y2 long"
+
+
+def compared_contents(pairs: DataFrame, keep: list[str], content: str = "content", other: str = "prior_content") -> DataFrame:
+    """How the pixels of one file differ from those of another: comparison (IDENTICAL, CHANGED, DIMENSIONS_CHANGED or UNAVAILABLE),
+    changed pixels, their percentage and box, and ``error``, why a file could not be read."""
+
+    def step(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for own, before in zip(frame[content], frame[other], strict=True):
+            a, b = images.decode(_bytes(own))[1], images.decode(_bytes(before))[1]
+            if a.shape != b.shape:
+                out.append(("DIMENSIONS_CHANGED", *(None,) * 6))
+                continue
+            y, x = np.nonzero((a != b).any(2))
+            box = (int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1) if len(x) else (None,) * 4
+            out.append(("CHANGED" if len(x) else "IDENTICAL", len(x), round(100.0 * len(x) / a[:, :, 0].size, 4), *box))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in COMPARISON.split(", ")], index=frame.index, dtype=object)
+
+    rows = isolated(pairs, step, COMPARISON, [content, other], keep)
+    return rows.withColumn("comparison", F.coalesce("comparison", F.lit("UNAVAILABLE")))
+
+
+def compared_with_prior(records: DataFrame, files: DataFrame, order: list[str], period: Column | None = None) -> DataFrame:
+    """record_id, prior_id and the comparison of the pixels of each record with those of the record that it does not match.
+
+    records: record_id, status, document_hash, identity_type, identity_key and what orders them. files: record_id and content. Prior
+    records are looked for without contents; only those of records that differ from their prior one are fetched, by joins that leave
+    files where they are if they are bucketed by record_id (sources.store).
+    """
+    narrow = records.select(*dict.fromkeys(["record_id", "status", "document_hash", "identity_type", "identity_key", *order]))
+    rows = integrity.with_prior(narrow, order, period)
+    differs = integrity.classification(F.col("document_hash"), F.col("prior.document_hash")) == "MISMATCH"
+    pairs = rows.where(differs).select("record_id", F.col("prior.record_id").alias("prior_id"))
+    own = pairs.join(files.select("record_id", "content"), "record_id", "left")
+    prior = files.select(F.col("record_id").alias("prior_id"), F.col("content").alias("prior_content"))
+    return compared_contents(own.join(prior, "prior_id", "left"), ["record_id", "prior_id"])
+
+
+def pixel_reasons(reasons: Column, comparison: Column, percent: Column, box: list[Column]) -> Column:
+    """Reasons of a change with what the pixels tell, if they do."""
+    where = F.format_string("%.4f %% of the pixels changed, from (%d, %d) to (%d, %d)", percent, *box)
+    told = F.when(comparison == "CHANGED", where).when(comparison == "DIMENSIONS_CHANGED", "The image has another size").when(comparison == "IDENTICAL", "All pixels are the same")
+    return F.array_compact(F.concat(reasons, F.array(told)))

@@ -153,6 +153,40 @@ def machine_pairs(rows: DataFrame, visa: bool = False) -> DataFrame:
     return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "line1", "line2", "score")
 
 
+def candidate_checks(rows: DataFrame, visa: bool = False) -> DataFrame:
+    """What was looked at when rows were taken or not taken for machine-readable lines: doc_id, page, ord, tier, role, line, nth, check,
+    given, wanted and passed, a row for each check of each candidate.
+
+    rows: doc_id, page, ord, text. A row is a candidate if it is as long as a line may be read, or begins as a first one does. A
+    second line has two tiers: as read, and corrected where that gives another. A line of another length has only the check of its
+    length. All checks of a tier come from one evaluation of its check digits.
+    """
+    prefix, correct = ("V<", mrz.correct_mrv) if visa else ("P<", mrz.correct_td3)
+    digits = [("number", 0, 9), ("birth", 1, 19), ("expiry", 2, 27), *([] if visa else [("optional", 3, 42), ("composite", 4, 43)])]
+    line, whole = F.col("line"), F.length("line") == mrz.LENGTH
+    begins = line.startswith(prefix) | (line.startswith("VN") if visa else F.lit(False))
+    found = rows.select(*PAGE, "ord", mrz.clean_line(F.col("text")).alias("line")).where(begins | F.length("line").between(38, 48))
+    found = found.withColumn("role", F.when(begins, "line1").otherwise("line2"))
+    better = F.when((F.col("role") == "line2") & whole, correct(line))
+    tiers = F.array_compact(F.array(F.struct(F.lit("read").alias("tier"), line.alias("line")), F.when(F.col("better") != line, F.struct(F.lit("corrected").alias("tier"), F.col("better").alias("line")))))
+    found = found.withColumn("better", better).select(*PAGE, "ord", "role", F.explode(tiers).alias("t")).select(*PAGE, "ord", "role", "t.*")
+    check = lambda name, given, wanted, passed: F.struct(F.lit(name).alias("check"), given.alias("given"), wanted.alias("wanted"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    length = check("length", F.length("line").cast("string"), F.lit(str(mrz.LENGTH)), whole)
+    first = F.array(length, check("prefix", F.substring(line, 1, 2), F.lit(prefix), line.startswith(prefix)), check("separator", F.regexp_extract(F.substring(line, 6, mrz.LENGTH), "<<", 0), F.lit("<<"), F.substring(line, 6, mrz.LENGTH).contains("<<")))
+    wanted = mrz.check_digits(line)
+    second = mrz.once(wanted, lambda w: F.array(length, *(check(f"{name} digit", mrz.piece(line, at, 1), F.get(w, F.lit(n)), mrz.piece(line, at, 1) == F.get(w, F.lit(n))) for name, n, at in digits)))
+    checks = F.when(~whole, F.array(length)).when(F.col("role") == "line1", first).otherwise(second)
+    return found.select(*PAGE, "ord", "tier", "role", "line", F.posexplode(checks).alias("nth", "c")).select(*PAGE, "ord", "tier", "role", "line", "nth", "c.*")
+
+
+def rejections(checks: DataFrame) -> DataFrame:
+    """doc_id, page, ord, role and why a candidate is none (its first failed check as read, with what was given and wanted), or null
+    where one of its tiers passes all."""
+    tiers = checks.groupBy(*PAGE, "ord", "role", "tier").agg(F.bool_and("passed").alias("passes"), F.min_by(F.struct("check", "given", "wanted"), F.when(~F.col("passed"), F.col("nth"))).alias("why"))
+    own = tiers.groupBy(*PAGE, "ord", "role").agg(F.bool_or("passes").alias("passes"), F.max(F.when(F.col("tier") == "read", F.col("why"))).alias("why"))
+    return own.select(*PAGE, "ord", "role", F.when(~F.col("passes"), F.col("why")).alias("why"))
+
+
 def machine_region(rows: DataFrame) -> DataFrame:
     """doc_id, page, top and bottom of the part of a page where machine-readable lines are to be looked for.
 

@@ -63,3 +63,21 @@ def files_examined(table):
     """From bytes to signs of tampering; files that can't be decoded have one indicator, the reason."""
     rows = forensics.examined(files(table), ["doc_id"])
     return rows.select("doc_id", F.round(F.col("ela_mean") + 1e-7, 3).alias("ela_mean"), "noise_score", "ela_score", "tampering.confidence", "tampering.detected", F.size("tampering.indicators").alias("indicators"))
+
+
+@query(
+    f"""{_FILES}, r AS (SELECT *, 'i' || k % 40 AS identity, 'h' || CASE WHEN k % 9 = 0 THEN k % 40 ELSE k END AS hash, k % 6 > 0 AS registered FROM f),
+    p AS (SELECT *, last_value(CASE WHEN registered THEN {{'k': k, 'hash': hash}} END IGNORE NULLS) OVER (PARTITION BY hash ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, last_value(CASE WHEN registered THEN {{'k': k, 'hash': hash}} END IGNORE NULLS) OVER (PARTITION BY identity ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r),
+    m AS (SELECT p.k AS record_id, o.k AS prior_id, p.gone OR p.cut OR o.gone OR o.cut AS failed, list_filter(range(0, 64), lambda i: p.v[i + 1] <> o.v[i + 1]) AS c FROM p JOIN f o ON o.k = coalesce(a, b).k WHERE coalesce(a, b).hash <> p.hash)
+    SELECT record_id, prior_id, CASE WHEN failed THEN 'UNAVAILABLE' WHEN len(c) = 0 THEN 'IDENTICAL' ELSE 'CHANGED' END AS comparison, CASE WHEN NOT failed THEN len(c) * 64 END AS changed, CASE WHEN NOT failed AND len(c) > 0 THEN list_min(list_transform(c, lambda i: i % 8)) * 8 END AS x, CASE WHEN NOT failed AND len(c) > 0 THEN list_max(list_transform(c, lambda i: i // 8)) * 8 + 8 END AS y2, CASE WHEN failed THEN 1 ELSE 2 END AS reasons FROM m"""
+)
+def pixels_against_prior(table):
+    """Of files whose record differs from the prior one of the same holder: what changed in their pixels."""
+    k = F.col("record_id")
+    stored = files(table).withColumnRenamed("doc_id", "record_id")
+    hashes = F.concat(F.lit("h"), F.when(k % 9 == 0, k % 40).otherwise(k).cast("string"))
+    records = table("embeddings").select(F.col("vec_id").alias("record_id"))
+    records = records.select("record_id", F.when(k % 6 > 0, "CONFIRMED").otherwise("FAILED").alias("status"), hashes.alias("document_hash"), F.lit("passport_number").alias("identity_type"), F.concat(F.lit("i"), (k % 40).cast("string")).alias("identity_key"))
+    rows = forensics.compared_with_prior(records, stored, ["record_id"])
+    reasons = forensics.pixel_reasons(F.array(F.lit("Document content changed")), F.col("comparison"), F.col("percent"), [F.col(c) for c in ("x", "y", "x2", "y2")])
+    return rows.select("record_id", "prior_id", "comparison", "changed", "x", "y2", F.size(reasons).alias("reasons"))

@@ -117,3 +117,35 @@ def richest_readings(table):
 
     variant = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     return layout.richest_reading(table("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), variant.alias("variant"), "text"), ["NAME", "THE"])
+
+
+_REJECTED = f"""{identity._LINE}, b AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN substring(line2, 1, 40) WHEN 1 THEN substring(line2, 1, 9) || '<' || substring(line2, 11) WHEN 2 THEN substring(line2, 1, 19) || 'X' || substring(line2, 21) ELSE line2 END AS second, CASE o_orderkey % 4 WHEN 0 THEN rpad('P<UTOERIKSSON<ANNA<', 44, 'X') WHEN 1 THEN 'P<UTOERIKSSON<<ANNA' ELSE '{identity._NAME_LINE}' END AS first FROM line),
+    one AS (SELECT doc_id, 0 AS ord, 'line1' AS role, first AS line, unnest(CASE WHEN length(first) <> 44 THEN [{{'nth': 0, 'check': 'length', 'given': length(first)::varchar, 'wanted': '44'}}] ELSE [{{'nth': 0, 'check': 'length', 'given': '44', 'wanted': '44'}}, {{'nth': 1, 'check': 'prefix', 'given': 'P<', 'wanted': 'P<'}}, {{'nth': 2, 'check': 'separator', 'given': CASE WHEN contains(substring(first, 6), '<<') THEN '<<' ELSE '' END, 'wanted': '<<'}}] END) AS c FROM b),
+    two AS (SELECT doc_id, 1 AS ord, 'line2' AS role, second AS line, unnest(CASE WHEN length(second) <> 44 THEN [{{'nth': 0, 'check': 'length', 'given': length(second)::varchar, 'wanted': '44'}}] ELSE [{{'nth': 0, 'check': 'length', 'given': '44', 'wanted': '44'}}, {", ".join(f"{{'nth': {n}, 'check': '{name} digit', 'given': substring(second, {at + 1}, 1), 'wanted': {identity.sql_check_digit(field)}}}" for n, name, at, field in ((1, "number", 9, "substring(second, 1, 9)"), (2, "birth", 19, "substring(second, 14, 6)"), (3, "expiry", 27, "substring(second, 22, 6)"), (4, "optional", 42, "substring(second, 29, 14)"), (5, "composite", 43, "(substring(second, 1, 10) || substring(second, 14, 7) || substring(second, 22, 22))")))}] END) AS c FROM b),
+    checks AS (SELECT doc_id, ord, role, line, c.* FROM (SELECT * FROM one UNION ALL SELECT * FROM two))"""
+
+
+def broken_lines(table):
+    """Both lines of a page for each order: some cut off, some with a check digit that is a filler, a letter or wrong, some without separator."""
+    k = F.col("doc_id")
+    rows = identity.lines(table).select(F.col("o_orderkey").alias("doc_id"), "line2")
+    put = lambda at, c: F.concat(F.substring("line2", 1, at), F.lit(c), F.substring("line2", at + 2, 44))
+    second = F.when(k % 6 == 0, F.substring("line2", 1, 40)).when(k % 6 == 1, put(9, "<")).when(k % 6 == 2, put(19, "X")).otherwise(F.col("line2"))
+    first = F.when(k % 4 == 0, "P<UTOERIKSSON<ANNA<".ljust(44, "X")).when(k % 4 == 1, "P<UTOERIKSSON<<ANNA").otherwise(identity._NAME_LINE)
+    rows = rows.select("doc_id", F.posexplode(F.array(first, second)).alias("ord", "text"))
+    return rows.withColumn("page", F.lit(1))
+
+
+@query(f"{_REJECTED} SELECT doc_id, ord, role, line, nth, \"check\", given, wanted, given = wanted AS passed FROM checks")
+def candidates_checked(table):
+    """Every check of every candidate as it was read."""
+    return layout.candidate_checks(broken_lines(table)).where("tier = 'read'").drop("page", "tier")
+
+
+@query(
+    f"""{_REJECTED}, r AS (SELECT ord, arg_min("check", nth) FILTER (given <> wanted) AS why, count(*) FILTER (given <> wanted) AS failed FROM checks GROUP BY doc_id, ord) SELECT ord, coalesce(why, 'none') AS why, count(*) AS candidates FROM r GROUP BY 1, 2"""
+)
+def rejections_by_reason(table):
+    """Candidates by the first check that they fail as read."""
+    checks = layout.candidate_checks(broken_lines(table)).where("tier = 'read'")
+    return layout.rejections(checks).groupBy("ord", F.coalesce("why.check", F.lit("none")).alias("why")).agg(F.count("*").alias("candidates"))

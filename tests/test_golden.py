@@ -201,8 +201,8 @@ def test_ledger_stream_agrees_with_the_fold(spark, tmp_path):
     for part in (EVENTS[:5], EVENTS[5:]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
         ledger.write_ledger(spark.readStream.schema(schema).parquet(str(source)), "o", out, str(tmp_path / "cp")).awaitTermination()
-    # a trigger written twice changes nothing
-    ledger.ledger_partials(spark.createDataFrame(EVENTS[5:], SCHEMA), "o").write.mode("append").parquet(out)
+    # partial states that come twice change nothing
+    ledger.ledger_partials(spark.createDataFrame(EVENTS[5:], SCHEMA), "o").write.parquet(f"{out}/batch=9")
     got = {r.id: (r.document_hash, r.status, r.recorder, r.stored_at) for r in ledger.read_ledger(spark, out).collect()}
     assert got == {"a": ("h1", "VERIFIED", "o", 2), "b": ("h8", "REVOKED", "x", 8)}
 
@@ -274,3 +274,25 @@ def test_types_are_routed(spark):
     rows = spark.createDataFrame([("visa",), ("Aadhaar",), ("PASSPORT",), ("",), (None,), ("other",)], "t string")
     got = [r.s for r in rows.select(validation.routed(F.col("t"), v("P"), v("V"), v("A"))["status"].alias("s")).collect()]
     assert got == ["V", "A", "P", "P", "P", "INVALID"]
+
+
+def test_ledger_snapshots(spark, tmp_path):
+    """Compacting after any trigger, or being killed at it, changes no state; snapshots have rows by ids, not by events."""
+    r, out = random.Random(8), str(tmp_path / "ledger")
+    events = [(n, r.choice("abcd"), r.choice("oxy"), r.choice(["store", "verify", "revoke"]), f"h{r.randrange(60)}") for n in range(600)]
+    r.shuffle(events)  # triggers bring events out of order, too
+    state = lambda rows: {x.id: (x.document_hash, x.status, x.recorder, x.stored_at) for x in rows.collect()}
+    assert ledger.compact(spark, out) is None and state(ledger.read_ledger(spark, out)) == {}
+    for n in range(6):
+        ledger.ledger_partials(spark.createDataFrame(events[100 * n : 100 * n + 100], SCHEMA), "o").write.parquet(f"{out}/batch={n}")
+        want = state(integrity.ledger_fold(spark.createDataFrame(events[: 100 * n + 100], SCHEMA), "o"))
+        assert state(ledger.read_ledger(spark, out)) == want
+        if n in (1, 2, 4):
+            # a snapshot that was not finished
+            spark.createDataFrame([("a", "bad", 999, "x", None, None)], ledger.PARTIALS).write.parquet(f"{out}/upto={n + 100}")
+            (tmp_path / "ledger" / f"upto={n + 100}" / "_SUCCESS").unlink()
+            assert state(ledger.read_ledger(spark, out)) == want
+            assert ledger.compact(spark, out) == n and state(ledger.read_ledger(spark, out)) == want
+    parts, covered, later = ledger.ledger_parts(spark, out)
+    assert (covered, later) == (4, [5]) and not (tmp_path / "ledger" / "batch=2").exists() and (tmp_path / "ledger" / "batch=4").exists()
+    assert spark.read.parquet(f"{out}/upto=4").count() < 60 < ledger.ledger_partials(spark.createDataFrame(events[:500], SCHEMA), "o").count()
