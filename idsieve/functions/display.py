@@ -59,7 +59,7 @@ def day(ts: Column) -> Column:
     return F.date_format(ts, "dd MMM yyyy")
 
 
-def box_text(x: Column, y: Column, width: Column, height: Column) -> Column:
-    """A box in shares of the image as whole percents."""
-    pct = lambda v: F.bround(v * 100).cast("int")
-    return F.format_string("x %d%%, y %d%%, %d%% × %d%%", pct(x), pct(y), pct(width), pct(height))
+def box_text(box: Column) -> Column:
+    """A box in shares of the image as whole percents, halves rounded up."""
+    pct = lambda f: F.floor(box[f] * 100 + 0.5).cast("int")
+    return F.when(box.isNull(), "Unavailable").otherwise(F.format_string("%d%%, %d%% | %d%% x %d%%", *map(pct, ("x", "y", "width", "height"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idsieve.functions import identifiers
+from idsieve.functions.columns import unused
 
 REGISTERED = ["CONFIRMED", "REUSED"]
 ESCALATED_SCORE = 90.0
@@ -27,20 +28,22 @@ def prior_record(records: DataFrame, key: list[str], order: list[str], prefix: s
     rows = records.withColumn(prefix, F.when(some, F.last(known, ignorenulls=True).over(before)))
     if period is None:
         return rows
-    ends = records.where(some).groupBy(*(F.col(k).alias(f"__{k}") for k in key), period.alias("__period")).agg(F.max_by(known, F.when(known.isNotNull(), F.struct(*order))).alias("__last"))
-    earlier = Window.partitionBy(*(f"__{k}" for k in key)).orderBy("__period").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).where(F.col("__carried").isNotNull()).drop("__last")
-    same = period == F.col("__period")
-    for k in key:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    return rows.join(ends, same, "left").withColumn(prefix, F.coalesce(prefix, "__carried")).drop("__period", "__carried", *(f"__{k}" for k in key))
+    when, last, carried, *own = unused(rows, "when", "last", "carried", *(f"own_{k}" for k in key))
+    ends = records.where(some).groupBy(*(F.col(k).alias(n) for k, n in zip(key, own, strict=True)), period.alias(when)).agg(F.max_by(known, F.when(known.isNotNull(), F.struct(*order))).alias(last))
+    earlier = Window.partitionBy(*own).orderBy(when).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn(carried, F.last(last, ignorenulls=True).over(earlier)).where(F.col(carried).isNotNull()).drop(last)
+    same = period == F.col(when)
+    for k, n in zip(key, own, strict=True):
+        same = same & (F.col(k) == F.col(n))
+    return rows.join(ends, same, "left").withColumn(prefix, F.coalesce(prefix, carried)).drop(when, carried, *own)
 
 
 def with_prior(records: DataFrame, order: list[str], period: Column | None = None) -> DataFrame:
-    """``prior``: by exact content first, else by identity (identity_type, identity_key)."""
-    rows = prior_record(records, ["document_hash"], order, "by_hash", period)
-    rows = prior_record(rows, ["identity_type", "identity_key"], order, "by_identity", period)
-    return rows.withColumn("prior", F.coalesce("by_hash", "by_identity")).drop("by_hash", "by_identity")
+    """``prior``, in place of a column so named: by exact content first, else by identity (identity_type, identity_key)."""
+    by_hash, by_identity = unused(records, "by_hash", "by_identity")
+    rows = prior_record(records, ["document_hash"], order, by_hash, period)
+    rows = prior_record(rows, ["identity_type", "identity_key"], order, by_identity, period)
+    return rows.withColumn("prior", F.coalesce(by_hash, by_identity)).drop(by_hash, by_identity)
 
 
 def classification(document_hash: Column, prior_hash: Column) -> Column:
@@ -124,4 +127,5 @@ def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row of each key: the one that comes first in the order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+    (n,) = unused(rows, "n")
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(n) == 1).drop(n)

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idsieve.functions import mrz
 from idsieve.operators import imaging, integrity, layout, parsers, screening, validation
 
-RESULT = ["document_id", "document_type", "identity_number", "mrz_verification", "mrz_confidence", "validation_status", "validation_score", "expiry_status", "tampering", "stamp_status", "stored_score", "risk_level", "reasons"]
+RESULT = ["document_id", "document_type", "identity_number", "mrz_verification", "mrz_confidence", "validation_status", "validation_score", "expiry_status", "tampering", "tampering_confidence", "stamp_status", "stored_score", "risk_level", "reasons"]
 KINDS = ("PASSPORT", "VISA", "AADHAAR")
 NUMBER = {"PASSPORT": "passport_number", "VISA": "passport_number", "AADHAAR": "aadhaar_number"}
 
@@ -31,14 +30,13 @@ def validated(docs: DataFrame, as_of: Column) -> DataFrame:
     for name in KINDS:
         own = rows.withColumns({c: F.when(F.col("kind") == name, F.col(f"source.{c}")) for c in used})
         done = parse[name](own)
+        if name == "PASSPORT":
+            done = done.withColumn("lines", F.col("mrz"))  # its rules want them again
         found = {f"identity_{name}": F.col("identity"), f"mrz_{name}": F.when(F.col("kind") == name, F.col("mrz.status")) if "mrz" in done.columns else F.lit(None).cast("string")}
         rows = done.withColumns(found).drop(*used, "identity", "mrz")
     by_kind = lambda f: F.coalesce(*(F.when(F.col("kind") == name, f(name)) for name in KINDS))
-    # the lines of a passport are wanted again by its rules
-    rows = rows.withColumns({c: F.when(F.col("kind") == "PASSPORT", F.col(f"source.{c}")) for c in ("line1", "line2")})
     identity = {name: F.col(f"identity_{name}") for name in KINDS}
-    lines = F.when(F.col("mrz_PASSPORT") == "VALID", F.struct(F.lit("VALID").alias("status"), F.col("line2"), *(mrz.piece(F.col("line2"), at, 1).alias(f"{n}_check_digit") for n, at in (("passport_number", 9), ("date_of_birth", 19), ("expiry_date", 27), ("optional_data", 42), ("composite", 43)))))
-    v = validation.routed(F.col("kind"), validation.validate_passport(identity["PASSPORT"], lines, as_of), validation.validate_visa(identity["VISA"], as_of), validation.validate_resident(identity["AADHAAR"], as_of))
+    v = validation.routed(F.col("kind"), validation.validate_passport(identity["PASSPORT"], F.col("lines"), as_of), validation.validate_visa(identity["VISA"], as_of), validation.validate_resident(identity["AADHAAR"], as_of))
     unread = F.coalesce(by_kind(lambda name: validation.missing_fields({f: identity[name][f] for f in validation.REQUIRED[name]}, name) != ""), F.lit(False))
     made = {"kind": F.col("kind"), "v": v, "mrz_status": F.coalesce("mrz_PASSPORT", "mrz_VISA"), "unread": unread, "identity_number": by_kind(lambda name: identity[name][NUMBER[name]])}
     return rows.select(*(F.col(f"source.{c}").alias(c) for c in docs.columns if c not in made), *(c.alias(n) for n, c in made.items()))
@@ -69,6 +67,7 @@ def screened(docs: DataFrame, as_of: Column, words: DataFrame | None = None) ->
         F.col("v.validation_score").alias("validation_score"),
         F.col("v.expiry_status").alias("expiry_status"),
         F.col("tampering.detected").alias("tampering"),
+        F.col("tampering.confidence").alias("tampering_confidence"),
         "stamp_status",
         F.col("risk.score").alias("stored_score"),
         F.col("risk.level").alias("risk_level"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from idsieve.functions import dates, identifiers, mrz, text
 from idsieve.operators import outcome, parsers, validation
 from idsieve.plans.registry import query
+from idsieve.sources import tables
 
 AS_OF = "2024-06-15"
 _NAME_LINE = "P<UTOERIKSSON<<ANNA" + "<" * 25
@@ -107,7 +108,7 @@ def corrected_passport_lines(table):
 
 @query(
     f"""{_LINE}, broken AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN substring(line2, 1, 40) WHEN 2 THEN replace(line2, 'N', '-') WHEN 3 THEN substring(line2, 1, 20) || 'X' || substring(line2, 22) ELSE line2 END AS b FROM line)
-    SELECT o_orderkey, CASE WHEN length(b) <> 44 THEN 'MRZ line 2 must be 44 characters, got ' || length(b) WHEN contains(b, '-') THEN 'MRZ line 2 contains invalid character(s): -' WHEN substring(b, 21, 1) NOT IN ('M', 'F', '<') THEN 'Invalid MRZ gender character' END AS error FROM broken"""
+    SELECT o_orderkey, CASE WHEN length(b) <> 44 THEN 'line 2 has ' || length(b) || ' characters instead of 44' WHEN contains(b, '-') THEN 'line 2 has characters that no such line has: -' WHEN substring(b, 21, 1) NOT IN ('M', 'F', '<') THEN 'the sex in line 2 is none of M, F and <' END AS error FROM broken"""
 )
 def structural_errors(table):
     b, k = F.col("line2"), F.col("o_orderkey") % 7
@@ -247,7 +248,7 @@ _SCREENED = f"""{_LINE}, o AS (SELECT l.o_orderkey AS k, o_custkey, o_orderprior
     s AS (SELECT *, CASE WHEN kind = 'PASSPORT' THEN CASE WHEN td3 THEN 'MATCH' ELSE 'NOT_PRESENT' END WHEN kind = 'VISA' AND k % 8 = 4 THEN CASE WHEN mrv THEN 'MATCH' ELSE 'MISMATCH' END ELSE 'NOT_PRESENT' END AS mrz_verification,
         CASE WHEN kind = 'PASSPORT' AND td3 OR kind = 'VISA' AND (k % 8 = 4 OR mrv) THEN line_number WHEN kind = 'AADHAAR' THEN substring(digits, 1, 4) || ' ' || substring(digits, 5, 4) || ' ' || substring(digits, 9, 4) END AS number,
         CASE WHEN kind = 'PASSPORT' AND td3 OR kind = 'AADHAAR' AND {sql_verhoeff('digits')} THEN 'VALID' ELSE 'INVALID' END AS validation_status,
-        CASE WHEN NOT coalesce(kind = 'PASSPORT' AND td3 OR kind = 'VISA' AND (k % 8 = 4 OR mrv), false) THEN 'UNKNOWN' WHEN active THEN 'ACTIVE' ELSE 'EXPIRED' END AS expiry_status, NOT dark AND round_even(least(c, 1), 2) >= 0.5 AS tampering,
+        CASE WHEN NOT coalesce(kind = 'PASSPORT' AND td3 OR kind = 'VISA' AND (k % 8 = 4 OR mrv), false) THEN 'UNKNOWN' WHEN active THEN 'ACTIVE' ELSE 'EXPIRED' END AS expiry_status, CASE WHEN dark THEN 0 ELSE round_even(least(c, 1), 2) END AS confidence, NOT dark AND round_even(least(c, 1), 2) >= 0.5 AS tampering,
         CASE WHEN coalesce(kind NOT IN ('PASSPORT', 'VISA'), true) THEN 'NOT_APPLICABLE' WHEN dark THEN 'INSUFFICIENT_EVIDENCE' WHEN k % 4 = 0 THEN 'UNCERTAIN' WHEN k % 4 = 1 THEN 'STAMP_DETECTED' ELSE 'NO_STAMP_DETECTED' END AS stamp_status FROM o),
     t AS (SELECT *, CASE WHEN validation_status = 'INVALID' THEN 90 WHEN tampering THEN 75 ELSE 10 END::double AS stored_score, sha256(o_custkey || '-' || o_orderpriority) AS hash FROM s)"""
 
@@ -268,8 +269,8 @@ def _read_documents(table):
 
 @query(
     f"""{_SCREENED}, w AS (SELECT l_orderkey, round_even(avg(CASE WHEN l_linenumber % 4 > 0 THEN l_quantity * 2 END), 1) AS confidence, count(*) AS tokens, count_if(l_linenumber % 4 > 0 AND l_quantity * 2 < 70) AS review FROM lineitem GROUP BY 1)
-    SELECT k AS document_id, number AS identity_number, mrz_verification, (mrz_verification = 'MATCH')::int::double AS mrz_confidence, validation_status, expiry_status, tampering, stamp_status, stored_score, CASE WHEN stored_score >= 75 THEN 'HIGH' ELSE 'LOW' END AS risk_level,
-    confidence, coalesce(tokens, 0) AS tokens_detected, coalesce(review, 0) AS tokens_requiring_review FROM t LEFT JOIN w ON k = l_orderkey"""
+    SELECT k AS document_id, number AS identity_number, mrz_verification, (mrz_verification = 'MATCH')::int::double AS mrz_confidence, validation_status, expiry_status, tampering, t.confidence AS tampering_confidence, stamp_status, stored_score, CASE WHEN stored_score >= 75 THEN 'HIGH' ELSE 'LOW' END AS risk_level,
+    w.confidence, coalesce(tokens, 0) AS tokens_detected, coalesce(review, 0) AS tokens_requiring_review FROM t LEFT JOIN w ON k = l_orderkey"""
 )
 def documents_screened(table):
     confidence = F.when(F.col("l_linenumber") % 4 > 0, F.col("l_quantity") * 2).otherwise(-1.0)
@@ -278,6 +279,21 @@ def documents_screened(table):
     return rows.drop("document_type", "validation_score", "reasons")
 
 
+@query(
+    f"""{_SCREENED} SELECT 'scan-' || k || '.png' AS filename, CASE WHEN k % 8 = 4 THEN 'visa' ELSE kind END AS document_type, k::varchar AS document_id, 'SCR-' || k AS screening_id, CASE WHEN dark THEN 'FAILED' ELSE 'COMPLETED' END AS status, stored_score AS risk_score, CASE WHEN stored_score >= 75 THEN 'HIGH' ELSE 'LOW' END AS risk_level,
+    validation_status, CASE WHEN kind = 'PASSPORT' AND td3 THEN 100 WHEN kind = 'PASSPORT' THEN 0 WHEN kind = 'VISA' THEN CASE WHEN k % 8 = 4 OR mrv THEN 43 ELSE 0 END WHEN kind = 'AADHAAR' THEN CASE WHEN validation_status = 'VALID' THEN 100 ELSE 83 END ELSE 0 END AS validation_score, mrz_verification, tampering AS tampering_detected, confidence AS tampering_confidence, stamp_status,
+    NULL::varchar AS blockchain_status, sha256('{{"document":' || k || ',"score":' || stored_score::int || '}}') AS record_hash, NULL::varchar AS processing_seconds, CASE WHEN dark THEN 'the file ends within a chunk' END AS error FROM t"""
+)
+def evaluated_documents(table):
+    """All columns of an evaluation; documents whose image could not be decoded have failed, with the reason."""
+    docs = _read_documents(table)
+    rows = outcome.screened(docs, F.lit(AS_OF).cast("timestamp")).join(docs.select("document_id", F.col("image_error").alias("error")), "document_id")
+    payload = identifiers.canonical_json({"document": F.col("document_id"), "score": F.col("stored_score").cast("int")})
+    rows = rows.withColumns({"filename": F.concat(F.lit("scan-"), F.col("document_id").cast("string"), F.lit(".png")), "screening_id": F.concat(F.lit("SCR-"), F.col("document_id").cast("string")), "record_hash": identifiers.record_hash(payload)})
+    rows = rows.withColumn("document_id", F.col("document_id").cast("string")).withColumn("status", F.when(F.col("error").isNull(), "COMPLETED"))
+    return tables.evaluation_rows(rows.withColumnsRenamed({"stored_score": "risk_score", "tampering": "tampering_detected"}))
+
+
 @query(
     f"""{_SCREENED}, h AS (SELECT *, lag(hash) OVER (PARTITION BY hash ORDER BY k) AS same, CASE WHEN number IS NOT NULL THEN lag(hash) OVER (PARTITION BY kind, number ORDER BY k) END AS other FROM t)
     SELECT k AS document_id, CASE WHEN same IS NOT NULL THEN 'UNCHANGED' WHEN other IS NULL THEN 'NEW' WHEN other = hash THEN 'UNCHANGED' ELSE 'MISMATCH' END AS integrity_status, stored_score, CASE WHEN same IS NULL AND other <> hash THEN greatest(stored_score, 90) ELSE stored_score END AS record_score FROM h"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from idsieve.functions import display
 from idsieve.operators import imaging
 from idsieve.plans.registry import query
 
@@ -65,6 +66,14 @@ def tampering_scores(table):
     return table("lineitem").select("l_orderkey", "l_linenumber", t.alias("t")).select("l_orderkey", "l_linenumber", "t.confidence", "t.detected", F.size("t.indicators").alias("indicators"))
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 4 THEN 'Unavailable' ELSE printf('%d%%, %d%% | %d%% x %d%%', floor(l_discount * 100::double + 0.5)::int, floor(l_tax * 100::double + 0.5)::int, floor(l_quantity / 64 * 100 + 0.5)::int, floor(l_linenumber / 8 * 100 + 0.5)::int) END AS box FROM lineitem"""
+)
+def boxes_shown(table):
+    box = F.struct(F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), (F.col("l_quantity") / 64).alias("width"), (F.col("l_linenumber") / 8).alias("height"))
+    return table("lineitem").select("l_orderkey", "l_linenumber", display.box_text(F.when(F.col("l_linenumber") != 4, box)).alias("box"))
+
+
 _GATE = "CASE WHEN a > 2.8 OR f < 0.06 OR c < 0.04 THEN 'NO_STAMP_DETECTED' WHEN e >= 0.68 AND NOT (low AND e < 0.82) THEN 'STAMP_DETECTED' WHEN e >= 0.45 THEN 'UNCERTAIN' ELSE 'NO_STAMP_DETECTED' END"
 
 

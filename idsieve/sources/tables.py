@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idsieve.functions import identifiers
+from idsieve.functions.columns import unused
 
 EXTENSIONS = ["png", "jpg", "jpeg", "pdf"]
 MAX_BYTES = 15 * 1024 * 1024
@@ -36,10 +37,6 @@ def registered(files: DataFrame, document_type: str) -> DataFrame:
     )
 
 
-def once_per_file(files: DataFrame) -> DataFrame:
-    return files.dropDuplicates(["path", "modificationTime", "length"])
-
-
 def dataset(files: DataFrame, expected: int) -> DataFrame:
     """Files in order of their names without regard to case; fails if they are not as many as expected."""
     found = files.agg(F.count("*")).scalar()  # one number, not the files
@@ -49,9 +46,10 @@ def dataset(files: DataFrame, expected: int) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """One row of each key: the one with the highest version; of equal ones the new."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.col("__new").desc())
-    return both.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__new")
+    came, n = unused(old, "came", "n")
+    both = old.withColumn(came, F.lit(0)).unionByName(new.withColumn(came, F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.col(came).desc())
+    return both.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n, came)
 
 
 def evaluation_rows(rows: DataFrame) -> DataFrame:
@@ -65,13 +63,3 @@ def write_evaluation(rows: DataFrame, folder: str) -> None:
     out = evaluation_rows(rows)
     out.write.option("header", "true").csv(f"{folder}/csv")
     out.write.json(f"{folder}/json")
-
-
-def append(rows: DataFrame, table: str) -> None:
-    rows.write.mode("append").saveAsTable(table)
-
-
-def with_columns(rows: DataFrame, schema: str) -> DataFrame:
-    """The rows with the columns of a later schema that they lack, as nulls."""
-    wanted = rows.sparkSession.createDataFrame([], schema).schema
-    return rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in wanted if f.name not in rows.columns))

@@ -47,7 +47,7 @@ def test_mrz_dates(spark):
 def test_structure_errors(spark):
     cases = [(None, LINE2), (LINE1[:-1], LINE2), (LINE1, LINE2.replace("U", "-")), ("V" + LINE1[1:], LINE2), (LINE1.replace("<<", "<A"), LINE2), (LINE1, LINE2[:20] + "X" + LINE2[21:]), (LINE1, LINE2)]
     got = values(spark, *(mrz.error_of(F.lit(a).cast("string"), F.lit(b)) for a, b in cases))
-    parts = ["two MRZ lines", "line 1 must be 44", "invalid character(s): -", "does not start", "separator", "gender", None]
+    parts = ["two lines", "line 1 has", "no such line has: -", "begins with P", "parts surname", "the sex", None]
     assert all((g is None) if p is None else p in g for g, p in zip(got, parts, strict=True))
 
 
@@ -296,3 +296,19 @@ def test_ledger_snapshots(spark, tmp_path):
     parts, covered, later = ledger.ledger_parts(spark, out)
     assert (covered, later) == (4, [5]) and not (tmp_path / "ledger" / "batch=2").exists() and (tmp_path / "ledger" / "batch=4").exists()
     assert spark.read.parquet(f"{out}/upto=4").count() < 60 < ledger.ledger_partials(spark.createDataFrame(events[:500], SCHEMA), "o").count()
+
+
+def test_columns_of_the_caller_stay(spark):
+    """Operators use no names that a caller's columns have."""
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(1, t, "CONFIRMED", "h1", "p", "k", *"abcdefgh"), (2, t, "CONFIRMED", "h2", "p", "k", *"abcdefgh")]
+    df = spark.createDataFrame(rows, "record_id long, ts timestamp, status string, document_hash string, identity_type string, identity_key string, by_hash string, by_identity string, n string, when string, last string, carried string, own_document_hash string, came string")
+    for period in (None, F.to_date("ts")):
+        out = integrity.with_prior(df, ["ts", "record_id"], period)
+        assert out.columns == [*df.columns, "prior"] and [tuple(r)[:14] for r in out.orderBy("record_id").collect()] == rows
+    assert [tuple(r) for r in integrity.latest(df, "identity_key", [F.col("record_id")]).collect()] == rows[:1]
+    assert [tuple(r) for r in tables.upserted(df, df, "record_id", "ts").orderBy("record_id").collect()] == rows
+    cards = spark.createDataFrame([("Name: Anna Maria", "x", "y", "z", "w")], "text string, lines string, date string, number string, born string")
+    assert parsers.parse_residents(cards, F.lit("2024-06-15").cast("date")).columns == [*cards.columns, "identity"]
+    visas = spark.createDataFrame([("", None, None, "x", "y", "z")], "text string, line1 string, line2 string, grid string, second string, machine string")
+    assert parsers.parse_visas(visas).columns == [*visas.columns, "identity", "mrz"]

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from idsieve.operators import forensics, imaging
 from idsieve.operators.isolation import isolated
@@ -253,3 +254,18 @@ def test_one_bad_row_among_many(spark):
     assert all(r.double == 2 * v and r.error is None for v, r in got.items() if v != 617)
     assert calls.value <= 2 * 10 + 2
     assert isolated(rows.where("v < 0"), step, "double long", ["v"], ["v"]).count() == 0
+
+
+def test_contents_are_fetched_late(spark, tmp_path):
+    """Prior records are looked for without contents, whatever the records' table holds."""
+    red, blue = (images.encode_png(np.full((16, 16, 3), c, np.uint8)) for c in ((200, 0, 0), (0, 0, 200)))
+    rows = [(1, "CONFIRMED", "a", "p", "k", red), (2, "CONFIRMED", "b", "p", "k", blue), (3, "CONFIRMED", "c", "p", "k", b"no image"), (4, "CONFIRMED", "c", "p", "k", red), (5, "CONFIRMED", "d", None, None, red)]
+    spark.createDataFrame(rows, "record_id long, status string, document_hash string, identity_type string, identity_key string, content binary").write.parquet(str(tmp_path / "r"))
+    records = spark.read.parquet(str(tmp_path / "r"))
+    out = forensics.compared_with_prior(records, records.select("record_id", "content"), ["record_id"])
+    got = {r.record_id: (r.prior_id, r.comparison, r.changed, r.percent, r.error is None) for r in out.collect()}
+    assert got == {2: (1, "CHANGED", 256, 100.0, True), 3: (2, "UNAVAILABLE", None, None, False)}
+    scans = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in line or "Join" in line]
+    assert scans and not any("content" in line for line in scans if "Window" in line)
+    text = forensics.pixel_reasons(F.array(F.lit("x")), F.lit("CHANGED"), F.lit(12.5), [F.lit(n) for n in (1, 2, 3, 4)])
+    assert spark.range(1).select(text.alias("t")).first().t == ["x", "12.5000 % of the pixels changed, from (1, 2) to (3, 4)"]
