@@ -153,6 +153,63 @@ def machine_pairs(rows: DataFrame, visa: bool = False) -> DataFrame:
     return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("doc_id", "line1", "line2", "score")
 
 
+def pairs_of_documents(words: DataFrame, visa: bool = False, shift: float = ROW_SHIFT, gap: float = SEGMENT_GAP, least: int = SEGMENT_CHARS) -> DataFrame:
+    """From boxed words to the best pair of machine-readable lines of each document, with a single exchange: doc_id, line1, line2, score
+    and candidates (page, ord, text, role of every segment that is as long as a line).
+
+    The same as ``machine_pairs`` of ``segments`` of ``visual_rows``, by array functions on a document's words; ``ord`` counts its
+    segments. A document without a pair has null lines.
+    """
+    prefix, correct, valid = ("V<", mrz.correct_mrv, mrz.valid_mrv) if visa else ("P<", mrz.correct_td3, mrz.valid_td3)
+    order = ["page", "cy", "x", "ord", "text", "x2", "y", "y2"]
+    docs = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.col("cy").cast("double").alias("cy"), *order[2:]))).alias("w"))
+    # a row takes in what lies within the shift of its first word
+    start = F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("k"), F.array().cast("array<int>").alias("rows"))
+
+    def step(s: Column, v: Column) -> Column:
+        new = s["anchor"].isNull() | (s["page"] != v["page"]) | (F.abs(v["cy"] - s["anchor"]) > shift)
+        k = F.when(new, s["k"] + 1).otherwise(s["k"])
+        return F.struct(v["page"].cast("int").alias("page"), F.when(new, v["cy"]).otherwise(s["anchor"]).alias("anchor"), k.alias("k"), F.concat(s["rows"], F.array(k)).alias("rows"))
+
+    docs = docs.withColumn("rows", F.aggregate("w", start, step)["rows"])
+    placed = F.transform(F.arrays_zip("w", "rows"), lambda z: F.struct(z["rows"].alias("row"), *(z["w"][c].alias(c) for c in ("x", "ord", "page", "text", "x2", "y", "y2"))))
+    docs = docs.select("doc_id", F.array_sort(placed).alias("w"))
+
+    def opens(v: Column, i: Column) -> Column:
+        before = F.get(F.col("w"), i - 1)
+        return F.when(F.coalesce((before["row"] != v["row"]) | (v["x"] - before["x2"] > gap), F.lit(True)), i)
+
+    docs = docs.withColumn("starts", F.array_compact(F.transform("w", opens)))
+
+    def segment(begin: Column, n: Column) -> Column:
+        part = F.slice(F.col("w"), begin + 1, F.coalesce(F.get(F.col("starts"), n + 1), F.size("w")) - begin)
+        return mrz.once(part, lambda p: F.struct(F.get(p, F.lit(0))["page"].alias("page"), n.alias("ord"), F.array_join(F.transform(p, lambda v: v["text"]), "").alias("text"), F.array_min(F.transform(p, lambda v: v["x"])).alias("x"), F.array_min(F.transform(p, lambda v: v["y"])).alias("y")))
+
+    docs = docs.select("doc_id", F.filter(F.transform("starts", segment), lambda s: F.length(s["text"]) >= least).alias("segments"))
+    cleaned = F.transform("segments", lambda s: F.struct(*(s[c].alias(c) for c in ("page", "ord", "text", "x", "y")), mrz.clean_line(s["text"]).alias("line")))
+    docs = docs.select("doc_id", F.filter(cleaned, lambda s: F.length(s["line"]) == mrz.LENGTH).alias("lines"))
+    checks = [9, 19, 27] if visa else [9, 19, 27, 42]
+    numeric = lambda x: F.concat(*(mrz.piece(x, at, 1) for at in checks)).rlike(f"^[0-9]{{{len(checks)}}}$")
+    second = F.transform(F.filter("lines", lambda s: numeric(s["line"])), lambda s: F.struct(*(s[c].alias(c) for c in ("page", "ord", "x", "y")), correct(s["line"]).alias("line2")))
+    docs = docs.withColumn("second", second).withColumn("second", F.filter("second", lambda s: valid(s["line2"])))
+    starts_as = lambda line: line.startswith(prefix) | (line.startswith("VN") if visa else F.lit(False))
+
+    def paired(a: Column) -> Column:
+        near = F.filter("second", lambda b: (a["page"] == b["page"]) & (b["y"] - a["y"]).between(*PAIR_GAP) & (F.abs(b["x"] - a["x"]) <= PAIR_SHIFT))
+
+        def scored(b: Column) -> Column:
+            line1 = mrz.line1_of_row(a["text"], prefix, F.lit(True), b["y"] - a["y"])
+            both = lambda one: 400.0 + mrz.line_score(one, prefix) + mrz.line_score(b["line2"], prefix) + F.greatest(F.lit(0.0), 80.0 - F.abs(a["x"] - b["x"])) + F.greatest(F.lit(0.0), 80.0 - (b["y"] - a["y"]))
+            return mrz.once(line1, lambda one: F.when(one.isNotNull(), F.struct((-both(one)).alias("less"), a["page"].alias("page"), a["ord"].alias("ord"), b["ord"].alias("ord2"), one.alias("line1"), b["line2"].alias("line2"))))
+
+        return F.transform(near, scored)
+
+    pairs = F.array_compact(F.flatten(F.transform(F.filter("lines", lambda s: starts_as(s["line"])), paired)))
+    roles = F.transform("lines", lambda s: F.struct(*(s[c].alias(c) for c in ("page", "ord", "text")), F.when(starts_as(s["line"]), "line1").when(F.exists("second", lambda b: b["ord"] == s["ord"]), "line2").otherwise("rejected").alias("role")))
+    out = docs.select("doc_id", F.array_min(pairs).alias("best"), roles.alias("candidates"))
+    return out.select("doc_id", "best.line1", "best.line2", (-F.col("best.less")).alias("score"), "candidates")
+
+
 def candidate_checks(rows: DataFrame, visa: bool = False) -> DataFrame:
     """What was looked at when rows were taken or not taken for machine-readable lines: doc_id, page, ord, tier, role, line, nth, check,
     given, wanted and passed, a row for each check of each candidate.

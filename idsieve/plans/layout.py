@@ -119,6 +119,23 @@ def richest_readings(table):
     return layout.richest_reading(table("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), variant.alias("variant"), "text"), ["NAME", "THE"])
 
 
+def line_words(table):
+    """Words of a page for each order: a heading, line 1, and line 2 in three words whose boxes are a little off."""
+    rows = identity.lines(table).select(F.col("o_orderkey").alias("doc_id"), F.array(F.array(F.lit("REPUBLIC"), F.lit("OF"), F.lit("UTOPIA")), F.array(F.lit(identity._NAME_LINE)), F.array(F.substring("line2", 1, 20), F.substring("line2", 21, 10), F.substring("line2", 31, 14))).alias("rows"))
+    tokens = rows.select("doc_id", F.posexplode("rows").alias("row", "tokens")).select("doc_id", "row", F.posexplode("tokens").alias("n", "text"))
+    x, y = 20.0 + F.col("row") * 3 + F.col("n") * 210, 500.0 + F.col("row") * 40 + F.col("n") * 2
+    return tokens.select("doc_id", F.lit(1).alias("page"), (F.col("row") * 10 + F.col("n")).alias("ord"), "text", F.lit(90.0).alias("confidence"), x.alias("x"), y.alias("y"), F.lit(200.0).alias("width"), F.lit(14.0).alias("height"))
+
+
+@query(
+    f"""{identity._LINE} SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 > 0 OR {identity.sql_check_digit('expiry')} = '9' THEN line2 END AS line2, 2 AS candidates, (o_orderkey % 5 > 0 OR {identity.sql_check_digit('expiry')} = '9')::int AS verified FROM line"""
+)
+def pairs_from_words(table):
+    """From words to pairs in one plan, with what became of each candidate."""
+    rows = layout.pairs_of_documents(layout.boxed(line_words(table)))
+    return rows.select("doc_id", "line2", F.size("candidates").alias("candidates"), F.size(F.filter("candidates", lambda c: c["role"] == "line2")).alias("verified"))
+
+
 _REJECTED = f"""{identity._LINE}, b AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN substring(line2, 1, 40) WHEN 1 THEN substring(line2, 1, 9) || '<' || substring(line2, 11) WHEN 2 THEN substring(line2, 1, 19) || 'X' || substring(line2, 21) ELSE line2 END AS second, CASE o_orderkey % 4 WHEN 0 THEN rpad('P<UTOERIKSSON<ANNA<', 44, 'X') WHEN 1 THEN 'P<UTOERIKSSON<<ANNA' ELSE '{identity._NAME_LINE}' END AS first FROM line),
     one AS (SELECT doc_id, 0 AS ord, 'line1' AS role, first AS line, unnest(CASE WHEN length(first) <> 44 THEN [{{'nth': 0, 'check': 'length', 'given': length(first)::varchar, 'wanted': '44'}}] ELSE [{{'nth': 0, 'check': 'length', 'given': '44', 'wanted': '44'}}, {{'nth': 1, 'check': 'prefix', 'given': 'P<', 'wanted': 'P<'}}, {{'nth': 2, 'check': 'separator', 'given': CASE WHEN contains(substring(first, 6), '<<') THEN '<<' ELSE '' END, 'wanted': '<<'}}] END) AS c FROM b),
     two AS (SELECT doc_id, 1 AS ord, 'line2' AS role, second AS line, unnest(CASE WHEN length(second) <> 44 THEN [{{'nth': 0, 'check': 'length', 'given': length(second)::varchar, 'wanted': '44'}}] ELSE [{{'nth': 0, 'check': 'length', 'given': '44', 'wanted': '44'}}, {", ".join(f"{{'nth': {n}, 'check': '{name} digit', 'given': substring(second, {at + 1}, 1), 'wanted': {identity.sql_check_digit(field)}}}" for n, name, at, field in ((1, "number", 9, "substring(second, 1, 9)"), (2, "birth", 19, "substring(second, 14, 6)"), (3, "expiry", 27, "substring(second, 22, 6)"), (4, "optional", 42, "substring(second, 29, 14)"), (5, "composite", 43, "(substring(second, 1, 10) || substring(second, 14, 7) || substring(second, 22, 22))")))}] END) AS c FROM b),
