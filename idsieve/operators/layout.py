@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idsieve.functions import mrz, text
+from idsieve.functions import identifiers, mrz, text
 
 ROW_SHIFT, SEGMENT_GAP, SEGMENT_CHARS = 14.0, 60.0, 12
 RIGHT_REACH, BELOW_REACH, LEFT_SLACK, RIGHT_SLACK = 200.0, 70.0, 12.0, 35.0
@@ -127,10 +127,19 @@ def label_texts(anchors: DataFrame, words: DataFrame) -> DataFrame:
     return near.groupBy("doc_id", "field").agg(_joined_by_x(F.collect_list("b")).alias("below"), _joined_by_x(F.collect_list("r")).alias("right"))
 
 
-def labelled_values(rows: DataFrame, labels: dict[str, list[str]], parse) -> DataFrame:
-    """doc_id, field and value: what stands below a label if it parses, else what stands right of it. parse: (field, text) to a column."""
-    found = label_texts(label_anchors(rows, labels), rows)
-    return found.select("doc_id", "field", F.coalesce(parse(F.col("field"), F.col("below")), parse(F.col("field"), F.col("right"))).alias("value"))
+def labelled_values(rows: DataFrame, labels: dict[str, list[str]], parse, texts: DataFrame | None = None) -> DataFrame:
+    """doc_id, field and value: of what stands below a label, or if nothing does, right of it. parse: (field, text) to a column.
+
+    texts: doc_id and text. With them a passport's cell that is no number by itself gives the only number of the text that ends as the
+    cell does.
+    """
+    found = label_texts(label_anchors(rows, labels), rows).withColumn("cell", F.coalesce("below", "right"))
+    value = parse(F.col("field"), F.col("cell"))
+    if texts is None:
+        return found.select("doc_id", "field", value.alias("value"))
+    rows = found.join(texts.select("doc_id", F.col("text").alias("said")), "doc_id", "left")
+    whole = F.when(F.col("field") == "passport_number", identifiers.corroborated_passport(F.col("said"), F.col("cell")))
+    return rows.select("doc_id", "field", F.coalesce(value, whole).alias("value"))
 
 
 def machine_pairs(rows: DataFrame, visa: bool = False) -> DataFrame:

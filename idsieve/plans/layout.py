@@ -60,11 +60,16 @@ def form_words(table):
 @query(
     """WITH v AS (SELECT o_orderkey AS doc_id, 'passport_number' AS field, 'K' || lpad(o_orderkey::varchar, 7, '0') AS value FROM orders UNION ALL SELECT o_orderkey, 'entries', CASE WHEN o_orderkey % 2 = 0 THEN 'MULTIPLE' ELSE 'SINGLE' END FROM orders
     UNION ALL SELECT o_orderkey, 'issue_date', strftime(o_orderdate, '%d/%m/%Y') FROM orders UNION ALL SELECT o_orderkey, 'nationality', 'UTO' FROM orders UNION ALL SELECT o_orderkey, 'gender', CASE WHEN o_orderkey % 3 = 0 THEN 'F' END FROM orders
-    UNION ALL SELECT o_orderkey, 'control_number', (1000000000000 + o_orderkey)::varchar FROM orders) SELECT * FROM v"""
+    UNION ALL SELECT o_orderkey, 'control_number', (1000000000000 + o_orderkey)::varchar FROM orders) SELECT doc_id, field, CASE WHEN field = 'passport_number' AND doc_id % 8 = 7 THEN NULL ELSE value END AS value FROM v"""
 )
 def labelled_values(table):
-    rows = layout.visual_rows(layout.boxed(form_words(table)))
-    return layout.labelled_values(rows, layout.VISA_LABELS, parsers.field_value)
+    """Of every fourth order the passport number's letter was not read; the text tells it, unless it has two such numbers."""
+    k = F.col("doc_id")
+    cut = F.when((k % 4 == 3) & F.col("text").rlike("^K[0-9]{7}$"), F.substring("text", 2, 7)).otherwise(F.col("text"))
+    rows = layout.visual_rows(layout.boxed(form_words(table).withColumn("text", cut)))
+    number = F.lpad(F.col("o_orderkey").cast("string"), 7, "0")
+    texts = table("orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("VISA no K"), number, F.when(F.col("o_orderkey") % 8 == 7, F.concat(F.lit(" or L"), number)).otherwise("")).alias("text"))
+    return layout.labelled_values(rows, layout.VISA_LABELS, parsers.field_value, texts)
 
 
 @query(
