@@ -147,13 +147,13 @@ def machine_pairs(rows: DataFrame, visa: bool = False) -> DataFrame:
 
     rows: doc_id, page, ord, text, x, y. Line 2 is corrected before it is checked; ties go to the earlier rows.
     """
-    prefix, correct, valid = ("V<", mrz.correct_mrv, mrz.valid_mrv) if visa else ("P<", mrz.correct_td3, mrz.valid_td3)
+    prefix = "V<" if visa else "P<"
     cleaned = rows.withColumn("line", mrz.clean_line(F.col("text"))).where(F.length("line") == mrz.LENGTH)
     # each row is corrected and checked once, before the join
     checks = [9, 19, 27] if visa else [9, 19, 27, 42]  # correction leaves check digits as they are
     numeric = F.concat(*(mrz.piece(F.col("line"), at, 1) for at in checks)).rlike(f"^[0-9]{{{len(checks)}}}$")
     # exploding the one corrected line keeps the filter on it from computing it again
-    second = cleaned.where(numeric).withColumn("line2", F.explode(F.array(correct(F.col("line"))))).where(valid(F.col("line2"))).select(*PAGE, F.col("ord").alias("ord2"), F.col("x").alias("bx"), F.col("y").alias("by"), "line2")
+    second = cleaned.where(numeric).withColumn("put", F.explode(F.array(mrz.corrected_line2(F.col("line"), visa)))).where("put.right").withColumn("line2", F.col("put.line")).select(*PAGE, F.col("ord").alias("ord2"), F.col("x").alias("bx"), F.col("y").alias("by"), "line2")
     starts = F.col("line").startswith(prefix) | (F.col("line").startswith("VN") if visa else F.lit(False))  # only these can be a line 1
     pairs = cleaned.where(starts).join(second, PAGE).withColumn("gap", F.col("by") - F.col("y")).where(F.col("gap").between(*PAIR_GAP) & (F.abs(F.col("bx") - F.col("x")) <= PAIR_SHIFT))
     pairs = pairs.withColumn("line1", mrz.line1_of_row(F.col("text"), prefix, F.lit(True), F.col("gap"))).where(F.col("line1").isNotNull())
@@ -169,7 +169,7 @@ def pairs_of_documents(words: DataFrame, visa: bool = False, shift: float = ROW_
     The same as ``machine_pairs`` of ``segments`` of ``visual_rows``, by array functions on a document's words; ``ord`` counts its
     segments. A document without a pair has null lines.
     """
-    prefix, correct, valid = ("V<", mrz.correct_mrv, mrz.valid_mrv) if visa else ("P<", mrz.correct_td3, mrz.valid_td3)
+    prefix = "V<" if visa else "P<"
     order = ["page", "cy", "x", "ord", "text", "x2", "y", "y2"]
     docs = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.col("cy").cast("double").alias("cy"), *order[2:]))).alias("w"))
     # a row takes in what lies within the shift of its first word
@@ -199,8 +199,8 @@ def pairs_of_documents(words: DataFrame, visa: bool = False, shift: float = ROW_
     docs = docs.select("doc_id", F.filter(cleaned, lambda s: F.length(s["line"]) == mrz.LENGTH).alias("lines"))
     checks = [9, 19, 27] if visa else [9, 19, 27, 42]
     numeric = lambda x: F.concat(*(mrz.piece(x, at, 1) for at in checks)).rlike(f"^[0-9]{{{len(checks)}}}$")
-    second = F.transform(F.filter("lines", lambda s: numeric(s["line"])), lambda s: F.struct(*(s[c].alias(c) for c in ("page", "ord", "x", "y")), correct(s["line"]).alias("line2")))
-    docs = docs.withColumn("second", second).withColumn("second", F.filter("second", lambda s: valid(s["line2"])))
+    second = F.transform(F.filter("lines", lambda s: numeric(s["line"])), lambda s: F.struct(*(s[c].alias(c) for c in ("page", "ord", "x", "y")), mrz.corrected_line2(s["line"], visa).alias("put")))
+    docs = docs.withColumn("second", second).withColumn("second", F.transform(F.filter("second", lambda s: s["put"]["right"]), lambda s: F.struct(*(s[c].alias(c) for c in ("page", "ord", "x", "y")), s["put"]["line"].alias("line2"))))
     starts_as = lambda line: line.startswith(prefix) | (line.startswith("VN") if visa else F.lit(False))
 
     def paired(a: Column) -> Column:
