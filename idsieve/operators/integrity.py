@@ -73,22 +73,42 @@ def verdict(uploaded: Column, stored: Column, chain: Column, confirmed: Column)
     return F.struct(same.alias("hash_match"), on_chain.alias("chain_match"), F.when(same & on_chain, "VERIFIED").otherwise("FAILED").alias("status"), reason.alias("reason"))
 
 
+def ledger_partials(events: DataFrame, owner: str) -> DataFrame:
+    """By id and hash the last seq of a store (and its actor), of a verification, and of a revocation by the owner.
+
+    events: seq, id, actor, action and document_hash.
+    """
+    seq = lambda condition: F.when(condition, F.col("seq"))
+    stored = seq(F.col("action") == "store")
+    return events.groupBy("id", "document_hash").agg(F.max(stored).alias("stored"), F.max_by("actor", stored).alias("recorder"), F.max(seq((F.col("action") == "verify") & F.col("document_hash").isNotNull())).alias("verified"), F.max(seq((F.col("action") == "revoke") & (F.col("actor") == owner))).alias("revoked"))
+
+
+def combined_partials(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("id", "document_hash").agg(F.max("stored").alias("stored"), F.max_by("recorder", "stored").alias("recorder"), F.max("verified").alias("verified"), F.max("revoked").alias("revoked"))
+
+
+def ledger_state(partials: DataFrame) -> DataFrame:
+    """id, document_hash, status, recorder and stored_at of each id with a stored record, from all partial states.
+
+    The last store begins the record anew; after it the owner's revocation or a verification of its own hash counts,
+    whichever is later.
+    """
+    last = combined_partials(partials).groupBy("id").agg(F.max_by(F.struct("document_hash", "stored", "recorder", "verified"), "stored").alias("s"), F.max("revoked").alias("revoked")).where(F.col("s.stored").isNotNull())
+    verified = F.when(F.col("s.verified") > F.col("s.stored"), F.struct(F.col("s.verified").alias("at"), F.lit("VERIFIED").alias("status")))
+    revoked = F.when(F.col("revoked") > F.col("s.stored"), F.struct(F.col("revoked").alias("at"), F.lit("REVOKED").alias("status")))
+    latest = F.greatest(F.struct(F.col("s.stored").alias("at"), F.lit("REGISTERED").alias("status")), verified, revoked)
+    return last.select("id", "s.document_hash", latest["status"].alias("status"), "s.recorder", F.col("s.stored").alias("stored_at"))
+
+
 def ledger_fold(events: DataFrame, owner: str) -> DataFrame:
-    """The state of each id after its events (seq, id, actor, action, document_hash): hash, status, recorder and stored_at.
+    """The state of each id after its events (seq, id, actor, action, document_hash): hash, status, recorder, stored_at and stores.
 
     ``store`` overwrites whatever was there, ``verify`` sets VERIFIED where the hash is the stored one (after a
-    revocation too), ``revoke`` counts from the owner only; the last two need a stored record.
+    revocation too), ``revoke`` counts from the owner only; the last two need a stored record. Maxima by id and hash tell it all, so
+    events of one id are aggregated where they are and never put in order.
     """
-    step = Window.partitionBy("id").orderBy("seq")
-    stores = F.count_if(F.col("action") == "store").over(step)
-    # a life of a record begins with each store; within it the last effective event decides
-    rows = events.withColumn("life", stores).where("life > 0")
-    life = Window.partitionBy("id", "life").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("hash", F.first("document_hash").over(life))
-    state = F.when(F.col("action") == "store", "REGISTERED").when((F.col("action") == "verify") & (F.col("document_hash") == F.col("hash")), "VERIFIED").when((F.col("action") == "revoke") & (F.col("actor") == owner), "REVOKED")
-    effective = rows.withColumn("state", state).where("state IS NOT NULL")
-    last = effective.groupBy("id").agg(F.max_by(F.struct("hash", "state", "life"), F.struct("life", "seq")).alias("s"), F.max_by(F.struct("actor", "seq"), F.when(F.col("action") == "store", F.col("seq"))).alias("by"))
-    return last.select("id", F.col("s.hash").alias("document_hash"), F.col("s.state").alias("status"), F.col("by.actor").alias("recorder"), F.col("by.seq").alias("stored_at"), F.col("s.life").alias("stores"))
+    stores = events.groupBy(F.col("id").alias("own")).agg(F.count_if(F.col("action") == "store").alias("stores"))
+    return ledger_state(ledger_partials(events, owner)).join(stores, F.col("id").eqNullSafe(F.col("own"))).drop("own")
 
 
 def verified_records(records: DataFrame, ledger: DataFrame) -> DataFrame:

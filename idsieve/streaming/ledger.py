@@ -13,17 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-PARTIALS = "id string, document_hash string, stored long, recorder string, verified long, revoked long"
-
-
-def ledger_partials(events: DataFrame, owner: str) -> DataFrame:
-    """By id and hash the last seq of a store (and its actor), of a verification, and of a revocation by the owner.
+from idsieve.operators.integrity import combined_partials, ledger_partials, ledger_state
 
-    events: seq, id, actor, action and document_hash.
-    """
-    seq = lambda condition: F.when(condition, F.col("seq"))
-    stored = seq(F.col("action") == "store")
-    return events.groupBy("id", "document_hash").agg(F.max(stored).alias("stored"), F.max_by("actor", stored).alias("recorder"), F.max(seq(F.col("action") == "verify")).alias("verified"), F.max(seq((F.col("action") == "revoke") & (F.col("actor") == owner))).alias("revoked"))
+PARTIALS = "id string, document_hash string, stored long, recorder string, verified long, revoked long"
 
 
 def write_ledger(events: DataFrame, owner: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -35,10 +27,6 @@ def write_ledger(events: DataFrame, owner: str, path: str, checkpoint: str) -> S
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _combined(partials: DataFrame) -> DataFrame:
-    return partials.groupBy("id", "document_hash").agg(F.max("stored").alias("stored"), F.max_by("recorder", "stored").alias("recorder"), F.max("verified").alias("verified"), F.max("revoked").alias("revoked"))
-
-
 def snapshot(partials: DataFrame) -> DataFrame:
     """Partial states with the same ledger_state, now and together with whatever further ones, but only those that matter.
 
@@ -46,26 +34,13 @@ def snapshot(partials: DataFrame) -> DataFrame:
     revocations seen after that store: they may come before a store that is still to be read.
     """
     last = F.max("stored").over(Window.partitionBy("id"))
-    rows = _combined(partials).withColumn("last", last)
+    rows = combined_partials(partials).withColumn("last", last)
     later = lambda c: F.when(F.col("last").isNull() | (F.col(c) > F.col("last")), F.col(c))
     kept = rows.where(F.col("last").isNull() | (F.col("stored") == F.col("last")) | (F.col("verified") > F.col("last")) | (F.col("revoked") > F.col("last")))
     own = F.col("stored") == F.col("last")
     return kept.select("id", "document_hash", F.when(own, F.col("stored")).alias("stored"), F.when(own, F.col("recorder")).alias("recorder"), later("verified").alias("verified"), later("revoked").alias("revoked"))
 
 
-def ledger_state(partials: DataFrame) -> DataFrame:
-    """id, document_hash, status, recorder and stored_at of each id with a stored record, from all partial states.
-
-    The last store begins the record anew; after it the owner's revocation or a verification of its own hash counts,
-    whichever is later.
-    """
-    last = _combined(partials).groupBy("id").agg(F.max_by(F.struct("document_hash", "stored", "recorder", "verified"), "stored").alias("s"), F.max("revoked").alias("revoked")).where(F.col("s.stored").isNotNull())
-    verified = F.when(F.col("s.verified") > F.col("s.stored"), F.struct(F.col("s.verified").alias("at"), F.lit("VERIFIED").alias("status")))
-    revoked = F.when(F.col("revoked") > F.col("s.stored"), F.struct(F.col("revoked").alias("at"), F.lit("REVOKED").alias("status")))
-    latest = F.greatest(F.struct(F.col("s.stored").alias("at"), F.lit("REGISTERED").alias("status")), verified, revoked)
-    return last.select("id", "s.document_hash", latest["status"].alias("status"), "s.recorder", F.col("s.stored").alias("stored_at"))
-
-
 def _folders(spark: SparkSession, path: str, kind: str) -> list[int]:
     """Numbers of the finished folders ``kind=N``; one for each trigger or snapshot since the last compaction."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
