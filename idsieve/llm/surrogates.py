@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from . import scratch
 
 KEY_SETTING = "spark.idsieve.surrogates.secretKey"  # Spark hides the values of settings that are called secret
-#: Spark's SQL parser keeps what it learns of the long expressions here, some 100 MB on the driver, unless it may let it go.
-PARSER = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "2000"}
+#: Spark's SQL parser keeps what it learns of the long expressions here, some 100 MB on the driver, unless it may let it go; and each
+#: query's plan is sent about as text, of which some thousand characters are enough.
+PARSER = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "2000", "spark.sql.maxPlanStringLength": "8000"}
 ROUNDS = 6
 MAX_ATTEMPTS = 12
 # Titles by gender, and syllables and endings to coin names from, by script.
@@ -362,7 +363,8 @@ def _replaced(docs: DataFrame, key: str, column: str) -> DataFrame:
     made = surrogate(key, "f.x", "f.kind", None if moved is None else f"`{entry}`")
     text = F.expr(f"CASE WHEN size(`{hits}`) > 0 THEN array_join(flatten(zip_with(split(text, {_q(ENTITY)}, -1), transform(`{hits}`, f -> {made}), (p, s) -> array(p, coalesce(s, '')))), '') ELSE text END")
     count = F.coalesce(F.size(F.filter(hits, lambda f: f["kind"].isNotNull())), F.lit(0)).cast("long").alias(column)
-    return found.select(*(text.alias("text") if c == "text" else f"`{c}`" for c in own), count)
+    # written here, so that the driver plans the long expressions once and not again with each step that follows
+    return scratch.saved(found.select(*(text.alias("text") if c == "text" else f"`{c}`" for c in own), count), "surrogate-texts")
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
