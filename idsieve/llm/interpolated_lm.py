@@ -13,8 +13,10 @@ and are learned by expectation-maximisation on a fold of the training texts that
    estimate and how often they occur. A step of expectation-maximisation is one aggregation of that table.
 4. Every block is joined with its answers and scored.
 
-Bytes shuffled are in proportion to the text whatever the number of blocks and ranges; a task holds a block
-of texts or a range of requests, both of bounded size. A single text longer than a block is one by itself.
+The numbers shuffled are in proportion to the text; a task holds a block of texts or a range of requests, both of bounded size. A
+single text longer than a block is one by itself. There is a row for each block and range that have n-grams in common, so the more
+text there is, the fewer numbers a row has: from some tens of thousands of blocks on, rows weigh more than their numbers, and blocks
+and ranges should be larger.
 """
 
 from __future__ import annotations
