@@ -200,8 +200,9 @@ def compared_with_prior(records: DataFrame, files: DataFrame, order: list[str],
     rows = integrity.with_prior(narrow, order, period)
     differs = integrity.classification(F.col("document_hash"), F.col("prior.document_hash")) == "MISMATCH"
     pairs = rows.where(differs).select("record_id", F.col("prior.record_id").alias("prior_id"))
-    own = pairs.join(files.select("record_id", "content"), "record_id", "left")
-    prior = files.select(F.col("record_id").alias("prior_id"), F.col("content").alias("prior_content"))
+    # contents that a step makes are taken for as many bytes as its input has; the hint keeps them from being broadcast
+    own = pairs.join(files.select("record_id", "content").hint("merge"), "record_id", "left")
+    prior = files.select(F.col("record_id").alias("prior_id"), F.col("content").alias("prior_content")).hint("merge")
     return compared_contents(own.join(prior, "prior_id", "left"), ["record_id", "prior_id"])
 
 

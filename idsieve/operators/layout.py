@@ -120,7 +120,8 @@ def label_texts(anchors: DataFrame, words: DataFrame) -> DataFrame:
     under = (y > F.col("ay2")) & (y <= F.col("ay2") + BELOW_REACH) & (F.col("x2") >= F.col("ax") - LEFT_SLACK) & (x <= F.col("ax2") + RIGHT_SLACK)
     beside = (F.abs(y - (F.col("ay") + F.col("ay2")) / 2) <= ROW_SHIFT) & (x > F.col("ax2")) & (x - F.col("ax2") <= RIGHT_REACH)
     same = (F.col("doc_id") == F.col("w_doc_id")) & (F.col("page") == F.col("w_page"))
-    near = anchors.join(page, same & (under | beside), "left").withColumn("under", under)
+    # Spark takes exploded words for as few bytes as what they come from and would broadcast them; the hint has them sorted instead
+    near = anchors.join(page.hint("merge"), same & (under | beside), "left").withColumn("under", under)
     top = F.min(F.when(F.col("under"), y)).over(Window.partitionBy("doc_id", "field"))
     word = F.struct("x", "ord", "text")
     near = near.select("doc_id", "field", F.when(F.col("under") & (F.abs(y - top) <= ROW_SHIFT), word).alias("b"), F.when(beside, word).alias("r"))
@@ -137,7 +138,7 @@ def labelled_values(rows: DataFrame, labels: dict[str, list[str]], parse, texts:
     value = parse(F.col("field"), F.col("cell"))
     if texts is None:
         return found.select("doc_id", "field", value.alias("value"))
-    rows = found.join(texts.select("doc_id", F.col("text").alias("said")), "doc_id", "left")
+    rows = found.join(texts.select("doc_id", F.col("text").alias("said")).hint("merge"), "doc_id", "left")
     whole = F.when(F.col("field") == "passport_number", identifiers.corroborated_passport(F.col("said"), F.col("cell")))
     return rows.select("doc_id", "field", F.coalesce(value, whole).alias("value"))
 
@@ -155,7 +156,7 @@ def machine_pairs(rows: DataFrame, visa: bool = False) -> DataFrame:
     # exploding the one corrected line keeps the filter on it from computing it again
     second = cleaned.where(numeric).withColumn("put", F.explode(F.array(mrz.corrected_line2(F.col("line"), visa)))).where("put.right").withColumn("line2", F.col("put.line")).select(*PAGE, F.col("ord").alias("ord2"), F.col("x").alias("bx"), F.col("y").alias("by"), "line2")
     starts = F.col("line").startswith(prefix) | (F.col("line").startswith("VN") if visa else F.lit(False))  # only these can be a line 1
-    pairs = cleaned.where(starts).join(second, PAGE).withColumn("gap", F.col("by") - F.col("y")).where(F.col("gap").between(*PAIR_GAP) & (F.abs(F.col("bx") - F.col("x")) <= PAIR_SHIFT))
+    pairs = cleaned.where(starts).join(second.hint("merge"), PAGE).withColumn("gap", F.col("by") - F.col("y")).where(F.col("gap").between(*PAIR_GAP) & (F.abs(F.col("bx") - F.col("x")) <= PAIR_SHIFT))
     pairs = pairs.withColumn("line1", mrz.line1_of_row(F.col("text"), prefix, F.lit(True), F.col("gap"))).where(F.col("line1").isNotNull())
     score = 400.0 + mrz.line_score(F.col("line1"), prefix) + mrz.line_score(F.col("line2"), prefix) + F.greatest(F.lit(0.0), 80.0 - F.abs(F.col("x") - F.col("bx"))) + F.greatest(F.lit(0.0), 80.0 - F.col("gap"))
     best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "page", "ord", "ord2")
@@ -262,10 +263,10 @@ def machine_region(rows: DataFrame) -> DataFrame:
     low = rows.where((F.col("y") >= F.col("page_height") * REGION_FROM) & (F.length("text") >= REGION_CHARS))
     second = low.select(*PAGE, F.col("ord").alias("ord2"), F.length("text").alias("length2"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("y2").alias("by2"))
     gap = F.col("by") - F.col("y")
-    pairs = low.join(second, PAGE).where((F.col("ord2") > F.col("ord")) & gap.between(F.lit(PAIR_GAP[0]), F.greatest(F.lit(PAIR_GAP[1]), F.col("page_height") * REGION_GAP)))
+    pairs = low.join(second.hint("merge"), PAGE).where((F.col("ord2") > F.col("ord")) & gap.between(F.lit(PAIR_GAP[0]), F.greatest(F.lit(PAIR_GAP[1]), F.col("page_height") * REGION_GAP)))
     score = F.length("text") + F.col("length2") + F.greatest(F.lit(0.0), 100.0 - F.abs(F.col("x") - F.col("bx"))) + F.col("y") / F.col("page_height") * 10
     best = pairs.groupBy(*PAGE).agg(F.min_by(F.struct("y", "by2"), F.struct(-score, "ord", "ord2")).alias("best"))
-    pages = rows.groupBy(*PAGE).agg(F.max("page_height").alias("h")).join(best, PAGE, "left")
+    pages = rows.groupBy(*PAGE).agg(F.max("page_height").alias("h")).join(best.hint("merge"), PAGE, "left")
     top = F.coalesce(F.greatest(F.lit(0), F.col("best.y").cast("int") - 24), (F.col("h") * 0.55).cast("int"))
     bottom = F.coalesce(F.least(F.col("h").cast("int"), F.col("best.by2").cast("int") + 24), F.col("h").cast("int"))
     return pages.select(*PAGE, top.alias("top"), bottom.alias("bottom"))
@@ -279,7 +280,7 @@ def candidate_pairs(rows: DataFrame, prefix: str) -> DataFrame:
     lines = rows.where(F.length("text") == mrz.LENGTH)
     first = lines.select("doc_id", F.col("ord").alias("ord1"), mrz.normalise_line1(F.col("text")).alias("line1")).where(F.col("line1").startswith(prefix) & (F.length("line1") == mrz.LENGTH))
     second = lines.where(mrz.valid_td3(F.col("text")) | mrz.valid_mrv(F.col("text"))).select("doc_id", F.col("ord").alias("ord2"), F.col("text").alias("line2"))
-    return first.join(second, "doc_id").select("doc_id", "line1", "line2", "ord1", "ord2")
+    return first.join(second.hint("merge"), "doc_id").select("doc_id", "line1", "line2", "ord1", "ord2")
 
 
 def lowest_rows(rows: DataFrame, k: int) -> DataFrame:

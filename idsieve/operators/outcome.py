@@ -76,7 +76,7 @@ def screened(docs: DataFrame, as_of: Column, words: DataFrame | None = None) ->
     if words is None:
         return out
     metrics = layout.word_metrics(words).withColumnRenamed("doc_id", "document_id")
-    return out.join(metrics, "document_id", "left").na.fill(0, ["tokens_detected", "tokens_requiring_review"])
+    return out.join(metrics.hint("merge"), "document_id", "left").na.fill(0, ["tokens_detected", "tokens_requiring_review"])
 
 
 def recorded(screenings: DataFrame, order: list[str]) -> DataFrame:
