@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from idsieve.operators import forensics
 from idsieve.plans.registry import query
-from idsieve.sources import images
+from idsieve.sources import images, tables
 
 
 def files(table):
@@ -24,7 +24,7 @@ def files(table):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "content": out})
 
     squares = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("int"))
-    return table("embeddings").select(F.col("vec_id").alias("doc_id"), squares.alias("squares")).mapInPandas(run, "doc_id long, content binary")
+    return tables.spread(table("embeddings").select("vec_id", "embedding")).select(F.col("vec_id").alias("doc_id"), squares.alias("squares")).mapInPandas(run, "doc_id long, content binary")
 
 
 _FILES = """WITH f AS (SELECT vec_id AS k, list_transform(embedding, lambda e: (floor(abs(e::double) * 1000) % 256)::int) AS v, vec_id % 11 = 5 AS gone, vec_id % 7 = 3 AND vec_id % 11 <> 5 AS cut FROM embeddings)"""

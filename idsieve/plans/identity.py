@@ -44,7 +44,7 @@ _LINE = f"""WITH f AS (SELECT o_orderkey, rpad('N' || lpad(o_custkey::varchar, 7
 
 
 def lines(table):
-    orders = table("orders").withColumn("expires", F.add_months("o_orderdate", 240))
+    orders = tables.spread(table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")).withColumn("expires", F.add_months("o_orderdate", 240))
     sex = F.when(F.col("o_orderstatus") == "F", "F").when(F.col("o_orderstatus") == "O", "M").otherwise("<")
     rows = orders.select(
         "o_orderkey",
@@ -54,10 +54,10 @@ def lines(table):
         F.rpad(F.concat(F.lit("Z"), F.col("o_orderkey").cast("string")), 14, "<").alias("extra"),
         sex.alias("sex"),
     )
-    digit = lambda c: mrz.check_digit(F.col(c))
+    digit = lambda c: mrz.check_digit(F.col(c), 14)  # noqa: E731  no field is longer
     wrong = F.when(F.col("o_orderkey") % 5 == 0, "9").otherwise(digit("expiry"))
     rows = rows.withColumn("head", F.concat("number", digit("number"), F.lit("UTO"), "birth", digit("birth"), "sex", "expiry", wrong, "extra", digit("extra")))
-    return rows.withColumn("line2", F.concat("head", mrz.check_digit(mrz.composite(F.col("head")))))
+    return rows.withColumn("line2", F.concat("head", mrz.check_digit(mrz.composite(F.col("head")), mrz.COMPOSED)))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {sql_check_digit("l_partkey::varchar || l_returnflag || '<' || l_suppkey::varchar")} AS digit FROM lineitem")
@@ -322,7 +322,7 @@ def resident_cards(table):
         F.lit("411001"),
         identifiers.grouped(number),
     ]
-    return table("customer").select("c_custkey", F.array_join(F.array_compact(F.array(*parts)), "\n").alias("text"))
+    return tables.spread(table("customer").select("c_custkey", "c_name")).select("c_custkey", F.array_join(F.array_compact(F.array(*parts)), "\n").alias("text"))
 
 
 @query(

@@ -14,6 +14,16 @@ MAX_BYTES = 15 * 1024 * 1024
 EVALUATION = ["filename", "document_type", "document_id", "screening_id", "status", "risk_score", "risk_level", "validation_status", "validation_score", "mrz_verification", "tampering_detected", "tampering_confidence", "stamp_status", "blockchain_status", "record_hash", "processing_seconds", "error"]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to as many tasks as a shuffle has, at least four for each core.
+
+    Spark cuts input by bytes, so a narrow table is read by a few tasks, however much work its rows are. The number is given, so
+    adaptive execution does not join the small parts again.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, "\\.([A-Za-z0-9]+)$", 1))
 

@@ -16,3 +16,8 @@ def test_words_of_pages_are_not_broadcast(spark, small_dir):
 @pytest.mark.parametrize("name", ["machine_line_pairs", "machine_regions", "pooled_line_pairs", "pixels_against_prior"])
 def test_exploded_rows_and_contents_are_not_broadcast(spark, small_dir, name):
     assert broadcasts(catalog.QUERIES[name](spark, small_dir)) == 0
+
+
+@pytest.mark.parametrize("name", ["resident_cards_parsed", "resident_cards_validated", "pages_of_files", "files_examined", "passports_validated"])
+def test_narrow_tables_are_dealt_to_all_cores(spark, small_dir, name):
+    assert catalog.QUERIES[name](spark, small_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
