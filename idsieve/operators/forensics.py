@@ -95,18 +95,20 @@ def pages(files: DataFrame, keep: list[str], content: str = "content") -> DataFr
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for data in frame[content]:
-            kind, rgb = images.decode(_bytes(data))
-            out.append((0, kind, rgb.shape[1], rgb.shape[0], 3, rgb.tobytes()))
-        return pd.DataFrame(out, columns=["page", "format", "width", "height", "channels", "pixels"], index=frame.index)
+        for found in images.decoded(frame[content].map(_bytes)):
+            out.append((*(None,) * 6, str(found)) if isinstance(found, images.Unreadable) else (0, found[0], found[1].shape[1], found[1].shape[0], 3, found[1].tobytes(), None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PAGE.split(", ")] + ["unreadable"], index=frame.index, dtype=object)
 
-    return isolated(files, step, PAGE, [content], keep)
+    return _with_error(isolated(files, step, PAGE + ", unreadable string", [content], keep))
 
 
-def _bytes(data) -> bytes:
-    if data is None:
-        raise images.Unreadable("there is no content")
-    return bytes(data)
+def _bytes(data) -> bytes | None:
+    return None if data is None else bytes(data)
+
+
+def _with_error(rows: DataFrame) -> DataFrame:
+    """Files that a step itself tells to be unreadable are rows with ``error``, as those by which it fails; it needs no further calls for them."""
+    return rows.withColumn("error", F.coalesce("unreadable", "error")).drop("unreadable")
 
 
 HEADERS = "format string, width int, height int, software string, text_software string"
@@ -117,9 +119,10 @@ def headers(files: DataFrame, keep: list[str], content: str = "content") -> Data
     """format, width, height, software (of Exif data) and text_software of each file, without a look at its samples."""
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([images.described(_bytes(data)) for data in frame[content]], index=frame.index)
+        told = [{"unreadable": "there is no content"} if data is None else images.described(bytes(data)) for data in frame[content]]
+        return pd.DataFrame(told, columns=[*(c.split()[0] for c in HEADERS.split(", ")), "unreadable"], index=frame.index, dtype=object)
 
-    return isolated(files, step, HEADERS, [content], keep)
+    return _with_error(isolated(files, step, HEADERS + ", unreadable string", [content], keep))
 
 
 def measured(files: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
@@ -130,14 +133,14 @@ def measured(files: DataFrame, keep: list[str], content: str = "content") -> Dat
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for data in frame[content]:
-            about = images.described(_bytes(data))
-            try:
-                kind, rgb = images.decode(bytes(data))
-                numbers = [x for part in (imaging.block_variances(imaging.grey(rgb)), error_levels(rgb)) for x in (part.mean(), part.std(), part.max())]
-                out.append((kind, rgb.shape[1], rgb.shape[0], about["software"], about["text_software"], *numbers, None))
-            except images.Unreadable as e:
-                out.append((*about.values(), *(None,) * 6, str(e)))
+        for data, found in zip(frame[content], images.decoded(frame[content].map(_bytes)), strict=True):
+            about = dict.fromkeys(c.split()[0] for c in HEADERS.split(", ")) if data is None else images.described(bytes(data))
+            if isinstance(found, images.Unreadable):
+                out.append((*about.values(), *(None,) * 6, str(found)))
+                continue
+            kind, rgb = found
+            numbers = [x for part in (imaging.block_variances(imaging.grey(rgb)), error_levels(rgb)) for x in (part.mean(), part.std(), part.max())]
+            out.append((kind, rgb.shape[1], rgb.shape[0], about["software"], about["text_software"], *numbers, None))
         names = [c.split()[0] for c in SIGNALS.split(", ")]
         return pd.DataFrame(out, columns=[*names, "unreadable"], index=frame.index, dtype=object)
 
@@ -175,17 +178,22 @@ def compared_contents(pairs: DataFrame, keep: list[str], content: str = "content
 
     def step(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for own, before in zip(frame[content], frame[other], strict=True):
-            a, b = images.decode(_bytes(own))[1], images.decode(_bytes(before))[1]
+        found = images.decoded(_bytes(data) for pair in zip(frame[content], frame[other], strict=True) for data in pair)
+        for own, before in zip(found, found, strict=True):
+            why = next((x for x in (own, before) if isinstance(x, images.Unreadable)), None)
+            if why is not None:
+                out.append((*(None,) * 7, str(why)))
+                continue
+            a, b = own[1], before[1]
             if a.shape != b.shape:
-                out.append(("DIMENSIONS_CHANGED", *(None,) * 6))
+                out.append(("DIMENSIONS_CHANGED", *(None,) * 7))
                 continue
             y, x = np.nonzero((a != b).any(2))
             box = (int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1) if len(x) else (None,) * 4
-            out.append(("CHANGED" if len(x) else "IDENTICAL", len(x), round(100.0 * len(x) / a[:, :, 0].size, 4), *box))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COMPARISON.split(", ")], index=frame.index, dtype=object)
+            out.append(("CHANGED" if len(x) else "IDENTICAL", len(x), round(100.0 * len(x) / a[:, :, 0].size, 4), *box, None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in COMPARISON.split(", ")] + ["unreadable"], index=frame.index, dtype=object)
 
-    rows = isolated(pairs, step, COMPARISON, [content, other], keep)
+    rows = _with_error(isolated(pairs, step, COMPARISON + ", unreadable string", [content, other], keep))
     return rows.withColumn("comparison", F.coalesce("comparison", F.lit("UNAVAILABLE")))
 
 

@@ -269,3 +269,73 @@ def test_contents_are_fetched_late(spark, tmp_path):
     assert scans and not any("content" in line for line in scans if "Window" in line)
     text = forensics.pixel_reasons(F.array(F.lit("x")), F.lit("CHANGED"), F.lit(12.5), [F.lit(n) for n in (1, 2, 3, 4)])
     assert spark.range(1).select(text.alias("t")).first().t == ["x", "12.5000 % of the pixels changed, from (1, 2) to (3, 4)"]
+
+
+def mixed_files():
+    """PNGs of a few sizes with all filters, some interlaced, cut off, of other formats or not there."""
+    out = []
+    for n in range(60):
+        size = [(16, 16), (40, 5), (3, 50), (300, 7), (1, 1)][n % 5]
+        content = images.encode_png(photo(*size, n)[:, :, : 1 if n % 4 == 1 else 3], (n % 5, 4, 1) if n % 3 else (0, 2, 1))
+        out.append(None if n % 11 == 5 else content[: len(content) * 2 // 3] if n % 7 == 3 else b"%PDF" if n == 30 else content)
+    return out
+
+
+def test_files_are_decoded_together_as_alone(monkeypatch):
+    contents = mixed_files()
+    calls, own = [], images.unfiltered
+    monkeypatch.setattr(images, "unfiltered", lambda lines, step: calls.append(len(lines)) or own(lines, step))
+    together = list(images.decoded(contents))
+    assert len(calls) <= 20 < sum(calls)  # one for each size, kind and need of diagonals
+    for n, (content, found) in enumerate(zip(contents, together, strict=True)):
+        if isinstance(found, images.Unreadable):
+            with pytest.raises(images.Unreadable, match=str(found)):
+                images.decode(content)
+            assert n % 11 == 5 or n % 7 == 3 or n == 30
+        else:
+            image = photo(*found[1].shape[:2], n)
+            assert found[0] == "PNG" and (found[1] == (image[:, :, :1] if n % 4 == 1 else image)).all()
+    # files are taken in as they are asked for
+    monkeypatch.setattr(images, "TOGETHER", 1000)
+    taken = []
+    next(images.decoded(taken.append(c) or c for c in contents))
+    assert len(taken) < 10
+
+
+def test_filters_against_plain_loops():
+    r = np.random.default_rng(5)
+    for n, high, across, step in [(1, 1, 1, 1), (3, 1, 9, 3), (2, 23, 5, 3), (4, 16, 16, 2), (2, 7, 30, 4), (1, 9, 1, 2)]:
+        lines = r.integers(0, 256, (n, high, 1 + across * step)).astype(np.uint8)
+        lines[:, :, 0] = r.integers(0, 5, (n, high))
+        want = np.zeros((n, high, across * step), int)
+        for k, y, x in np.ndindex(want.shape):
+            left, above = want[k, y, x - step] if x >= step else 0, want[k, y - 1, x] if y else 0
+            corner = want[k, y - 1, x - step] if y and x >= step else 0
+            nearest = min((abs(above - corner), 0, left), (abs(left - corner), 1, above), (abs(left + above - 2 * corner), 2, corner))[2]
+            want[k, y, x] = (int(lines[k, y, 1 + x]) + [0, left, above, (left + above) // 2, nearest][lines[k, y, 0]]) % 256
+        assert (images.unfiltered(lines, step) == want).all()
+
+
+@pytest.mark.parametrize("name", ["pages", "headers", "measured", "compared_contents"])
+def test_unreadable_files_bring_no_further_calls(monkeypatch, name):
+    """A step tells of them itself, so the other files of its batch are not decoded again."""
+    import pandas as pd
+
+    steps = []
+
+    class Rows:
+        def withColumn(self, *_):  # noqa: N802
+            return self
+
+        def drop(self, *_):
+            return self
+
+    monkeypatch.setattr(forensics, "isolated", lambda rows, step, *_: steps.append(step) or Rows())
+    monkeypatch.setattr(forensics, "F", type("Functions", (), {n: staticmethod(lambda *_: None) for n in ("coalesce", "lit")}))
+    getattr(forensics, name)(None, ["k"])
+    contents = mixed_files()
+    out = steps[0](pd.DataFrame({"content": contents, "prior_content": contents[1:] + contents[:1]}))
+    failed = [c is None if name == "headers" else isinstance(found, images.Unreadable) for c, found in zip(contents, images.decoded(contents), strict=True)]
+    if name == "compared_contents":
+        failed = [a or b for a, b in zip(failed, failed[1:] + failed[:1], strict=True)]
+    assert list(out["unreadable"].notna()) == failed
