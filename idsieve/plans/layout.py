@@ -126,8 +126,9 @@ def richest_readings(table):
 
 def line_words(table):
     """Words of a page for each order: a heading, line 1, and line 2 in three words whose boxes are a little off."""
-    rows = identity.lines(table).select(F.col("o_orderkey").alias("doc_id"), F.array(F.array(F.lit("REPUBLIC"), F.lit("OF"), F.lit("UTOPIA")), F.array(F.lit(identity._NAME_LINE)), F.array(F.substring("line2", 1, 20), F.substring("line2", 21, 10), F.substring("line2", 31, 14))).alias("rows"))
-    tokens = rows.select("doc_id", F.posexplode("rows").alias("row", "tokens")).select("doc_id", "row", F.posexplode("tokens").alias("n", "text"))
+    # of a named column Spark would first look whether it has elements, and for that make line 2 anew for every use of it
+    rows = F.array(F.array(F.lit("REPUBLIC"), F.lit("OF"), F.lit("UTOPIA")), F.array(F.lit(identity._NAME_LINE)), F.array(F.substring("line2", 1, 20), F.substring("line2", 21, 10), F.substring("line2", 31, 14)))
+    tokens = identity.lines(table).select(F.col("o_orderkey").alias("doc_id"), F.posexplode(rows).alias("row", "tokens")).select("doc_id", "row", F.posexplode("tokens").alias("n", "text"))
     x, y = 20.0 + F.col("row") * 3 + F.col("n") * 210, 500.0 + F.col("row") * 40 + F.col("n") * 2
     return tokens.select("doc_id", F.lit(1).alias("page"), (F.col("row") * 10 + F.col("n")).alias("ord"), "text", F.lit(90.0).alias("confidence"), x.alias("x"), y.alias("y"), F.lit(200.0).alias("width"), F.lit(14.0).alias("height"))
 

@@ -39,3 +39,13 @@ def test_errors_of_a_validation_are_looked_for_once(spark, small_dir):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("A nationality has 2 to 40 letters") == 1
+
+
+def test_lines_are_not_made_again_to_see_whether_they_have_words(spark, small_dir):
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100000)
+    try:
+        plan = catalog.QUERIES["pairs_from_words"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    filters = [line for line in plan.splitlines() if "Filter " in line]
+    assert filters and max(map(len, filters)) < 1000
