@@ -37,7 +37,8 @@ _q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"  # noqa:
 #: where a tag has no end; the SQL of the other engine, which never goes back, has plain quantifiers.
 _ATTRIBUTES = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 #: Comments and hidden elements, in one pass from left to right; what has no end goes up to the end of the page.
-_UNSEEN = "(?is)<!--(?:.*?-->|.*)|" + "|".join(f"<{tag}(?:\\s{_ATTRIBUTES})?>(?:.*?</{tag}\\s*>|.*)" for tag in HIDDEN)
+_HIDDEN = ["!--(?:.*?-->|.*)", *(f"{tag}(?:\\s{_ATTRIBUTES})?>(?:.*?</{tag}\\s*>|.*)" for tag in HIDDEN)]
+_UNSEEN = f"(?is)<(?:{'|'.join(_HIDDEN)})"  # alternatives that each had their own < would be tried at every character
 _BLOCKS = f"(?i)</?(?:{'|'.join(BLOCK)})(?:\\s{_ATTRIBUTES})?/?>"
 _TAGS = f"</?[a-zA-Z!]{_ATTRIBUTES}>"
 _VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
@@ -72,9 +73,15 @@ def decoded_characters(text: str) -> str:
 
 def plain_text(seen: str) -> str:
     """SQL for the final text: characters decoded, blanks collapsed, empty lines left out."""
-    out = decoded_characters(seen)
-    out = f"regexp_replace({out}, '[ \\\\t\\\\r\\\\f\\\\x0B]+', ' ')"
-    return f"trim(BOTH '\\n ' FROM regexp_replace({out}, ' ?\\n[\\n ]*', '\\n'))"
+    return tidy(decoded_characters(seen))
+
+
+def tidy(text: str) -> str:
+    """SQL for a text whose blanks are collapsed; runs with an end of line become one, so empty lines are left out. Single blanks are
+    passed over, and other blanks are only looked for in texts that have some."""
+    others = [_q(c) for c in "\t\r\f\x0b"]
+    usual = f"CASE WHEN {' OR '.join(f'contains(t, {c})' for c in others)} THEN regexp_replace(t, '[\\\\t\\\\r\\\\f\\\\x0B]', ' ') ELSE t END"
+    return f"element_at(transform(array({text}), t -> trim(BOTH '\\n ' FROM regexp_replace({usual}, ' *+(\\n)[\\n ]*+|( ) ++', '$1$2'))), 1)"
 
 
 def _unquoted(value: str) -> str:
@@ -263,7 +270,8 @@ def _oracle() -> str:
     """The same in DuckDB's SQL."""
     e = lambda s: "'" + s.replace("'", "''") + "'"
     plain = lambda pattern: re.sub(r"([+*?])\+", r"\1", pattern)  # noqa: E731  possessive quantifiers as plain ones
-    text = f"regexp_replace(body, {e(plain(_UNSEEN))}, ' ', 'g')"
+    unseen = "(?is)" + "|".join(f"<{x}" for x in _HIDDEN)
+    text = f"regexp_replace(body, {e(plain(unseen))}, ' ', 'g')"
     text = f"regexp_replace({text}, {e(plain(_BLOCKS))}, chr(10), 'g')"
     text = f"regexp_replace({text}, {e(plain(_TAGS))}, '', 'g')"
     code = "CASE WHEN x LIKE '&#x%' OR x LIKE '&#X%' THEN try_cast('0x' || substring(x, 4, length(x) - 4) AS int) ELSE try_cast(substring(x, 3, length(x) - 3) AS int) END"
@@ -277,7 +285,7 @@ def _oracle() -> str:
 
     unquoted = lambda of: f"regexp_replace({of}, {e('^["' + "'" + ']|["' + "'" + ']$')}, '', 'g')"
     blanks = lambda of: f"regexp_replace({of}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
-    tidy = lambda of: f"trim(regexp_replace({blanks(of)}, ' ?\\n[\\n ]*', chr(10), 'g'), chr(10) || ' ')"
+    lines = lambda of: f"trim(regexp_replace({blanks(of)}, ' ?\\n[\\n ]*', chr(10), 'g'), chr(10) || ' ')"
 
     def uuid(*parts: str) -> str:
         h = f"sha256(concat_ws(chr(10), {', '.join(parts)}))"
@@ -288,7 +296,7 @@ def _oracle() -> str:
     response AS (SELECT *, {uuid("'response'", "coalesce(page_id::varchar, '')", "target_uri", "body")} AS source_id, 'sha256:' || sha256(body) AS payload_digest,
         'source-header: HTTP/1.1 200 OK' || {crlf} || 'source-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'source-header: Content-Length: ' || strlen(body) || {crlf} AS head,
         regexp_extract(body, {e(_TITLE)}, 1) AS said, {unquoted(f"regexp_extract(body, {e(_LANG)}, 1)")} AS lang, list_transform(regexp_extract_all(body, {e(_LINK)}, 1), lambda x: {unquoted("x")}) AS links, {text} AS seen FROM source),
-    decoded AS (SELECT *, trim(regexp_replace({characters("said")}, '\\s+', ' ', 'g')) AS title, {tidy(characters("seen"))} AS plain FROM response),
+    decoded AS (SELECT *, trim(regexp_replace({characters("said")}, '\\s+', ' ', 'g')) AS title, {lines(characters("seen"))} AS plain FROM response),
     record AS (SELECT *, 'metadata' AS type, 'application/warc-fields' AS content_type, 'title: ' || title || {crlf} || 'language: ' || lang || {crlf} || 'source-payload-digest: ' || payload_digest || {crlf} || head || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || {crlf}), ''), '') AS block FROM decoded
         UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', plain FROM decoded)
     SELECT page_id, type, {uuid("type", "source_id", "block")} AS record_id, source_id AS refers_to, target_uri, content_type, payload_digest AS source_payload_digest, 'sha256:' || sha256(block) AS block_digest,
