@@ -22,15 +22,17 @@ by the join that this takes. What still collides after MAX_ATTEMPTS becomes a ma
 from __future__ import annotations
 
 import secrets
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
 
 KEY_SETTING = "spark.idsieve.surrogates.secretKey"  # Spark hides the values of settings that are called secret
-#: Spark's SQL parser keeps what it learns of the long expressions here, some 100 MB on the driver, unless it may let it go; and each
-#: query's plan is sent about as text, of which some thousand characters are enough.
+#: Spark's SQL parser lets go of what it learnt of long expressions, which may be 100 MB on the driver; and each query's plan is sent about
+#: as text, of which some thousand characters are enough. The expressions here are made by column functions, as in parsing them as text
+#: (20,000 characters) the parser made 1.8 GB of objects on the driver.
 PARSER = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "2000", "spark.sql.maxPlanStringLength": "8000"}
 ROUNDS = 6
 MAX_ATTEMPTS = 12
@@ -101,207 +103,276 @@ def session_key(spark: SparkSession) -> str:
     return key
 
 
-def _q(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _whole(x: Column, pattern: str) -> Column:
+    return x.rlike(f"^(?:{pattern})$")
 
 
-def _array(values: list[str]) -> str:
-    """SQL for an array of words; one literal, as hundreds of them would make the plan large."""
-    return f"split({_q(' '.join(values))}, ' ')"
+def _int(x: Column) -> Column:
+    return x.cast("int")
 
 
-def luhn(digits: str) -> str:
-    """SQL for the sum of a digit string with each second digit from the right doubled, modulo 10."""
-    return f"aggregate(transform(split(reverse({digits}), ''), (d, n) -> CASE WHEN n % 2 = 0 THEN int(d) WHEN d > '4' THEN 2 * int(d) - 9 ELSE 2 * int(d) END), 0, (a, d) -> a + d) % 10"
+def _string(x: Column | int) -> Column:
+    return F.lit(x).cast("string")
 
 
-def _digits(x: str) -> str:
-    return f"regexp_replace({x}, '[^0-9]', '')"
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression in which a value is computed once and used by name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def mod97(text: str) -> str:
-    """SQL for the number that capitals (10 to 35) and digits make, modulo 97."""
-    return f"aggregate(split({text}, ''), 0, (a, c) -> CASE WHEN c RLIKE '^[0-9]$' THEN (a * 10 + int(c)) % 97 WHEN c = '' THEN a ELSE (a * 100 + ascii(c) - 55) % 97 END)"
+def _sub(x: Column, start: Column | int, size: Column | int | None = None) -> Column:
+    return F.substr(x, F.lit(start)) if size is None else F.substr(x, F.lit(start), F.lit(size))
 
 
-def kind(x: str) -> str:
-    """SQL for the kind of a match; null for a number that is no card or IBAN after all."""
-    is_ = lambda pattern: f"{x} RLIKE {_q(f'^(?:{pattern})$')}"
-    card = f"(length({_digits(x)}) BETWEEN 13 AND 19 AND {luhn(_digits(x))} = 0)"
-    plain = f"replace({x}, ' ', '')"
-    iban = f"{mod97(f'concat(substring({plain}, 5), substring({plain}, 1, 4))')} = 1"
-    cases = [
-        (f"{x} RLIKE {_q(f'^(?:{_LABEL}|{_PREFIX})')}", "'secret'"),
-        (f"{x} LIKE '%@%'", "'email'"),
-        (is_(r"(?:\d+\.){3}\d+"), "'ip'"),
-        (is_(_IP6), "'ip6'"),
-        (is_(SSN), "'ssn'"),
-        (is_(_IBAN), f"CASE WHEN {iban} THEN 'iban' END"),
-        (is_(CARD), f"CASE WHEN {card} THEN 'card' END"),
-        (is_(_PHONE), "'phone'"),
-    ]
-    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in cases) + " ELSE 'name' END"
+def _characters(x: Column) -> Column:
+    return F.split(x, "")
 
 
-def _value(x: str) -> str:
-    """SQL for a secret without its label."""
-    return f"regexp_replace({x}, {_q('^' + _LABEL)}, '')"
+def _digits(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
 
 
-def normal(x: str, k: str) -> str:
-    """SQL for the form that all spellings of an entity share. Names are looked at word by word."""
-    return f"CASE {k} WHEN 'email' THEN lower({x}) WHEN 'secret' THEN CASE WHEN {_value(x)} RLIKE '^[0-9a-fA-F]+$' THEN lower({_value(x)}) ELSE {_value(x)} END WHEN 'ip' THEN {x} WHEN 'ip6' THEN lower({x}) WHEN 'iban' THEN replace({x}, ' ', '') ELSE {_digits(x)} END"
+def luhn(digits: Column) -> Column:
+    """The sum of a digit string with each second digit from the right doubled, modulo 10."""
+    worth = lambda d, n: F.when(n % 2 == 0, _int(d)).when(d > "4", 2 * _int(d) - 9).otherwise(2 * _int(d))
+    return F.aggregate(F.transform(_characters(F.reverse(digits)), worth), F.lit(0), lambda a, d: a + d) % 10
 
 
-def _digest(key: str, *parts: str) -> str:
-    return f"sha2(concat_ws('\\n', {_q(key)}, {', '.join(parts)}), 256)"
+def mod97(text: Column) -> Column:
+    """The number that capitals (10 to 35) and digits make, modulo 97."""
+    step = lambda a, c: F.when(c.rlike("^[0-9]$"), (a * 10 + _int(c)) % 97).when(c == "", a).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(_characters(text), F.lit(0), step)
 
 
-def _number(digest: str, at: int = 1, size: int = 15) -> str:
-    return f"cast(conv(substring({digest}, {at}, {size}), 16, 10) AS bigint)"
+def kind(x: Column) -> Column:
+    """The kind of a match; null for a number that is no card or IBAN after all."""
+    plain = F.replace(x, F.lit(" "), F.lit(""))
+    card = F.length(_digits(x)).between(13, 19) & (luhn(_digits(x)) == 0)
+    iban = mod97(F.concat(_sub(plain, 5), _sub(plain, 1, 4))) == 1
+    out = F.when(x.rlike(f"^(?:{_LABEL}|{_PREFIX})"), "secret").when(x.contains("@"), "email")
+    out = out.when(_whole(x, r"(?:\d+\.){3}\d+"), "ip").when(_whole(x, _IP6), "ip6").when(_whole(x, SSN), "ssn")
+    out = out.when(_whole(x, _IBAN), F.when(iban, "iban")).when(_whole(x, CARD), F.when(card, "card"))
+    return out.when(_whole(x, _PHONE), "phone").otherwise("name")
 
 
-def _feistel(key: str, k: str, left: str, right: str, left_size: str, right_size: str, attempt: str) -> str:
-    """SQL for a struct (l, r): a keyed bijection of pairs of numbers below the sizes."""
-    f = lambda other: _number(_digest(key, _q(k), attempt, "cast(i AS string)", f"cast({other} AS string)"))
-    return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('l', cast({left} AS bigint), 'r', cast({right} AS bigint)), (s, i) -> CASE WHEN i % 2 = 0 "
-        f"THEN named_struct('l', (s.l + {f('s.r')} % {left_size}) % {left_size}, 'r', s.r) ELSE named_struct('l', s.l, 'r', (s.r + {f('s.l')} % {right_size}) % {right_size}) END)"
-    )
+def _value(x: Column) -> Column:
+    """A secret without its label."""
+    return F.regexp_replace(x, f"^{_LABEL}", "")
 
 
-def _permuted(key: str, k: str, digits: str, attempt: str) -> str:
-    """SQL for another string of as many digits; digits has 2 to 18."""
-    half = f"int(length({digits}) / 2)"
-    size = lambda n: f"cast(pow(10, {n}) AS bigint)"
-    rest = f"(length({digits}) - {half})"
-    done = _feistel(key, k, f"substring({digits}, 1, {half})", f"substring({digits}, {half} + 1)", size(half), size(rest), attempt)
-    return f"element_at(transform(array({done}), p -> concat(lpad(cast(p.l AS string), {half}, '0'), lpad(cast(p.r AS string), {rest}, '0'))), 1)"
+def normal(x: Column, k: Column) -> Column:
+    """The form that all spellings of an entity share. Names are looked at word by word."""
+    out = F.when(k == "email", F.lower(x)).when(k == "secret", _secret_form(x)).when(k == "ip", x)
+    return out.when(k == "ip6", F.lower(x)).when(k == "iban", F.replace(x, F.lit(" "), F.lit(""))).otherwise(_digits(x))
 
 
-def _in_place(x: str, digits: str, of: str = "[0-9]") -> str:
-    """SQL for x with its digits, or whatever ``of`` matches, replaced in order."""
-    return f"aggregate(split({x}, ''), named_struct('o', '', 'k', 1), (s, c) -> CASE WHEN c RLIKE '^{of}$' THEN named_struct('o', concat(s.o, substring({digits}, s.k, 1)), 'k', s.k + 1) ELSE named_struct('o', concat(s.o, c), 'k', s.k) END).o"
+def _secret_form(x: Column) -> Column:
+    return F.when(_value(x).rlike("^[0-9a-fA-F]+$"), F.lower(_value(x))).otherwise(_value(x))
 
 
-def _spelt(x: str, digest: str, as_hex: str) -> str:
-    """SQL for a string of x's length from the hexadecimal digits of a digest and of further ones for each 32 characters: digits for
+def _digest(key: str, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", F.lit(key), *parts), 256)
+
+
+def _hex(digest: Column, start: Column | int, size: int) -> Column:
+    return F.conv(_sub(digest, start, size), 16, 10)
+
+
+def _feistel(key: str, k: str, left: Column, right: Column, left_size: Column, right_size: Column, attempt: Column | int) -> Column:
+    """A struct (l, r): a keyed bijection of pairs of numbers below the sizes."""
+    pair = lambda a, b: F.struct(a.alias("l"), b.alias("r"))
+    f = lambda i, other: _hex(_digest(key, F.lit(k), _string(attempt), _string(i), _string(other)), 1, 15).cast("bigint")
+    moved = lambda own, i, other, size: (own + f(i, other) % size) % size
+    step = lambda s, i: F.when(i % 2 == 0, pair(moved(s["l"], i, s["r"], left_size), s["r"])).otherwise(pair(s["l"], moved(s["r"], i, s["l"], right_size)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), pair(left.cast("bigint"), right.cast("bigint")), step)
+
+
+def _permuted(key: str, k: str, digits: Column, attempt: Column | int) -> Column:
+    """Another string of as many digits; digits has 2 to 18."""
+    half = _int(F.length(digits) / 2)
+    rest = F.length(digits) - half
+    size = lambda n: F.pow(F.lit(10), n).cast("bigint")
+    done = _feistel(key, k, _sub(digits, 1, half), _sub(digits, half + 1), size(half), size(rest), attempt)
+    return _bind(done, lambda p: F.concat(F.lpad(_string(p["l"]), half, "0"), F.lpad(_string(p["r"]), rest, "0")))
+
+
+def _in_place(x: Column, digits: Column, of: str = "[0-9]") -> Column:
+    """x with its digits, or whatever ``of`` matches, replaced in order."""
+    state = lambda o, k: F.struct(o.alias("o"), k.alias("k"))
+
+    def replaced(made: Column) -> Column:
+        step = lambda s, c: F.when(c.rlike(f"^{of}$"), state(F.concat(s["o"], _sub(made, s["k"], 1)), s["k"] + 1)).otherwise(state(F.concat(s["o"], c), s["k"]))
+        return F.aggregate(_characters(x), state(F.lit(""), F.lit(1)), step, lambda s: s["o"])
+
+    return _bind(digits, replaced)
+
+
+def _spelt(x: Column, digest: Column, as_hex: Column) -> Column:
+    """A string of x's length from the hexadecimal digits of a digest and of further ones for each 32 characters: digits for
     digits, letters of the same case for letters (``as_hex``: hexadecimal digits for both, capitals if all are), other characters as
     they are."""
-    at = lambda size: f"int(conv(substring(z, 2 * n + 1, 2), 16, 10)) % {size} + 1"
-    letter = f"substring('abcdefghijklmnopqrstuvwxyz', {at(26)}, 1)"
-    one = f"CASE WHEN hexed AND c RLIKE '[0-9a-zA-Z]' THEN substring('0123456789abcdef', {at(16)}, 1) WHEN c RLIKE '[0-9]' THEN substring('0123456789', {at(10)}, 1) WHEN c RLIKE '[a-z]' THEN {letter} WHEN c RLIKE '[A-Z]' THEN upper({letter}) ELSE c END"
-    part = _bind("sha2(concat(y, cast(m AS string)), 256)", "z", f"array_join(transform(split(part, ''), (c, n) -> {one}), '')")
-    parts = f"array_join(transform(regexp_extract_all({x}, '(?s).{{1,32}}', 0), (part, m) -> {part}), '')"
-    return _bind(digest, "y", _bind(as_hex, "hexed", _bind(parts, "made", f"CASE WHEN hexed AND upper({x}) = {x} THEN upper(made) ELSE made END")))
 
+    def one(c: Column, n: Column, z: Column, hexed: Column) -> Column:
+        pick = lambda among: _sub(F.lit(among), _int(_hex(z, 2 * n + 1, 2)) % len(among) + 1, 1)
+        letter = pick("abcdefghijklmnopqrstuvwxyz")
+        out = F.when(hexed & c.rlike("[0-9a-zA-Z]"), pick("0123456789abcdef")).when(c.rlike("[0-9]"), pick("0123456789"))
+        return out.when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
+
+    def part(y: Column, m: Column, own: Column, hexed: Column) -> Column:
+        return _bind(F.sha2(F.concat(y, _string(m)), 256), lambda z: F.array_join(F.transform(_characters(own), lambda c, n: one(c, n, z, hexed)), ""))
+
+    def made(y: Column, hexed: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(x, F.lit("(?s).{1,32}"), 0), lambda own, m: part(y, m, own, hexed))
+        return _bind(F.array_join(parts, ""), lambda out: F.when(hexed & (F.upper(x) == x), F.upper(out)).otherwise(out))
 
-def _bind(value: str, name: str, body: str) -> str:
-    """SQL in which a value is computed once and used by name."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    return _bind(digest, lambda y: _bind(as_hex, lambda hexed: made(y, hexed)))
 
 
-def _table(rows: dict[str, list[str]]) -> str:
-    """SQL for a map of words by name, as one literal."""
-    return f"str_to_map({_q(';'.join(f'{k}={" ".join(v)}' for k, v in rows.items()))}, ';', '=')"
+def _table(rows: dict[str, list[str]], name: Column) -> Column:
+    """The words of a name; all as one literal, as hundreds of them would make the plan large."""
+    return F.split(F.element_at(F.str_to_map(F.lit(";".join(f"{k}={' '.join(v)}" for k, v in rows.items())), F.lit(";"), F.lit("=")), name), " ")
 
 
-def _coined(key: str, word: str, role: str, attempt: str) -> str:
-    """SQL for a name word: role is m, f, n or family. Further attempts have more syllables."""
-    script = f"CASE WHEN {word} RLIKE '\\\\p{{IsCyrillic}}' THEN 'cyrillic' WHEN {word} RLIKE '\\\\p{{IsGreek}}' THEN 'greek' ELSE 'latin' END"
-    pick = lambda words, at: f"element_at({words}, int(conv(substring(h, {at}, 3), 16, 10)) % size({words}) + 1)"
-    start, more = (", ".join(pick("sy", at) for at in places) for places in ((1, 4, 7, 10), (23, 26, 29)))
-    made = f"concat({start}, CASE WHEN {attempt} = 0 THEN '' ELSE concat({more}) END, {pick('en', 13)})"
-    spelt = _bind(made, "c", f"CASE WHEN length({word}) > 1 AND upper({word}) = {word} THEN upper(c) ELSE initcap(c) END")
+def _pick(words: Column, digest: Column, at: int, size: int = 3) -> Column:
+    return F.element_at(words, _int(_hex(digest, at, size)) % F.size(words) + 1)
+
+
+def _coined(key: str, word: Column, role: Column, attempt: Column | int) -> Column:
+    """A name word: role is m, f, n or family. Further attempts have more syllables."""
+    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    digest = _digest(key, F.lit("name"), role, F.lower(word), _string(attempt))
+
+    def made(sy: Column, en: Column, h: Column) -> Column:
+        start, more = (F.concat(*(_pick(sy, h, at) for at in places)) for places in ((1, 4, 7, 10), (23, 26, 29)))
+        return F.concat(start, F.when(F.lit(attempt) == 0, "").otherwise(more), _pick(en, h, 13))
+
+    spelt = lambda c: F.when((F.length(word) > 1) & (F.upper(word) == word), F.upper(c)).otherwise(F.initcap(c))
     endings = {f"{s} {r}": own for (s, r), own in ENDINGS.items()}
-    spelt = _bind(_digest(key, "'name'", role, f"lower({word})", f"cast({attempt} AS string)"), "h", spelt)
-    spelt = _bind(f"split(element_at({_table(endings)}, concat(sc, ' ', {role})), ' ')", "en", spelt)
-    return _bind(script, "sc", _bind(f"split(element_at({_table(SYLLABLES)}, sc), ' ')", "sy", spelt))
+    of_script = lambda sc: _bind(_table(SYLLABLES, sc), lambda sy: _bind(_table(endings, F.concat(sc, F.lit(" "), role)), lambda en: _bind(digest, lambda h: _bind(made(sy, en, h), spelt))))
+    return _bind(script, of_script)
 
 
-def _gender(x: str) -> str:
-    of = lambda g: f"{x} RLIKE {_q(f'^(?i:{'|'.join(TITLES[g])})\\.? ')}"
-    return f"CASE WHEN {of('m')} THEN 'm' WHEN {of('f')} THEN 'f' ELSE 'n' END"
+def _gender(x: Column) -> Column:
+    of = lambda g: x.rlike(rf"^(?i:{'|'.join(TITLES[g])})\.? ")
+    return F.when(of("m"), "m").when(of("f"), "f").otherwise("n")
 
 
-def name_words(x: str) -> str:
-    """SQL for the words of a name as structs (role, word, sep: what stands before it): family, or for a given name m, f or n; null
+def name_words(x: Column) -> Column:
+    """The words of a name as structs (role, word, sep: what stands before it): family, or for a given name m, f or n; null
     for a title and for particles. The parts of a word with hyphens are words."""
-    words, titled = f"split(regexp_replace({x}, {_q('^' + _INTRODUCED)}, ''), ' ')", f"{x} RLIKE {_q('^' + _TITLED)}"
-    role = f"CASE WHEN n = 0 AND {titled} OR w RLIKE {_q(f'^(?:{"|".join(PARTICLES)})$')} THEN NULL WHEN n = size(v) - 1 THEN 'family' ELSE {_gender(x)} END"
-    parts = f"transform(split(w, '-'), (p, k) -> named_struct('role', {role}, 'word', p, 'sep', CASE WHEN k > 0 THEN '-' WHEN n > 0 THEN ' ' ELSE '' END))"
-    return _bind(words, "v", f"flatten(transform(v, (w, n) -> {parts}))")
+    titled, particle = x.rlike(f"^{_TITLED}"), f"^(?:{'|'.join(PARTICLES)})$"
+
+    def parts(w: Column, n: Column, v: Column) -> Column:
+        role = F.when((n == 0) & titled | w.rlike(particle), F.lit(None)).when(n == F.size(v) - 1, "family").otherwise(_gender(x))
+        sep = lambda k: F.when(k > 0, "-").when(n > 0, " ").otherwise("")
+        return F.transform(F.split(w, "-"), lambda p, k: F.struct(role.alias("role"), p.alias("word"), sep(k).alias("sep")))
+
+    words = F.split(F.regexp_replace(x, f"^{_INTRODUCED}", ""), " ")
+    return _bind(words, lambda v: F.flatten(F.transform(v, lambda w, n: parts(w, n, v))))
+
 
+def _entry(moved: Column | None, k: Column, form: Column, part: str, default: Column | int) -> Column | int:
+    """What the map ``moved`` has of an entity (a struct of attempt and gender)."""
+    return default if moved is None else F.coalesce(F.try_element_at(moved, F.concat(k, F.lit("\n"), form))[part], F.lit(default))
 
-def _entry(moved: str | None, k: str, form: str, part: str, default: str) -> str:
-    """SQL for what the map ``moved`` has of an entity (a struct of attempt and gender)."""
-    return default if moved is None else f"coalesce(try_element_at({moved}, concat({k}, '\\n', {form})).{part}, {default})"
 
+def _phone(key: str, d: Column, attempt: Column | int) -> Column:
+    national = F.greatest(F.lit(0), F.length(d) - 10)
+    return F.concat(_sub(d, 1, national), _permuted(key, "phone", _sub(d, national + 1), attempt))
 
-def _single(key: str, x: str, k: str, attempt: str) -> str:
-    """SQL for the surrogate of a match x that is no name."""
-    digits = _digits(x)
-    national = "greatest(0, length(d) - 10)"
-    phone = _bind(digits, "d", f"concat(substring(d, 1, {national}), {_permuted(key, 'phone', f'substring(d, {national} + 1)', attempt)})")
-    middle = _permuted(key, "card", "substring(d, 2, length(d) - 2)", attempt)
-    card = _bind(digits, "d", _bind(f"concat(substring(d, 1, 1), {middle})", "b", f"concat(b, cast((10 - {luhn("concat(b, '0')")}) % 10 AS string))"))
+
+def _card(key: str, d: Column, attempt: Column | int) -> Column:
+    middle = _permuted(key, "card", _sub(d, 2, F.length(d) - 2), attempt)
+    return _bind(F.concat(_sub(d, 1, 1), middle), lambda b: F.concat(b, _string((10 - luhn(F.concat(b, F.lit("0")))) % 10)))
+
+
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, F.lit(b))
+
+
+def _ssn(key: str, d: Column, attempt: Column | int) -> Column:
     # areas 1 to 899 but 666, groups from 1, serial numbers from 1; numbers beyond these go to some of them
-    area = "CASE WHEN int(substring(d, 1, 3)) > 666 THEN int(substring(d, 1, 3)) - 2 ELSE int(substring(d, 1, 3)) - 1 END"
-    number = _feistel(key, "ssn", f"pmod(({area}) * 99 + int(substring(d, 4, 2)) - 1, 88902)", "pmod(int(substring(d, 6)) - 1, 9999)", "88902", "9999", attempt)
-    ssn = _bind(digits, "d", _bind(number, "p", "concat(lpad(cast(p.l div 99 + CASE WHEN p.l div 99 >= 665 THEN 2 ELSE 1 END AS string), 3, '0'), lpad(cast(p.l % 99 + 1 AS string), 2, '0'), lpad(cast(p.r + 1 AS string), 4, '0'))"))
-    octets = f"transform(split({x}, '[.]'), o -> int(o))"
-    plain = "(array_min(t) > 0 AND array_max(t) < 255)"
-    base, low = f"CASE WHEN {plain} THEN 254 ELSE 256 END", f"CASE WHEN {plain} THEN 1 ELSE 0 END"
-    net = _feistel(key, "ip", "(t[0] - z) * y + t[1] - z", "(t[2] - z) * y + t[3] - z", "(y * y)", "(y * y)", attempt)
-    ip = _bind(octets, "t", _bind(base, "y", _bind(low, "z", _bind(net, "p", "concat_ws('.', cast(p.l div y + z AS string), cast(p.l % y + z AS string), cast(p.r div y + z AS string), cast(p.r % y + z AS string))"))))
-    of = lambda k, form: _digest(key, _q(k), form, f"cast({attempt} AS string)")
-    domain_hash = _digest(key, "'domain'", f"lower(substring_index({x}, '@', -1))")
-    local = "concat(" + ", ".join(f"element_at({_array(SYLLABLES['latin'])}, int(conv(substring(h, {2 * n + 1}, 2), 16, 10)) % {len(SYLLABLES['latin'])} + 1)" for n in range(3)) + ", '.', substring(h, 9, 10))"
-    mail = f"concat({_bind(of('email', f'lower({x})'), 'h', local)}, '@mail-', substring({domain_hash}, 1, 6), '.example.', substring_index(lower({x}), '.', -1))"
-    mail = _bind(mail, "c", f"CASE WHEN upper({x}) = {x} THEN upper(c) ELSE c END")
-    account = _bind(f"replace({x}, ' ', '')", "a", _bind(_spelt("substring(a, 5)", of("iban", "a"), "false"), "b", f"concat(substring(a, 1, 2), lpad(cast(98 - {mod97("concat(b, substring(a, 1, 2), '00')")} AS string), 2, '0'), b)"))
-    iban = _in_place(x, account, "[0-9A-Z]")
-    kept = f"regexp_extract({x}, {_q(f'^(?:{_LABEL})?{_PREFIX}?')}, 0)"
-    secret = _bind(kept, "u", f"concat(u, {_spelt(f'substring({x}, length(u) + 1)', of('secret', normal(x, _q('secret'))), f'{_value(x)} RLIKE {_q("^[0-9a-fA-F]+$")}')})")
-    made = {"email": mail, "ip": ip, "ip6": _spelt(x, of("ip6", f"lower({x})"), "true"), "ssn": _in_place(x, ssn), "iban": iban, "phone": _in_place(x, phone), "card": _in_place(x, card), "secret": secret}
-    return f"CASE {k} " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in made.items()) + f" ELSE {x} END"
-
-
-def _marked(key: str, k: str, form: str, attempt: str, made: str) -> str:
-    """SQL for the surrogate, or for a mark where the attempts are used up (-1)."""
-    return made if attempt == "0" else f"CASE WHEN {attempt} < 0 THEN concat('[', {k}, ' ', substring({_digest(key, k, form)}, 1, 16), ']') ELSE {made} END"
-
-
-def surrogate(key: str, x: str, k: str, moved: str | None = None) -> str:
-    """SQL for the surrogate of a match x of kind k; x itself where it is no entity. moved: a map by kind and normal form of structs
+    own = _int(_sub(d, 1, 3))
+    area = F.when(own > 666, own - 2).otherwise(own - 1)
+    number = _feistel(key, "ssn", F.pmod(area * 99 + _int(_sub(d, 4, 2)) - 1, F.lit(88902)), F.pmod(_int(_sub(d, 6)) - 1, F.lit(9999)), F.lit(88902), F.lit(9999), attempt)
+    padded = lambda n, size: F.lpad(_string(n), size, "0")
+    spelt = lambda p: F.concat(padded(_div(p["l"], 99) + F.when(_div(p["l"], 99) >= 665, 2).otherwise(1), 3), padded(p["l"] % 99 + 1, 2), padded(p["r"] + 1, 4))
+    return _bind(number, spelt)
+
+
+def _ip(key: str, x: Column, attempt: Column | int) -> Column:
+    def net(t: Column, y: Column, z: Column) -> Column:
+        done = _feistel(key, "ip", (t[0] - z) * y + t[1] - z, (t[2] - z) * y + t[3] - z, y * y, y * y, attempt)
+        return _bind(done, lambda p: F.concat_ws(".", *(_string(n + z) for n in (_div(p["l"], y), p["l"] % y, _div(p["r"], y), p["r"] % y))))
+
+    def based(t: Column) -> Column:
+        plain = (F.array_min(t) > 0) & (F.array_max(t) < 255)
+        return _bind(F.when(plain, 254).otherwise(256), lambda y: _bind(F.when(plain, 1).otherwise(0), lambda z: net(t, y, z)))
+
+    return _bind(F.transform(F.split(x, "[.]"), _int), based)
+
+
+def _single(key: str, x: Column, k: Column, attempt: Column | int) -> Column:
+    """The surrogate of a match x that is no name."""
+    of = lambda kind, form: _digest(key, F.lit(kind), form, _string(attempt))
+    made = lambda make: _bind(_digits(x), lambda d: make(key, d, attempt))
+    syllables = F.split(F.lit(" ".join(SYLLABLES["latin"])), " ")
+    local = lambda h: F.concat(*(_pick(syllables, h, 2 * n + 1, 2) for n in range(3)), F.lit("."), _sub(h, 9, 10))
+    domain = _sub(_digest(key, F.lit("domain"), F.lower(F.substring_index(x, "@", -1))), 1, 6)
+    mail = F.concat(_bind(of("email", F.lower(x)), local), F.lit("@mail-"), domain, F.lit(".example."), F.substring_index(F.lower(x), ".", -1))
+    mail = _bind(mail, lambda c: F.when(F.upper(x) == x, F.upper(c)).otherwise(c))
+    check = lambda a, b: F.lpad(_string(98 - mod97(F.concat(b, _sub(a, 1, 2), F.lit("00")))), 2, "0")
+    account = lambda a: _bind(_spelt(_sub(a, 5), of("iban", a), F.lit(False)), lambda b: F.concat(_sub(a, 1, 2), check(a, b), b))
+    kept = F.regexp_extract(x, f"^(?:{_LABEL})?{_PREFIX}?", 0)
+    secret = _bind(kept, lambda u: F.concat(u, _spelt(_sub(x, F.length(u) + 1), of("secret", _secret_form(x)), _value(x).rlike("^[0-9a-fA-F]+$"))))
+    out = F.when(k == "email", mail).when(k == "ip", _ip(key, x, attempt)).when(k == "ip6", _spelt(x, of("ip6", F.lower(x)), F.lit(True)))
+    out = out.when(k == "ssn", _in_place(x, made(_ssn))).when(k == "iban", _in_place(x, _bind(F.replace(x, F.lit(" "), F.lit("")), account), "[0-9A-Z]"))
+    return out.when(k == "phone", _in_place(x, made(_phone))).when(k == "card", _in_place(x, made(_card))).when(k == "secret", secret).otherwise(x)
+
+
+def _marked(key: str, k: Column, form: Column, attempt: Column | int, made: Column) -> Column:
+    """The surrogate, or a mark where the attempts are used up (-1)."""
+    mark = F.concat(F.lit("["), k, F.lit(" "), _sub(_digest(key, k, form), 1, 16), F.lit("]"))
+    return made if isinstance(attempt, int) else F.when(attempt < 0, mark).otherwise(made)
+
+
+def surrogate(key: str, x: Column, k: Column, moved: Column | None = None) -> Column:
+    """The surrogate of a match x of kind k; x itself where it is no entity. moved: a map by kind and normal form of structs
     (attempt, gender), or None."""
     form = normal(x, k)
-    single = _single(key, x, k, "0") if moved is None else _bind(_entry(moved, k, form, "attempt", "0"), "q", _marked(key, k, form, "q", _single(key, x, k, "q")))
-    sort = "CASE WHEN w.role = 'family' THEN 'family' ELSE 'given' END"
-    role = f"CASE WHEN w.role = 'family' THEN 'family' ELSE {_entry(moved, _q('given'), 'lower(w.word)', 'gender', 'w.role')} END"
-    attempt = _entry(moved, sort, "lower(w.word)", "attempt", "0")
-    word = _marked(key, sort, "lower(w.word)", attempt, _coined(key, "w.word", role, attempt))
-    name = f"concat(regexp_extract({x}, {_q('^' + _INTRODUCED)}, 0), array_join(transform({name_words(x)}, w -> concat(w.sep, CASE WHEN w.role IS NULL THEN w.word ELSE {word} END)), ''))"
-    return f"CASE WHEN {k} IS NULL THEN {x} WHEN {k} = 'name' THEN {name} ELSE {single} END"
+    single = _single(key, x, k, 0) if moved is None else _bind(_entry(moved, k, form, "attempt", 0), lambda q: _marked(key, k, form, q, _single(key, x, k, q)))
+
+    def word(w: Column) -> Column:
+        lower, family = F.lower(w["word"]), w["role"] == "family"
+        sort = F.when(family, "family").otherwise("given")
+        role = F.when(family, "family").otherwise(_entry(moved, F.lit("given"), lower, "gender", w["role"]))
+        attempt = _entry(moved, sort, lower, "attempt", 0)
+        made = _marked(key, sort, lower, attempt, _coined(key, w["word"], role, attempt))
+        return F.concat(w["sep"], F.when(w["role"].isNull(), w["word"]).otherwise(made))
+
+    name = F.concat(F.regexp_extract(x, f"^{_INTRODUCED}", 0), F.array_join(F.transform(name_words(x), word), ""))
+    return F.when(k.isNull(), x).when(k == "name", name).otherwise(single)
 
 
 def detected(docs: DataFrame, column: str) -> DataFrame:
     """The columns of ``docs`` and one more: structs (x, kind) of all matches in the text in order; the kind is null for numbers
     that are no cards after all."""
     # most texts have no digit, at sign or title, and are not searched further
-    found = F.expr(f"transform(regexp_extract_all(text, {_q(ENTITY)}, 0), x -> named_struct('x', x, 'kind', {kind('x')}))")
+    found = F.transform(F.regexp_extract_all("text", F.lit(ENTITY), 0), lambda x: F.struct(x.alias("x"), kind(x).alias("kind")))
     return docs.withColumn(column, F.when(F.col("text").rlike(LIKELY), found).otherwise(F.array().cast("array<struct<x:string,kind:string>>")))
 
 
-def entity_forms(x: str, k: str) -> str:
-    """SQL for the structs (kind, form, role) of a match: one, or one for each word of a name."""
-    names = f"transform(filter({name_words(x)}, w -> w.role IS NOT NULL), w -> named_struct('kind', CASE WHEN w.role = 'family' THEN 'family' ELSE 'given' END, 'form', lower(w.word), 'role', w.role))"
-    return f"CASE WHEN {k} IS NULL THEN array() WHEN {k} = 'name' THEN {names} ELSE array(named_struct('kind', {k}, 'form', {normal(x, k)}, 'role', cast(NULL AS string))) END"
+def entity_forms(x: Column, k: Column) -> Column:
+    """The structs (kind, form, role) of a match: one, or one for each word of a name."""
+    entity = lambda kind, form, role: F.struct(kind.alias("kind"), form.alias("form"), role.alias("role"))
+    named = lambda w: entity(F.when(w["role"] == "family", "family").otherwise("given"), F.lower(w["word"]), w["role"])
+    names = F.transform(F.filter(name_words(x), lambda w: w["role"].isNotNull()), named)
+    return F.when(k.isNull(), F.array()).when(k == "name", names).otherwise(F.array(entity(k, normal(x, k), F.lit(None).cast("string"))))
 
 
 def entities(found: DataFrame, column: str) -> DataFrame:
     """kind, form, gender (of given names, from all titles) and mixed (whether some title tells another), of all distinct entities."""
-    forms = found.select(F.explode(column).alias("f")).selectExpr(f"explode({entity_forms('f.x', 'f.kind')}) AS e").select("e.kind", "e.form", "e.role")
+    forms = found.select(F.explode(column).alias("f")).select(F.explode(entity_forms(F.col("f.x"), F.col("f.kind"))).alias("e")).select("e.kind", "e.form", "e.role")
     forms = forms.groupBy("kind", "form").agg(*(F.count_if(F.col("role") == r).alias(r) for r in ("m", "f", "n")))
     forms = forms.withColumn("gender", F.when(F.col("kind") == "given", F.expr("CASE WHEN m > f THEN 'm' WHEN f > m THEN 'f' ELSE 'n' END")))
     return forms.select("kind", "form", "gender", F.coalesce(F.expr("m + f + n > CASE gender WHEN 'm' THEN m WHEN 'f' THEN f ELSE n END"), F.lit(False)).alias("mixed"))
@@ -314,8 +385,9 @@ def collisions(found: DataFrame, column: str, key: str) -> DataFrame | None:
     all but that with the fewest attempts and then the least form.
     """
     forms = scratch.saved(entities(found, column).withColumn("attempt", F.lit(0)), "entities")
-    coined = _coined(key, "form", "CASE WHEN kind = 'family' THEN 'family' ELSE gender END", "attempt")
-    value = F.expr(f"CASE WHEN attempt < 0 THEN NULL WHEN kind IN ('family', 'given') THEN lower({coined}) ELSE {_bind(_single(key, 'form', 'kind', 'attempt'), 'made', normal('made', 'kind'))} END")
+    k, form, attempt = F.col("kind"), F.col("form"), F.col("attempt")
+    coined = _coined(key, form, F.when(k == "family", "family").otherwise(F.col("gender")), attempt)
+    value = F.when(attempt < 0, F.lit(None)).when(k.isin("family", "given"), F.lower(coined)).otherwise(_bind(_single(key, form, k, attempt), lambda made: normal(made, k)))
     for n in range(MAX_ATTEMPTS + 1):
         made = scratch.saved(forms.withColumn("value", value), "surrogates")
         seen = made.where("value IS NOT NULL").select("kind", "value", F.struct("attempt", "form").alias("first"), F.lit(False).alias("real")).union(made.select("kind", F.col("form").alias("value"), F.lit(None), F.lit(True)))
@@ -357,11 +429,12 @@ def _replaced(docs: DataFrame, key: str, column: str) -> DataFrame:
     moved = collisions(found, hits, key)
     if moved is not None:
         # the entries of a document's own entities, gathered for the documents that hold one
-        held = found.where(F.size(hits) > 0).select(F.col(row).alias("row"), F.explode(hits).alias("f")).selectExpr("row", f"explode({entity_forms('f.x', 'f.kind')}) AS e").select("row", "e.kind", "e.form").distinct().join(moved, ["kind", "form"])
+        held = found.where(F.size(hits) > 0).select(F.col(row).alias("row"), F.explode(hits).alias("f")).select("row", F.explode(entity_forms(F.col("f.x"), F.col("f.kind"))).alias("e")).select("row", "e.kind", "e.form").distinct().join(moved, ["kind", "form"])
         held = held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "kind", "form"), F.struct("attempt", "gender")))).alias(entry)).withColumnRenamed("row", row2)
         found = found.join(held, F.col(row) == F.col(row2), "left")
-    made = surrogate(key, "f.x", "f.kind", None if moved is None else f"`{entry}`")
-    text = F.expr(f"CASE WHEN size(`{hits}`) > 0 THEN array_join(flatten(zip_with(split(text, {_q(ENTITY)}, -1), transform(`{hits}`, f -> {made}), (p, s) -> array(p, coalesce(s, '')))), '') ELSE text END")
+    made = F.transform(hits, lambda f: surrogate(key, f["x"], f["kind"], None if moved is None else F.col(entry)))
+    pieces = F.zip_with(F.split("text", ENTITY, -1), made, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))
+    text = F.when(F.size(hits) > 0, F.array_join(F.flatten(pieces), "")).otherwise(F.col("text"))
     count = F.coalesce(F.size(F.filter(hits, lambda f: f["kind"].isNotNull())), F.lit(0)).cast("long").alias(column)
     # written here, so that the driver plans the long expressions once and not again with each step that follows
     return scratch.saved(found.select(*(text.alias("text") if c == "text" else f"`{c}`" for c in own), count), "surrogate-texts")
