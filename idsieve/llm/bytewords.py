@@ -145,7 +145,7 @@ def gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndar
 class PieceCache:
     """Ids of tokens by their 64-bit hashes, in a table of fixed size; each token has two slots that may hold it.
 
-    ``encode(tokens)`` gives a list of lists or arrays of ids for a list of byte strings. A slot also has the token's bytes, and
+    ``encode(tokens)`` gives a list of lists or arrays of ids for a list of byte strings, or all ids and how many each has. A slot also has the token's bytes, and
     counts only for the same bytes. Memory is bounded by ``slots`` and ``ids``; what was put out is encoded again when
     it comes back.
     """
@@ -199,8 +199,11 @@ class PieceCache:
         if len(missing):
             raw = data.tobytes()
             new = self.encode([raw[a : a + n] for a, n in zip(at[missing].tolist(), size[missing].tolist(), strict=True)])
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            flat = np.fromiter(itertools.chain.from_iterable(new), self.dtype, int(sizes.sum()))
+            if isinstance(new, tuple):
+                flat, sizes = new
+            else:
+                sizes = np.fromiter(map(len, new), np.int64, len(new))
+                flat = np.fromiter(itertools.chain.from_iterable(new), self.dtype, int(sizes.sum()))
             self.flat = self._with(self.flat, self.used, flat)
             own = gathered(data, at[missing], size[missing])
             self.raw = self._with(self.raw, self.raw_used, own)

@@ -2,9 +2,11 @@
 
 A text is cut at marked words, a run of word marks (blanks) and what follows up to the next one, and within
 them where two characters meet that stand side by side in no piece. Nothing is merged over such a cut, so
-each distinct word is encoded once. The distinct words of a block are sorted,
-which puts them in the order of a depth-first walk through their trie: a word keeps the forward states of
-the prefix it shares with the word before, and only its further characters are looked at.
+each distinct word is encoded once. The distinct words of a block are sorted, so that those with a shared prefix
+are neighbours and every distinct prefix is one node of their trie. The trie is walked level by level, all nodes of a
+level at once in arrays: pieces that end at a node are found by its characters backwards, and the forward states of a
+level follow from those of the levels before. Levels that few words reach are not worth that: such words are walked
+one after the other, depth first, and keep the forward states of the prefix shared with the word before.
 
 The forward state of a prefix is the best last piece (Viterbi) by the best sum of scores, as the library
 encodes with a unigram model. A model of merges comes with scores too, but its own ids follow from merging;
@@ -19,6 +21,7 @@ normalisation), mark a beginning, and have byte pieces for unknown characters.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -35,6 +38,9 @@ from . import bytewords as B
 MARK = "▁"
 UNIGRAM, MERGES = 1, 2
 MAX_PAIRS = 150_000  # pairs of pieces that are remembered
+PAIR_SLOTS = 1 << 19  # slots for pairs of pieces that the walk by levels remembers
+BLOCK_CHARS = 1 << 18  # characters of words that are walked together
+FEW = 32  # words by which a level must be reached
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -154,22 +160,51 @@ class Model:
             else:
                 limit, equal, right = b, True, self.halves[right][0]
 
-    def encode_words(self, words: list[str], *kinds: int) -> list[list[list[int]]]:
-        """For each kind, by merges (MERGES) or sums of scores (UNIGRAM), the ids of all marked words.
+    @functools.cached_property
+    def tables(self) -> Tables:
+        return Tables(self)
 
-        Words are visited in sorted order; states of shared prefixes stay. Of paths with equal sums the one whose last
-        piece is longer counts.
-        """
-        order = sorted(range(len(words)), key=words.__getitem__)
-        made: dict[int, list[list[int]]] = {k: [[]] * len(words) for k in kinds}
+    def encode_words(self, words: list[str], *kinds: int) -> list[list[list[int]]]:
+        """For each kind, by merges (MERGES) or sums of scores (UNIGRAM), the ids of all marked words."""
+        made = [(flat.tolist(), np.concatenate(([0], np.cumsum(sizes))).tolist()) for flat, sizes in self.ids_of_words(words, *kinds)]
+        return [[flat[a:b] for a, b in itertools.pairwise(at)] for flat, at in made]
+
+    def ids_of_words(self, words: list[str], *kinds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each kind the ids of all marked words, one after the other, and how many each word has. Of paths with equal
+        sums the one whose last piece is longer counts."""
+        if MERGES in kinds and self.kind != MERGES:
+            raise ValueError("only a model of merges tells how to merge")
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))[order]
+        block = np.cumsum(sizes) // BLOCK_CHARS
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(words)])).tolist()
+        which, parts = [order[:0]], [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in kinds]
+        for lo, hi in itertools.pairwise(cuts):
+            limit = np.partition(sizes[lo:hi], -FEW)[-FEW] if hi - lo >= FEW else 0
+            for long in (False, True):
+                own = order[lo:hi][(sizes[lo:hi] > limit) == long]
+                if len(own):
+                    which.append(own)
+                    walk = self.walk_words if long else self.tables.walk_levels
+                    for part, ids in zip(parts, walk([words[i] for i in own.tolist()], *kinds), strict=True):
+                        part.append(ids)
+        at = np.argsort(np.concatenate(which))
+        made = []
+        for part in parts:
+            flat, own = np.concatenate([ids for ids, _ in part]), np.concatenate([n for _, n in part])
+            made.append((B.gathered(flat, (np.cumsum(own) - own)[at], own[at]), own[at]))
+        return made
+
+    def walk_words(self, words: list[str], *kinds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``ids_of_words`` of words in sorted order, one after the other; states of shared prefixes stay."""
+        made: dict[int, list[list[int]]] = {k: [] for k in kinds}
         merging, scoring = MERGES in kinds, UNIGRAM in kinds
         ids, score, unknown, root, follows, known = self.ids, self.score, self.unknown_score, self.ends, self.follows, self.known
         merged: list[str] = [""]  # last piece of each prefix of the current word, by merging
         found: list[str] = [""]  # and by the best sum of scores, which follows
         best: list[float] = [0.0]
         before = ""
-        for n in order:
-            word = words[n]
+        for word in words:
             shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
@@ -225,8 +260,194 @@ class Model:
                         got.append(i)
                     end -= len(piece)
                 got.reverse()
-                made[kind][n] = got
-        return [made[k] for k in kinds]
+                made[kind].append(got)
+        return [(np.array([i for ids in made[k] for i in ids], np.int64), np.array([len(ids) for ids in made[k]], np.int64)) for k in kinds]
+
+
+class Tables:
+    """Pieces of a model in arrays, and the walk through a trie of words by levels.
+
+    A symbol is the id of a piece, or else the number of pieces and the code of a character that is none; characters of no piece
+    have code 0.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.size = model, len(model.pieces)
+        chars = sorted({c for p in model.ids for c in p})
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.codes = len(chars) + 1
+        self.symbols = self.size + self.codes
+        symbol = model.ids | {c: self.size + n for n, c in enumerate(chars, 1) if c not in model.ids}
+        self.single = np.array([self.size, *(symbol[c] for c in chars)])
+        self.score = np.array(model.score)
+        self.whole = np.zeros(self.size, bool)
+        self.whole[[model.ids[p] for p in model.whole]] = True
+        self.trie(model.ends)
+        if model.kind == MERGES:
+            self.rank = np.full(self.symbols, -np.inf)
+            self.left, self.right = np.zeros((2, self.symbols), np.int64)
+            for p, rank in model.rank.items():
+                self.rank[symbol[p]] = rank
+            for p, (a, b) in model.halves.items():
+                self.left[symbol[p]], self.right[symbol[p]] = symbol[a], symbol[b]
+            joint = {symbol[p[:n]] * self.symbols + symbol[p[n:]]: r for p, r in model.rank.items() for n in range(1, len(p)) if p[:n] in symbol and p[n:] in symbol}
+            joint[-1] = math.inf
+            self.joint = np.array(sorted(joint))
+            self.joint_rank = np.array([joint[k] for k in self.joint.tolist()])
+            self.pairs, self.fits = np.full(PAIR_SLOTS, -1), np.zeros(PAIR_SLOTS, bool)
+
+    def trie(self, ends: dict) -> None:
+        """Numbers for the nodes of a trie of the pieces from their ends, the root 0: sorted keys (node, code) with the nodes
+        they lead to, and of each node the id of the piece up to it or -1."""
+        keys, below, self.piece, todo = [], [], [-1], [(0, ends)]
+        while todo:
+            node, children = todo.pop()
+            for c, (further, i, _) in children.items():
+                keys.append(node * self.codes + int(self.code[ord(c)]))
+                below.append(len(self.piece))
+                todo.append((len(self.piece), further))
+                self.piece.append(i)
+        order = np.argsort(keys)
+        self.keys, self.below, self.piece = np.array(keys)[order], np.array(below)[order], np.array(self.piece)
+        self.inner = np.zeros(len(self.piece), bool)
+        self.inner[self.keys // self.codes] = True
+
+    def follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Model.follows`` of pairs of symbols."""
+        out, todo = np.ones(len(left), bool), np.arange(len(left))
+        limit, equal = np.full(len(left), np.inf), np.zeros(len(left), bool)
+        while len(todo):
+            pair = left * self.symbols + right
+            at = np.searchsorted(self.joint, pair, side="right") - 1
+            joint = np.where(self.joint[at] == pair, self.joint_rank[at], np.inf)
+            before = (joint < limit) | (equal & (joint == limit))
+            out[todo[before]] = False
+            a, b = self.rank[left], self.rank[right]
+            over = a > b
+            further = ~before & (over | (b > -np.inf))
+            limit, equal = np.where(over, a, b)[further], ~over[further]
+            left, right, todo = np.where(over, self.right[left], left)[further], np.where(over, right, self.left[right])[further], todo[further]
+        return out
+
+    def pair_fits(self, pair: np.ndarray) -> np.ndarray:
+        """``follow`` of pairs, left * symbols + right, of which those met last are remembered."""
+        slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & (PAIR_SLOTS - 1)
+        out = self.fits[slot]
+        new = np.flatnonzero(self.pairs[slot] != pair)
+        if len(new):
+            unique, first, back = np.unique(pair[new], return_index=True, return_inverse=True)
+            fits = self.follow(unique // self.symbols, unique % self.symbols)
+            out[new] = fits[back]
+            put, of = np.unique(slot[new[first]], return_index=True)
+            self.pairs[put], self.fits[put] = unique[of], fits[of]
+        return out
+
+    def levels(self, codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Nodes of the trie of sorted words, the root 0 first, level by level: each one's parent and code; the last node of each word;
+        and the first node of each level and the end."""
+        last = np.zeros(len(sizes), np.int64)
+        parents, own, first = [np.zeros(1, np.int64)], [np.zeros(1, codes.dtype)], [0, 1]
+        words, depth = np.flatnonzero(sizes), 0
+        while len(words):
+            code, parent = codes[begin[words] + depth], last[words]
+            new = np.ones(len(words), bool)
+            new[1:] = (code[1:] != code[:-1]) | (parent[1:] != parent[:-1])
+            last[words] = first[-1] - 1 + np.cumsum(new)
+            parents.append(parent[new])
+            own.append(code[new])
+            first.append(first[-1] + len(parents[-1]))
+            depth += 1
+            words = words[sizes[words] > depth]
+        return np.concatenate(parents), np.concatenate(own), last, first
+
+    def matches(self, parent: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, node before the piece, id) of all pieces that end at a node, by node and from short to long."""
+        end = cur = np.arange(1, len(parent))
+        at = np.zeros(len(end), np.int64)
+        found = [(end[:0], end[:0], end[:0])]
+        while len(end):
+            key = at * self.codes + code[cur]
+            n = np.searchsorted(self.keys, key, side="right") - 1
+            there = np.flatnonzero(self.keys[n] == key)
+            end, cur, at = end[there], parent[cur[there]], self.below[n[there]]
+            is_piece = self.piece[at] >= 0
+            found.append((end[is_piece], cur[is_piece], self.piece[at[is_piece]]))
+            further = np.flatnonzero((cur > 0) & self.inner[at])
+            end, cur, at = end[further], cur[further], at[further]
+        end, start, piece = map(np.concatenate, zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        return end[order], start[order], piece[order]
+
+    def walk_levels(self, words: list[str], *kinds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``Model.ids_of_words`` of words in sorted order."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        parent, code, word_at, first = self.levels(self.code[points], begin, sizes)
+        end, start, piece = self.matches(parent, code)
+        depth = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        made = []
+        for kind in kinds:
+            symbol, back = self.single[code], parent.copy()
+            if kind == MERGES:
+                self.by_merges(first, *(x[self.whole[piece]] for x in (end, start, piece)), symbol, back)
+            else:
+                self.by_scores(first, end, start, piece, symbol, back)
+            made.append(self.traced(points, begin, word_at, symbol, back, depth))
+        return made
+
+    def by_merges(self, first: list[int], end: np.ndarray, start: np.ndarray, piece: np.ndarray, symbol: np.ndarray, back: np.ndarray) -> None:
+        """Put each node's last piece by merging into ``symbol``, and the node before it into ``back``."""
+        for lo, hi in itertools.pairwise(np.searchsorted(end, first[1:]).tolist()):
+            at, own = start[lo:hi], piece[lo:hi]
+            fits = at == 0
+            inner = np.flatnonzero(~fits)
+            fits[inner] = self.pair_fits(symbol[at[inner]] * self.symbols + own[inner])
+            to = end[lo:hi][fits]
+            symbol[to], back[to] = own[fits], at[fits]  # of several the longest, which comes last
+
+    def by_scores(self, first: list[int], end: np.ndarray, start: np.ndarray, piece: np.ndarray, symbol: np.ndarray, back: np.ndarray) -> None:
+        """The same by the best sum of scores."""
+        score, best = self.score[piece], np.full(len(symbol), -np.inf)
+        best[0] = 0.0
+        unknown = np.flatnonzero(symbol >= self.size)
+        unknown = unknown[unknown > 0]
+        groups = np.flatnonzero(np.diff(end, prepend=0))
+        cuts = zip(*(itertools.pairwise(np.searchsorted(x, first[1:]).tolist()) for x in (end, end[groups], unknown)), strict=True)
+        for (lo, hi), (a, b), (c, d) in cuts:
+            best[unknown[c:d]] = best[back[unknown[c:d]]] + self.model.unknown_score
+            if lo < hi:
+                sums, to = best[start[lo:hi]] + score[lo:hi], end[lo:hi]
+                of = end[groups[a:b]]
+                best[of] = np.maximum(best[of], np.maximum.reduceat(sums, groups[a:b] - lo))
+                top = sums >= best[to]
+                symbol[to[top]], back[to[top]] = piece[lo:hi][top], start[lo:hi][top]  # of several the longest, which comes last
+
+    def traced(self, points: np.ndarray, begin: np.ndarray, word_at: np.ndarray, symbol: np.ndarray, back: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the paths that end at the words' last nodes, and how many each word has."""
+        word = np.flatnonzero(word_at)
+        cur, steps = word_at[word], []
+        while len(word):
+            steps.append((word, cur))
+            cur = back[cur]
+            word, cur = word[cur > 0], cur[cur > 0]
+        count = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(word_at)) if steps else np.zeros(len(word_at), np.int64)
+        ends = np.cumsum(count)
+        node = np.zeros(count.sum(), np.int64)
+        for n, (w, c) in enumerate(steps):
+            node[ends[w] - 1 - n] = c
+        ids = symbol[node]
+        unknown = np.flatnonzero(ids >= self.size)
+        if len(unknown):
+            word = np.searchsorted(ends, unknown, side="right")
+            chars = points[begin[word] + depth[node[unknown]] - 1]
+            width = np.ones(len(ids), np.int64)
+            width[unknown] = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+            count = np.diff(np.concatenate(([0], np.cumsum(width)))[np.concatenate(([0], ends))])
+            ids, as_bytes = np.repeat(ids, width), np.repeat(ids >= self.size, width)
+            ids[as_bytes] = self.model.bytes[np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8)]
+        return ids, count
 
 
 @functools.lru_cache(2)
@@ -241,9 +462,13 @@ def _cache(path: str, *kinds: int) -> B.PieceCache:
     """The ids of a word by each kind, one after the other, after the numbers of ids of all kinds but the last."""
     model = _model(path)[0]
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        by = model.encode_words([w.decode().replace(" ", MARK) for w in words], *kinds)
-        return by[0] if len(by) == 1 else [[*map(len, own[:-1]), *(i for x in own for i in x)] for own in zip(*by, strict=True)]
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        by = model.ids_of_words([w.decode().replace(" ", MARK) for w in words], *kinds)
+        parts = [np.ones(len(words), np.int64)] * (len(kinds) - 1) + [n for _, n in by]
+        flat = np.concatenate([*(n for _, n in by[:-1]), *(ids for ids, _ in by)])
+        lengths = np.concatenate(parts)
+        begin, order = np.cumsum(lengths) - lengths, np.arange(len(lengths)).reshape(len(parts), -1).T.ravel()
+        return B.gathered(flat, begin[order], lengths[order]), sum(parts)
 
     return B.PieceCache(encode, slots=1 << 20, ids=4_000_000)
 
